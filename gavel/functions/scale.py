@@ -137,23 +137,38 @@ def split_lag(
     return out.drop("__tb", "__in", "__before")
 
 
-def gap_sessions(df: DataFrame, keys: Sequence[str], ts: str, tie: str, gap_seconds: int, bucket: str = "hour") -> DataFrame:
-    """Session start per row: a new session opens when the gap to the previous row of the
-    key exceeds ``gap_seconds``. Long keys are worked through per (key, time bucket)."""
+def gap_sessions(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    tie: str,
+    gap_seconds: int,
+    bucket: str = "hour",
+    same_breaks: str | None = None,
+) -> DataFrame:
+    """First row of the session per row, as ``session_start`` and ``session_first`` (its tie
+    id): a session opens when the gap to the previous row of the key exceeds ``gap_seconds``,
+    or when ``same_breaks`` has the previous row's value. Long keys are worked through per
+    (key, time bucket)."""
     keys = list(keys)
-    lagged = split_lag(df, keys, ts, tie, [ts], "__p_", bucket)
+    carry = [ts] + ([same_breaks] if same_breaks else [])
+    lagged = split_lag(df, keys, ts, tie, carry, "__p_", bucket)
     gap = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col(f"__p_{ts}").cast("timestamp"))
-    opened = lagged.withColumn(
-        "__open", F.when(F.col(f"__p_{ts}").isNull() | (gap > gap_seconds * 1_000_000), F.col(ts))
-    ).withColumn("__tb", F.date_trunc(bucket, F.col(ts)))
+    is_open = F.col(f"__p_{ts}").isNull() | (gap > gap_seconds * 1_000_000)
+    if same_breaks:
+        is_open = is_open | F.col(same_breaks).eqNullSafe(F.col(f"__p_{same_breaks}"))
+    mark = F.struct(F.col(ts).alias("t"), F.col(tie).alias("i"))
+    opened = lagged.withColumn("__open", F.when(is_open, mark)).withColumn("__tb", F.date_trunc(bucket, F.col(ts)))
     run = Window.partitionBy(*keys, "__tb").orderBy(ts, tie).rowsBetween(Window.unboundedPreceding, 0)
     inside = opened.withColumn("__start", F.max("__open").over(run))
     last_open = opened.groupBy(*keys, "__tb").agg(F.max("__open").alias("__lo"))
     before = Window.partitionBy(*keys).orderBy("__tb").rowsBetween(Window.unboundedPreceding, -1)
     carried = last_open.withColumn("__carry", F.max("__lo").over(before)).drop("__lo")
     out = null_safe_join(inside, carried, [*keys, "__tb"], "left")
-    return out.withColumn("session_start", F.coalesce("__start", "__carry")).drop(
-        "__tb", "__start", "__carry", "__open", f"__p_{ts}"
+    start = F.coalesce("__start", "__carry")
+    return (
+        out.withColumn("session_start", start["t"]).withColumn("session_first", start["i"])
+        .drop("__tb", "__start", "__carry", "__open", *[f"__p_{c}" for c in carry])
     )
 
 

@@ -86,11 +86,12 @@ def monthly_stats(tx):
 
 @query("weighted_avg", f"""WITH {TX}, {_MONTHLY}
 SELECT area, property_type, CAST(sum(deals_count) AS BIGINT) AS deals, round(sum(avg_price * deals_count) / nullif(sum(deals_count), 0), 6) AS avg_price,
-  round(avg(median_price), 6) AS median_price, round(max(top_price), 6) AS top_price, round(avg(avg_psf), 6) AS avg_psf,
+  CAST(trunc(avg(median_price)) AS BIGINT) AS median_price, round(max(top_price), 6) AS top_price, round(avg(avg_psf), 6) AS avg_psf,
   strftime(max(period_month), '%Y-%m-%d') AS last_month FROM monthly GROUP BY area, property_type""")
 def q_weighted_avg(spark, d):
     out = ag.weighted_avg(monthly_stats(transactions(spark, d)), ["area", "property_type"])
-    return out.select("area", "property_type", "deals", *[F.round(c, 6).alias(c) for c in ("avg_price", "median_price", "top_price", "avg_psf")],
+    return out.select("area", "property_type", "deals", *[F.round(c, 6).alias(c) for c in ("avg_price", "top_price", "avg_psf")],
+                      F.col("median_price").cast("bigint").alias("median_price"),
                       F.date_format("last_month", "yyyy-MM-dd").alias("last_month"))
 
 
