@@ -75,11 +75,11 @@ def group_percentiles(
         F.array_distinct(F.percentile_approx("__v", cuts, 1000)).alias("__cuts"),
         F.sum("__c").alias("__total"),
     )
-    bucketed = null_safe_join(vals, sketch, keys).withColumn("__b", F.size(F.filter("__cuts", lambda s: s < F.col("__v")))).drop("__cuts")
+    bucketed = null_safe_join(vals, sketch, keys).withColumn("__pb", F.size(F.filter("__cuts", lambda s: s < F.col("__v")))).drop("__cuts")
 
-    over_buckets = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    over_buckets = Window.partitionBy(*keys).orderBy("__pb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        bucketed.groupBy(*keys, "__b")
+        bucketed.groupBy(*keys, "__pb")
         .agg(F.sum("__c").alias("__bn"), F.first("__total").alias("__total"))
         .withColumn("__before", F.coalesce(F.sum("__bn").over(over_buckets), F.lit(0)))
     )
@@ -91,9 +91,9 @@ def group_percentiles(
         lambda a, b: a | b,
         [(r >= F.col("__before")) & (r < F.col("__before") + F.col("__bn")) for r in wanted],
     )
-    needed = offsets.filter(hit).select(*keys, "__b", "__before")
-    in_bucket = Window.partitionBy(*keys, "__b").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = null_safe_join(bucketed, needed, [*keys, "__b"]).withColumn(
+    needed = offsets.filter(hit).select(*keys, "__pb", "__before")
+    in_bucket = Window.partitionBy(*keys, "__pb").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = null_safe_join(bucketed, needed, [*keys, "__pb"]).withColumn(
         "__end", F.col("__before") + F.sum("__c").over(in_bucket)
     )
     aggs = [F.first("__total").alias("__t")]

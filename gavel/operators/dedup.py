@@ -227,10 +227,12 @@ def compatible_components(df: DataFrame, group: str = "group_key") -> DataFrame:
         base.select("id", group, "__mask", "__text", "__v0", "__v1", "__v2", "__v3", F.explode(shapes).alias("o"))
         .withColumn("__s", F.col("__mask").bitwiseAND(F.col("o.m")))
         .filter((F.col("__s") != 0) | F.col("__text") | F.col("o.t"))
-        .select("id", group, F.col("o.m").alias("__om"), F.col("o.t").alias("__ot"), "__s", sub_key(F.col("__s")).alias("__k"))
+        .select(
+            "id", group, F.when((F.col("__mask") == 0) & ~F.col("__text"), 1).otherwise(0).alias("__self"),
+            F.col("o.m").alias("__om"), F.col("o.t").alias("__ot"), "__s", sub_key(F.col("__s")).alias("__k"))
     )
     seen = probes.join(table, [group, "__om", "__ot", "__s", "__k"]).groupBy("id", group).agg(
-        F.sum("__n").alias("__seen"), *[f(f"__{n}{i}").alias(f"__{n}{i}") for i in range(4) for n, f in (("lo", F.min), ("hi", F.max))]
+        (F.sum("__n") + F.max("__self")).alias("__seen"), *[f(f"__{n}{i}").alias(f"__{n}{i}") for i in range(4) for n, f in (("lo", F.min), ("hi", F.max))]
     )
     agree = reduce(lambda a, b: a & b, [F.col(f"__lo{i}").eqNullSafe(F.col(f"__hi{i}")) for i in range(4)])
     label = F.concat_ws("\u001f", F.col(group), *[F.coalesce(F.col(f"__lo{i}"), F.lit("*")) for i in range(4)])
