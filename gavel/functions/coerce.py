@@ -37,11 +37,12 @@ def safe_date(col: Column | str) -> Column:
 
 
 def date_format_class(col: Column | str) -> Column:
-    """Which of the known date formats a text has; NULL for blank."""
+    """Which of the known date formats a text has; OTHER for unknown, NULL for NULL."""
     c = _c(col).cast("string")
     return (
-        F.when(c.isNull() | (F.trim(c) == ""), F.lit(None).cast("string"))
-        .when(c.rlike(ISO_PREFIX), "YYYY-MM-DD")
+        F.when(c.isNull(), F.lit(None).cast("string"))
+        .when(c.rlike(ISO_PREFIX + "$"), "ISO_DATE")
+        .when(c.rlike(ISO_PREFIX + r"[ T]\d{2}:\d{2}"), "ISO_DATETIME")
         .when(c.rlike(DAY_DASH), "DD-MM-YYYY")
         .when(c.rlike(DAY_SLASH), "DD/MM/YYYY")
         .when(c.rlike(EPOCH), "EPOCH")
