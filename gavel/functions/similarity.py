@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -72,17 +74,15 @@ def containment_pairs(needles: DataFrame, needle: str, hay: DataFrame, text: str
     return probes.join(index, "gram").filter(F.contains("text", "needle")).select("needle", "text")
 
 
-def trigram_pairs(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float) -> DataFrame:
-    """Distinct (a, b) text pairs with trigram Jaccard ≥ ``threshold``; exact.
+def overlap_candidates(left: DataFrame, a: str, ga: str, right: DataFrame, b: str, gb: str, share: float) -> DataFrame:
+    """Distinct (a, b) pairs whose token sets may overlap in ``share`` of each set; complete.
 
-    Prefix filtering: with grams in rare-first order, two sets can only reach the threshold
-    when their first ``|x| − ⌈t·|x|⌉ + 1`` grams meet, so frequent grams are never joined on.
-    Set sizes must also agree within the threshold.
+    Prefix filtering: with tokens in rare-first order, two sets can only reach the overlap when
+    their first ``|x| − ⌈share·|x|⌉ + 1`` tokens meet, so frequent tokens are never joined on.
+    Set sizes must also agree within ``share``.
     """
-    la = left.select(F.col(a).alias("a")).distinct().withColumn("ga", word_trigrams("a")).filter(F.size("ga") > 0)
-    rb = right.select(F.col(b).alias("b")).distinct().withColumn("gb", word_trigrams("b")).filter(F.size("gb") > 0)
     freq = (
-        la.select(F.explode("ga").alias("g")).unionByName(rb.select(F.explode("gb").alias("g")))
+        left.select(F.explode(ga).alias("g")).unionByName(right.select(F.explode(gb).alias("g")))
         .groupBy("g").agg(F.count(F.lit(1)).alias("__df"))
     )
 
@@ -93,15 +93,60 @@ def trigram_pairs(left: DataFrame, a: str, right: DataFrame, b: str, threshold:
             .groupBy(key, "__n")
             .agg(F.array_sort(F.collect_list(F.struct("__df", "g"))).alias("__o"))
         )
-        keep = (F.col("__n") - F.ceil(F.col("__n") * F.lit(threshold) - 1e-9) + 1).cast("int")
-        return ordered.select(key, F.col("__n").alias(f"__n_{key}"), F.explode(F.slice("__o", F.lit(1), F.greatest(keep, F.lit(1)))).alias("p")).select(
-            key, f"__n_{key}", F.col("p.g").alias("g"))
+        keep = (F.col("__n") - F.ceil(F.col("__n") * F.lit(share) - 1e-9) + 1).cast("int")
+        first = F.slice("__o", F.lit(1), F.greatest(keep, F.lit(1)))
+        return ordered.select(key, F.col("__n").alias(f"__n_{key}"), F.explode(first).alias("p")).select(key, f"__n_{key}", F.col("p.g").alias("g"))
+
+    pa, pb = prefixes(left, a, ga), prefixes(right, b, gb)
+    fits = F.least(f"__n_{a}", f"__n_{b}") >= F.greatest(f"__n_{a}", f"__n_{b}") * F.lit(share) - 1e-9
+    return pa.join(pb, "g").filter(fits).select(a, b).distinct()
+
 
-    pa, pb = prefixes(la, "a", "ga"), prefixes(rb, "b", "gb")
-    fits = (F.least("__n_a", "__n_b") >= F.greatest("__n_a", "__n_b") * F.lit(threshold) - 1e-9)
-    candidates = pa.join(pb, "g").filter(fits).select("a", "b").distinct()
+def trigram_pairs(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float) -> DataFrame:
+    """Distinct (a, b) text pairs with trigram Jaccard ≥ ``threshold``; exact."""
+    la = left.select(F.col(a).alias("a")).distinct().withColumn("ga", word_trigrams("a")).filter(F.size("ga") > 0)
+    rb = right.select(F.col(b).alias("b")).distinct().withColumn("gb", word_trigrams("b")).filter(F.size("gb") > 0)
     return (
-        candidates.withColumn("similarity", trigram_similarity("a", "b"))
+        overlap_candidates(la, "a", "ga", rb, "b", "gb", threshold)
+        .withColumn("similarity", trigram_similarity("a", "b"))
         .filter(F.col("similarity") >= threshold)
         .select("a", "b", "similarity")
     )
+
+
+def char_bag(col: Column | str) -> Column:
+    """Characters with their occurrence number ('a1', 'a2', …), a set that keeps multiplicity."""
+    c = F.col(col) if isinstance(col, str) else col
+    chars = F.array_sort(F.split(c, ""))
+    return F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 2).cast("string")))
+
+
+@F.pandas_udf("double")
+def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """100 · 2·LCS/(|a|+|b|): share of characters kept when only inserting and deleting."""
+
+    def one(x: str, y: str) -> float:
+        if not x and not y:
+            return 100.0
+        row = np.zeros(len(y) + 1, dtype=np.int32)
+        codes = np.frombuffer(y.encode("utf-32-le"), dtype=np.uint32)
+        for ch in x:
+            hit = row[:-1] + (codes == ord(ch))
+            row[1:] = np.maximum.accumulate(np.maximum(row[1:], hit))
+        return 200.0 * int(row[-1]) / (len(x) + len(y))
+
+    return pd.Series([one(x, y) for x, y in zip(a, b)])
+
+
+def fuzzy_pairs(left: DataFrame, a: str, right: DataFrame, b: str, cutoff: float) -> DataFrame:
+    """Distinct pairs whose token-sorted texts reach ``cutoff`` (0–100) by :func:`lcs_ratio`.
+
+    The kept characters are common to both character bags, which gives a complete candidate
+    join; only candidates are scored.
+    """
+    t = cutoff / 100.0
+    la = left.select(F.col(a).alias("a")).distinct().withColumn("sa", token_sort("a")).filter(F.length("sa") > 0).withColumn("ga", char_bag("sa"))
+    rb = right.select(F.col(b).alias("b")).distinct().withColumn("sb", token_sort("b")).filter(F.length("sb") > 0).withColumn("gb", char_bag("sb"))
+    pairs = overlap_candidates(la, "a", "ga", rb, "b", "gb", t / (2 - t))
+    scored = pairs.withColumn("score", lcs_ratio(token_sort("a"), token_sort("b")))
+    return scored.filter(F.col("score") >= cutoff)
