@@ -92,7 +92,7 @@ def listing_rules(df: DataFrame, premium_areas: Sequence[str] = ()) -> Column:
     pt = F.coalesce("property_type", F.lit("apartment"))
     deal = F.coalesce("deal_type", F.lit("sale"))
     sqft = F.coalesce("size_sqft", F.lit(0.0))
-    text = F.lower(F.substring("text", 1, 1000)) if has_text else F.lit("")
+    text = F.lower(F.coalesce("text", F.lit(""))) if has_text else F.lit("")
     residential = pt.isin(*lx.RESIDENTIAL)
     priced = F.coalesce(price, F.lit(0)) > 0
     amount = price.cast("bigint").cast("string")

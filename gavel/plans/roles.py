@@ -127,3 +127,36 @@ def messages(spark: SparkSession, d: str) -> DataFrame:
 
 MESSAGES = """messages AS (
   SELECT doc_id AS id, source AS chat, lang, text, TIMESTAMP '2024-01-01' + to_seconds(doc_id * 45) AS ts FROM documents)"""
+
+
+def adverts(spark: SparkSession, d: str) -> DataFrame:
+    """Listings written out as advert texts in five styles, one per quality label."""
+    l = listings(spark, d)
+    br, q = F.col("bedrooms"), F.col("deal_quality")
+    n = lambda c: c.cast("string")
+    sale, rent = (F.col("price") * 10).cast("bigint"), (F.col("price") / 4).cast("bigint") + 20000
+    sqft = F.coalesce(F.format_number(F.col("size_sqft"), 0), F.lit("n/a"))
+    rooms = F.when(br == 0, "Studio").otherwise(F.concat(n(br), F.lit("BR")))
+    quarter = F.lower(F.replace("area", F.lit("NATION"), F.lit("Quarter")))
+    spaced = F.regexp_replace(F.format_number(sale, 0), ",", " ")
+    text = (
+        F.when(q == "very_good", F.concat(F.lit("🔥 FOR SALE 🔥\n"), rooms, F.lit(" apartment in "), "building", F.lit(", "), "area", F.lit("\nSize: "), sqft, F.lit(" sqft\nSelling price: AED "),
+               F.format_number(sale, 0), F.lit("\nRented at 75k\nHandover Q"), n(br % 4 + 1), F.lit(" 2026\nCall +971 50 123 4567")))
+        .when(q == "good", F.concat(F.lit("For rent: studio in "), quarter, F.lit("\nFully furnished, sea view, "), n(br + 3), F.lit("th floor\nRent: "), F.format_number(rent, 0), F.lit(" AED yearly\nagent John Smith 050 123 4567")))
+        .when(q == "interesting", F.concat(F.lit("Villa for sale - "), "area", F.lit("\n"), n(br + 2), F.lit(" bedrooms, "), n(br + 1), F.lit(" bathrooms\nBUA: "), sqft, F.lit(" sqft, Plot: 5,000 sqft\nPrice: "),
+              F.format_string("%.2f", sale / 1000000.0), F.lit("M\nOP: 9,9M\nTenanted\nnear "), "building"))
+        .when(q == "normal", F.concat(F.lit("Продажа: квартира, "), "area", F.lit("\nЦена: "), spaced, F.lit("\nвид на море, высокий этаж\nготово к заселению")))
+        .otherwise(F.concat(F.lit("1. 2BR at "), "area", F.lit(" AED 1.5M\n2. 3BR at "), "building", F.lit(" price "), n(sale), F.lit(" AED\n3. 3BR at "), "building", F.lit(" price "), n(sale), F.lit(" AED unfurnished")))
+    )
+    return l.select("id", "area", "building", "bedrooms", "size_sqft", "deal_quality", "status", sale.alias("sale"), rent.alias("rent"), text.alias("text"))
+
+
+ADVERTS = """ad0 AS (SELECT id, area, building, bedrooms, size_sqft, deal_quality, status, CAST(trunc(price * 10) AS BIGINT) AS sale, CAST(trunc(price / 4) AS BIGINT) + 20000 AS rent FROM listings),
+ads AS (SELECT *, CASE deal_quality
+  WHEN 'very_good' THEN '🔥 FOR SALE 🔥' || chr(10) || CASE WHEN bedrooms = 0 THEN 'Studio' ELSE bedrooms || 'BR' END || ' apartment in ' || building || ', ' || area || chr(10) || 'Size: ' || coalesce(format('{:,}', CAST(size_sqft AS BIGINT)), 'n/a')
+    || ' sqft' || chr(10) || 'Selling price: AED ' || format('{:,}', sale) || chr(10) || 'Rented at 75k' || chr(10) || 'Handover Q' || (bedrooms % 4 + 1) || ' 2026' || chr(10) || 'Call +971 50 123 4567'
+  WHEN 'good' THEN 'For rent: studio in ' || lower(replace(area, 'NATION', 'Quarter')) || chr(10) || 'Fully furnished, sea view, ' || (bedrooms + 3) || 'th floor' || chr(10) || 'Rent: ' || format('{:,}', rent) || ' AED yearly' || chr(10) || 'agent John Smith 050 123 4567'
+  WHEN 'interesting' THEN 'Villa for sale - ' || area || chr(10) || (bedrooms + 2) || ' bedrooms, ' || (bedrooms + 1) || ' bathrooms' || chr(10) || 'BUA: ' || coalesce(format('{:,}', CAST(size_sqft AS BIGINT)), 'n/a') || ' sqft, Plot: 5,000 sqft' || chr(10) || 'Price: '
+    || printf('%.2f', sale / 1000000.0::DOUBLE) || 'M' || chr(10) || 'OP: 9,9M' || chr(10) || 'Tenanted' || chr(10) || 'near ' || building
+  WHEN 'normal' THEN 'Продажа: квартира, ' || area || chr(10) || 'Цена: ' || replace(format('{:,}', sale), ',', ' ') || chr(10) || 'вид на море, высокий этаж' || chr(10) || 'готово к заселению'
+  ELSE '1. 2BR at ' || area || ' AED 1.5M' || chr(10) || '2. 3BR at ' || building || ' price ' || sale || ' AED' || chr(10) || '3. 3BR at ' || building || ' price ' || sale || ' AED unfurnished' END AS text FROM ad0)"""
