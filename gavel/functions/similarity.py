@@ -7,12 +7,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavel.functions.exprs import bind
+
 
 def ngrams(col: Column | str, n: int) -> Column:
     """Distinct character n-grams; a shorter text is its own single gram."""
     c = F.col(col) if isinstance(col, str) else col
-    last = F.greatest(F.length(c) - n + 1, F.lit(1))
-    return F.when(F.length(c) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(c, i, F.lit(n)))))
+
+    def cut(t: Column) -> Column:
+        last = F.greatest(F.length(t) - n + 1, F.lit(1))
+        return F.when(F.length(t) > 0, F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.substring(t, i, F.lit(n)))))
+
+    return bind(c, cut)
 
 
 def word_trigrams(col: Column | str) -> Column:
@@ -117,8 +123,8 @@ def trigram_pairs(left: DataFrame, a: str, right: DataFrame, b: str, threshold:
 def char_bag(col: Column | str) -> Column:
     """Characters with their occurrence number ('a1', 'a2', …), a set that keeps multiplicity."""
     c = F.col(col) if isinstance(col, str) else col
-    chars = F.array_sort(F.split(c, ""))
-    return F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 2).cast("string")))
+    return bind(
+        F.array_sort(F.split(c, "")), lambda chars: F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 2).cast("string"))))
 
 
 @F.pandas_udf("double")
@@ -148,5 +154,8 @@ def fuzzy_pairs(left: DataFrame, a: str, right: DataFrame, b: str, cutoff: float
     la = left.select(F.col(a).alias("a")).distinct().withColumn("sa", token_sort("a")).filter(F.length("sa") > 0).withColumn("ga", char_bag("sa"))
     rb = right.select(F.col(b).alias("b")).distinct().withColumn("sb", token_sort("b")).filter(F.length("sb") > 0).withColumn("gb", char_bag("sb"))
     pairs = overlap_candidates(la, "a", "ga", rb, "b", "gb", t / (2 - t))
-    scored = pairs.withColumn("score", lcs_ratio(token_sort("a"), token_sort("b")))
-    return scored.filter(F.col("score") >= cutoff)
+    # The bags bound the kept characters from above: most candidates end here, before Python.
+    sorted_texts = pairs.withColumn("sa", token_sort("a")).withColumn("sb", token_sort("b"))
+    common = F.size(F.array_intersect(char_bag("sa"), char_bag("sb")))
+    close = sorted_texts.filter(2.0 * common >= t * (F.length("sa") + F.length("sb")) - 1e-9)
+    return close.withColumn("score", lcs_ratio("sa", "sb")).filter(F.col("score") >= cutoff).select("a", "b", "score")

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.functions.exprs import half_even
 from gavel.functions.scale import best_per_key, group_percentiles, null_safe_join
 
 N = F.lit(1)
@@ -128,7 +129,7 @@ def share_of_total(df: DataFrame, group: str, part: str, min_total: int = 20) ->
     return (
         counts.withColumn("total", F.sum("n").over(Window.partitionBy(group)))
         .filter(F.col("total") >= min_total)
-        .withColumn("share_pct", F.bround(F.col("n") / F.col("total") * 100.0, 2))
+        .withColumn("share_pct", half_even(F.col("n") / F.col("total") * 100.0, 2))
     )
 
 
@@ -164,7 +165,7 @@ def market_record(tx: DataFrame, area: str = "area") -> DataFrame:
     return (
         null_safe_join(tx.groupBy(area).agg(*aggs), med, [area], "left")
         .withColumn("median_price", F.col("__m").cast("bigint"))
-        .withColumn("liquidity_score", F.least(F.lit(10.0), F.bround(F.col("transactions_count") / 10.0, 1)))
+        .withColumn("liquidity_score", F.least(F.lit(10.0), half_even(F.col("transactions_count") / 10.0, 1)))
         .drop("__m", "__n")
     )
 
@@ -243,7 +244,7 @@ def field_fill_rates(df: DataFrame, required: Mapping[str, Column], category: st
         .agg(_n().alias("total"), _n(full).alias("fully")).orderBy(F.col("total").desc(), "scope").limit(top)
     )
     whole = df.agg(F.lit("all").alias("scope"), _n().alias("total"), _n(full & F.col(category).isNotNull()).alias("fully"))
-    return whole.unionByName(per).withColumn("pct", F.bround(F.try_divide(F.col("fully") * 100.0, F.col("total")), 2))
+    return whole.unionByName(per).withColumn("pct", half_even(F.try_divide(F.col("fully") * 100.0, F.col("total")), 2))
 
 
 def regression_flag(current: Column, previous: Column, drop: float = 2.0, slight: float = 0.5) -> Column:
@@ -285,8 +286,8 @@ def price_stability(df: DataFrame, keys: Sequence[str], date: str, value: str, s
     return (
         quarters.groupBy(*keys).agg(_n().alias("quarters"), F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
         .filter((F.col("quarters") >= min_quarters) & (F.col("mu") > 0))
-        .withColumn("stability_pct", F.bround(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.col("sd") / F.col("mu") * 100.0)), 2))
-        .withColumn("avg_value", F.bround("mu", 2))
+        .withColumn("stability_pct", half_even(F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.col("sd") / F.col("mu") * 100.0)), 2))
+        .withColumn("avg_value", half_even("mu", 2))
         .drop("mu", "sd")
     )
 

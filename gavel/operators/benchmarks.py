@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavel.functions.exprs import half_even
 from gavel.functions import lexicon as lx
 from gavel.functions.coerce import SQFT_PER_SQM, rooms_label
 from gavel.functions.scale import group_percentiles, null_safe_join
@@ -145,8 +146,8 @@ def price_imputation(
     wants = F.col("price").isNull() | F.col("size_sqft").isNull()
     return (
         joined.withColumn("was_filled", wants & F.col("comps").isNotNull())
-        .withColumn("price", F.coalesce("price", F.bround(F.col("__pm") * discount).cast("bigint")))
-        .withColumn("size_sqft", F.coalesce("size_sqft", F.bround("__sm", 1)))
+        .withColumn("price", F.coalesce("price", half_even(F.col("__pm") * discount).cast("bigint")))
+        .withColumn("size_sqft", F.coalesce("size_sqft", half_even("__sm", 1)))
         .drop("__b", "__r", "__pm", "__sm", "comps")
     )
 
@@ -175,14 +176,14 @@ def deal_quality(df: DataFrame) -> DataFrame:
     d = lx.DEFAULT_MARKET
     price = F.nullif(F.col("price"), F.lit(0.0))
     mkt_sqft, rent1, growth = (F.coalesce(c, F.lit(d[k])) for c, k in (("mkt_sqft", "sqft"), ("mkt_rent_1br", "rent_1br"), ("mkt_growth", "growth")))
-    disc = F.when(F.col("original_price") > price, F.bround((F.col("original_price") - price) / F.col("original_price") * 100.0, 1))
+    disc = F.when(F.col("original_price") > price, half_even((F.col("original_price") - price) / F.col("original_price") * 100.0, 1))
     from_disc = F.when(disc >= 12, "very_good").when(disc >= 7, "good").when(disc >= 3, "interesting")
     vs_bld = F.when(
         (F.coalesce("deal_type", F.lit("sale")) == "sale") & (F.col("sale_median") > 0) & (F.col("sale_count") >= 5),
-        F.bround((price - F.col("sale_median")) / F.col("sale_median") * 100.0, 1))
+        half_even((price - F.col("sale_median")) / F.col("sale_median") * 100.0, 1))
     vs_bld = F.when(vs_bld.between(-90, 500), vs_bld)
     value = F.when(F.col("size_sqft") > 0, F.floor(F.col("size_sqft") * mkt_sqft))
-    vs_area = F.when(vs_bld.isNull() & (value > 0), F.bround((price - value) / value * 100.0, 1))
+    vs_area = F.when(vs_bld.isNull() & (value > 0), half_even((price - value) / value * 100.0, 1))
     vs = F.coalesce(vs_bld, vs_area)
     strong = F.coalesce((vs_bld <= -15) | (vs_area <= -12), F.lit(False)) | F.coalesce(vs_bld <= -15, F.lit(False)) | F.coalesce(vs_area <= -12, F.lit(False))
     mild = F.coalesce(vs_bld <= -8, F.lit(False)) | F.coalesce(vs_area <= -7, F.lit(False))
@@ -192,7 +193,7 @@ def deal_quality(df: DataFrame) -> DataFrame:
     br = F.coalesce(F.nullif(F.col("bedrooms"), F.lit(0)), F.lit(1))
     mult = F.when(br >= 4, m["4br+"]).when(br == 3, m["3br"]).when(br == 2, m["2br"]).otherwise(m["1br"])
     rent = F.when((F.col("rent_median") > 0) & (F.coalesce("rent_count", F.lit(0)) >= 3), F.col("rent_median").cast("bigint")).otherwise((rent1 * mult).cast("bigint"))
-    roi = F.bround(rent / price * 100.0, 1)
+    roi = half_even(rent / price * 100.0, 1)
     score = (
         F.lit(5.0) + F.when(roi >= 8, 2).when(roi >= 6, 1).otherwise(0) + F.when(growth >= 7, 1.5).when(growth >= 5, 0.5).otherwise(0)
         + F.when(strong | mild, 1).otherwise(0) + F.when(hot, 0.5).otherwise(0)
@@ -209,7 +210,7 @@ def deal_quality(df: DataFrame) -> DataFrame:
         F.when(known, roi).alias("roi_estimate"),
         F.when(known, (rent * 1.15).cast("bigint")).alias("short_let_low"),
         F.when(known, (rent * 1.35).cast("bigint")).alias("short_let_high"),
-        F.when(known, F.least(F.bround(score, 1), F.lit(10.0))).alias("quality_score"),
+        F.when(known, F.least(half_even(score, 1), F.lit(10.0))).alias("quality_score"),
     )
 
 
@@ -226,7 +227,7 @@ def confidence(df: DataFrame) -> DataFrame:
         + F.when(F.col("bedrooms").isNotNull(), 0.05).otherwise(0.0)
         + F.when(nz("size_sqft"), 0.05).otherwise(0.0)
     )
-    score = F.bround(F.least(raw, F.lit(1.0)), 2)
+    score = half_even(F.least(raw, F.lit(1.0)), 2)
     reasons = F.array_compact(F.array(
         F.when(~has("emirate"), "emirate not detected"), F.when(~has("area"), "area not detected"), F.when(~nz("price"), "price not found")))
     return df.select("*", score.alias("confidence"), ((score < 0.70) | (F.size(reasons) > 0)).alias("needs_review"),

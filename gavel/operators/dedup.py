@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.functions.exprs import half_even
 from gavel.functions.scale import gap_sessions, null_safe_join, split_lag, top_n
 from gavel.functions.similarity import trigram_pairs
 from gavel.session import cut_lineage
@@ -358,7 +359,7 @@ def price_history_diff(history: DataFrame, key: str, ts: str, tie: str) -> DataF
     changed = lagged.filter((F.col("price") != 0) & (F.col("old_price") != 0) & (F.col("price") != F.col("old_price")))
     drop = F.col("old_price") - F.col("price")
     return changed.withColumn("discount_amount", F.abs(drop)).withColumn(
-        "discount_percent", F.abs(F.bround(drop / F.col("old_price") * 100.0, 1))).withColumn("price_drop_detected", drop > 0)
+        "discount_percent", F.abs(half_even(drop / F.col("old_price") * 100.0, 1))).withColumn("price_drop_detected", drop > 0)
 
 
 def near_dup_merge(facts: DataFrame, threshold: float = 0.60) -> tuple[DataFrame, DataFrame]:

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavel.functions.exprs import bind, half_even
 from gavel.functions import text_rules as tr
 from gavel.functions.scale import best_per_key
 from gavel.functions.similarity import fuzzy_pairs
@@ -137,14 +138,17 @@ def rent_period(text: Column | str, price: Column | None = None) -> Column:
 
 def bedrooms(text: Column | str) -> Column:
     """Numbers first, then number words, studio (0), Arabic forms; 0..15."""
-    low = F.lower(first_block(text))
-    words = F.coalesce(*[F.when(low.rlike(rf"\b{w}\s+(?:bedroom|bed|br|bhk|b/r)s?\b"), F.lit(n)) for w, n in tr.BEDROOM_WORDS.items()])
-    return F.coalesce(
-        _number(low, tr.BEDROOM_NUMBERS, 0, 15), words, F.when(low.rlike(WIDE + tr.STUDIO), F.lit(0)), _number(low, tr.ARABIC_BEDROOMS, 0, 15, WIDE), F.when(low.rlike(r"غرفتين|غرفتان"), F.lit(2)))
+
+    def read(low: Column) -> Column:
+        words = F.coalesce(*[F.when(low.rlike(rf"\b{w}\s+(?:bedroom|bed|br|bhk|b/r)s?\b"), F.lit(n)) for w, n in tr.BEDROOM_WORDS.items()])
+        arabic = F.coalesce(_number(low, tr.ARABIC_BEDROOMS, 0, 15, WIDE), F.when(low.rlike(r"غرفتين|غرفتان"), F.lit(2)))
+        return F.coalesce(_number(low, tr.BEDROOM_NUMBERS, 0, 15), words, F.when(low.rlike(WIDE + tr.STUDIO), F.lit(0)), arabic)
+
+    return bind(F.lower(first_block(text)), read)
 
 
 def bathrooms(text: Column | str) -> Column:
-    return _number(first_block(text), tr.BATHROOMS, 1, 20)
+    return bind(first_block(text), lambda t: _number(t, tr.BATHROOMS, 1, 20))
 
 
 def furnishing(text: Column | str) -> Column:
@@ -159,26 +163,41 @@ def view(text: Column | str) -> Column:
 def floor(text: Column | str) -> Column:
     """struct(floor, category): a number wins (low < 5, mid < 20, high), else wording."""
     low = F.lower(F.regexp_replace(F.coalesce(_c(text), F.lit("")), r"[*_~`]+", " "))
-    n = _number(low, tr.FLOOR_NUMBERS, 1, 199, "(?uU)")
-    word = _label(low, tr.FLOOR_WORDS)
-    by_number = F.when(n >= 20, "high").when(n >= 5, "mid").when(n.isNotNull(), "low")
-    return F.struct(
-        F.coalesce(n, F.when(word == "ground", F.lit(0))).alias("floor"), F.coalesce(by_number, F.when(word == "ground", "low").otherwise(word)).alias("category"))
+
+    def read(x: Column) -> Column:
+        n, word = x["n"], x["word"]
+        by_number = F.when(n >= 20, "high").when(n >= 5, "mid").when(n.isNotNull(), "low")
+        return F.struct(
+            F.coalesce(n, F.when(word == "ground", F.lit(0))).alias("floor"), F.coalesce(by_number, F.when(word == "ground", "low").otherwise(word)).alias("category"))
+
+    found = bind(low, lambda t: F.struct(_number(t, tr.FLOOR_NUMBERS, 1, 199, "(?uU)").alias("n"), _label(t, tr.FLOOR_WORDS).alias("word")))
+    return bind(found, read)
 
 
 def handover(text: Column | str) -> Column:
     """struct(year, quarter, label) such as 'Q3 2026', '2027' or 'ready'."""
     low = F.lower(F.coalesce(_c(text), F.lit("")))
-    grab = lambda p, g: F.regexp_extract(low, p, g).try_cast("int")
-    ok = lambda y: F.when(y.between(2020, 2099), y)
-    y1, y2 = ok(grab(tr.QUARTER_YEAR, 2)), ok(grab(tr.YEAR_QUARTER, 1))
-    plain = F.coalesce(ok(grab(WIDE + tr.HANDOVER_YEAR, 1)), ok(grab(tr.OFFPLAN_YEAR, 1)))
-    quarter = F.when(y1.isNotNull(), grab(tr.QUARTER_YEAR, 1)).when(y2.isNotNull(), grab(tr.YEAR_QUARTER, 2))
-    year = F.coalesce(y1, y2, plain)
-    label = (
-        F.when(quarter.isNotNull(), F.concat(F.lit("Q"), quarter.cast("string"), F.lit(" "), year.cast("string")))
-        .when(year.isNotNull(), year.cast("string")).when(low.rlike(WIDE + tr.READY), "ready"))
-    return F.struct(year.alias("year"), quarter.alias("quarter"), label.alias("label"))
+
+    def scan(t: Column) -> Column:
+        grab = lambda p, g: F.regexp_extract(t, p, g).try_cast("int")
+        return F.struct(
+            grab(tr.QUARTER_YEAR, 2).alias("y1"), grab(tr.QUARTER_YEAR, 1).alias("q1"), grab(tr.YEAR_QUARTER, 1).alias("y2"), grab(tr.YEAR_QUARTER, 2).alias("q2"),
+            grab(WIDE + tr.HANDOVER_YEAR, 1).alias("y3"), grab(tr.OFFPLAN_YEAR, 1).alias("y4"), t.rlike(WIDE + tr.READY).alias("ready"))
+
+    def settle(x: Column) -> Column:
+        ok = lambda y: y.between(2020, 2099)
+        quarter = F.when(ok(x["y1"]), x["q1"]).when(ok(x["y2"]), x["q2"])
+        year = F.coalesce(*[F.when(ok(x[y]), x[y]) for y in ("y1", "y2", "y3", "y4")])
+        return F.struct(year.alias("year"), quarter.alias("quarter"), x["ready"].alias("ready"))
+
+    def name(x: Column) -> Column:
+        year, quarter = x["year"], x["quarter"]
+        label = (
+            F.when(quarter.isNotNull(), F.concat(F.lit("Q"), quarter.cast("string"), F.lit(" "), year.cast("string")))
+            .when(year.isNotNull(), year.cast("string")).when(x["ready"], "ready"))
+        return F.struct(year.alias("year"), quarter.alias("quarter"), label.alias("label"))
+
+    return bind(bind(bind(low, scan), settle), name)
 
 
 def off_plan(text: Column | str) -> Column:
@@ -191,30 +210,39 @@ def contacts(text: Column | str) -> Column:
     """struct(phone, agent_name): the first local number as +971…"""
     t = F.coalesce(_c(text), F.lit(""))
     digits = F.nullif(F.regexp_replace(F.regexp_extract(t, tr.LOCAL_PHONE, 1), r"[\s\-]", ""), F.lit(""))
-    phone = F.when(F.startswith(digits, F.lit("+")), digits).otherwise(F.concat(F.lit("+971"), F.regexp_replace(digits, "^0+", "")))
+    phone = F.concat(F.lit("+971"), F.regexp_replace(digits, r"^(?:\+971|0+)", ""))
     return F.struct(phone.alias("phone"), F.nullif(F.regexp_extract(t, tr.AGENT_NAME, 1), F.lit("")).alias("agent_name"))
 
 
-def plain_number(col: Column) -> Column:
-    """Number text → double. One comma with one or two digits after it is a decimal comma, other
-    commas and blanks are thousands, '1.234,56' is European."""
-    s = F.regexp_replace(col, r"\s", "")
-    european = s.rlike(r"^[^,]*\.[^,]*,[^,.]*$")
-    decimal = s.rlike(r"^[^,.]*,\d{1,2}$")
-    flat = F.when(european, F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).when(decimal, F.replace(s, F.lit(","), F.lit("."))).otherwise(F.replace(s, F.lit(","), F.lit("")))
-    return flat.try_cast("double")
+def plain_numbers(raws: Column) -> Column:
+    """Array of number texts → doubles. One comma with one or two digits after it is a decimal
+    comma, other commas and blanks are thousands, '1.234,56' is European."""
+    tight = F.transform(raws, lambda x: F.regexp_replace(x, r"\s", ""))
+
+    def plain(s: Column) -> Column:
+        none = F.lit("")
+        european = F.replace(F.replace(s, F.lit("."), none), F.lit(","), F.lit("."))
+        return (
+            F.when(s.rlike(r"^[^,]*\.[^,]*,[^,.]*$"), european).when(s.rlike(r"^[^,.]*,\d{1,2}$"), F.replace(s, F.lit(","), F.lit("."))).otherwise(F.replace(s, F.lit(","), none))
+        ).try_cast("double")
+
+    return F.transform(tight, plain)
 
 
 def sizes(text: Column | str, sqm_factor: float = 10.764) -> Column:
     """struct(size_sqft, bua_sqft, plot_sqft) of the first block, metres converted."""
-    t = first_block(text)
-    num = lambda p: plain_number(F.regexp_extract(t, p, 1))
-    feet = lambda p: F.when(num(p).between(200, 100_000), num(p))
-    metres = lambda p: F.when(num(p).between(5, 10_000), F.bround(num(p) * sqm_factor, 1))
-    bua = F.coalesce(feet(tr.BUA_SQFT), metres(tr.BUA_SQM))
-    plot = F.coalesce(feet(tr.PLOT_SQFT), metres(tr.PLOT_SQM))
-    size = F.coalesce(*[metres(p) for p in tr.SQM_LABELLED], *[feet(p) for p in tr.SQFT_LABELLED], *[feet(p) for p in tr.SQFT_BARE], *[metres(p) for p in tr.SQM_BARE], bua)
-    return F.struct(size.alias("size_sqft"), bua.alias("bua_sqft"), plot.alias("plot_sqft"))
+    order = [
+        ("bua", False, tr.BUA_SQFT), ("bua", True, tr.BUA_SQM), ("plot", False, tr.PLOT_SQFT), ("plot", True, tr.PLOT_SQM), *[("size", True, p) for p in tr.SQM_LABELLED],
+        *[("size", False, p) for p in tr.SQFT_LABELLED], *[("size", False, p) for p in tr.SQFT_BARE], *[("size", True, p) for p in tr.SQM_BARE],
+    ]
+    numbers = bind(first_block(text), lambda t: plain_numbers(F.array(*[F.regexp_extract(t, p, 1) for _, _, p in order])))
+
+    def read(v: Column) -> Column:
+        feet = [F.when(v[i].between(5, 10_000), half_even(v[i] * sqm_factor, 1)) if metric else F.when(v[i].between(200, 100_000), v[i]) for i, (_, metric, _) in enumerate(order)]
+        pick = lambda kind: F.coalesce(*[f for f, (k, _, _) in zip(feet, order) if k == kind])
+        return F.struct(F.coalesce(pick("size"), pick("bua")).alias("size_sqft"), pick("bua").alias("bua_sqft"), pick("plot").alias("plot_sqft"))
+
+    return bind(numbers, read)
 
 
 def property_type(text: Column | str, rooms: Column | None = None) -> Column:
@@ -224,6 +252,11 @@ def property_type(text: Column | str, rooms: Column | None = None) -> Column:
     low = F.lower(F.coalesce(block, F.lit("")))
     head = reduce(lambda t, p: F.regexp_replace(t, p, " "), tr.VIEW_PHRASES, low)
     br = rooms if rooms is not None else F.lit(None).cast("int")
+    return bind(F.struct(low.alias("low"), head.alias("head"), br.alias("br")), _type_of)
+
+
+def _type_of(x: Column) -> Column:
+    low, head, br = x["low"], x["head"], x["br"]
     measured = low.rlike(tr.BUILT_AREA) & low.rlike(tr.PLOT_AREA)
     house_word = head.rlike(r"\b(?:villa|townhouse|penthouse)\b")
     villa = head.rlike(WIDE + tr.VILLA) & ~head.rlike("(?U)" + tr.HOME_BEFORE_VILLA) & ~head.rlike(tr.HOME_IN_VILLA_PROJECT)
@@ -474,7 +507,7 @@ def pattern_eval(samples: DataFrame, others: DataFrame, text: str, rules: Sequen
 
     good = samples.agg(F.count(N).alias("n"), *[F.count_if((hit(r) != "") & value_sanity(r.field, hit(r))).alias(f"h{i}") for i, r in enumerate(rules)])
     bad = others.agg(F.count(N).alias("n"), *[F.count_if(false_hit(r)).alias(f"f{i}") for i, r in enumerate(rules)])
-    rows = lambda df, p, name: df.select(F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), F.bround(F.coalesce(F.try_divide(F.col(f"{p}{i}").cast("double"), F.col("n").cast("double")), F.lit(0.0)), 3).alias(name)) for i, r in enumerate(rules)])).alias("x")).select("x.*")
+    rows = lambda df, p, name: df.select(F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), half_even(F.coalesce(F.try_divide(F.col(f"{p}{i}").cast("double"), F.col("n").cast("double")), F.lit(0.0)), 3).alias(name)) for i, r in enumerate(rules)])).alias("x")).select("x.*")
     both = rows(good, "h", "match_rate").join(rows(bad, "f", "fp_rate"), "rule")
     return both.withColumn("is_valid", (F.col("match_rate") >= 0.5) & (F.col("fp_rate") <= 0.05))
 

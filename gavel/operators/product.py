@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavel.functions.exprs import half_even
 from gavel.functions.scale import group_percentiles, null_safe_join
 from gavel.operators.aggregates import rate_pct, small_set
 from gavel.operators.dedup import streak
@@ -41,7 +42,7 @@ def funnel(events: DataFrame, keys: Sequence[str], steps: Sequence[str]) -> Data
     wide = per.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("event_type") == s, F.col("users"))), F.lit(0)).alias(f"__{i}") for i, s in enumerate(steps)])
     rows = F.array(*[F.struct(F.lit(i + 1).alias("position"), F.lit(s).alias("step"), F.col(f"__{i}").alias("users")) for i, s in enumerate(steps)])
     return wide.select(*keys, F.col("__0").alias("__top"), F.explode(rows).alias("r")).select(
-        *keys, "r.*", F.coalesce(F.bround(F.try_divide(F.col("r.users") * 100.0, F.col("__top")), 2), F.lit(0.0)).alias("pct_of_top"))
+        *keys, "r.*", F.coalesce(half_even(F.try_divide(F.col("r.users") * 100.0, F.col("__top")), 2), F.lit(0.0)).alias("pct_of_top"))
 
 
 def time_to_first_action(events: DataFrame, start: str, follow: str, within: str = "1 HOUR") -> DataFrame:
@@ -79,7 +80,7 @@ def compare_variants(metric: DataFrame, a: str, b: str, keys: Sequence[str] = ()
     """(B − A)/|A| in percent from rows (variant, value, samples); NULL when A is zero."""
     side = lambda v, c: F.max(F.when(F.col("variant") == v, F.col(c)))
     wide = metric.groupBy(*keys).agg(side(a, "value").alias("value_a"), side(b, "value").alias("value_b"), side(a, "samples").alias("samples_a"), side(b, "samples").alias("samples_b"))
-    return wide.withColumn("delta_pct", F.when(F.col("value_a") != 0, F.bround((F.col("value_b") - F.col("value_a")) / F.abs("value_a") * 100.0, 2)))
+    return wide.withColumn("delta_pct", F.when(F.col("value_a") != 0, half_even((F.col("value_b") - F.col("value_a")) / F.abs("value_a") * 100.0, 2)))
 
 
 LOWER_IS_BETTER = ["error_rate", "time_to_first_action"]
@@ -235,16 +236,16 @@ def quota_usage(calls: DataFrame, limits: DataFrame, as_of: Column, window_minut
     top = F.aggregate(options, F.struct(F.lit(None).cast("double").alias("pct"), F.lit(None).cast("string").alias("basis")),
                       lambda a, x: F.when(a["pct"].isNull() | (x["pct"] > a["pct"]), x).otherwise(a))
     return limits.join(used, "provider", "left").select(
-        "provider", req.alias("requests"), tok.alias("tokens_total"), F.bround(req / (window_minutes * 1.0), 3).alias("rpm_used"),
+        "provider", req.alias("requests"), tok.alias("tokens_total"), half_even(req / (window_minutes * 1.0), 3).alias("rpm_used"),
         F.coalesce(F.try_divide(F.col("__ok").cast("double"), F.col("requests").cast("double")), F.lit(1.0)).alias("success_rate"),
-        F.coalesce(F.bround(top["pct"] * 100.0, 2), F.lit(0.0)).alias("pct_to_limit"), top["basis"].alias("limit_basis"))
+        F.coalesce(half_even(top["pct"] * 100.0, 2), F.lit(0.0)).alias("pct_to_limit"), top["basis"].alias("limit_basis"))
 
 
 def lead_metrics(leads: DataFrame, as_of: Column) -> DataFrame:
     """Leads in the last day and week, daily average, and the silent-day alert."""
     c = F.col("created_at")
     out = leads.agg(F.count_if(c > as_of - F.expr("INTERVAL 24 HOURS")).alias("leads_24h"), F.count_if(c > as_of - F.expr("INTERVAL 7 DAYS")).alias("leads_7d"))
-    return out.withColumn("avg_7d", F.bround(F.col("leads_7d") / 7.0, 2)).withColumn("is_silent", (F.col("leads_24h") == 0) & (F.col("leads_7d") / 7.0 >= 1))
+    return out.withColumn("avg_7d", half_even(F.col("leads_7d") / 7.0, 2)).withColumn("is_silent", (F.col("leads_24h") == 0) & (F.col("leads_7d") / 7.0 >= 1))
 
 
 def top_by_leads(leads: DataFrame, listings: DataFrame, key: str, n: int) -> DataFrame:
@@ -262,10 +263,10 @@ def audit_scorecard(verdicts: DataFrame, min_confidence: int = 60) -> DataFrame:
     """
     sure = F.coalesce(F.col("confidence") >= min_confidence, F.lit(False))
     right = sum((F.when(F.col(f"{f}_ok"), 1).otherwise(0) for f in AUDIT_FIELDS), F.lit(0)) >= 4
-    share = lambda f: F.bround(F.try_divide(F.count_if(sure & F.col(f"{f}_ok")) * 100.0, F.count_if(sure & F.col(f"{f}_ok").isNotNull())), 2)
+    share = lambda f: half_even(F.try_divide(F.count_if(sure & F.col(f"{f}_ok")) * 100.0, F.count_if(sure & F.col(f"{f}_ok").isNotNull())), 2)
     ok, total = F.count_if(sure & right), F.count_if(sure)
     out = verdicts.agg(
-        ok.alias("ok"), (total - ok).alias("bug"), F.count_if(~sure).alias("unable"), F.bround(F.try_divide(ok * 100.0, total), 2).alias("overall_pct"), *[share(f).alias(f"{f}_pct") for f in AUDIT_FIELDS])
+        ok.alias("ok"), (total - ok).alias("bug"), F.count_if(~sure).alias("unable"), half_even(F.try_divide(ok * 100.0, total), 2).alias("overall_pct"), *[share(f).alias(f"{f}_pct") for f in AUDIT_FIELDS])
     known = F.array_compact(F.array(*[F.col(f"{f}_pct") for f in AUDIT_FIELDS]))
     avg = F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(known), F.lit(0))
-    return out.withColumn("avg_field_pct", F.bround(avg, 2))
+    return out.withColumn("avg_field_pct", half_even(avg, 2))

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gavel.functions.exprs import half_even
 from gavel.functions import lexicon as lx
 from gavel.functions.scale import group_percentiles, score_rank
 from gavel.operators.aggregates import price_stability, two_bucket_pivot
@@ -47,14 +48,14 @@ def rank_areas_resale(tx: DataFrame, as_of: str, min_deals: int = 30) -> DataFra
     ).filter(F.col("deal_volume_12mo") >= min_deals)
     m = raw.select(
         "area", "deal_volume_12mo",
-        F.when(F.col("then") > 0, F.bround((F.col("now") - F.col("then")) / F.col("then") * 100.0, 2)).alias("price_growth_12mo_pct"),
-        F.bround("now", 2).alias("avg_psf"),
-        F.bround(F.col("__v3") / F.col("deal_volume_12mo") * 100.0, 2).alias("liquidity_score"),
+        F.when(F.col("then") > 0, half_even((F.col("now") - F.col("then")) / F.col("then") * 100.0, 2)).alias("price_growth_12mo_pct"),
+        half_even("now", 2).alias("avg_psf"),
+        half_even(F.col("__v3") / F.col("deal_volume_12mo") * 100.0, 2).alias("liquidity_score"),
     )
     m, top = _with_maxima(m, {"price_growth_12mo_pct": 10.0, "deal_volume_12mo": 1.0, "liquidity_score": 1.0})
     growth = _clamp(_share(F.col("price_growth_12mo_pct"), top["price_growth_12mo_pct"]), 0.0, 100.0)
     score = growth * 0.40 + _share(F.col("deal_volume_12mo"), top["deal_volume_12mo"]) * 0.30 + _share(F.col("liquidity_score"), top["liquidity_score"]) * 0.30
-    return score_rank(m.withColumn("score", F.bround(score, 2)), "score", [F.col("area")])
+    return score_rank(m.withColumn("score", half_even(score, 2)), "score", [F.col("area")])
 
 
 def rank_areas_rental(tx: DataFrame, as_of: str, min_contracts: int = 30) -> DataFrame:
@@ -71,15 +72,15 @@ def rank_areas_rental(tx: DataFrame, as_of: str, min_contracts: int = 30) -> Dat
     ).filter((F.col("deal_volume_12mo") >= min_contracts) & (F.col("sale_price") > 0))
     m = raw.select(
         "area", "deal_volume_12mo",
-        F.bround(F.col("now") / F.col("sale_price") * 100.0, 2).alias("rental_yield_pct"),
-        F.bround("now", 0).alias("avg_rent_annual"),
-        F.bround(F.col("__v3") / F.col("deal_volume_12mo") * 100.0, 2).alias("vacancy_score"),
-        F.when(F.col("then") > 0, F.bround((F.col("now") - F.col("then")) / F.col("then") * 100.0, 2)).alias("rent_growth_pct"),
+        half_even(F.col("now") / F.col("sale_price") * 100.0, 2).alias("rental_yield_pct"),
+        half_even("now", 0).alias("avg_rent_annual"),
+        half_even(F.col("__v3") / F.col("deal_volume_12mo") * 100.0, 2).alias("vacancy_score"),
+        F.when(F.col("then") > 0, half_even((F.col("now") - F.col("then")) / F.col("then") * 100.0, 2)).alias("rent_growth_pct"),
     )
     m, top = _with_maxima(m, {"rental_yield_pct": 3.0, "vacancy_score": 1.0, "rent_growth_pct": 5.0})
     growth = _share(F.greatest(F.lit(0.0), F.coalesce("rent_growth_pct", F.lit(0.0))), top["rent_growth_pct"])
     score = _share(F.col("rental_yield_pct"), top["rental_yield_pct"]) * 0.60 + _share(F.col("vacancy_score"), top["vacancy_score"]) * 0.20 + growth * 0.20
-    return score_rank(m.withColumn("score", F.bround(score, 2)), "score", [F.col("area")])
+    return score_rank(m.withColumn("score", half_even(score, 2)), "score", [F.col("area")])
 
 
 LIVING_WEIGHTS = {"schools": 0.25, "safety": 0.20, "amenities": 0.15, "family": 0.20, "walk": 0.10}
@@ -89,7 +90,7 @@ def rank_areas_living(curated: DataFrame, tx: DataFrame, as_of: str) -> DataFram
     """Curated 0–10 scores ×10 and price stability ×.10. ``curated``: area and the score columns."""
     stab = price_stability(tx, ["area"], "deal_date", "psf", _month_back(as_of, 24)).select("area", "stability_pct")
     blend = sum((F.coalesce(F.col(k), F.lit(0)) * 10 * w for k, w in LIVING_WEIGHTS.items()), F.lit(0.0)) + F.coalesce("stability_pct", F.lit(0.0)) * 0.10
-    return score_rank(curated.join(stab, "area", "left").withColumn("score", F.bround(blend, 2)), "score", [F.col("area")])
+    return score_rank(curated.join(stab, "area", "left").withColumn("score", half_even(blend, 2)), "score", [F.col("area")])
 
 
 def area_topn(ranking: DataFrame, n: int) -> DataFrame:
@@ -106,21 +107,21 @@ def investment_metrics(df: DataFrame, premium_areas: Sequence[str] = ()) -> Data
     br, mkt = F.col("bedrooms"), F.nullif(F.col("mkt_sqft"), F.lit(0.0))
     is_sale, is_rent = F.col("deal_type") == "sale", (F.col("deal_type") == "rent") & (price > 10000)
     listing_psf = F.when((price > 0) & (size > 100), price / size)
-    vs_market = F.bround((listing_psf - mkt) / mkt * 100.0, 1)
+    vs_market = half_even((listing_psf - mkt) / mkt * 100.0, 1)
     rent1 = F.nullif(F.col("mkt_rent_1br"), F.lit(0.0))
     mult = F.when(br.isNull() | (br == 0), 0.7).when(br == 1, 1.0).when(br == 2, 1.6).when(br == 3, 2.3).when(br == 4, 3.0).when(br == 5, 4.0).otherwise(2.0)
     bld = F.nullif(F.col("bld_sale_psf"), F.lit(0.0))
     est_sale = F.when(size > 0, F.coalesce(bld, mkt, F.lit(1500.0)) * size).otherwise(price * 12)
     yearly = F.when(is_rent, price.cast("bigint")).when(is_sale, (F.coalesce(rent1, F.lit(80000.0)) * mult).cast("bigint")).otherwise((price * lx.DEFAULT_ROI / 100).cast("bigint"))
     raw_roi = F.when(is_rent, price / est_sale * 100.0).when(is_sale & (price > 0), yearly / price * 100.0).otherwise(F.lit(lx.DEFAULT_ROI))
-    rounded = F.when(is_rent | is_sale, F.bround(raw_roi, 1)).otherwise(F.lit(lx.DEFAULT_ROI))
+    rounded = F.when(is_rent | is_sale, half_even(raw_roi, 1)).otherwise(F.lit(lx.DEFAULT_ROI))
     roi = _clamp(rounded, 0.0, 25.0)
     roi_default = F.when(is_rent, bld.isNull() & mkt.isNull()).when(is_sale, rent1.isNull() | (price == 0)).otherwise(F.lit(True))
     growth = _clamp(F.coalesce(F.col("mkt_growth").cast("double"), F.lit(lx.DEFAULT_GROWTH)), 1.0, 20.0)
     five = F.pow(1 + growth / 100, F.lit(5))
     priced_sale = is_sale & (price > 0)
-    gain5 = F.when(priced_sale, F.bround((five - 1) * 100.0, 1)).otherwise(0.0)
-    total5 = F.bround(gain5 + roi * 5, 1)
+    gain5 = F.when(priced_sale, half_even((five - 1) * 100.0, 1)).otherwise(0.0)
+    total5 = half_even(gain5 + roi * 5, 1)
     bank = ((1 + lx.BANK_DEPOSIT_RATE / 100) ** 5 - 1) * 100
     defaults = roi_default | F.col("mkt_growth").isNull()
     premium = F.lit(False)
@@ -140,10 +141,10 @@ def investment_metrics(df: DataFrame, premium_areas: Sequence[str] = ()) -> Data
         .when((roi >= 8) & (risk <= 5) & ~defaults, "STRONG_BUY").when(roi >= 6, "BUY").when(roi >= 4, "HOLD").otherwise("AVOID")
     )
     return df.select(
-        "*", roi.alias("roi"), F.bround(growth, 1).alias("growth_pct"), yearly.alias("yearly_rent"),
-        F.when(roi > 0, F.bround(100.0 / roi, 1)).otherwise(99.0).alias("payback_years"),
+        "*", roi.alias("roi"), half_even(growth, 1).alias("growth_pct"), yearly.alias("yearly_rent"),
+        F.when(roi > 0, half_even(100.0 / roi, 1)).otherwise(99.0).alias("payback_years"),
         F.when(priced_sale, (price * five).cast("bigint")).otherwise(0).alias("value_in_5y"), gain5.alias("capital_gain_5y_pct"), total5.alias("total_return_5y_pct"),
-        F.bround(total5 - bank, 1).alias("vs_bank_pp"), risk.alias("risk_score"), verdict.alias("recommendation"), source.alias("data_source"), vs_market.alias("psf_vs_market_pct"),
+        half_even(total5 - bank, 1).alias("vs_bank_pp"), risk.alias("risk_score"), verdict.alias("recommendation"), source.alias("data_source"), vs_market.alias("psf_vs_market_pct"),
     )
 
 
@@ -163,8 +164,8 @@ def investment_score(df: DataFrame) -> DataFrame:
         0.5 * completion + 0.3 * _clamp(F.coalesce("building_deals", F.lit(0)) / 200.0) + 0.2 * _clamp(F.coalesce("area_deals", F.lit(0)) / 100.0))
     total = 25.0 * price_f + 25.0 * growth_f + 25.0 * yield_f + 25.0 * risk_f
     return df.select(
-        "*", F.bround(25.0 * price_f, 1).alias("price_pts"), F.bround(25.0 * growth_f, 1).alias("growth_pts"), F.bround(25.0 * yield_f, 1).alias("yield_pts"),
-        F.bround(25.0 * risk_f, 1).alias("risk_pts"), F.bround(total, 1).alias("score"), bands(total, RATING_BANDS, "D").alias("rating"))
+        "*", half_even(25.0 * price_f, 1).alias("price_pts"), half_even(25.0 * growth_f, 1).alias("growth_pts"), half_even(25.0 * yield_f, 1).alias("yield_pts"),
+        half_even(25.0 * risk_f, 1).alias("risk_pts"), half_even(total, 1).alias("score"), bands(total, RATING_BANDS, "D").alias("rating"))
 
 
 def week_over_week_growth(
@@ -213,7 +214,7 @@ def liquidity_tier(listings: DataFrame, deals: DataFrame, as_of: str, deals_12m:
     rate = F.col(deals_12m) / 12.0 if deals_12m else F.lit(None).cast("double")
     tier = F.when(days.isNotNull(), tier_by_days(days)).when(rate > 0, tier_by_rate(rate)).otherwise("C")
     source = F.when(days.isNotNull(), F.when(F.col("__bs").isNotNull(), "building").otherwise("area")).when(rate > 0, "deal_rate").otherwise("unknown")
-    return j.select(*listings.columns, tier.alias("tier"), source.alias("tier_source"), F.bround(days, 1).alias("avg_days_between"))
+    return j.select(*listings.columns, tier.alias("tier"), source.alias("tier_source"), half_even(days, 1).alias("avg_days_between"))
 
 
 def health_score(df: DataFrame, penalties: Mapping[str, int]) -> DataFrame:

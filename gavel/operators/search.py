@@ -9,6 +9,7 @@ from pyspark.ml.feature import IDF, HashingTF
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.functions.exprs import bind
 from gavel.functions.scale import best_per_key, top_n
 from gavel.functions.similarity import containment_pairs, fuzzy_pairs, trigram_pairs
 
@@ -120,10 +121,13 @@ def vector_topk(queries: DataFrame, items: DataFrame, k: int, metric: str = "cos
 def hash_embedding(docs: DataFrame, text: str, doc_id: str, dim: int = 256, n: int = 3) -> DataFrame:
     """L2-normalised counts of hashed character n-grams of the whole lower-cased text, long form
     (id, dim, weight). The hash is taken from MD5, so vectors are the same on every engine."""
-    low = F.lower(F.coalesce(F.col(text), F.lit("")))
-    last = F.length(low) - n + 1
-    grams = F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(low, i, F.lit(n))))
-    each = docs.select(doc_id, F.explode(grams).alias("g")).groupBy(doc_id, "g").agg(F.count(N).alias("c"))
+
+    def grams(low: Column) -> Column:
+        last = F.length(low) - n + 1
+        return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(low, i, F.lit(n))))
+
+    cut = bind(F.lower(F.coalesce(F.col(text), F.lit(""))), grams)
+    each = docs.select(doc_id, F.explode(cut).alias("g")).groupBy(doc_id, "g").agg(F.count(N).alias("c"))
     bucket = F.pmod(F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
     counts = each.groupBy(doc_id, bucket.alias("dim")).agg(F.sum("c").cast("double").alias("c"))
     norms = counts.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.functions.exprs import half_even
 from gavel.functions.scale import group_percentiles, null_safe_join
 from gavel.operators.joins import next_quarter
 from gavel.operators.scores import supply_tier
@@ -117,7 +118,7 @@ def price_forecast(series: DataFrame, keys: Sequence[str], day: str, value: str,
     widen = F.when(F.col("n") < 3, 0.15).otherwise(0.15 + 0.10 * (F.col("step") - 1) / max(months_ahead - 1, 1))
     return (
         steps.withColumn("point", point).withColumn("lower", F.col("point") * (1 - widen)).withColumn("upper", F.col("point") * (1 + widen))
-        .select(*keys, "step", "point", "lower", "upper", F.bround("rmse_pct", 1).alias("rmse_pct"), "confidence"))
+        .select(*keys, "step", "point", "lower", "upper", half_even("rmse_pct", 1).alias("rmse_pct"), "confidence"))
 
 
 def mape_backtest(series: DataFrame, keys: Sequence[str], ts: str, value: str, min_points: int = 40) -> DataFrame:
@@ -153,8 +154,8 @@ def what_if(forecast: DataFrame, scenarios: DataFrame, key: str) -> DataFrame:
     j = forecast.join(scenarios, key).withColumn("shift_pct", scenario_shift(F.col("scenario")))
     mult = 1.0 + F.col("shift_pct") / 100.0
     return j.select(
-        key, "scenario", F.bround("shift_pct", 2).alias("shift_pct"), "step", "ds", F.bround(F.col("yhat") * mult, 2).alias("yhat"),
-        F.bround(F.col("yhat_lower") * mult, 2).alias("yhat_lower"), F.bround(F.col("yhat_upper") * mult, 2).alias("yhat_upper"))
+        key, "scenario", half_even("shift_pct", 2).alias("shift_pct"), "step", "ds", half_even(F.col("yhat") * mult, 2).alias("yhat"),
+        half_even(F.col("yhat_lower") * mult, 2).alias("yhat_lower"), half_even(F.col("yhat_upper") * mult, 2).alias("yhat_upper"))
 
 
 def forecast_change(forecast: DataFrame, keys: Sequence[str]) -> DataFrame:

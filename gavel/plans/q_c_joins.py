@@ -162,10 +162,10 @@ def q_consecutive_day(spark, d):
 
 
 @query("next_period_self_join", f"""WITH {TX}, q AS (SELECT area, CAST(date_trunc('quarter', deal_date) AS DATE) AS q, avg(price) AS a FROM tx WHERE deal_type = 'sale' GROUP BY ALL)
-SELECT x.area, strftime(x.q, '%Y-%m-%d') AS quarter, round(x.a, 4) AS avg_now, round(y.a, 4) AS avg_next FROM q x JOIN q y ON x.area = y.area AND y.q = x.q + INTERVAL 3 MONTHS""")
+SELECT x.area, strftime(x.q, '%Y-%m-%d') AS quarter, round(x.a, 8) AS avg_now, round(y.a, 8) AS avg_next FROM q x JOIN q y ON x.area = y.area AND y.q = x.q + INTERVAL 3 MONTHS""")
 def q_next_period(spark, d):
     out = jn.next_quarter(transactions(spark, d).filter(F.col("deal_type") == "sale"), ["area"], "deal_date", "price")
-    return out.select("area", F.date_format("quarter", "yyyy-MM-dd").alias("quarter"), F.round("avg_now", 4).alias("avg_now"), F.round("avg_next", 4).alias("avg_next"))
+    return out.select("area", F.date_format("quarter", "yyyy-MM-dd").alias("quarter"), F.round("avg_now", 8).alias("avg_now"), F.round("avg_next", 8).alias("avg_next"))
 
 
 @query("substring_lookup", """
