@@ -63,19 +63,18 @@ def group_percentiles(
     4. only buckets that hold a wanted rank are ordered, and the two neighbours of every
        rank are read off. The sketch decides the balance of the work, not the result.
     """
-    if not keys:
-        whole = group_percentiles(df.withColumn("__all", F.lit(1)), ["__all"], value, probs, count_name, buckets)
-        return whole.drop("__all")
     keys = list(keys)
     vals = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(
         F.count(F.lit(1)).alias("__c")
     )
     cuts = [i / buckets for i in range(1, buckets)]
-    sketch = vals.groupBy(*keys).agg(
-        F.array_distinct(F.percentile_approx("__v", cuts, 1000)).alias("__cuts"),
-        F.sum("__c").alias("__total"),
-    )
-    bucketed = null_safe_join(vals, sketch, keys).withColumn("__pb", F.size(F.filter("__cuts", lambda s: s < F.col("__v")))).drop("__cuts")
+    split_points, size = F.array_distinct(F.percentile_approx("__v", cuts, 1000)), F.sum("__c")
+    if keys:
+        sketch = vals.groupBy(*keys).agg(split_points.alias("__cuts"), size.alias("__total"))
+        sketched = null_safe_join(vals, sketch, keys)
+    else:
+        sketched = vals.withColumn("__cuts", vals.agg(split_points).scalar()).withColumn("__total", vals.agg(size).scalar())
+    bucketed = sketched.withColumn("__pb", F.size(F.filter("__cuts", lambda s: s < F.col("__v")))).drop("__cuts")
 
     over_buckets = Window.partitionBy(*keys).orderBy("__pb").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from gavel.functions.exprs import bind
 
@@ -127,7 +128,7 @@ def char_bag(col: Column | str) -> Column:
         F.array_sort(F.split(c, "")), lambda chars: F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 2).cast("string"))))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def lcs_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """100 · 2·LCS/(|a|+|b|): share of characters kept when only inserting and deleting."""
 

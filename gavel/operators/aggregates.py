@@ -11,11 +11,10 @@ from pyspark.sql import functions as F
 from gavel.functions.exprs import half_even
 from gavel.functions.scale import best_per_key, group_percentiles, null_safe_join
 
-N = F.lit(1)
 
 
 def _n(cond: Column | None = None) -> Column:
-    return F.count(N) if cond is None else F.count_if(cond)
+    return F.count("*") if cond is None else F.count_if(cond)
 
 
 def rate_pct(ok: Column, total: Column, digits: int = 1) -> Column:
@@ -255,7 +254,7 @@ def regression_flag(current: Column, previous: Column, drop: float = 2.0, slight
 
 def source_quality_score(df: DataFrame, source: str, since: Column) -> DataFrame:
     """Composite quality per source: .4 confidence + .25 building + .25 price − .3 review share."""
-    total = F.count(N)
+    total = F.count("*")
     out = df.filter(F.col("created_at") > since).groupBy(source).agg(
         total.alias("total"),
         F.avg("confidence_score").alias("avg_conf"),

@@ -15,7 +15,6 @@ from gavel.functions.scale import best_per_key
 from gavel.functions.similarity import fuzzy_pairs
 from gavel.operators.aggregates import mode_value
 
-N = F.lit(1)
 WIDE = "(?iuU)"
 
 
@@ -505,8 +504,8 @@ def pattern_eval(samples: DataFrame, others: DataFrame, text: str, rules: Sequen
         near = _words(around, [w.lower() for w in words]) if words else F.lit(False)
         return (whole != "") & (~value_sanity(r.field, hit(r)) | near)
 
-    good = samples.agg(F.count(N).alias("n"), *[F.count_if((hit(r) != "") & value_sanity(r.field, hit(r))).alias(f"h{i}") for i, r in enumerate(rules)])
-    bad = others.agg(F.count(N).alias("n"), *[F.count_if(false_hit(r)).alias(f"f{i}") for i, r in enumerate(rules)])
+    good = samples.agg(F.count("*").alias("n"), *[F.count_if((hit(r) != "") & value_sanity(r.field, hit(r))).alias(f"h{i}") for i, r in enumerate(rules)])
+    bad = others.agg(F.count("*").alias("n"), *[F.count_if(false_hit(r)).alias(f"f{i}") for i, r in enumerate(rules)])
     rows = lambda df, p, name: df.select(F.explode(F.array(*[F.struct(F.lit(r.name).alias("rule"), half_even(F.coalesce(F.try_divide(F.col(f"{p}{i}").cast("double"), F.col("n").cast("double")), F.lit(0.0)), 3).alias(name)) for i, r in enumerate(rules)])).alias("x")).select("x.*")
     both = rows(good, "h", "match_rate").join(rows(bad, "f", "fp_rate"), "rule")
     return both.withColumn("is_valid", (F.col("match_rate") >= 0.5) & (F.col("fp_rate") <= 0.05))
@@ -517,6 +516,6 @@ def rebuild_dictionary(registry: DataFrame, own: DataFrame, min_own: int = 2) ->
     name building and area together at least ``min_own`` times."""
     key = F.lower(F.trim("building"))
     reg = mode_value(registry.withColumn("key", key).filter(F.col("key") != ""), ["key"], "area").withColumn("source", F.lit("registry"))
-    pairs = own.withColumn("key", key).filter((F.col("key") != "") & F.col("area").isNotNull()).groupBy("key", "area").agg(F.count(N).alias("n")).filter(F.col("n") >= min_own)
+    pairs = own.withColumn("key", key).filter((F.col("key") != "") & F.col("area").isNotNull()).groupBy("key", "area").agg(F.count("*").alias("n")).filter(F.col("n") >= min_own)
     best = pairs.groupBy("key").agg(F.min_by("area", F.struct(-F.col("n"), F.col("area"))).alias("area"), F.sum("n").alias("deals")).withColumn("source", F.lit("own"))
     return reg.unionByName(best.join(reg.select("key"), "key", "left_anti")).withColumn("name", F.initcap("key"))

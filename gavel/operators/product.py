@@ -13,14 +13,13 @@ from gavel.operators.aggregates import rate_pct, small_set
 from gavel.operators.dedup import streak
 from gavel.operators.joins import active_next_day, first_follow
 
-N = F.lit(1)
 
 
 def health_daily(interactions: DataFrame, since: Column | None = None) -> DataFrame:
     """Per bot and day: counts, users, success share, latency percentiles."""
     rows = (interactions if since is None else interactions.filter(F.col("ts") > since)).withColumn("day", F.to_date("ts"))
     keys = ["bot_name", "day"]
-    n = F.count(N)
+    n = F.count("*")
     base = rows.groupBy(*keys).agg(
         n.alias("total"), F.count_distinct("user_id").alias("users"), F.count_if(F.col("outcome") == "success").alias("successes"),
         F.count_if(F.col("outcome") == "empty").alias("empties"), F.count_if(F.col("outcome") == "error").alias("errors"),
@@ -30,7 +29,7 @@ def health_daily(interactions: DataFrame, since: Column | None = None) -> DataFr
 
 
 def feedback_summary(feedback: DataFrame, keys: Sequence[str]) -> DataFrame:
-    up, n = F.count_if(F.col("rating") == 1), F.count(N)
+    up, n = F.count_if(F.col("rating") == 1), F.count("*")
     return feedback.groupBy(*keys).agg(
         n.alias("total"), up.alias("positive"), F.count_if(F.col("rating") == -1).alias("negative"), F.count_if(F.col("rating") == 0).alias("neutral"), rate_pct(up, n).alias("satisfaction_pct"))
 
@@ -54,18 +53,18 @@ def time_to_first_action(events: DataFrame, start: str, follow: str, within: str
 
 def actions_per_session(events: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Average number of events per user and day."""
-    days = events.groupBy(*keys, "user_id", F.to_date("ts").alias("d")).agg(F.count(N).alias("c"))
-    return days.groupBy(*keys).agg(F.avg("c").alias("value"), F.count(N).alias("samples"))
+    days = events.groupBy(*keys, "user_id", F.to_date("ts").alias("d")).agg(F.count("*").alias("c"))
+    return days.groupBy(*keys).agg(F.avg("c").alias("value"), F.count("*").alias("samples"))
 
 
 def error_rate(events: DataFrame, error: str, keys: Sequence[str] = ()) -> DataFrame:
-    return events.groupBy(*keys).agg((F.count_if(F.col("event_type") == error) / F.count(N)).alias("value"), F.count(N).alias("samples"))
+    return events.groupBy(*keys).agg((F.count_if(F.col("event_type") == error) / F.count("*")).alias("value"), F.count("*").alias("samples"))
 
 
 def completion_rate(events: DataFrame, start: str, done: str, keys: Sequence[str] = ()) -> DataFrame:
     """Share of users with ``start`` who also have ``done`` (any order)."""
     users = events.groupBy(*keys, "user_id").agg(F.bool_or(F.col("event_type") == start).alias("s"), F.bool_or(F.col("event_type") == done).alias("e"))
-    s = users.filter("s").groupBy(*keys).agg((F.count_if("e") / F.count(N)).alias("value"), F.count(N).alias("samples"))
+    s = users.filter("s").groupBy(*keys).agg((F.count_if("e") / F.count("*")).alias("value"), F.count("*").alias("samples"))
     return s
 
 
@@ -73,7 +72,7 @@ def return_rate(events: DataFrame) -> DataFrame:
     """Users who were active on some day and again on the next, over all users."""
     back = active_next_day(events, "user_id", F.to_date("ts")).select("user_id").distinct().withColumn("r", F.lit(1))
     users = events.select("user_id").distinct().join(back, "user_id", "left")
-    return users.agg((F.count("r") / F.count(N)).alias("value"), F.count(N).alias("samples"))
+    return users.agg((F.count("r") / F.count("*")).alias("value"), F.count("*").alias("samples"))
 
 
 def compare_variants(metric: DataFrame, a: str, b: str, keys: Sequence[str] = ()) -> DataFrame:
@@ -142,7 +141,7 @@ def experiment_decision(
     """
     age = lambda c: F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(c.cast("timestamp"))) / 8.64e10)
     head = results.groupBy("experiment_id").agg(
-        F.count(N).alias("variants"), F.min("variant").alias("__first"), F.collect_set("variant").alias("__names"), F.min("assigned").alias("min_assigned"), F.max("last_event").alias("last_event"))
+        F.count("*").alias("variants"), F.min("variant").alias("__first"), F.collect_set("variant").alias("__names"), F.min("assigned").alias("min_assigned"), F.max("last_event").alias("last_event"))
     e = experiments.join(head, "experiment_id").withColumn(
         "control", F.when(F.array_contains("__names", F.col("default_variant")), F.col("default_variant")).otherwise(F.col("__first"))).drop("__names", "__first")
     rate = F.coalesce(F.try_divide(F.col("primary_succ").cast("double"), F.col("assigned").cast("double")), F.lit(0.0))
@@ -205,7 +204,7 @@ def issue_clusters(interactions: DataFrame, feedback: DataFrame, since: Column,
     bad = feedback.filter((F.col("rating") == -1) & (F.col("ts") >= since)).select(F.col("interaction_id").alias("id"), F.col("user_id").alias("fu"), F.col("bot_name").alias("fb"))
     neg = interactions.join(bad, "id").select(F.lit("bad_responses").alias("issue_type"), msg.alias("cluster_key"), F.col("fu").alias("user_id"), F.col("fb").alias("bot_name"))
     rows = empty.unionByName(error).unionByName(slow).unionByName(neg).filter(F.col("cluster_key").isNotNull())
-    g = rows.groupBy("issue_type", "cluster_key").agg(F.count_distinct("user_id").alias("affected"), F.count(N).alias("samples"), F.min("bot_name").alias("bot_name")).filter(F.col("affected") >= min_users)
+    g = rows.groupBy("issue_type", "cluster_key").agg(F.count_distinct("user_id").alias("affected"), F.count("*").alias("samples"), F.min("bot_name").alias("bot_name")).filter(F.col("affected") >= min_users)
     bad_kind = F.col("issue_type") == "bad_responses"
     return g.withColumn(
         "severity",
@@ -217,7 +216,7 @@ def empty_query_mining(interactions: DataFrame, known: DataFrame, since: Column,
     """Repeated queries without answer that no known alias covers, most frequent first."""
     q = F.lower(F.trim("user_message"))
     rows = interactions.filter((F.col("outcome") == "empty") & (F.col("ts") >= since) & F.length("user_message").between(3, 80)).withColumn("q", q)
-    counts = rows.groupBy("q").agg(F.count(N).alias("n")).filter(F.col("n") >= min_count).join(known.select(F.col("key").alias("q")).distinct(), "q", "left_anti")
+    counts = rows.groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).join(known.select(F.col("key").alias("q")).distinct(), "q", "left_anti")
     return counts.join(small_set(rows, ["q"], "bot_name", "bots"), "q").orderBy(F.col("n").desc(), "q").limit(limit)
 
 
@@ -228,7 +227,7 @@ def quota_usage(calls: DataFrame, limits: DataFrame, as_of: Column, window_minut
     """
     since = as_of - F.expr(f"INTERVAL {window_minutes} MINUTES")
     used = calls.filter((F.col("called_at") >= since) & (F.col("called_at") <= as_of)).groupBy("provider").agg(
-        F.count(N).alias("requests"), F.sum("tokens").alias("tokens_total"), F.count_if("success").alias("__ok"))
+        F.count("*").alias("requests"), F.sum("tokens").alias("tokens_total"), F.count_if("success").alias("__ok"))
     minutes, days = max(window_minutes, 1.0), max(window_minutes / 1440.0, 1.0 / 24.0)
     req, tok = F.coalesce("requests", F.lit(0)), F.coalesce("tokens_total", F.lit(0))
     cap = lambda value, limit, span: F.when(F.col(limit) > 0, F.struct((value / (F.col(limit) * F.lit(span))).alias("pct"), F.lit(limit).alias("basis")))
@@ -250,7 +249,7 @@ def lead_metrics(leads: DataFrame, as_of: Column) -> DataFrame:
 
 def top_by_leads(leads: DataFrame, listings: DataFrame, key: str, n: int) -> DataFrame:
     j = leads.join(listings.select(F.col("id").alias("listing_id"), key), "listing_id")
-    return j.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(N).alias("leads")).orderBy(F.col("leads").desc(), key).limit(n)
+    return j.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("leads")).orderBy(F.col("leads").desc(), key).limit(n)
 
 
 AUDIT_FIELDS = ("area", "building", "type", "deal", "price")

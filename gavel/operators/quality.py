@@ -13,7 +13,6 @@ from gavel.functions.coerce import date_format_class
 from gavel.operators.dedup import missing
 from gavel.operators.joins import substring_lookup
 
-N = F.lit(1)
 
 
 @dataclass(frozen=True)
@@ -34,7 +33,7 @@ def contract_check(df: DataFrame, table: str, rules: Mapping[str, ColumnRule], m
     schema: list[tuple[str, str, str, str]] = []
     aggs: list[Column] = []
     measured: list[tuple[str, str, Column, Column]] = []
-    total = F.count(N)
+    total = F.count("*")
     for name, rule in rules.items():
         if name not in actual:
             schema.append((name, "missing_column", rule.criticality, ""))
@@ -56,12 +55,12 @@ def contract_check(df: DataFrame, table: str, rules: Mapping[str, ColumnRule], m
 
 
 def date_format_profile(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(date_format_class(col).alias("format")).agg(F.count(N).alias("n"))
+    return df.groupBy(date_format_class(col).alias("format")).agg(F.count("*").alias("n"))
 
 
 def expectations(checks: Mapping[str, tuple[DataFrame, int]]) -> DataFrame:
     """One row per named check: counted rows, the minimum, and whether it holds."""
-    rows = [df.agg(F.lit(name).alias("check"), F.count(N).alias("n"), F.lit(low).alias("expect_min")) for name, (df, low) in checks.items()]
+    rows = [df.agg(F.lit(name).alias("check"), F.count("*").alias("n"), F.lit(low).alias("expect_min")) for name, (df, low) in checks.items()]
     return reduce(DataFrame.unionByName, rows).withColumn("ok", F.col("n") >= F.col("expect_min"))
 
 
@@ -112,7 +111,7 @@ def retry_queue(staging: DataFrame, as_of: Column, limit: int, max_attempts: int
 def log_signature_dedup(log: DataFrame) -> DataFrame:
     """Errors by SHA-256 of 'file:line:class' with counts and first and last sight."""
     sig = F.sha2(F.concat_ws(":", "file_path", F.col("line_no").cast("string"), "exc_class"), 256)
-    return log.groupBy(sig.alias("signature")).agg(F.count(N).alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
+    return log.groupBy(sig.alias("signature")).agg(F.count("*").alias("n"), F.min("ts").alias("first_seen"), F.max("ts").alias("last_seen"))
 
 
 def audit_flags(listings: DataFrame, medians: DataFrame) -> DataFrame:
@@ -152,7 +151,7 @@ def audit_flags(listings: DataFrame, medians: DataFrame) -> DataFrame:
 def audit_reason_counts(flagged: DataFrame) -> DataFrame:
     """Counts by the first two words of every reason."""
     r = flagged.filter(F.col("audit_reason").isNotNull()).select(F.explode(F.split("audit_reason", "; ")).alias("r"))
-    return r.groupBy(F.substring_index("r", "_", 2).alias("reason")).agg(F.count(N).alias("n"))
+    return r.groupBy(F.substring_index("r", "_", 2).alias("reason")).agg(F.count("*").alias("n"))
 
 
 # Building texts that are no buildings.

@@ -14,7 +14,6 @@ from gavel.operators.aggregates import price_stability, two_bucket_pivot
 from gavel.operators.benchmarks import bands
 from gavel.operators.dedup import deal_gaps
 
-N = F.lit(1)
 
 
 def _month_back(as_of: str, months: int) -> Column:

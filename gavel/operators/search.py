@@ -13,7 +13,6 @@ from gavel.functions.exprs import bind
 from gavel.functions.scale import best_per_key, top_n
 from gavel.functions.similarity import containment_pairs, fuzzy_pairs, trigram_pairs
 
-N = F.lit(1)
 
 
 def search_text(col: Column | str) -> Column:
@@ -127,7 +126,7 @@ def hash_embedding(docs: DataFrame, text: str, doc_id: str, dim: int = 256, n: i
         return F.when(last > 0, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substring(low, i, F.lit(n))))
 
     cut = bind(F.lower(F.coalesce(F.col(text), F.lit(""))), grams)
-    each = docs.select(doc_id, F.explode(cut).alias("g")).groupBy(doc_id, "g").agg(F.count(N).alias("c"))
+    each = docs.select(doc_id, F.explode(cut).alias("g")).groupBy(doc_id, "g").agg(F.count("*").alias("c"))
     bucket = F.pmod(F.conv(F.substring(F.md5("g"), 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
     counts = each.groupBy(doc_id, bucket.alias("dim")).agg(F.sum("c").cast("double").alias("c"))
     norms = counts.groupBy(doc_id).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("norm"))
@@ -163,7 +162,7 @@ def ranked_facts(facts: DataFrame, limit: int, min_confidence: float = 0.3, blen
 
 def uncovered_names(deals: DataFrame, name: str, aliases: DataFrame, alias: str, min_deals: int) -> DataFrame:
     """Frequent names that no alias equals, contains or is contained in."""
-    busy = deals.filter(F.trim(name) != "").groupBy(name).agg(F.count(N).alias("deals")).filter(F.col("deals") >= min_deals).withColumn("low", F.lower(F.trim(name)))
+    busy = deals.filter(F.trim(name) != "").groupBy(name).agg(F.count("*").alias("deals")).filter(F.col("deals") >= min_deals).withColumn("low", F.lower(F.trim(name)))
     keys = aliases.select(F.lower(F.trim(alias)).alias("k"))
     inside = containment_pairs(keys, "k", busy, "low").select(F.col("text").alias("low"))
     around = containment_pairs(busy, "low", keys, "k").select(F.col("needle").alias("low"))

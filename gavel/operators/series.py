@@ -14,15 +14,14 @@ from gavel.functions.scale import group_percentiles, null_safe_join
 from gavel.operators.joins import next_quarter
 from gavel.operators.scores import supply_tier
 
-N = F.lit(1)
 
 
 def weekly_series(df: DataFrame, keys: Sequence[str], day: str, psf: str, created: str | None = None, band: tuple[float, float] = (100, 20000)) -> DataFrame:
     """Week → median psf, supply and (with ``created``) a demand proxy: rows created at most 30
     days before the message date, or later."""
     rows = df.filter(F.col(day).isNotNull() & F.col(psf).between(*band)).withColumn("week", F.to_date(F.date_trunc("week", day)))
-    demand = F.count(N) if created is None else F.count_if(F.col(created) >= F.date_sub(F.to_date(day), 30))
-    base = rows.groupBy(*keys, "week").agg(F.count(N).alias("supply"), demand.alias("demand"))
+    demand = F.count("*") if created is None else F.count_if(F.col(created) >= F.date_sub(F.to_date(day), 30))
+    base = rows.groupBy(*keys, "week").agg(F.count("*").alias("supply"), demand.alias("demand"))
     med = group_percentiles(rows, [*keys, "week"], psf, {"median_psf": 0.5}, "__n").drop("__n")
     return null_safe_join(base, med, [*keys, "week"])
 
@@ -35,7 +34,7 @@ def entity_graph(listings: DataFrame, developers: DataFrame, weekly_area: DataFr
     """
     supplies = weekly_area.filter(F.col("supply") > 0).groupBy("area").agg(F.array_sort(F.collect_list("supply")).alias("s"))
     tier = supplies.select("area", supply_tier(F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1)).alias("tier"))
-    stats = [F.count(N).alias("listings_total"), F.avg(F.when(F.col("psf") > 0, F.col("psf"))).alias("avg_psf")]
+    stats = [F.count("*").alias("listings_total"), F.avg(F.when(F.col("psf") > 0, F.col("psf"))).alias("avg_psf")]
     areas = listings.filter(F.col("area") != "").groupBy("area").agg(*stats).orderBy(F.col("listings_total").desc(), "area").limit(top_areas)
     buildings = (
         listings.filter(F.col("building") != "").groupBy("building", "area").agg(*stats)
@@ -63,7 +62,7 @@ def ols_trend(series: DataFrame, keys: Sequence[str], day: str, value: str, min_
     """Per key: slope per day, intercept at the first day, rmse, residual std, last point."""
     keys = list(keys)
     rows = series.filter(F.col(value).isNotNull())
-    first = rows.groupBy(*keys).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count(N).alias("points"), F.max_by(value, day).alias("last_value"))
+    first = rows.groupBy(*keys).agg(F.min(day).alias("first_day"), F.max(day).alias("last_day"), F.count("*").alias("points"), F.max_by(value, day).alias("last_value"))
     xy = null_safe_join(rows, first.filter((F.col("points") >= min_points) & (F.col("last_day") > F.col("first_day"))), keys).withColumn("__x", F.datediff(day, "first_day").cast("double"))
     fit = xy.groupBy(*keys).agg(F.regr_slope(value, "__x").alias("slope"), F.regr_intercept(value, "__x").alias("intercept"))
     resid = null_safe_join(xy, fit, keys).withColumn("__r", F.col(value) - (F.col("intercept") + F.col("slope") * F.col("__x")))
@@ -86,7 +85,7 @@ def naive_forecast(series: DataFrame, keys: Sequence[str], day: str, value: str,
     w = Window.partitionBy(*keys).orderBy(F.col(day).desc())
     recent = series.filter(F.col(value).isNotNull()).withColumn("__back", F.row_number().over(w)).filter(F.col("__back") <= last_n)
     fit = recent.groupBy(*keys).agg(
-        F.count(N).alias("points"), F.max(day).alias("last_day"), F.regr_slope(value, -F.col("__back")).alias("slope"), F.regr_intercept(value, -F.col("__back")).alias("at0")).filter(F.col("points") >= 2)
+        F.count("*").alias("points"), F.max(day).alias("last_day"), F.regr_slope(value, -F.col("__back")).alias("slope"), F.regr_intercept(value, -F.col("__back")).alias("at0")).filter(F.col("points") >= 2)
     out = fit.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(horizon))))
     yhat = F.col("at0") + F.col("slope") * (F.col("step") - 1)
     return out.withColumn("ds", F.date_add("last_day", F.col("step") * 30)).withColumn("yhat", yhat).withColumn("yhat_lower", F.col("yhat") * 0.9).withColumn("yhat_upper", F.col("yhat") * 1.1).drop("slope", "at0")
@@ -94,7 +93,7 @@ def naive_forecast(series: DataFrame, keys: Sequence[str], day: str, value: str,
 
 def _positions(series: DataFrame, keys: list[str], day: str) -> DataFrame:
     w = Window.partitionBy(*keys)
-    return series.withColumn("__i", F.row_number().over(w.orderBy(day)) - 1).withColumn("__n", F.count(N).over(w))
+    return series.withColumn("__i", F.row_number().over(w.orderBy(day)) - 1).withColumn("__n", F.count("*").over(w))
 
 
 def price_forecast(series: DataFrame, keys: Sequence[str], day: str, value: str, months_ahead: int) -> DataFrame:
@@ -182,7 +181,7 @@ def empty_rate_anomaly(interactions: DataFrame, as_of: str, lookback_days: int =
     """Bots whose empty-answer rate today exceeds mean + σ of the days before."""
     today = F.lit(as_of).cast("date")
     window = interactions.filter((F.col("ts") > F.date_sub(today, lookback_days).cast("timestamp_ntz")) & (F.to_date("ts") <= today))
-    daily = window.groupBy("bot_name", F.to_date("ts").alias("d")).agg((F.count_if(F.col("outcome") == "empty") / F.count(N)).alias("er"))
+    daily = window.groupBy("bot_name", F.to_date("ts").alias("d")).agg((F.count_if(F.col("outcome") == "empty") / F.count("*")).alias("er"))
     stats = daily.filter(F.col("d") < today).groupBy("bot_name").agg(F.avg("er").alias("mu"), F.stddev_pop("er").alias("sd"))
     pct = lambda c: F.round(F.col(c) * 100.0, 1)
     return (
@@ -317,10 +316,10 @@ def counterfactual(study: DataFrame, scenarios: DataFrame, treatment: str, outco
 def wave_hit_rate(tx: DataFrame, wave: Column, min_wave: int, drop: float = 0.97) -> DataFrame:
     """How often an area's quarter with a deal wave was followed by a clearly lower price."""
     q = F.to_date(F.date_trunc("quarter", "deal_date"))
-    waves = tx.filter(wave).groupBy("area", q.alias("quarter")).agg(F.count(N).alias("n")).filter(F.col("n") > min_wave)
+    waves = tx.filter(wave).groupBy("area", q.alias("quarter")).agg(F.count("*").alias("n")).filter(F.col("n") > min_wave)
     nxt = next_quarter(tx, ["area"], "deal_date", "price")
     hits = null_safe_join(waves, nxt, ["area", "quarter"])
-    return hits.agg(F.avg(F.when(F.col("avg_next") < F.col("avg_now") * drop, 1.0).otherwise(0.0)).alias("hit_rate"), F.count(N).alias("n_obs"))
+    return hits.agg(F.avg(F.when(F.col("avg_next") < F.col("avg_now") * drop, 1.0).otherwise(0.0)).alias("hit_rate"), F.count("*").alias("n_obs"))
 
 
 def season_hit_rate(tx: DataFrame, date: str, ratio: float = 0.85) -> DataFrame:
@@ -328,7 +327,7 @@ def season_hit_rate(tx: DataFrame, date: str, ratio: float = 0.85) -> DataFrame:
     month = F.month(date)
     years = tx.groupBy(F.year(date).alias("y")).agg(F.count_if(month.between(6, 8)).alias("summer"), F.count_if(month.between(3, 5)).alias("spring"))
     both = years.filter((F.col("summer") > 0) & (F.col("spring") > 0))
-    return both.agg(F.avg(F.when(F.col("summer") < F.col("spring") * ratio, 1.0).otherwise(0.0)).alias("hit_rate"), F.count(N).alias("n_obs"))
+    return both.agg(F.avg(F.when(F.col("summer") < F.col("spring") * ratio, 1.0).otherwise(0.0)).alias("hit_rate"), F.count("*").alias("n_obs"))
 
 
 def ema_confidence(confidence: Column, hit_rate: Column, alpha: float = 0.25) -> Column:

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gavel.operators import product as pr
 from gavel.plans.registry import query
-from gavel.plans.roles import INTERACTIONS, LISTINGS, interactions, listings
+from gavel.plans.roles import BOTS, INTERACTIONS, LISTINGS, interactions, listings
 from gavel.sources.tables import load_table, ts
 
 _PCT = ", ".join(f"round(quantile_cont(latency_ms, {p}), 4) AS {n}" for n, p in (("p50_ms", 0.5), ("p95_ms", 0.95), ("p99_ms", 0.99)))
@@ -90,28 +90,28 @@ def q_assign(spark, d):
     return variants(spark, d).select("user_id", "variant").distinct()
 
 
-_DELTA = """m AS (SELECT CAST(ts AS DATE) AS day, 'error_rate' AS metric, variant, count(*) FILTER (WHERE event_type = 'error') / count(*) AS value, count(*) AS samples FROM ev GROUP BY ALL),
-w AS (SELECT day, metric, max(value) FILTER (WHERE variant = 'A') AS value_a, max(value) FILTER (WHERE variant = 'B') AS value_b, max(samples) FILTER (WHERE variant = 'A') AS samples_a, max(samples) FILTER (WHERE variant = 'B') AS samples_b FROM m GROUP BY ALL),
+_DELTA = """m AS (SELECT ['resale', 'analytics', 'roi', 'hub'][CAST(json_extract_string(props, '$.k') AS INT) % 4 + 1] AS feature, CAST(ts AS DATE) AS day, 'error_rate' AS metric, variant, count(*) FILTER (WHERE event_type = 'error') / count(*) AS value, count(*) AS samples FROM ev GROUP BY ALL),
+w AS (SELECT feature, day, metric, max(value) FILTER (WHERE variant = 'A') AS value_a, max(value) FILTER (WHERE variant = 'B') AS value_b, max(samples) FILTER (WHERE variant = 'A') AS samples_a, max(samples) FILTER (WHERE variant = 'B') AS samples_b FROM m GROUP BY ALL),
 dl AS (SELECT *, CASE WHEN value_a <> 0 THEN round_even((value_b - value_a) / abs(value_a) * 100.0::DOUBLE, 2) END AS delta_pct FROM w)"""
 
 
 def daily_delta(spark, d):
-    e = variants(spark, d).withColumn("day", F.to_date("ts")).withColumn("metric", F.lit("error_rate"))
-    return pr.compare_variants(pr.error_rate(e, "error", ["day", "metric", "variant"]), "A", "B", ["day", "metric"])
+    bot = F.element_at(F.array(*[F.lit(b) for b in BOTS]), F.pmod(F.get_json_object("props", "$.k").cast("int"), F.lit(4)) + 1)
+    e = variants(spark, d).withColumn("feature", bot).withColumn("day", F.to_date("ts")).withColumn("metric", F.lit("error_rate"))
+    return pr.compare_variants(pr.error_rate(e, "error", ["feature", "day", "metric", "variant"]), "A", "B", ["feature", "day", "metric"])
 
 
-@query("compare_variants", f"""WITH {_VARIANT}, {_DELTA} SELECT strftime(day, '%Y-%m-%d') AS day, delta_pct, samples_a, samples_b FROM dl""")
+@query("compare_variants", f"""WITH {_VARIANT}, {_DELTA} SELECT feature, strftime(day, '%Y-%m-%d') AS day, delta_pct, samples_a, samples_b FROM dl""")
 def q_compare_variants(spark, d):
-    return daily_delta(spark, d).select(F.date_format("day", "yyyy-MM-dd").alias("day"), "delta_pct", "samples_a", "samples_b")
+    return daily_delta(spark, d).select("feature", F.date_format("day", "yyyy-MM-dd").alias("day"), "delta_pct", "samples_a", "samples_b")
 
 
 @query("rollback_decision", f"""WITH {_VARIANT}, {_DELTA}, j AS (SELECT *, CASE WHEN delta_pct IS NULL OR samples_a < 5 OR samples_b < 5 THEN 'inconclusive' WHEN delta_pct >= 5 THEN 'bad' ELSE 'ok' END AS dec FROM dl),
-r AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY day DESC) AS rn, sum(CASE WHEN dec <> 'bad' THEN 1 ELSE 0 END) OVER (PARTITION BY metric ORDER BY day DESC) AS br FROM j),
-s AS (SELECT metric, count(*) FILTER (WHERE br = 0) AS st FROM r GROUP BY metric)
-SELECT 'ui' AS feature, r.metric, strftime(day, '%Y-%m-%d') AS day, delta_pct, st AS consecutive_bad, CASE WHEN dec = 'bad' AND st >= 2 THEN 'rollback' ELSE dec END AS decision FROM r JOIN s ON r.metric = s.metric WHERE rn = 1""")
+r AS (SELECT *, row_number() OVER (PARTITION BY feature, metric ORDER BY day DESC) AS rn, sum(CASE WHEN dec <> 'bad' THEN 1 ELSE 0 END) OVER (PARTITION BY feature, metric ORDER BY day DESC) AS br FROM j),
+s AS (SELECT feature, metric, count(*) FILTER (WHERE br = 0) AS st FROM r GROUP BY feature, metric)
+SELECT r.feature, r.metric, strftime(day, '%Y-%m-%d') AS day, delta_pct, st AS consecutive_bad, CASE WHEN dec = 'bad' AND st >= 2 THEN 'rollback' ELSE dec END AS decision FROM r JOIN s ON r.metric = s.metric AND r.feature = s.feature WHERE rn = 1""")
 def q_rollback(spark, d):
-    daily = daily_delta(spark, d).withColumn("feature", F.lit("ui"))
-    return pr.rollback_decision(daily, 5, 5.0, 2).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return pr.rollback_decision(daily_delta(spark, d), 5, 5.0, 2).withColumn("day", F.date_format("day", "yyyy-MM-dd"))
 
 
 _EXP = """asg AS (SELECT DISTINCT 1 + user_id % 3 AS experiment_id, user_id, variant FROM ev), outc AS (SELECT 1 + user_id % 3 AS experiment_id, user_id, variant, event_type AS outcome_type, ts FROM ev WHERE NOT (user_id % 3 = 2 AND ts > TIMESTAMP '2024-01-12') AND NOT (user_id % 3 = 1 AND variant = 'B' AND ts > TIMESTAMP '2024-01-03')),

@@ -18,7 +18,6 @@ from gavel.operators.aggregates import rate_pct
 from gavel.operators.joins import rule_match
 from gavel.session import run_dir
 
-N = F.lit(1)
 
 
 def event_bus(events: DataFrame, event_types: Sequence[str], event_id: str = "id", ts: str = "ts", horizon: str = "24 hours") -> DataFrame:
@@ -30,7 +29,7 @@ def event_bus(events: DataFrame, event_types: Sequence[str], event_id: str = "id
 def health_windows(interactions: DataFrame, window: str = "1 day", lateness: str = "1 day") -> DataFrame:
     """Health counts per bot and tumbling window. Users and percentiles are mergeable sketches of
     bounded size; the exact ones are the batch report."""
-    n, ok = F.count(N), F.count_if(F.col("outcome") == "success")
+    n, ok = F.count("*"), F.count_if(F.col("outcome") == "success")
     return (
         interactions.withWatermark("ts", lateness).groupBy("bot_name", F.window("ts", window).alias("w"))
         .agg(
@@ -50,14 +49,14 @@ def sessions(rows: DataFrame, keys: Sequence[str], ts: str = "ts", gap: str = "2
     """Activity sessions closed by a gap."""
     return (
         rows.withWatermark(ts, lateness).groupBy(*keys, F.session_window(ts, gap).alias("s"))
-        .agg(F.count(N).alias("rows")).select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "rows"))
+        .agg(F.count("*").alias("rows")).select(*keys, F.col("s.start").alias("session_start"), F.col("s.end").alias("session_end"), "rows"))
 
 
 def quota_windows(calls: DataFrame, ts: str = "ts", length: str = "1 hour", slide: str = "5 minutes", lateness: str = "1 hour") -> DataFrame:
     """Requests and tokens per provider in sliding windows."""
     return (
         calls.withWatermark(ts, lateness).groupBy("provider", F.window(ts, length, slide).alias("w"))
-        .agg(F.count(N).alias("requests"), F.sum("tokens").alias("tokens"), F.count_if("success").alias("ok"))
+        .agg(F.count("*").alias("requests"), F.sum("tokens").alias("tokens"), F.count_if("success").alias("ok"))
         .select("provider", F.col("w.start").alias("window_start"), "requests", "tokens", rate_pct(F.col("ok"), F.col("requests")).alias("success_pct")))
 
 
