@@ -27,6 +27,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+def spread_small_input(df: DataFrame, key: str) -> DataFrame:
+    """Give CPU-heavy work on a handful of input files all cores. Looks at file names only; with
+    at least as many files as cores (any large table) the frame is returned as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+
+
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank_col: str | None = None) -> DataFrame:
     """First ``n`` rows of every key. The ``row_number() <= n`` filter lets Spark drop
     rows before the shuffle (window group limit), so a hot key ships n rows per task."""
