@@ -50,7 +50,7 @@ def token_sort(col: Column | str) -> Column:
     """Words in alphabetical order, single blanks."""
     c = F.col(col) if isinstance(col, str) else col
     words = F.filter(F.split(F.lower(F.trim(c)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 0)
-    return F.array_join(F.array_sort(words), " ")
+    return F.array_join(F.sort_array(words), " ")
 
 
 def edit_ratio(a: Column | str, b: Column | str) -> Column:
@@ -98,7 +98,7 @@ def overlap_candidates(left: DataFrame, a: str, ga: str, right: DataFrame, b: st
             df.select(key, F.size(grams).alias("__n"), F.explode(grams).alias("g"))
             .join(freq, "g")
             .groupBy(key, "__n")
-            .agg(F.array_sort(F.collect_list(F.struct("__df", "g"))).alias("__o"))
+            .agg(F.sort_array(F.collect_list(F.struct("__df", "g"))).alias("__o"))
         )
         keep = (F.col("__n") - F.ceil(F.col("__n") * F.lit(share) - 1e-9) + 1).cast("int")
         first = F.slice("__o", F.lit(1), F.greatest(keep, F.lit(1)))
@@ -125,7 +125,7 @@ def char_bag(col: Column | str) -> Column:
     """Characters with their occurrence number ('a1', 'a2', …), a set that keeps multiplicity."""
     c = F.col(col) if isinstance(col, str) else col
     return bind(
-        F.array_sort(F.split(c, "")), lambda chars: F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 2).cast("string"))))
+        F.sort_array(F.split(c, "")), lambda chars: F.transform(chars, lambda x, i: F.concat(x, (i - F.array_position(chars, x) + 2).cast("string"))))
 
 
 @F.pandas_udf(DoubleType())

@@ -188,7 +188,7 @@ def group_members(df: DataFrame, keys: Sequence[str], member: str, min_size: int
 
 def small_set(df: DataFrame, keys: Sequence[str], col: str, name: str) -> DataFrame:
     """Sorted distinct values of a low-cardinality column (bot names, types) per key."""
-    return df.groupBy(*keys).agg(F.array_join(F.array_sort(F.collect_set(col)), ",").alias(name))
+    return df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(col)), ",").alias(name))
 
 
 def contact_sets(df: DataFrame, canonical: str, contacts: Mapping[str, Column]) -> DataFrame:

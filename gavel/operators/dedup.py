@@ -330,7 +330,7 @@ def diversified_topn(examples: DataFrame, text_len: int, kind: str, n: int, pool
     bucket = F.when(F.col("price") < 1_000_000, 0).when(F.col("price") < 3_000_000, 1).when(F.col("price") < 10_000_000, 2).otherwise(3)
     item = F.struct("len_diff", (-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("age"), (-F.col("id")).alias("nid"),
                     F.lower(F.trim(F.coalesce("building", F.lit("")))).alias("b"), bucket.alias("p"))
-    folded = near.agg(F.array_sort(F.collect_list(item)).alias("items"))
+    folded = near.agg(F.sort_array(F.collect_list(item)).alias("items"))
     empty = F.struct(F.array().cast("array<bigint>").alias("ids"), F.array().cast("array<string>").alias("bs"), F.array().cast("array<int>").alias("ps"))
 
     def step(acc: Column, x: Column) -> Column:

@@ -14,6 +14,7 @@ from gavel.functions import text_rules as tr
 from gavel.functions.scale import best_per_key
 from gavel.functions.similarity import fuzzy_pairs
 from gavel.operators.aggregates import mode_value
+from gavel.session import cut_lineage
 
 WIDE = "(?iuU)"
 
@@ -393,13 +394,16 @@ def building_match(docs: DataFrame, doc_id: str, text: str, buildings: DataFrame
     hits = name_hits(docs, doc_id, text, b).join(b, "key").join(low, doc_id)
     word = F.concat(F.lit(r"\b"), F.replace(F.col("key"), F.lit(" "), F.lit(r"[^\p{L}\p{N}]+")), F.lit(r"\b"))
     guard = F.replace(F.lit(tr.VIEW_REFERENCE), F.lit("«NAME»"), F.replace(F.col("key"), F.lit(" "), F.lit(r"[^\p{L}\p{N}]+")))
-    real = hits.filter(F.regexp_count("__low", word) > F.regexp_count("__low", guard)).select(doc_id, "building", "area", "emirate", "stage", F.lit(0.0).alias("score"))
+    judged = hits.select(
+        doc_id, "building", "area", "emirate", "stage", F.lit(0.0).alias("score"), (F.regexp_count("__low", word) > F.regexp_count("__low", guard)).alias("is_real"))
+    judged = cut_lineage(judged, "mentions")  # few rows, used three times: the texts are read once for them
+    real = judged.filter("is_real").drop("is_real")
     rest = docs.select(doc_id, text).join(real.select(doc_id).distinct(), doc_id, "left_anti")
     pieces = rest.select(doc_id, F.explode(F.array_distinct(F.split(text, r"[|,·\n]|\s-\s"))).alias("line")).withColumn("line", F.trim("line")).filter(F.length("line").between(4, 80))
-    lines = pieces.withColumn("low", F.lower("line"))
+    lines = cut_lineage(pieces.select(doc_id, F.lower("line").alias("low")), "lines")
     spellings = b.select(F.lower(F.trim("alias")).alias("name")).distinct()
     near = fuzzy_pairs(lines, "low", spellings, "name", fuzzy_cutoff).select(F.col("a").alias("low"), F.col("b").alias("name"), "score")
-    mentioned = hits.select(doc_id, "building").distinct()  # only as a reference, or found above
+    mentioned = judged.select(doc_id, "building").distinct()  # only as a reference, or found above
     fuzzy = (
         lines.join(near, "low").join(b.withColumn("name", F.lower(F.trim("alias"))), "name").join(mentioned, [doc_id, "building"], "left_anti")
         .select(doc_id, "building", "area", "emirate", F.lit(3).alias("stage"), "score")

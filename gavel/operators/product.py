@@ -109,7 +109,7 @@ def assign_variant(user_id: Column, experiment_key: Column, split: Column) -> Co
     """Variant of a ``map<variant, share>`` split: cumulative shares in alphabetical order, the
     last variant when the shares do not reach the bucket; 'A' for an empty split."""
     pct = variant_bucket(user_id, experiment_key) / 100.0
-    entries = F.array_sort(F.map_entries(split))
+    entries = F.sort_array(F.map_entries(split))
     start = F.struct(F.lit(0.0).alias("cum"), F.lit(None).cast("string").alias("pick"))
 
     def step(acc: Column, e: Column) -> Column:

@@ -32,7 +32,7 @@ def entity_graph(listings: DataFrame, developers: DataFrame, weekly_area: DataFr
     ``developers``: building, developer. The tier is set by the upper median of weekly supply;
     weeks per area are few, so the sorted list stays small.
     """
-    supplies = weekly_area.filter(F.col("supply") > 0).groupBy("area").agg(F.array_sort(F.collect_list("supply")).alias("s"))
+    supplies = weekly_area.filter(F.col("supply") > 0).groupBy("area").agg(F.sort_array(F.collect_list("supply")).alias("s"))
     tier = supplies.select("area", supply_tier(F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1)).alias("tier"))
     stats = [F.count("*").alias("listings_total"), F.avg(F.when(F.col("psf") > 0, F.col("psf"))).alias("avg_psf")]
     areas = listings.filter(F.col("area") != "").groupBy("area").agg(*stats).orderBy(F.col("listings_total").desc(), "area").limit(top_areas)

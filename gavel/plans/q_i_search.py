@@ -85,7 +85,7 @@ _VEC = """c AS (SELECT label AS qid, list(m ORDER BY i) AS qvec FROM (SELECT lab
 def label_means(spark, d):
     e = load_table(spark, d, "embeddings").select(F.col("label").alias("qid"), F.posexplode("embedding").alias("i", "x"))
     m = e.groupBy("qid", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
-    return m.groupBy("qid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("qvec"))
+    return m.groupBy("qid").agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("qvec"))
 
 
 @query("vector_topk_cosine", f"""WITH {_VEC}, s AS (SELECT qid, vec_id AS id, list_dot_product(embedding::DOUBLE[], qvec) / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]) * list_dot_product(qvec, qvec)) AS score FROM embeddings, c),

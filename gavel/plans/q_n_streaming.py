@@ -108,7 +108,7 @@ def q_stream_profile(spark, d):
         F.col("event_type").alias("context_key"), F.col("bot_name").alias("context_value"))
     keeper = jobs.ProfileKeeper(spark)
     drain_batches(rows, "profiles", keeper)
-    entries = F.transform(F.array_sort(F.map_entries("context")), lambda x: F.concat_ws("=", x["key"], x["value"]))
+    entries = F.transform(F.sort_array(F.map_entries("context")), lambda x: F.concat_ws("=", x["key"], x["value"]))
     return keeper.profiles().select(
         "user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")], "total_messages", "total_callbacks", "last_intent", F.array_join(entries, ",").alias("context"))
 
