@@ -37,10 +37,10 @@ def q_dedup_text(spark, d):
 
 
 @query("spam_pattern_groups", f"""WITH {LISTINGS}, {_COARSE}
-SELECT lower(building) AS building, price, count(*) AS copies, count(DISTINCT area) AS brokers, round((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 8.64e10::DOUBLE, 4) AS span_days
-FROM coarse WHERE building IS NOT NULL AND price IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT area) <= 3 AND (epoch_us(max(created_at)) - epoch_us(min(created_at))) / 8.64e10 <= 1200""")
+SELECT lower(building) AS building, price, count(*) AS copies, count(DISTINCT deal_type) AS brokers, round((epoch_us(max(created_at)) - epoch_us(min(created_at))) / 8.64e10::DOUBLE, 4) AS span_days
+FROM coarse WHERE building IS NOT NULL AND price IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 3 AND count(DISTINCT deal_type) <= 2 AND (epoch_us(max(created_at)) - epoch_us(min(created_at))) / 8.64e10 <= 2100""")
 def q_spam_patterns(spark, d):
-    out = dd.spam_pattern_groups(_coarse(spark, d), F.col("area"), 3, 3, 1200)
+    out = dd.spam_pattern_groups(_coarse(spark, d), F.col("deal_type"), 3, 2, 2100)
     return out.withColumn("span_days", F.round("span_days", 4))
 
 

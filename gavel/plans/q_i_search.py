@@ -130,11 +130,14 @@ def q_ranked_facts(spark, d):
     return sr.ranked_facts(f, 10).select("user_id", "id", "position")
 
 
-@query("uncovered_names", f"""WITH {TX}, b AS (SELECT building, count(*) AS deals FROM tx GROUP BY 1 HAVING count(*) >= 20), a AS (SELECT DISTINCT lower(split_part(p_name, ' ', 1)) AS k FROM part WHERE p_size > 49 UNION SELECT DISTINCT lower(p_name) || ' tower' FROM part WHERE p_size < 2)
+@query("uncovered_names", f"""WITH {TX}, b AS (SELECT building, count(*) AS deals FROM tx GROUP BY 1 HAVING count(*) >= 20), a AS (SELECT DISTINCT lower(p_name) AS k FROM part WHERE p_size > 49 AND p_type = 'SMALL' UNION SELECT DISTINCT lower(p_name) || ' tower' FROM part WHERE p_size < 2 AND p_type = 'LARGE' UNION SELECT lower(split_part(p_name, ' ', 1)) FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part))
 SELECT building, deals FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE contains(lower(building), k) OR contains(k, lower(building)))""")
 def q_uncovered(spark, d):
     p = load_table(spark, d, "part")
-    a = p.filter(F.col("p_size") > 49).select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("k")).unionByName(p.filter(F.col("p_size") < 2).select(F.concat("p_name", F.lit(" tower")).alias("k")))
+    first = p.filter(F.col("p_partkey") == p.agg(F.min("p_partkey")).scalar()).select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("k"))
+    a = (
+        p.filter((F.col("p_size") > 49) & (F.col("p_type") == "SMALL")).select(F.col("p_name").alias("k")).unionByName(first)
+        .unionByName(p.filter((F.col("p_size") < 2) & (F.col("p_type") == "LARGE")).select(F.concat("p_name", F.lit(" tower")).alias("k"))))
     return sr.uncovered_names(transactions(spark, d), "building", a, "k", 20)
 
 
