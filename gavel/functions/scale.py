@@ -27,6 +27,12 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out.drop(*[f"__r_{k}" for k in keys])
 
 
+def salt_nulls(key: Column, *spread: Column | str) -> Column:
+    """Text key for a left join in which NULL finds nothing: NULLs become many keys that no table
+    holds, so rows without a key do not meet in one task."""
+    return F.coalesce(key, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("string")))
+
+
 def spread_small_input(df: DataFrame, key: str) -> DataFrame:
     """Give CPU-heavy work on a handful of input files all cores. Looks at file names only; with
     at least as many files as cores (any large table) the frame is returned as it is."""

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gavel.functions.exprs import half_even
 from gavel.functions import lexicon as lx
 from gavel.functions.coerce import SQFT_PER_SQM, rooms_label
-from gavel.functions.scale import group_percentiles, null_safe_join
+from gavel.functions.scale import group_percentiles, null_safe_join, salt_nulls
 from gavel.operators.aggregates import mode_value, share_of_total
 from gavel.operators.joins import lookup_with_fallback
 
@@ -141,7 +141,7 @@ def price_imputation(
     by_price = group_percentiles(comps, ["__b", "__r"], "price", {"__pm": 0.5}, "comps").filter(F.col("comps") >= min_deals)
     by_size = group_percentiles(comps, ["__b", "__r"], "__sqft", {"__sm": 0.5}, "__n").drop("__n")
     bench = null_safe_join(by_price, by_size, ["__b", "__r"])
-    keyed = listings.withColumn("__b", F.lower(F.trim("building"))).withColumn("__r", rooms_label("bedrooms"))
+    keyed = listings.withColumn("__b", salt_nulls(F.lower(F.trim("building")), *listings.columns)).withColumn("__r", rooms_label("bedrooms"))
     joined = null_safe_join(keyed, bench, ["__b", "__r"], "left")
     wants = F.col("price").isNull() | F.col("size_sqft").isNull()
     return (
@@ -273,7 +273,7 @@ def majority_inference(listings: DataFrame, registry: DataFrame, min_votes: int
     own_rows = listings.withColumn("__k", key).filter(F.col("area").isNotNull())
     votes = own_rows.groupBy("__k", "area").agg(F.count(F.lit(1)).alias("__n"))
     own = votes.groupBy("__k").agg(F.min_by(F.struct("area", "__n"), F.struct(-F.col("__n"), F.col("area"))).alias("__o")).filter(F.col("__o.__n") >= min_votes)
-    joined = listings.withColumn("__k", key).join(reg, "__k", "left").join(own, "__k", "left")
+    joined = listings.withColumn("__k", salt_nulls(key, *listings.columns)).join(reg, "__k", "left").join(own, "__k", "left")
     source = F.when(F.col("area").isNotNull(), "given").when(F.col("__reg").isNotNull(), "registry").when(F.col("__o").isNotNull(), "own_majority")
     return joined.withColumn("area_source", source).withColumn("area", F.coalesce("area", "__reg", F.col("__o.area"))).drop("__k", "__reg", "__o")
 
@@ -293,7 +293,7 @@ def canonicalise_entities(listings: DataFrame, buildings: DataFrame, areas: Data
     a1 = areas.select(F.col("key").alias("__a1"), F.col("name").alias("__n1"))
     a2 = areas.select(F.col("key").alias("__a2"), F.col("name").alias("__n2"))
     j = (
-        listings.withColumn("__b1", bkey).withColumn("__b2", bstrip).withColumn("__a1", akey).withColumn("__a2", astrip)
+        listings.withColumns({f"__{k}": salt_nulls(c, *listings.columns) for k, c in (("b1", bkey), ("b2", bstrip), ("a1", akey), ("a2", astrip))})
         .join(b1, "__b1", "left").join(b2, "__b2", "left").join(a1, "__a1", "left").join(a2, "__a2", "left")
     )
     hit = F.coalesce("__h1", "__h2")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.functions.exprs import half_even
-from gavel.functions.scale import gap_sessions, null_safe_join, split_lag, top_n
+from gavel.functions.scale import gap_sessions, null_safe_join, salt_nulls, split_lag, top_n
 from gavel.functions.similarity import trigram_pairs
 from gavel.session import cut_lineage
 
@@ -152,7 +152,7 @@ def ingest_cascade(batch: DataFrame, store: DataFrame, signals: Mapping[str, Col
         stored = store.select(col.alias("__k"), F.col(row_id).alias("__hit")).filter(F.col("__k").isNotNull()).groupBy("__k").agg(F.min("__hit").alias(f"__s{i}"))
         inside = batch.select(col.alias("__k"), F.col(row_id).alias("__hit")).filter(F.col("__k").isNotNull()).groupBy("__k").agg(F.min("__hit").alias(f"__b{i}"))
         known = stored.join(inside, "__k", "full_outer")
-        out = out.withColumn("__k", col).join(known, "__k", "left").drop("__k")
+        out = out.withColumn("__k", salt_nulls(col, row_id)).join(known, "__k", "left").drop("__k")
         own = F.when(F.col(f"__b{i}") < F.col(row_id), F.col(f"__b{i}"))
         out = out.withColumn(f"__m{i}", F.coalesce(f"__s{i}", own)).drop(f"__s{i}", f"__b{i}")
     marks = [F.when(F.col(f"__m{i}").isNotNull(), F.struct(F.lit(n).alias("signal"), F.col(f"__m{i}").alias("duplicate_of"))) for i, n in enumerate(signals)]

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.functions.coerce import date_format_class
+from gavel.functions.scale import salt_nulls
 from gavel.operators.dedup import missing
 from gavel.operators.joins import substring_lookup
 
@@ -119,8 +120,8 @@ def audit_flags(listings: DataFrame, medians: DataFrame) -> DataFrame:
 
     ``medians``: name, sale_median, sale_count, rent_median; names match by the staged lookup.
     """
-    hits = substring_lookup(listings, medians, "building", "name").select(F.col("value").alias("building"), F.col("hit").alias("name"))
-    j = listings.join(hits, "building", "left").join(medians, "name", "left")
+    hits = substring_lookup(listings, medians, "building", "name").join(medians, F.col("hit") == F.col("name")).drop("hit", "name", "stage").withColumnRenamed("value", "__k")
+    j = listings.withColumn("__k", salt_nulls(F.col("building"), *listings.columns)).join(hits, "__k", "left")
     p, deal, pt = F.col("price"), F.col("deal_type"), F.col("property_type")
     none = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
     no_size = F.coalesce(F.col("size_sqft"), F.lit(0)) == 0

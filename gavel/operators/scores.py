@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.exprs import half_even
 from gavel.functions import lexicon as lx
-from gavel.functions.scale import group_percentiles, score_rank
+from gavel.functions.scale import group_percentiles, salt_nulls, score_rank
 from gavel.operators.aggregates import price_stability, two_bucket_pivot
 from gavel.operators.benchmarks import bands
 from gavel.operators.dedup import deal_gaps
@@ -207,7 +207,8 @@ def liquidity_tier(listings: DataFrame, deals: DataFrame, as_of: str, deals_12m:
     gaps = lambda key: deal_gaps(recent.withColumn("__k", F.lower(key)), ["__k"], "deal_date")
     b = gaps("building").filter(F.pow("deals", F.lit(2)) > 3).select(F.col("__k").alias("__b"), F.struct("deals", F.col("avg_days_between").alias("days")).alias("__bs"))
     a = gaps("area").filter(F.pow("deals", F.lit(2)) > 10).select(F.col("__k").alias("__a"), F.struct("deals", F.col("avg_days_between").alias("days")).alias("__as"))
-    j = listings.withColumn("__b", F.lower("building")).withColumn("__a", F.lower("area")).join(b, "__b", "left").join(a, "__a", "left")
+    keys = {"__b": salt_nulls(F.lower("building"), *listings.columns), "__a": salt_nulls(F.lower("area"), *listings.columns)}
+    j = listings.withColumns(keys).join(b, "__b", "left").join(a, "__a", "left")
     hit = F.coalesce("__bs", "__as")
     days = F.nullif(hit["days"], F.lit(0.0))
     rate = F.col(deals_12m) / 12.0 if deals_12m else F.lit(None).cast("double")
