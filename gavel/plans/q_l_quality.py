@@ -107,14 +107,17 @@ _AUDIT = """al AS (SELECT order_id AS id, line_no, CASE WHEN line_no = 1 THEN NU
   deal_type, CASE WHEN line_no > 1 THEN size_sqft END AS size_sqft FROM tx WHERE deal_date >= DATE '2001-06-01')"""
 
 
-@query("audit_flags", f"""WITH {TX}, {_MEDIANS}, {_AUDIT}, nm AS (SELECT *, CASE WHEN line_no = 2 THEN lower(building) ELSE substr(building, 5) END AS name FROM al),
+_AUDIT_FLAGS = f"""WITH {TX}, {_MEDIANS}, {_AUDIT}, nm AS (SELECT *, CASE WHEN line_no = 2 THEN lower(building) ELSE substr(building, 5) END AS name FROM al),
 j AS (SELECT nm.*, CASE WHEN sale_count >= 5 THEN nullif(sale_median, 0) END AS sm, nullif(rent_median, 0) AS rm FROM nm LEFT JOIN med ON med.building = nm.name)
 SELECT id, line_no, CAST(trunc(price) AS BIGINT) AS price, nullif(concat_ws('; ', CASE WHEN building IS NULL AND price IS NULL AND area IS NULL THEN 'no_building_price_area' END,
   CASE WHEN deal_type = 'sale' AND property_type IN ('apartment', 'villa') AND building IS NULL AND area IS NULL AND size_sqft IS NULL THEN 'residential_no_basic_info' END,
   CASE WHEN price > 500000000 AND property_type <> 'plot' THEN 'price_too_high_' || CAST(trunc(price) AS BIGINT) END, CASE WHEN deal_type = 'sale' AND price > 0 AND price < 50000 AND property_type <> 'plot' THEN 'sale_price_too_low_' || CAST(trunc(price) AS BIGINT) END,
   CASE WHEN deal_type = 'rent' AND price > 5000000 THEN 'rent_too_high_' || CAST(trunc(price) AS BIGINT) END,
   CASE WHEN deal_type = 'sale' AND price > 100000 AND abs(price - sm) / sm * 100 > 50 THEN 'bench_diff_' || CAST(trunc(abs(price - sm) / sm * 100) AS BIGINT) || '%_' || CASE WHEN price > sm THEN 'above' ELSE 'below' END || '_median_' || CAST(trunc(sm) AS BIGINT) END,
-  CASE WHEN deal_type = 'rent' AND price > 5000 AND abs(price - rm) / rm * 100 > 50 THEN 'bench_rent_diff_' || CAST(trunc(abs(price - rm) / rm * 100) AS BIGINT) || '%_' || CASE WHEN price > rm THEN 'above' ELSE 'below' END || '_median_' || CAST(trunc(rm) AS BIGINT) END), '') AS audit_reason FROM j""")
+  CASE WHEN deal_type = 'rent' AND price > 5000 AND abs(price - rm) / rm * 100 > 50 THEN 'bench_rent_diff_' || CAST(trunc(abs(price - rm) / rm * 100) AS BIGINT) || '%_' || CASE WHEN price > rm THEN 'above' ELSE 'below' END || '_median_' || CAST(trunc(rm) AS BIGINT) END), '') AS audit_reason FROM j"""
+
+
+@query("audit_flags", _AUDIT_FLAGS)
 def q_audit_flags(spark, d):
     return _audit(spark, d).select("id", "line_no", F.col("price").cast("bigint").alias("price"), "audit_reason")
 
@@ -131,7 +134,7 @@ def _audit(spark, d):
     return ql.audit_flags(rows, medians(spark, d).withColumnRenamed("building", "name"))
 
 
-@query("audit_reason_counts")
+@query("audit_reason_counts", f"""SELECT split_part(r, '_', 1) || '_' || split_part(r, '_', 2) AS reason, count(*) AS n FROM (SELECT unnest(string_split(audit_reason, '; ')) AS r FROM ({_AUDIT_FLAGS}) WHERE audit_reason IS NOT NULL) GROUP BY 1""")
 def q_audit_counts(spark, d):
     return ql.audit_reason_counts(_audit(spark, d))
 
