@@ -279,6 +279,8 @@ def message_merge(df: DataFrame, fill: Sequence[str], window_s: int = 120) -> tu
         *firsts, *primaries,
     )
     ok = g.filter(~F.col("__all_complete") & F.col("__same_unit") & F.col("__useful") & (F.col("__rich_poor") | F.coalesce("__header_detail", F.lit(False))))
+    # A record can lead a block group and a time chain: blocks of one message go first.
+    ok = top_n(ok, ["primary_id"], [F.col("component")], 1)
     merged = ok.select(
         "component", "primary_id", "parts", "has_images", *[F.coalesce(f"__own_{f}", f"__fill_{f}").alias(f) for f in fill])
     texts = (

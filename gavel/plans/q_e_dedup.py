@@ -212,20 +212,20 @@ k AS (SELECT c, count(*) AS parts, arg_max(id, (length(text), CASE WHEN price IS
   (count(nullif(area, '')) BETWEEN 1 AND count(*) - 1) OR (count(nullif(price, 0)) BETWEEN 1 AND count(*) - 1) OR (count(nullif(building, '')) BETWEEN 1 AND count(*) - 1)
    OR (count(nullif(bedrooms, 0)) BETWEEN 1 AND count(*) - 1) OR (count(nullif(size_sqft, 0)) BETWEEN 1 AND count(*) - 1) OR (count(nullif(text, '')) BETWEEN 1 AND count(*) - 1) AS useful,
   arg_min(price, (ts, id)) FILTER (WHERE price <> 0) AS fp, arg_min(area, (ts, id)) FILTER (WHERE area <> '') AS fa, arg_min(building, (ts, id)) FILTER (WHERE building <> '') AS fb,
-  arg_min(bedrooms, (ts, id)) FILTER (WHERE bedrooms <> 0) AS fbr, arg_min(size_sqft, (ts, id)) FILTER (WHERE size_sqft <> 0) AS fs FROM f GROUP BY c)"""
+  arg_min(bedrooms, (ts, id)) FILTER (WHERE bedrooms <> 0) AS fbr, arg_min(size_sqft, (ts, id)) FILTER (WHERE size_sqft <> 0) AS fs FROM f GROUP BY c),
+pick AS (SELECT * FROM k WHERE NOT allc AND sizes <= 1 AND (anyc OR useful) AND (rp OR coalesce(hd, FALSE)) QUALIFY row_number() OVER (PARTITION BY primary_id ORDER BY c) = 1)"""
 
 
 @query("message_merge", f"""WITH {MESSAGES}, {_PARTS}, {_MERGED}
 SELECT k.primary_id, k.parts, k.has_images, coalesce(nullif(o.price, 0), fp) AS price, coalesce(nullif(o.area, ''), fa) AS area, coalesce(nullif(o.building, ''), fb) AS building,
-  coalesce(o.bedrooms, fbr) AS bedrooms, coalesce(nullif(o.size_sqft, 0), fs) AS size_sqft FROM k JOIN p o ON o.id = k.primary_id
-WHERE NOT allc AND sizes <= 1 AND (anyc OR useful) AND (rp OR coalesce(hd, FALSE))""")
+  coalesce(o.bedrooms, fbr) AS bedrooms, coalesce(nullif(o.size_sqft, 0), fs) AS size_sqft FROM pick k JOIN p o ON o.id = k.primary_id""")
 def q_message_merge(spark, d):
     merged, _ = dd.message_merge(message_parts(spark, d), ["price", "area", "building", "bedrooms", "size_sqft"], 3600)
     return merged.drop("component")
 
 
 @query("message_merge_texts", f"""WITH {MESSAGES}, {_PARTS}, {_MERGED}
-SELECT k.primary_id, min(f.id) AS first_id, md5(trim(f.text)) AS text_md5 FROM k JOIN f ON f.c = k.c WHERE NOT allc AND sizes <= 1 AND (anyc OR useful) AND (rp OR coalesce(hd, FALSE)) AND trim(f.text) <> '' GROUP BY k.primary_id, k.c, trim(f.text)""")
+SELECT k.primary_id, min(f.id) AS first_id, md5(trim(f.text)) AS text_md5 FROM pick k JOIN f ON f.c = k.c WHERE trim(f.text) <> '' GROUP BY k.primary_id, trim(f.text)""")
 def q_message_merge_texts(spark, d):
     _, texts = dd.message_merge(message_parts(spark, d), ["price", "area", "building", "bedrooms", "size_sqft"], 3600)
     return texts.select("primary_id", "first_id", F.md5("text").alias("text_md5"))
