@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import bpe, chat, exact_dedup, packing, toxicity
+from gavel.llm import bpe, chat, exact_dedup, near_dup, packing, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,10 @@ def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_hamming_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, per_cent=85)
+
+
 def op4_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_toxicity": op1_compression_toxicity,
+    "op3_hamming_near_dup": op3_hamming_near_dup,
     "op4_tree_merge_dedup": op4_tree_merge_dedup,
     "op7_prefix_target_chat": op7_prefix_target_chat,
     "op9_multi_length_packing": op9_multi_length_packing,
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_hamming_near_dup": near_dup.ORACLE_SQL,
     "op4_tree_merge_dedup": exact_dedup.ORACLE_SQL,
     "op7_prefix_target_chat": chat.ORACLE_SQL,
 }
