@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import bpe, chat, exact_dedup, near_dup, packing, toxicity
+from gavel.llm import bpe, chat, exact_dedup, near_dup, packing, substring_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,6 +47,11 @@ def op7_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.turn_digests(chat.read_back(chat.prefix_targets(turns)))
 
 
+def op8_block_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_multi_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_file())
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group")
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_hamming_near_dup": op3_hamming_near_dup,
     "op4_tree_merge_dedup": op4_tree_merge_dedup,
     "op7_prefix_target_chat": op7_prefix_target_chat,
+    "op8_block_anchor_dedup": op8_block_anchor_dedup,
     "op9_multi_length_packing": op9_multi_length_packing,
     "op10_byte_bpe": op10_byte_bpe,
 }
@@ -76,4 +82,5 @@ ORACLES: dict[str, str] = {
     "op3_hamming_near_dup": near_dup.ORACLE_SQL,
     "op4_tree_merge_dedup": exact_dedup.ORACLE_SQL,
     "op7_prefix_target_chat": chat.ORACLE_SQL,
+    "op8_block_anchor_dedup": substring_dedup.ORACLE_SQL,
 }
