@@ -110,20 +110,32 @@ def _segments(text: str) -> set[str]:
     return out
 
 
-def choose_segments(own: list[set[str]], other: list[set[str]], least_share: float = 0.008, least_ratio: float = 6.0) -> list[str]:
-    """Characteristic segments of ``own``, best first; see the module's text."""
+def frequent_segments(texts: list[str], least: float, slots: int = 1 << 22) -> tuple[Counter, list[set[str]]]:
+    """Segments in at least ``least`` texts with their number of texts, and each text's own ones.
+
+    Rare segments, nearly all of them, are sifted out by counts per hash slot before any is kept.
+    """
+    rough = np.zeros(slots, np.int32)
+    for text in texts:
+        rough[np.unique(np.fromiter((hash(s) % slots for s in _segments(text)), np.int64))] += 1
+    sets = [{s for s in _segments(text) if rough[hash(s) % slots] >= least} for text in texts]
+    counts = Counter(s for found in sets for s in found)
+    return Counter({s: k for s, k in counts.items() if k >= least}), sets
+
+
+def choose_segments(own: list[str], other: list[str], least_share: float = 0.008, least_ratio: float = 6.0) -> list[str]:
+    """Characteristic segments of the texts ``own`` against ``other``; see the module's text."""
     least = max(3.0, least_share * len(own))
-    seen = Counter(s for doc in own for s in doc)
-    common = {s: k for s, k in seen.items() if k >= least}
-    against = Counter(s for doc in other for s in doc if s in common)
+    common, sets = frequent_segments(own, least)
+    against = Counter(s for text in other for s in _segments(text) if s in common)
     worth = {}
     for s, k in common.items():
         ratio = (k + 0.5) / (len(own) + 1) / ((against[s] + 0.5) / (len(other) + 1))
         if ratio >= least_ratio:
             worth[s] = np.log(min(ratio, 200.0)) * (1 + 0.02 * len(s))
     where = defaultdict(list)
-    for i, doc in enumerate(own):
-        for s in doc:
+    for i, found in enumerate(sets):
+        for s in found:
             if s in worth:
                 where[s].append(i)
     places = {s: np.array(i) for s, i in where.items()}
@@ -143,8 +155,8 @@ def choose_segments(own: list[set[str]], other: list[set[str]], least_share: flo
 
 def train_dictionaries(toxic: list[str], ordinary: list[str], common_bytes: int = 2000) -> tuple[bytes, bytes]:
     """(ordinary, toxic) raw dictionaries from lower-case texts."""
-    sets = [[_segments(t) for t in sorted(set(texts))] for texts in (ordinary, toxic)]
-    own = [("".join(reversed(choose_segments(sets[c], sets[1 - c])))).encode() for c in (0, 1)]
+    both = [sorted(set(texts)) for texts in (ordinary, toxic)]
+    own = [("".join(reversed(choose_segments(both[c], both[1 - c])))).encode() for c in (0, 1)]
     frequent = Counter(w for t in set(ordinary) for w in set(t.split()))
     shared, size = [], 0
     for word, _ in sorted(frequent.items(), key=lambda x: (-x[1], x[0])):
