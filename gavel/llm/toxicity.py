@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 from gavel.llm.batches import Words, text_pieces
 
 #: Bytes in front of every window; no UTF-8 text contains them.
-CARRIER = bytes(range(128, 192))
+CARRIER = bytes(range(128, 152))
 #: Bytes after every window: zstandard looks for no match in the last eight.
 TRAILER = bytes(8)
 #: Words of a window, and the longest word in bytes (a longer one counts as several).
-WINDOW_WORDS, WORD_BYTES = 3, 48
+WINDOW_WORDS, WORD_BYTES = 5, 48
 #: Window surpluses (bytes) that are counted per document.
 THRESHOLDS = (2, 3, 4, 5, 6, 8)
 LETTERS = (3, 9)  # shortest and longest word beginning that may be a segment
@@ -54,7 +54,7 @@ class ToxicityModel:
     weights: tuple[float, ...]
 
     def compressors(self) -> list[zstandard.ZstdCompressor]:
-        rules = zstandard.ZstdCompressionParameters(window_log=14, chain_log=13, hash_log=12, search_log=5, min_match=4, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
+        rules = zstandard.ZstdCompressionParameters(window_log=12, chain_log=12, hash_log=10, search_log=4, min_match=4, strategy=zstandard.STRATEGY_LAZY2, write_content_size=0, write_checksum=0, write_dict_id=0)
         return [zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(d, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=rules) for d in (self.ordinary, self.toxic)]
 
     def scores(self, features: np.ndarray) -> np.ndarray:
