@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import bpe, chat, exact_dedup, near_dup, packing, substring_dedup, toxicity
+from gavel.llm import bpe, chat, exact_dedup, near_dup, packing, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,6 +41,11 @@ def op4_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op6_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     cols = ["conv_id", "turn", "role", "text"]
     turns = _table(spark, sf_dir, "conversations").select(*cols).unionByName(chat.fixed_conversation(spark))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_toxicity": op1_compression_toxicity,
     "op3_hamming_near_dup": op3_hamming_near_dup,
     "op4_tree_merge_dedup": op4_tree_merge_dedup,
+    "op6_difference_cover_dedup": op6_difference_cover_dedup,
     "op7_prefix_target_chat": op7_prefix_target_chat,
     "op8_block_anchor_dedup": op8_block_anchor_dedup,
     "op9_multi_length_packing": op9_multi_length_packing,
@@ -81,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op3_hamming_near_dup": near_dup.ORACLE_SQL,
     "op4_tree_merge_dedup": exact_dedup.ORACLE_SQL,
+    "op6_difference_cover_dedup": suffix_dedup.ORACLE_SQL,
     "op7_prefix_target_chat": chat.ORACLE_SQL,
     "op8_block_anchor_dedup": substring_dedup.ORACLE_SQL,
 }
