@@ -6,9 +6,10 @@ chunk is indexed once for each way to leave out ``errors`` of its symbols, and a
 distance meet in some bucket.
 
 A bucket never emits all its pairs. First every member meets the bucket's smallest id; confirmed
-links are merged to components; then only members of different components of a bucket meet.
-Links between members of one component would add nothing, so no connection is lost. Documents with the
-same shingle set are one class from the start and take part as one.
+links are merged to components; then only members of different components of a bucket meet, and of these
+only pairs that can be similar: shingles that no other such document has bound a document's similarity to
+anyone from above. Links between members of one component would add nothing, so no connection is
+lost. Documents with the same shingle set are one class from the start and take part as one.
 """
 
 from __future__ import annotations
@@ -102,12 +103,25 @@ def chunk_keys(classes: DataFrame, chunks: int, width: int, errors: int) -> Data
     return classes.select("rep", "signature").mapInArrow(run, schema).select(F.explode("keys").alias("key"), "rep")
 
 
+def own_shingles(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, u): how many shingles of a text occur in none of the others; none is left out."""
+    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("hashes", T.ArrayType(T.LongType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_pieces(batches, "text"):
+            hashes, first = shingles(data, offsets, words)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))], schema.names)
+
+    each = texts.select("id", "text").mapInArrow(run, schema).select("id", F.explode("hashes").alias("hash"))
+    single = each.groupBy("hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n = 1")
+    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+
+
 def within_distance(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
     """Pairs (a, b) whose signatures differ in at most ``distance`` symbols."""
     sig = classes.select(F.col("rep"), F.col("signature"))
     with_a = pairs.join(sig.select(F.col("rep").alias("a"), F.col("signature").alias("sa")), "a")
     with_b = with_a.join(sig.select(F.col("rep").alias("b"), F.col("signature").alias("sb")), "b")
-    schema = T.StructType([classes.schema["rep"], classes.schema["rep"]])
     schema = T.StructType([T.StructField(c, classes.schema["rep"].dataType) for c in ("a", "b")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,9 +179,9 @@ def near_duplicates(
     of at least ``per_cent`` % Jaccard similarity), ``kept`` (it is that id).
 
     All pairs with fewer than ``chunks * (errors + 1)`` unlike symbols are compared. Null and empty
-    texts have no shingles and no links, and are their own component. Rows that share an id share a
-    component with all that any of them is linked with; a row without an id takes its class's
-    component, if one exists. Other columns are not read.
+    texts have no shingles and no links, and are their own component. An id stands for one text: of rows
+    that repeat an id with other texts, links are confirmed on the greatest one. A row without an id takes its
+    class's component, if one exists. Other columns are not read.
     """
     distance = chunks * (errors + 1) - 1
     rows = keep(signatures(docs, words, chunks * width, id_col, text_col), "signatures")
@@ -189,11 +203,19 @@ def near_duplicates(
 
     # members of one bucket that are still apart; all others are connected already
     placed = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    apart = placed.groupBy("key").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).filter("__lo < __hi").select("key")
-    open_rows = keep(placed.join(apart, "key"), "apart")
-    left = open_rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"))
-    right = open_rows.select("key", F.col("rep").alias("b"), F.col("component").alias("cb"))
-    cross = left.join(right, "key").filter("ca < cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).filter("__lo < __hi").select("key")
+    apart = keep(placed.join(open_keys, "key"), "apart")
+    sized = apart.select("rep").distinct().join(classes.select("rep", "n_shingles"), "rep")
+    own = own_shingles(keep(_texts_of(source, sized.select(F.col("rep").alias("id"))), "texts"), words)
+    # n shingles, u of them in no other document that is still apart: a partner with m shingles shares at most
+    # n - u, and has a union of at least m + u with it; who can reach the similarity with nobody takes no part
+    sized = sized.join(own, "rep", "left").select("rep", F.col("n_shingles").alias("n"), F.coalesce("u", F.lit(0)).alias("u"))
+    sized = keep(sized.filter(F.expr(f"100 * (n - u) >= {per_cent} * (ceil({per_cent} * n / 100.0) + u)")), "sized")
+    open_rows = apart.join(sized, "rep")
+    left = open_rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("u").alias("ua"))
+    right = open_rows.select(F.col("key").alias("kb"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("u").alias("ub"))
+    possible = F.expr(f"ca < cb AND 100 * (na - ua) >= {per_cent} * (nb + ua) AND 100 * (nb - ub) >= {per_cent} * (na + ub)")
+    cross = left.join(right, (F.col("key") == F.col("kb")) & possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     cross = cross.join(stars, ["a", "b"], "left_anti")
     cross = keep(within_distance(cross, classes, distance), "cross")
     members = cross.select(F.col("a").alias("id")).unionByName(cross.select(F.col("b").alias("id"))).distinct()
