@@ -33,8 +33,9 @@ def _spread(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
     return np.cumsum(edges[:-1]) > 0
 
 
-def _ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return rows.column(0).to_numpy(), rows.column(1).to_numpy()
+def _ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row hashes, ids, and which rows have an id."""
+    return rows.column(0).to_numpy(), rows.column(1).fill_null(0).to_numpy(), rows.column(1).is_valid().to_numpy(zero_copy_only=False)
 
 
 def _emit(gatherers: list[Gatherer], values: Iterator) -> Iterator[pa.RecordBatch]:
@@ -46,7 +47,7 @@ def _emit(gatherers: list[Gatherer], values: Iterator) -> Iterator[pa.RecordBatc
             yield shipped(out)
 
 
-def repeated_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
+def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> DataFrame:
     """(__row, __found): for rows of ``docs`` (__row, __id, __text) the first words of all windows
     that also start in a document with a smaller id."""
     block = (window + 1) // 2
@@ -55,20 +56,21 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def values():
             for rows, data, offsets in text_pieces(batches, "__text"):
-                row, ident = _ids(rows)
+                row, ident, named = _ids(rows)
                 words = Words(data, offsets)
                 at, hashes = word_windows(words, block)
+                at, hashes = at[named[words.doc[at]]], hashes[named[words.doc[at]]]
                 total = len(words.start)
                 fixed = (at - words.first[words.doc[at]]) % block == 0
                 yield INDEX, hashes[fixed], at[fixed], row, ident, words.first[:-1], total
                 yield PROBE, hashes, at, row, ident, words.first[:-1], total
 
-        yield from _emit([Gatherer(INDEX, buckets, 48), Gatherer(PROBE, buckets, 48)], values())
+        yield from _emit([Gatherer(INDEX, buckets, bits), Gatherer(PROBE, buckets, bits)], values())
 
     def extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def values():
             for rows, data, offsets in text_pieces(batches, "__text"):
-                row, ident = _ids(rows)
+                row, ident, _ = _ids(rows)
                 words = Words(data, offsets)
                 total = len(words.start)
                 found = rows.column(rows.schema.get_field_index("__found")).to_pylist()
@@ -99,7 +101,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     # equal rows have equal results, so a hash of id and text names a row
     rows = given.select(F.xxhash64("__id", "__text").alias("__row"), "__id", "__text")
     size = given.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
-    found = repeated_windows(rows.filter(F.col("__id").isNotNull()), window, buckets_for(size // 5))
+    # anchors are compared by so many bits of their hash that about one probe in 4000 is hit by chance (and
+    # is refused when it is extended)
+    found = repeated_windows(rows, window, buckets_for(size // 5), min(64, max(32, (size // 32).bit_length() + 12)))
     schema = T.StructType([T.StructField("__id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
