@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import bpe, chat, exact_dedup, near_dup, packing, substring_dedup, suffix_dedup, toxicity
+from gavel.llm import ann, bpe, chat, exact_dedup, html_text, near_dup, packing, substring_dedup, suffix_dedup, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,6 +33,11 @@ def op1_compression_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 def op3_hamming_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(_table(spark, sf_dir, "documents"), words=3, per_cent=85)
 
@@ -41,6 +46,11 @@ def op4_tree_merge_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op5_host_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = html_text.extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_difference_cover_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -75,8 +85,10 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_toxicity": op1_compression_toxicity,
+    "op2_prefix_forest": op2_prefix_forest,
     "op3_hamming_near_dup": op3_hamming_near_dup,
     "op4_tree_merge_dedup": op4_tree_merge_dedup,
+    "op5_host_path_text": op5_host_path_text,
     "op6_difference_cover_dedup": op6_difference_cover_dedup,
     "op7_prefix_target_chat": op7_prefix_target_chat,
     "op8_block_anchor_dedup": op8_block_anchor_dedup,
