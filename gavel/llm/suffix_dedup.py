@@ -256,12 +256,13 @@ def _hot(shipped: DataFrame, length: int) -> DataFrame:
     return starts.mapInArrow(marks, MARKS)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = 6000) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = 6000, whole_characters: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and
     ``kept`` (the remaining bytes, in order). One row per input row.
 
     A byte goes if some ``length`` bytes over it also start anywhere else, in the same or another row; strings
-    are judged on the input and never cross texts. Null and empty texts have no bytes. Equal rows, and rows
+    are judged on the input and never cross texts. With ``whole_characters`` a character goes if one of its bytes
+    does, so ``kept`` is UTF-8. Null and empty texts have no bytes. Equal rows, and rows
     without or with one id, are texts like all others. Further columns pass through, whatever their names
     (but for the four that are added and ``__row``, ``__marks``).
     """
@@ -290,6 +291,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
                     np.add.at(edges, offsets[i] + pairs[:, 0], 1)
                     np.add.at(edges, offsets[i] + np.minimum(pairs[:, 1], size - length) + length, -1)
             gone = np.cumsum(edges[:-1]) > 0
+            if whole_characters and len(data):
+                heads = np.flatnonzero((data & 0xC0) != 0x80)
+                gone = np.repeat(np.logical_or.reduceat(gone, heads), np.diff(np.append(heads, len(data))))
             opens = gone.copy()
             opens[1:] &= ~gone[:-1]
             opens[offsets[:-1][np.diff(offsets) > 0]] |= gone[offsets[:-1][np.diff(offsets) > 0]]
