@@ -57,7 +57,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Texts are equal when they are identical without blanks. Columns: the id, ``keep_id``,
     ``group_size``, ``kept``, ``text_sha256``.
-    Null texts count as empty. A null id loses against any id; rows that repeat an id share its
+    Null texts count as empty. Of texts of one length a null id loses against any id; rows that repeat an id share its
     result, but a shorter writing under the same id is not kept. Other columns are not touched or read.
     """
     digests = text_digests(docs, id_col, text_col)
