@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gavel.session import cut_lineage
+
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join in which NULL keys meet each other; the right keys are dropped."""
@@ -33,11 +35,9 @@ def salt_nulls(key: Column, *spread: Column | str) -> Column:
     return F.coalesce(key, F.concat(F.lit("\u0000"), F.pmod(F.xxhash64(*spread), F.lit(4096)).cast("string")))
 
 
-def spread_small_input(df: DataFrame, key: str) -> DataFrame:
-    """Give CPU-heavy work on a handful of input files all cores. Looks at file names only; with
-    at least as many files as cores (any large table) the frame is returned as it is."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if len(df.inputFiles()) < cores else df
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal rows out by a key before CPU-heavy work on them, to as many tasks as the session's shuffles have."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
 
 
 def top_n(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, rank_col: str | None = None) -> DataFrame:
@@ -69,7 +69,8 @@ def group_percentiles(
 ) -> DataFrame:
     """Exact, linearly interpolated percentiles per key without one big group per task.
 
-    1. rows collapse to (key, value, count): the shuffle is spread over key *and* value;
+    1. rows collapse to (key, value, count): the shuffle is spread over key *and* value, and the result is
+       written to the shared folder, so the input is read once;
     2. a bounded sketch per key gives value cut points, so each bucket holds about
        1/``buckets`` of the key's distinct values;
     3. bucket counts give each bucket's rank offset (at most ``buckets`` rows per key);
@@ -77,9 +78,18 @@ def group_percentiles(
        rank are read off. The sketch decides the balance of the work, not the result.
     """
     keys = list(keys)
-    vals = df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(
-        F.count(F.lit(1)).alias("__c")
-    )
+    vals = cut_lineage(value_counts(df, keys, value), "values")
+    return counted_percentiles(vals, keys, probs, count_name, buckets)
+
+
+def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+    """(key, ``__v``, ``__c``): how often each value occurs per key; NULL values are left out."""
+    return df.filter(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+
+
+def counted_percentiles(vals: DataFrame, keys: Sequence[str], probs: Mapping[str, float], count_name: str = "n", buckets: int = 64) -> DataFrame:
+    """:func:`group_percentiles` of a table of :func:`value_counts` that is cheap to read (it is used four times)."""
+    keys = list(keys)
     cuts = [i / buckets for i in range(1, buckets)]
     split_points, size = F.array_distinct(F.percentile_approx("__v", cuts, 1000)), F.sum("__c")
     if keys:

@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from gavel.functions.exprs import half_even
 from gavel.functions import lexicon as lx
 from gavel.functions.coerce import SQFT_PER_SQM, rooms_label
-from gavel.functions.scale import group_percentiles, null_safe_join, salt_nulls
+from gavel.functions.scale import counted_percentiles, group_percentiles, null_safe_join, salt_nulls, value_counts
 from gavel.operators.aggregates import mode_value, share_of_total
 from gavel.operators.joins import lookup_with_fallback
+from gavel.session import cut_lineage
 
 BUCKET = ["area", "property_type", "bedrooms", "deal_type"]
 MAD_TO_SIGMA = 1.4826
@@ -40,10 +41,13 @@ def mad_outliers(
     Two exact medians per bucket (price, then deviation); smaller buckets are left alone.
     """
     rows = df.filter((F.col(price) > 0) & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    med = group_percentiles(rows, keys, price, {"median": 0.5}, "bucket_n").filter((F.col("bucket_n") >= min_bucket) & (F.col("median") > 0))
-    with_med = null_safe_join(rows, med, keys).withColumn("deviation", F.abs(F.col(price) - F.col("median")))
-    mad = group_percentiles(with_med, keys, "deviation", {"mad": 0.5}, "__n").drop("__n")
-    out = null_safe_join(with_med, mad, keys)
+    prices = cut_lineage(value_counts(rows, keys, price), "prices")
+    med = counted_percentiles(prices, keys, {"median": 0.5}, "bucket_n").filter((F.col("bucket_n") >= min_bucket) & (F.col("median") > 0))
+    med = cut_lineage(med, "medians")  # one row per bucket
+    # deviations come from the counted prices, so the rows are read again only to be flagged
+    moved = null_safe_join(prices, med, keys).groupBy(*keys, F.abs(F.col("__v") - F.col("median")).alias("__v")).agg(F.sum("__c").alias("__c"))
+    mad = counted_percentiles(cut_lineage(moved, "deviations"), keys, {"mad": 0.5}, "__n").drop("__n")
+    out = null_safe_join(rows, null_safe_join(med, mad, keys), keys).withColumn("deviation", F.abs(F.col(price) - F.col("median")))
     is_out = ((F.col("mad") > 0) & (F.col("deviation") > sigma * MAD_TO_SIGMA * F.col("mad"))) | (F.col(price) > hard_high * F.col("median")) | (F.col(price) < hard_low * F.col("median"))
     return out.withColumn("is_outlier", is_out).withColumn("ratio", F.col(price) / F.col("median"))
 

@@ -59,19 +59,20 @@ def fingerprint(url: Column | str) -> Column:
     return F.when(F.length(c) > 0, F.substring(F.sha1(c), 1, 16))
 
 
-def content_hash(text: Column | str) -> Column:
-    """SHA-256 of the lower-cased text without punctuation, blanks collapsed, first 500
-    characters of that key; NULL when fewer than 30 remain."""
+def content_hash(text: Column | str, prefix: int | None = None) -> Column:
+    """SHA-256 of the lower-cased text without punctuation, blanks collapsed; NULL when fewer
+    than 30 characters remain. ``prefix`` hashes only so many characters of that key."""
     c = F.lower(F.col(text) if isinstance(text, str) else text)
     key = F.trim(F.regexp_replace(F.regexp_replace(c, r"[^\p{L}\p{M}\p{N}_\s]", " "), r"\s+", " "))
-    key = F.substring(key, 1, 500)
+    key = key if prefix is None else F.substring(key, 1, prefix)
     return F.when(F.length(key) >= 30, F.sha2(key, 256))
 
 
-def text_signature(text: Column | str) -> Column:
-    """Blank-collapsed first 250 characters, NULL when 50 or fewer."""
+def text_signature(text: Column | str, prefix: int | None = None) -> Column:
+    """Blank-collapsed text, NULL when it has 50 characters or fewer. ``prefix`` looks at only so
+    many characters of the text."""
     c = F.col(text) if isinstance(text, str) else text
-    sig = F.trim(F.regexp_replace(F.substring(c, 1, 250), r"\s+", " "))
+    sig = F.trim(F.regexp_replace(c if prefix is None else F.substring(c, 1, prefix), r"\s+", " "))
     return F.when(F.length(sig) > 50, sig)
 
 

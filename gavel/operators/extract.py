@@ -10,17 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gavel.functions.exprs import bind, half_even
-from gavel.functions import text_rules as tr
+from gavel.functions import text_rules
+from gavel.functions.patterns import compiled, plain_blanks
 from gavel.functions.scale import best_per_key
 from gavel.functions.similarity import fuzzy_pairs
 from gavel.operators.aggregates import mode_value
 from gavel.session import cut_lineage
 
 WIDE = "(?iuU)"
+tr = compiled(text_rules)
+#: A slice length beyond any array.
+TO_THE_END = 2_000_000_000
 
 
 def _c(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
+    return plain_blanks(F.col(x) if isinstance(x, str) else x)
 
 
 def _any(text: Column, patterns: Sequence[str]) -> Column:
@@ -71,12 +75,12 @@ def split_blocks(df: DataFrame, text: str) -> DataFrame:
     numbering; otherwise the message is one block. Consecutive blocks with the same (name, price,
     bedrooms) keep the longer text. Everything happens inside the row.
     """
-    body = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), tr.FORWARDED, ""))
+    body = F.trim(F.regexp_replace(F.coalesce(_c(text), F.lit("")), tr.FORWARDED, ""))
     cut = "\u0001"
     tidy = lambda a, n: F.filter(F.transform(a, lambda x: F.trim(x, F.lit(" \n\t\r"))), lambda x: F.length(x) > n)
     staged = df.withColumn("__b", F.trim(body, F.lit(" \n\t\r")))
     bars = F.split("__b", r"\s*\|\s*")
-    marks = lambda p: F.slice(F.split(F.regexp_replace("__b", p, cut + "$0"), cut), 2, 100_000)
+    marks = lambda p: F.slice(F.split(F.regexp_replace("__b", p, cut + "$0"), cut), 2, TO_THE_END)
     staged = staged.select(
         *df.columns, "__b", bars.alias("__i"), tidy(F.split("__b", tr.SEPARATOR_LINE), 10).alias("__s"), tidy(marks(tr.BLOCK_HEADER), 10).alias("__h"), tidy(marks(tr.NUMBERED), 10).alias("__n"))
     complete = F.forall("__i", lambda p: p.rlike(tr.INLINE_BEDROOMS) & p.rlike(tr.INLINE_PRICE))
@@ -317,7 +321,7 @@ def price_amounts(df: DataFrame, text: str) -> DataFrame:
     t = F.when(t.rlike(tr.NEW_PRICE), F.regexp_replace(t, tr.OLD_PRICE, " ")).otherwise(t)
     t = F.translate(t, tr.HOMOGLYPHS_FROM, tr.HOMOGLYPHS_TO)
     t = reduce(lambda x, r: F.regexp_replace(x, r[0], r[1]), tr.THOUSANDS, t)
-    cleaned = df.withColumn("__t", t).withColumn("__m", F.regexp_extract(monthly, r"([\d][\d,.]*)", 1)).withColumn("__plan", F.col(text).rlike(tr.PAYMENT_PLAN))
+    cleaned = df.withColumn("__t", t).withColumn("__m", F.regexp_extract(monthly, r"([\d][\d,.]*)", 1)).withColumn("__plan", _c(text).rlike(tr.PAYMENT_PLAN))
 
     one = lambda p: F.array(F.regexp_extract("__t", p, 1))
     every = lambda p: F.regexp_extract_all("__t", F.lit(p), 1)
@@ -353,16 +357,17 @@ def _name_key(col: Column | str) -> Column:
     return F.trim(F.regexp_replace(F.lower(_c(col)), r"[^\p{L}\p{N}]+", " "))
 
 
-def name_hits(docs: DataFrame, doc_id: str, text: str, names: DataFrame, max_words: int = 5) -> DataFrame:
+def name_hits(docs: DataFrame, doc_id: str, text: str, names: DataFrame) -> DataFrame:
     """Known names inside texts (whole words, case-blind): (doc_id, key). ``names`` has ``key``.
 
-    Runs of up to ``max_words`` words are looked up in the dictionary by an equi-join; texts with
+    Runs of as many words as some name has are looked up in the dictionary by an equi-join; texts with
     no hit leave nothing behind and the text itself is not shuffled.
     """
-    words = docs.select(doc_id, F.split(_name_key(text), " ").alias("w"))
+    lengths = names.agg(F.array_sort(F.collect_set(F.size(F.split("key", " "))))).scalar()
+    words = docs.select(doc_id, F.split(_name_key(text), " ").alias("w"), lengths.alias("lengths"))
     n = F.size("w")
-    runs = lambda k: F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(k)), " "))
-    every = F.array_distinct(F.concat(*[runs(k) for k in range(1, max_words + 1)]))
+    runs = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
+    every = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda k: k <= n), runs)))
     return words.select(doc_id, F.explode(every).alias("key")).join(names.select("key").distinct(), "key").select(doc_id, "key")
 
 
@@ -383,10 +388,11 @@ def area_match(docs: DataFrame, doc_id: str, text: str, areas: DataFrame, fallba
     return best_per_key(direct.unionByName(region), [doc_id], [F.col("stage"), F.length("area").desc(), F.col("area"), F.col("confidence").desc()]).drop("stage")
 
 
-def building_match(docs: DataFrame, doc_id: str, text: str, buildings: DataFrame, fuzzy_cutoff: float = 75) -> DataFrame:
+def building_match(docs: DataFrame, doc_id: str, text: str, buildings: DataFrame, fuzzy_cutoff: float = 75, line_chars: tuple[int, int] = (4, 80)) -> DataFrame:
     """Building per text: known name .95, alias .90, fuzzy line .82, wording hint .60.
 
-    A name counts only if it occurs at least once outside a view or near-by reference.
+    A name counts only if it occurs at least once outside a view or near-by reference. Lines outside
+    ``line_chars`` characters are not tried for a fuzzy name: that rule belongs to the cascade.
     ``buildings``: building, area, emirate, alias (one row per spelling, the name included).
     """
     b = buildings.withColumn("key", _name_key("alias")).withColumn("stage", F.when(_name_key("alias") == _name_key("building"), 1).otherwise(2))
@@ -399,7 +405,7 @@ def building_match(docs: DataFrame, doc_id: str, text: str, buildings: DataFrame
     judged = cut_lineage(judged, "mentions")  # few rows, used three times: the texts are read once for them
     real = judged.filter("is_real").drop("is_real")
     rest = docs.select(doc_id, text).join(real.select(doc_id).distinct(), doc_id, "left_anti")
-    pieces = rest.select(doc_id, F.explode(F.array_distinct(F.split(text, r"[|,·\n]|\s-\s"))).alias("line")).withColumn("line", F.trim("line")).filter(F.length("line").between(4, 80))
+    pieces = rest.select(doc_id, F.explode(F.array_distinct(F.split(text, r"[|,·\n]|\s-\s"))).alias("line")).withColumn("line", F.trim("line")).filter(F.length("line").between(*line_chars))
     lines = cut_lineage(pieces.select(doc_id, F.lower("line").alias("low")), "lines")
     spellings = b.select(F.lower(F.trim("alias")).alias("name")).distinct()
     near = fuzzy_pairs(lines, "low", spellings, "name", fuzzy_cutoff).select(F.col("a").alias("low"), F.col("b").alias("name"), "score")

@@ -127,7 +127,9 @@ def saved_search_predicate(filters: Mapping[str, Any]) -> Column:
     return reduce(lambda a, b: a & b, conds, F.lit(True))
 
 
-def saved_search_matches(df: DataFrame, filters: Mapping[str, Any], last_seen_max_id: int = 0, limit: int = 50) -> DataFrame:
-    """Rows newer than the cursor that satisfy a stored search, newest first."""
+def saved_search_matches(df: DataFrame, filters: Mapping[str, Any], last_seen_max_id: int = 0, limit: int | None = None) -> DataFrame:
+    """Rows newer than the cursor that satisfy a stored search; with ``limit`` only the newest ones, newest
+    first (the caller then moves the cursor no further than what was delivered)."""
     fresh = _searchable(df, ["is_audit", "is_frozen"]).filter(F.col("id") > last_seen_max_id)
-    return fresh.filter(saved_search_predicate(filters)).orderBy(F.col("id").desc()).limit(limit)
+    found = fresh.filter(saved_search_predicate(filters))
+    return found if limit is None else found.orderBy(F.col("id").desc()).limit(limit)

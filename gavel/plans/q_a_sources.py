@@ -57,7 +57,7 @@ def q_incremental_scan(spark, d):
             .alias("stored_offset"),
         )
     )
-    return incremental_scan(docs, state, "source", "doc_id").select("doc_id", "source")
+    return incremental_scan(docs, state, "source", "doc_id", max_offset=10_000_000).select("doc_id", "source")
 
 
 _UPSERT_BASE = """

@@ -174,7 +174,7 @@ def q_listing_filter(spark, d):
 
 @query("saved_search_predicate", f"""WITH {LISTINGS}
 SELECT id, area, price FROM listings WHERE id > 200 AND deal_type = 'sale' AND lower(property_type) = 'building' AND bedrooms >= 1 AND bedrooms <= 3
-  AND price >= 20000 AND price <= 480000 ORDER BY id DESC LIMIT 50""")
+  AND price >= 20000 AND price <= 480000""")
 def q_saved_search(spark, d):
     f = {"deal_type": "sale", "property_type": "BUILDING", "br_min": 1, "br_max": 3, "price_min": 20000, "max_price": 480000}
     return saved_search_matches(listings(spark, d), f, 200).select("id", "area", "price")

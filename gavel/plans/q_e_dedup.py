@@ -28,6 +28,15 @@ def q_dedup_broker(spark, d):
     return dd.flag_repeats(rows, ["broker", "deal_type", "property_type", "area", "bedrooms", "price"], "id").select("id", "keep_id", "is_dup")
 
 
+@query("dedup_exact_contact", f"""WITH {LISTINGS}, {_COARSE}, c AS (SELECT coarse.*, seller AS phone FROM coarse JOIN listings USING (id) WHERE seller IS NOT NULL AND coarse.building IS NOT NULL),
+r AS (SELECT id, row_number() OVER (PARTITION BY phone, building, price ORDER BY id DESC) AS rn, max(id) OVER (PARTITION BY phone, building, price) AS keep_id FROM c)
+SELECT id, keep_id, rn > 1 AS is_dup FROM r""")
+def q_dedup_contact(spark, d):
+    rows = listings(spark, d).filter(F.col("seller").isNotNull() & F.col("building").isNotNull())
+    keyed = rows.select("id", F.col("seller").alias("phone"), "building", (F.floor(F.col("price") / 25000) * 25000).cast("bigint").alias("price"))
+    return dd.flag_repeats(keyed, ["phone", "building", "price"], "id").select("id", "keep_id", "is_dup")
+
+
 @query("dedup_exact_text", """
 WITH r AS (SELECT doc_id AS id, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id DESC) AS rn, max(doc_id) OVER (PARTITION BY md5(text)) AS keep_id FROM documents WHERE length(text) > 100)
 SELECT id, keep_id, rn > 1 AS is_dup FROM r""")
@@ -65,7 +74,7 @@ def q_fingerprint(spark, d):
 
 
 @query("content_hash", """
-WITH k AS (SELECT doc_id, left(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), 500) AS s FROM documents)
+WITH k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM documents)
 SELECT doc_id, CASE WHEN length(s) >= 30 THEN sha256(s) END AS content_hash FROM k""")
 def q_content_hash(spark, d):
     return load_table(spark, d, "documents").select("doc_id", dd.content_hash("text").alias("content_hash"))
@@ -120,7 +129,7 @@ def q_cross_source_losers(spark, d):
 
 
 _CASCADE = """m AS (SELECT doc_id AS id, source, lang, n_chars, CASE WHEN n_chars > 60 THEN md5(text) END AS s1, source || '/' || n_chars AS s2,
-  CASE WHEN length(trim(regexp_replace(left(text, 250), '\\s+', ' ', 'g'))) > 50 THEN trim(regexp_replace(left(text, 250), '\\s+', ' ', 'g')) END AS s3,
+  CASE WHEN length(trim(regexp_replace(text, '\\s+', ' ', 'g'))) > 50 THEN trim(regexp_replace(text, '\\s+', ' ', 'g')) END AS s3,
   CASE WHEN lang <> 'en' THEN lang || '/' || CAST(n_chars // 3 AS VARCHAR) END AS s4 FROM documents),
 batch AS (SELECT * FROM m WHERE source LIKE '%1%'), store AS (SELECT * FROM m WHERE source NOT LIKE '%1%')"""
 

@@ -32,7 +32,7 @@ def q_stream_health(spark, d):
     return out.select("bot_name", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "total", "successes", "empties", "errors", "success_rate_pct")
 
 
-@query("stream_dedup", """WITH k AS (SELECT left(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')), 500) AS s FROM documents) SELECT DISTINCT sha256(s) AS content_hash FROM k WHERE length(s) >= 30""")
+@query("stream_dedup", """WITH k AS (SELECT trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM documents) SELECT DISTINCT sha256(s) AS content_hash FROM k WHERE length(s) >= 30""")
 def q_stream_dedup(spark, d):
     docs = read_stream(spark, d, "documents").withColumn("ts", F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 45))
     return drain_append(jobs.dedup_stream(docs, content_hash("text"), "content_hash").select("content_hash"), "dedup")

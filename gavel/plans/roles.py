@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.functions.scale import spread_small_input
+from gavel.functions.scale import spread
 from gavel.sources.tables import load_table
 
 AS_OF = "2001-08-01"  # the reference date of all trailing windows over orders and lineitem
@@ -132,7 +132,7 @@ MESSAGES = """messages AS (
 
 def adverts(spark: SparkSession, d: str) -> DataFrame:
     """Listings written out as advert texts in five styles, one per quality label."""
-    l = spread_small_input(listings(spark, d), "id")
+    l = spread(listings(spark, d), "id")
     br, q = F.col("bedrooms"), F.col("deal_quality")
     n = lambda c: c.cast("string")
     sale, rent = (F.col("price") * 10).cast("bigint"), (F.col("price") / 4).cast("bigint") + 20000

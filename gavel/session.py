@@ -29,11 +29,13 @@ def get_session(app_name: str = "gavel", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (tests on one machine) a temporary folder is made.
+    Only on one machine (a local master, as in tests) a temporary folder is made where none is named.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     fallback = os.environ.get("GAVEL_LOCAL_DIR")
     if not fallback:
         fallback = tempfile.mkdtemp(prefix="spark-gavel-")

@@ -45,18 +45,20 @@ def incremental_scan(
     stored_offset: str = "stored_offset",
     loaded_max: str = "loaded_max",
     max_lead: int = 500_000,
-    max_offset: int = 10_000_000,
+    max_offset: int | None = None,
 ) -> DataFrame:
     """Rows newer than what is loaded, per source.
 
     ``state`` has one row per source: the highest loaded id (``loaded_max``) and the offset
     the sync log remembers. An offset that runs more than ``max_lead`` ahead of the data, or
-    beyond ``max_offset``, is ignored in favour of the data. Sources without state are read
+    beyond ``max_offset`` (none by default), is ignored in favour of the data. Sources without state are read
     from the start.
     """
     real = F.coalesce(F.col(loaded_max), F.lit(0))
     log = F.coalesce(F.col(stored_offset), F.lit(0))
-    wrong = ((real > 0) & (log > real + max_lead)) | (log > max_offset)
+    wrong = (real > 0) & (log > real + max_lead)
+    if max_offset is not None:
+        wrong = wrong | (log > max_offset)
     floor = state.select(source, F.greatest(real, F.when(wrong, real).otherwise(log)).alias("__min_id"))
     return (
         df.join(floor, source, "left")

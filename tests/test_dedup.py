@@ -94,3 +94,21 @@ def test_upsert_null_key_and_policies(spark):
     assert read("keep_first") == {(1, "a"), (None, "n"), (2, None), (3, "c")}
     assert read("prefer_new") == {(1, "a"), (None, "N"), (2, "b"), (3, "c")}
     assert read("prefer_old") == {(1, "a"), (None, "n"), (2, "b"), (3, "c")}
+
+
+def test_whole_texts_are_compared(spark):
+    """Texts that share their first 500 characters are no copies, unless a prefix is asked for."""
+    from gavel.operators import dedup as dd
+
+    head = "same words again " * 40
+    df = spark.createDataFrame([(head + "one",), (head + "two",)], "t string")
+    assert df.select(dd.content_hash("t")).distinct().count() == 2 and df.select(dd.content_hash("t", 500)).distinct().count() == 1
+    assert df.select(dd.text_signature("t")).distinct().count() == 2 and df.select(dd.text_signature("t", 250)).distinct().count() == 1
+
+
+def test_offsets_beyond_ten_million(spark):
+    from gavel.sources.tables import incremental_scan
+
+    rows = spark.createDataFrame([("s", 20_000_000), ("s", 20_000_009)], "source string, id long")
+    state = spark.createDataFrame([("s", 20_000_000, 20_000_005)], "source string, loaded_max long, stored_offset long")
+    assert [r.id for r in incremental_scan(rows, state, "source", "id").collect()] == [20_000_009]

@@ -86,3 +86,19 @@ def test_handover_and_off_plan(spark):
 
 def test_literal_columns_work(spark):
     assert spark.range(1).select(ex.view(F.lit("full sea view"))).first()[0] == "sea"
+
+
+def test_blanks_and_case_of_every_script(spark):
+    price = lambda t: ex.price_amounts(spark.createDataFrame([(t,)], "t string"), "t").first().price
+    assert price("Price: 1\u00a0200\u00a0000 AED") == price("Price: 1 200 000 AED") == 1_200_000
+    assert price("Телефон: 33 44 5566778") == price("телефон: 33 44 5566778")
+    row = spark.createDataFrame([("2\u00a0BR, 1,200\u202fsqft",)], "t string").select(ex.bedrooms("t").alias("b"), ex.clean_text("t").alias("c")).first()
+    assert row.b == 2 and row.c == "2 BR, 1,200 sqft"
+
+
+def test_names_of_any_length_and_late_blocks(spark):
+    long = "The Grand Old Harbour View Residence Number Eight"
+    names = spark.createDataFrame([(long, "A", "X", long), ("Short Tower", "A", "X", "Short Tower")], "building string, area string, emirate string, alias string")
+    docs = spark.createDataFrame([(1, f"2BR in {long}, high floor"), (2, "2BR in Short Tower"), (3, "x")], "id int, text string")
+    got = {r.id: r.building for r in ex.building_match(docs, "id", "text", names).collect()}
+    assert got[1] == long and got[2] == "Short Tower"
