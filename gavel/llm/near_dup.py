@@ -6,10 +6,10 @@ chunk is indexed once for each way to leave out ``errors`` of its symbols, and a
 distance meet in some bucket.
 
 A bucket never emits all its pairs. First every member meets the bucket's smallest id; confirmed
-links are merged to components; then only members of different components of a bucket meet, and of these
-only pairs that can be similar: shingles that no other such document has bound a document's similarity to
-anyone from above. Links between members of one component would add nothing, so no connection is
-lost. Documents with the same shingle set are one class from the start and take part as one.
+links are merged to components. Where a bucket then still has several components, its members meet the one
+with the fewest shingles of its own, and finally those members of different components that share one of their
+rarest shingles, as all pairs of the wanted similarity do. Links between members of one component would add
+nothing, so no connection is lost. Documents with the same shingle set are one class from the start.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,18 +103,31 @@ def chunk_keys(classes: DataFrame, chunks: int, width: int, errors: int) -> Data
     return classes.select("rep", "signature").mapInArrow(run, schema).select(F.explode("keys").alias("key"), "rep")
 
 
-def own_shingles(texts: DataFrame, words: int) -> DataFrame:
-    """(rep, u): how many shingles of a text occur in none of the others; none is left out."""
-    schema = T.StructType([T.StructField("id", texts.schema["id"].dataType), T.StructField("hashes", T.ArrayType(T.LongType()))])
+def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
+    """(rep, hash): the shingles of every text."""
+    schema = T.StructType([T.StructField("rep", texts.schema["id"].dataType), T.StructField("hashes", T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_pieces(batches, "text"):
             hashes, first = shingles(data, offsets, words)
             yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(hashes.view(np.int64)))], schema.names)
 
-    each = texts.select("id", "text").mapInArrow(run, schema).select("id", F.explode("hashes").alias("hash"))
-    single = each.groupBy("hash").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")).filter("n = 1")
-    return single.groupBy("rep").agg(F.count(F.lit(1)).alias("u"))
+    return texts.select("id", "text").mapInArrow(run, schema).select("rep", F.explode("hashes").alias("hash"))
+
+
+def rare_shingle_pairs(rare: DataFrame, placed: DataFrame, per_cent: int) -> DataFrame:
+    """Pairs (a, b) of different components that share one of their rarest shingles.
+
+    ``rare`` (rep, n, hash): of a text with n shingles the n - ceil(per_cent % of n) + 1 rarest. Texts that are similar
+    enough share at least one of these, in any fixed order of all shingles.
+    """
+    rows = rare.join(placed, "rep")
+    open_ = rows.groupBy("hash").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).filter("__lo < __hi").select("hash")
+    rows = keep(rows.join(open_, "hash"), "rare")
+    left = rows.select("hash", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
+    right = rows.select(F.col("hash").alias("hb"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
+    possible = F.expr(f"ca < cb AND 100 * na >= {per_cent} * nb AND 100 * nb >= {per_cent} * na")
+    return left.join(right, (F.col("hash") == F.col("hb")) & possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def within_distance(pairs: DataFrame, classes: DataFrame, distance: int) -> DataFrame:
@@ -201,26 +214,32 @@ def near_duplicates(
     links = keep(confirm(stars, texts, words, per_cent), "links")
     found = keep(components(links), "components")
 
-    # members of one bucket that are still apart; all others are connected already
+    # who shares a bucket with another component; all others are connected already
     placed = buckets.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
     open_keys = placed.groupBy("key").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).filter("__lo < __hi").select("key")
     apart = keep(placed.join(open_keys, "key"), "apart")
-    sized = apart.select("rep").distinct().join(classes.select("rep", "n_shingles"), "rep")
-    own = own_shingles(keep(_texts_of(source, sized.select(F.col("rep").alias("id"))), "texts"), words)
-    # n shingles, u of them in no other document that is still apart: a partner with m shingles shares at most
-    # n - u, and has a union of at least m + u with it; who can reach the similarity with nobody takes no part
-    sized = sized.join(own, "rep", "left").select("rep", F.col("n_shingles").alias("n"), F.coalesce("u", F.lit(0)).alias("u"))
-    sized = keep(sized.filter(F.expr(f"100 * (n - u) >= {per_cent} * (ceil({per_cent} * n / 100.0) + u)")), "sized")
-    open_rows = apart.join(sized, "rep")
-    left = open_rows.select("key", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("u").alias("ua"))
-    right = open_rows.select(F.col("key").alias("kb"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("u").alias("ub"))
-    possible = F.expr(f"ca < cb AND 100 * (na - ua) >= {per_cent} * (nb + ua) AND 100 * (nb - ub) >= {per_cent} * (na + ub)")
-    cross = left.join(right, (F.col("key") == F.col("kb")) & possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    cross = cross.join(stars, ["a", "b"], "left_anti")
-    cross = keep(within_distance(cross, classes, distance), "cross")
-    members = cross.select(F.col("a").alias("id")).unionByName(cross.select(F.col("b").alias("id"))).distinct()
-    more = confirm(cross, keep(_texts_of(source, members), "texts"), words, per_cent)
-    found = components(links.unionByName(more))
+    sized = apart.select("rep").distinct().join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
+    texts = keep(_texts_of(source, sized.select(F.col("rep").alias("id"))), "texts")
+    each = shingle_rows(texts, words)
+    counted = each.join(each.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")), "hash").join(sized, "rep")
+    rank = F.row_number().over(Window.partitionBy("rep").orderBy("texts", "hash"))
+    rare = counted.withColumn("__rank", rank).filter(F.expr(f"__rank <= n - ({per_cent} * n + 99) DIV 100 + 1")).select("rep", "n", "hash", "texts")
+    rare = keep(rare, "rare")
+
+    # a second star per bucket, around the member with the fewest shingles of its own: the centre of a cloud
+    own = rare.groupBy("rep").agg(F.count_if(F.col("texts") == 1).alias("own"))
+    centred = apart.join(own, "rep")
+    centres = centred.groupBy("key").agg(F.min(F.struct("own", "rep", "component")).alias("c"))
+    pairs = centred.join(centres, "key").filter("component <> c.component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+    second = keep(within_distance(pairs.join(stars, ["a", "b"], "left_anti"), classes, distance), "stars")
+    links = keep(links.unionByName(confirm(second, texts, words, per_cent)), "links")
+    found = keep(components(links), "components")
+
+    # what is still apart and similar shares a rare shingle
+    placed = apart.select("rep").distinct().join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
+    cross = rare_shingle_pairs(rare.filter("texts > 1").select("rep", "n", "hash"), placed, per_cent)
+    cross = keep(cross.join(stars.unionByName(second), ["a", "b"], "left_anti"), "cross")
+    found = components(links.unionByName(confirm(cross, texts, words, per_cent)))
 
     placed = classes.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("set_a", "set_b", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     linked = full.join(placed, ["set_a", "set_b", "n_shingles"], "left").select("id", "n_shingles", "component_id")
