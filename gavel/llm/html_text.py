@@ -44,6 +44,8 @@ ASIDE_WORDS = re.compile(
 #: An end tag may be missing: the element ends where one of these begins.
 CLOSED_BY = {"p": BLOCK - {"html", "body"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Parts into which the pages of one host are split.
+SALTS = 64
 #: What a page's own best container must not exceed the winning path's text by.
 GOOD_PART = 0.5
 
@@ -208,8 +210,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", text
     Rows are neither dropped nor merged. A column that is called as ``text_col`` is replaced; others pass through.
     """
     rest = [c for c in pages.columns if c not in (html_col, text_col)]
-    winners = host_paths(pages, url_col, html_col).withColumnRenamed("host", "__host")
-    joined = pages.select(*rest, F.coalesce(F.col(html_col), F.lit("")).alias("__html"), host_of(F.col(url_col)).alias("__host")).join(winners, "__host", "left")
+    # pages of a crowded host are spread over salts; the one row of every host is repeated for each
+    winners = host_paths(pages, url_col, html_col).select(F.col("host").alias("__host"), "winner", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
+    salt = F.pmod(F.xxhash64(F.col(url_col), F.col(html_col)), F.lit(SALTS)).cast("int")
+    salted = pages.select(*rest, F.coalesce(F.col(html_col), F.lit("")).alias("__html"), host_of(F.col(url_col)).alias("__host"), salt.alias("__salt"))
+    joined = salted.join(winners, ["__host", "__salt"], "left")
     schema = T.StructType([*(pages.schema[c] for c in rest), T.StructField(text_col, T.StringType())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
