@@ -95,26 +95,25 @@ def l2_distance(a: Column, b: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x))
 
 
-MAX_QUERY_BATCH = 4096
-
-
-def vector_topk(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", max_batch: int = MAX_QUERY_BATCH) -> DataFrame:
+def vector_topk(queries: DataFrame, items: DataFrame, k: int, metric: str = "cosine", block: int = 4096) -> DataFrame:
     """Nearest items per query vector. ``queries``: qid, qvec; ``items``: id, vec.
 
-    The query batch is a request, so it travels as one array value to every scan task (its size
-    is checked); items never move: each task scores its rows and keeps k per query before the
-    shuffle (window group limit).
+    Queries go through in blocks of about ``block`` (dealt by hash): a block travels as one array value to every
+    scan task; items never move. Each task scores its rows and keeps k per query before the shuffle
+    (window group limit).
     """
-    batch = queries.limit(max_batch + 1).agg(F.collect_list(F.struct("qid", "qvec")).alias("b"))
-    checked = batch.select(F.when(F.size("b") > max_batch, F.raise_error(F.lit("query batch too large; split it"))).otherwise(F.col("b"))).scalar()
-    pairs = items.filter(F.col("vec").isNotNull()).select("id", "vec", F.explode(checked).alias("q")).select("id", "vec", "q.qid", "q.qvec")
-    if metric == "cosine":
-        scored = pairs.withColumn("score", cosine(F.col("vec"), F.col("qvec")))
-        order = F.col("score").desc_nulls_last()
-    else:
-        scored = pairs.withColumn("score", l2_distance(F.col("vec"), F.col("qvec")))
-        order = F.col("score").asc_nulls_last()
-    return top_n(scored.select("qid", "id", "score"), ["qid"], [order, F.col("id")], k, "position")
+    blocks = max(1, -(-queries.count() // block))
+    wanted = items.filter(F.col("vec").isNotNull())
+    scored = None
+    for number in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == number) if blocks > 1 else queries
+        batch = own.agg(F.collect_list(F.struct("qid", "qvec")).alias("b")).scalar()
+        pairs = wanted.select("id", "vec", F.explode(batch).alias("q")).select("id", "vec", "q.qid", "q.qvec")
+        measure = cosine(F.col("vec"), F.col("qvec")) if metric == "cosine" else l2_distance(F.col("vec"), F.col("qvec"))
+        part = pairs.select("qid", "id", measure.alias("score"))
+        scored = part if scored is None else scored.unionByName(part)
+    order = F.col("score").desc_nulls_last() if metric == "cosine" else F.col("score").asc_nulls_last()
+    return top_n(scored, ["qid"], [order, F.col("id")], k, "position")
 
 
 def hash_embedding(docs: DataFrame, text: str, doc_id: str, dim: int = 256, n: int = 3) -> DataFrame:
@@ -134,14 +133,15 @@ def hash_embedding(docs: DataFrame, text: str, doc_id: str, dim: int = 256, n: i
 
 
 def text_cluster(docs: DataFrame, text: str, doc_id: str, k: int = 10, features: int = 512, seed: int = 42) -> DataFrame:
-    """Cluster id per text: TF-IDF of words and word pairs, k-means|| with k = min(k, n/4)."""
+    """Cluster id per text: TF-IDF of words and word pairs, k-means|| with ``k`` clusters; fewer texts than that are an error."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
     pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.try_element_at("w", i + 2)))
     rows = docs.select(doc_id, words.alias("w")).withColumn("terms", F.concat("w", pairs))
     tf = HashingTF(inputCol="terms", outputCol="tf", numFeatures=features).transform(rows)
     weighted = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
-    count = docs.count()
-    model = KMeans(k=max(2, min(k, max(2, count // 4))), seed=seed, maxIter=25, featuresCol="features", predictionCol="cluster_id").fit(weighted)
+    if docs.limit(k).count() < k:
+        raise ValueError(f"fewer than {k} texts cannot make {k} clusters")
+    model = KMeans(k=k, seed=seed, maxIter=25, featuresCol="features", predictionCol="cluster_id").fit(weighted)
     return model.transform(weighted).select(doc_id, "cluster_id")
 
 

@@ -112,3 +112,13 @@ def test_offsets_beyond_ten_million(spark):
     rows = spark.createDataFrame([("s", 20_000_000), ("s", 20_000_009)], "source string, id long")
     state = spark.createDataFrame([("s", 20_000_000, 20_000_005)], "source string, loaded_max long, stored_offset long")
     assert [r.id for r in incremental_scan(rows, state, "source", "id").collect()] == [20_000_009]
+
+
+def test_vector_queries_in_blocks(spark):
+    """More query vectors than one block holds."""
+    from gavel.operators.search import vector_topk
+
+    items = spark.range(200).selectExpr("id", "array(cos(id), sin(id)) AS vec")
+    asked = spark.range(500).selectExpr("id AS qid", "array(cos(id / 3), sin(id / 3)) AS qvec")
+    key = lambda df: sorted((r.qid, r.id, r.position) for r in df.collect())
+    assert key(vector_topk(asked, items, 2, block=60)) == key(vector_topk(asked, items, 2)) and len(key(vector_topk(asked, items, 2))) == 1000
