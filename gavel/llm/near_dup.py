@@ -209,8 +209,8 @@ def near_duplicates(
     stars = buckets.filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     stars = keep(within_distance(stars, classes, distance), "stars")
     source = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    members = stars.select(F.col("a").alias("id")).unionByName(stars.select(F.col("b").alias("id"))).distinct()
-    texts = keep(_texts_of(source, members), "texts")
+    # the texts are shuffled once, for all steps: only those of documents that share a bucket go on
+    texts = keep(_texts_of(source, buckets.select(F.col("rep").alias("id")).distinct()), "texts")
     links = keep(confirm(stars, texts, words, per_cent), "links")
     found = keep(components(links), "components")
 
@@ -219,8 +219,7 @@ def near_duplicates(
     open_keys = placed.groupBy("key").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).filter("__lo < __hi").select("key")
     apart = keep(placed.join(open_keys, "key"), "apart")
     sized = apart.select("rep").distinct().join(classes.select("rep", F.col("n_shingles").alias("n")), "rep")
-    texts = keep(_texts_of(source, sized.select(F.col("rep").alias("id"))), "texts")
-    each = shingle_rows(texts, words)
+    each = shingle_rows(texts.join(sized.select(F.col("rep").alias("id")), "id", "left_semi"), words)
     counted = each.join(each.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")), "hash").join(sized, "rep")
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("texts", "hash"))
     rare = counted.withColumn("__rank", rank).filter(F.expr(f"__rank <= n - ({per_cent} * n + 99) DIV 100 + 1")).select("rep", "n", "hash", "texts")
