@@ -110,23 +110,25 @@ def _segments(text: str) -> set[str]:
     return out
 
 
-def frequent_segments(texts: list[str], least: float, slots: int = 1 << 22) -> tuple[Counter, list[set[str]]]:
-    """Segments in at least ``least`` texts with their number of texts, and each text's own ones.
+def frequent_segments(texts: list[str], least: float, slots: int = 1 << 22) -> dict[str, int]:
+    """Segments in at least ``least`` texts with their number of texts.
 
     Rare segments, nearly all of them, are sifted out by counts per hash slot before any is kept.
     """
     rough = np.zeros(slots, np.int32)
     for text in texts:
         rough[np.unique(np.fromiter((hash(s) % slots for s in _segments(text)), np.int64))] += 1
-    sets = [{s for s in _segments(text) if rough[hash(s) % slots] >= least} for text in texts]
-    counts = Counter(s for found in sets for s in found)
-    return Counter({s: k for s, k in counts.items() if k >= least}), sets
+    counts: Counter = Counter()
+    for text in texts:
+        counts.update(s for s in _segments(text) if rough[hash(s) % slots] >= least)
+    return {s: k for s, k in counts.items() if k >= least}
 
 
 def choose_segments(own: list[str], other: list[str], least_share: float = 0.008, least_ratio: float = 6.0) -> list[str]:
-    """Characteristic segments of the texts ``own`` against ``other``; see the module's text."""
+    """Characteristic segments of the texts ``own`` against ``other``; see the module's text. The texts are gone
+    through again for every step, so nothing but what is frequent is held."""
     least = max(3.0, least_share * len(own))
-    common, sets = frequent_segments(own, least)
+    common = frequent_segments(own, least)
     against = Counter(s for text in other for s in _segments(text) if s in common)
     worth = {}
     for s, k in common.items():
@@ -134,8 +136,8 @@ def choose_segments(own: list[str], other: list[str], least_share: float = 0.008
         if ratio >= least_ratio:
             worth[s] = np.log(min(ratio, 200.0)) * (1 + 0.02 * len(s))
     where = defaultdict(list)
-    for i, found in enumerate(sets):
-        for s in found:
+    for i, text in enumerate(own):
+        for s in _segments(text):
             if s in worth:
                 where[s].append(i)
     places = {s: np.array(i) for s, i in where.items()}
@@ -185,7 +187,7 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1
     return centre, scale, beta
 
 
-def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 3000) -> ToxicityModel:
+def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", sample_rows: int = 1500) -> ToxicityModel:
     """Learn from the labelled rows outside the held-out fold, at most ``sample_rows`` of each class.
 
     An id with several labels takes the largest; null labels, ids and texts are not learnt from.
