@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Values that a task gathers before it ships them, and the values of an average bucket.
-GATHERED, BUCKET_VALUES = 1 << 21, 1_500_000
+GATHERED, BUCKET_VALUES = 1 << 21, 2_000_000
 
 SHIPPED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("payload", T.BinaryType())])
 PLACES = T.StructType([T.StructField("row", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("places", T.BinaryType())])
@@ -106,18 +106,26 @@ def shipped(values: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 INDEX, PROBE = 0, 1
 
 
-def match_earlier(packed: DataFrame, index_too: bool) -> DataFrame:
+def match_earlier(packed: DataFrame, index_too: bool, index_step: int = 0) -> DataFrame:
     """Places of probes whose hash is indexed under a smaller id, and (``index_too``) places of
-    index values whose hash is probed under a larger one: (row, kind, places)."""
+    index values whose hash is probed under a larger one: (row, kind, places).
+
+    With ``index_step`` nothing is shipped as an index: the probes at multiples of it in their row are the index.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         parts = {INDEX: [], PROBE: []}
         for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload")):
             parts[kind].append(unpack(payload.as_py()))
         empty = {"row": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "places": pa.array([], pa.binary())}
-        if not parts[INDEX] or not parts[PROBE]:
+        if not parts[PROBE] or not (parts[INDEX] or index_step):
             return pa.table(empty)
-        sides = {k: [np.concatenate(c) for c in zip(*v)] for k, v in parts.items()}
+        sides = {k: [np.concatenate(c) for c in zip(*v)] for k, v in parts.items() if v}
+        if index_step:
+            fixed = sides[PROBE][1] % index_step == 0
+            sides[INDEX] = [c[fixed] for c in sides[PROBE]]
+            if not fixed.any():
+                return pa.table(empty)
         del parts
         out_rows, out_kind, out_places = [], [], []
         for kind, other, best in ((PROBE, INDEX, np.minimum), *([(INDEX, PROBE, np.maximum)] if index_too else [])):

@@ -4,7 +4,7 @@ A window is ``window`` consecutive words. Wherever a text repeats a window of an
 window contains one of that document's non-overlapping blocks of ``(window + 1) // 2`` words.
 
 1. Blocks of every document are indexed; every rolling run of that many words of every document probes
-   them. What is hit under a smaller id, and the blocks that were hit, are anchors.
+   them (blocks are runs as well, so they travel with the probes). What is hit under a smaller id, and the blocks that were hit, are anchors.
 2. Anchors are extended: the windows around a hit probe are compared, as whole word sequences by a
    64-bit hash, with the windows around the hit blocks. Overlapping windows unite to maximal repeats.
 
@@ -38,11 +38,11 @@ def _ids(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rows.column(0).to_numpy(), rows.column(1).fill_null(0).to_numpy(), rows.column(1).is_valid().to_numpy(zero_copy_only=False)
 
 
-def _emit(gatherers: list[Gatherer], values: Iterator) -> Iterator[pa.RecordBatch]:
+def _emit(gatherers: dict[int, Gatherer], values: Iterator) -> Iterator[pa.RecordBatch]:
     for which, *args in values:
         if out := list(gatherers[which].add(*args)):
             yield shipped(out)
-    for g in gatherers:
+    for g in gatherers.values():
         if out := list(g.ship()):
             yield shipped(out)
 
@@ -60,12 +60,9 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
                 words = Words(data, offsets)
                 at, hashes = word_windows(words, block)
                 at, hashes = at[named[words.doc[at]]], hashes[named[words.doc[at]]]
-                total = len(words.start)
-                fixed = (at - words.first[words.doc[at]]) % block == 0
-                yield INDEX, hashes[fixed], at[fixed], row, ident, words.first[:-1], total
-                yield PROBE, hashes, at, row, ident, words.first[:-1], total
+                yield PROBE, hashes, at, row, ident, words.first[:-1], len(words.start)
 
-        yield from _emit([Gatherer(INDEX, buckets, bits), Gatherer(PROBE, buckets, bits)], values())
+        yield from _emit({PROBE: Gatherer(PROBE, buckets, bits)}, values())
 
     def extensions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def values():
@@ -81,9 +78,9 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
                     start = start[start + window <= words.first[words.doc[start] + 1]]
                     yield kind, word_runs(words, start, start + window), start, row, ident, words.first[:-1], total
 
-        yield from _emit([Gatherer(INDEX, buckets), Gatherer(PROBE, buckets)], values())
+        yield from _emit({k: Gatherer(k, buckets) for k in (INDEX, PROBE)}, values())
 
-    hits = by_row(match_earlier(docs.mapInArrow(anchors, SHIPPED), index_too=True))
+    hits = by_row(match_earlier(docs.mapInArrow(anchors, SHIPPED), index_too=True, index_step=block))
     around = docs.join(hits, "__row").select("__row", "__id", "__text", "__found")
     return by_row(match_earlier(around.mapInArrow(extensions, SHIPPED), index_too=False))
 
@@ -98,8 +95,11 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """
     text = F.coalesce(docs[text_col], F.lit(""))
     given = docs.select(docs[id_col].cast("long").alias("__id"), text.alias("__text"))
-    # equal rows have equal results, so a hash of id and text names a row
-    rows = given.select(F.xxhash64("__id", "__text").alias("__row"), "__id", "__text")
+    # equal rows have equal results, so the id with 16 bits of the text's hash names a row (and, unlike a
+    # hash, neighbours' names differ little, which packs well)
+    hashed = F.xxhash64("__text")
+    name = F.shiftleft("__id", 16).bitwiseXOR(hashed.bitwiseAND(F.lit(0xFFFF)))
+    rows = given.select(F.coalesce(name, hashed).alias("__row"), "__id", "__text")
     size = given.agg(F.sum(F.octet_length("__text"))).first()[0] or 0
     # anchors are compared by so many bits of their hash that about one probe in 4000 is hit by chance (and
     # is refused when it is extended)
