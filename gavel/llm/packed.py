@@ -14,14 +14,16 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gavel.llm.batches import mix64
+
 #: Values that a task gathers before it ships them, and the values of an average bucket.
 GATHERED, BUCKET_VALUES = 1 << 21, 2_000_000
 
 SHIPPED = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("payload", T.BinaryType())])
-PLACES = T.StructType([T.StructField("row", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("places", T.BinaryType())])
+REPLIES = T.StructType([T.StructField("group", T.IntegerType()), T.StructField("payload", T.BinaryType())])
+PLACES = T.StructType([T.StructField("__row", T.LongType()), T.StructField("__index", T.BinaryType()), T.StructField("__probe", T.BinaryType())])
 
 
 def buckets_for(values: int) -> int:
@@ -106,9 +108,10 @@ def shipped(values: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 INDEX, PROBE = 0, 1
 
 
-def match_earlier(packed: DataFrame, index_too: bool, index_step: int = 0) -> DataFrame:
+def match_earlier(packed: DataFrame, groups: int, index_too: bool, index_step: int = 0) -> DataFrame:
     """Places of probes whose hash is indexed under a smaller id, and (``index_too``) places of
-    index values whose hash is probed under a larger one: (row, kind, places).
+    index values whose hash is probed under a larger one: (__row, __index, __probe), one row per row. They
+    return packed as well, each bucket's in ``groups`` parts by row.
 
     With ``index_step`` nothing is shipped as an index: the probes at multiples of it in their row are the index.
     """
@@ -117,7 +120,7 @@ def match_earlier(packed: DataFrame, index_too: bool, index_step: int = 0) -> Da
         parts = {INDEX: [], PROBE: []}
         for kind, payload in zip(table.column("kind").to_pylist(), table.column("payload")):
             parts[kind].append(unpack(payload.as_py()))
-        empty = {"row": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "places": pa.array([], pa.binary())}
+        empty = {"group": pa.array([], pa.int32()), "payload": pa.array([], pa.binary())}
         if not parts[PROBE] or not (parts[INDEX] or index_step):
             return pa.table(empty)
         sides = {k: [np.concatenate(c) for c in zip(*v)] for k, v in parts.items() if v}
@@ -138,23 +141,47 @@ def match_earlier(packed: DataFrame, index_too: bool, index_step: int = 0) -> Da
             at = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
             hit = keys[at] == mine
             hit &= (extreme[at] < own) if kind == PROBE else (extreme[at] > own)
-            rows, places = rows[hit], places[hit]
-            by = np.lexsort((places, rows))
-            rows, places = rows[by], places[by].astype("<u4")
-            heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]])) if len(rows) else np.zeros(0, np.int64)
-            out_rows.append(rows[heads])
-            out_places += [p.tobytes() for p in np.split(places, heads[1:])] if len(rows) else []
-            out_kind.append(np.full(len(heads), kind, np.int32))
-        return pa.table({"row": pa.array(np.concatenate(out_rows)), "kind": pa.array(np.concatenate(out_kind)), "places": pa.array(out_places, pa.binary())})
-
-    return packed.groupBy("bucket").applyInArrow(run, PLACES)
-
-
-def by_row(places: DataFrame) -> DataFrame:
-    """(row, found): all places of a row, as an array of (kind, places)."""
-    return places.groupBy(F.col("row").alias("__row")).agg(F.collect_list(F.struct("kind", "places")).alias("__found"))
-
-
-def places_of(found: list[dict] | None, kind: int) -> np.ndarray:
-    raw = [f["places"] for f in found or () if f["kind"] == kind]
-    return np.frombuffer(b"".join(raw), "<u4").astype(np.int64)
+            out_rows.append(rows[hit])
+            out_kind.append(np.full(int(hit.sum()), kind, np.uint8))
+            out_places.append(places[hit])
+        rows, kinds, places = np.concatenate(out_rows), np.concatenate(out_kind), np.concatenate(out_places)
+        group = (mix64(rows.view(np.uint64)) % np.uint64(groups)).astype(np.int64)
+        by = np.lexsort((places, kinds, rows, group))
+        rows, kinds, places, group = rows[by], kinds[by], places[by], group[by]
+        heads = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
+        payloads = [_pack_reply(rows[a:b], kinds[a:b], places[a:b]) for a, b in zip(heads, [*heads[1:], len(group)])]
+        return pa.table({"group": pa.array(group[heads].astype(np.int32)), "payload": pa.array(payloads, pa.binary())})
+
+    replies = packed.groupBy("bucket").applyInArrow(run, REPLIES)
+    return replies.groupBy("group").applyInArrow(_merge_replies, PLACES)
+
+
+def _pack_reply(rows: np.ndarray, kinds: np.ndarray, places: np.ndarray) -> bytes:
+    head = np.array([len(rows)], "<u8").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(head + _planes(np.diff(rows, prepend=np.int64(0)).view(np.uint64), 8) + kinds.tobytes() + _planes(places.astype(np.uint64), 4))
+
+
+def _merge_replies(table: pa.Table) -> pa.Table:
+    parts = []
+    for payload in table.column("payload"):
+        raw = zstandard.ZstdDecompressor().decompress(payload.as_py())
+        n = int(np.frombuffer(raw, "<u8", 1)[0])
+        steps, at = _unplanes(raw, 8, n, 8)
+        kinds = np.frombuffer(raw, np.uint8, n, at)
+        places, _ = _unplanes(raw, at + n, n, 4)
+        parts.append((np.cumsum(steps.view(np.int64)), kinds, places.astype("<u4")))
+    rows, kinds, places = (np.concatenate(c) for c in zip(*parts))
+    by = np.lexsort((places, kinds, rows))
+    rows, kinds, places = rows[by], kinds[by], places[by]
+    heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    found = {k: [] for k in (INDEX, PROBE)}
+    for a, b in zip(heads, [*heads[1:], len(rows)]):
+        cut = a + int(np.searchsorted(kinds[a:b], PROBE))
+        found[INDEX].append(places[a:cut].tobytes())
+        found[PROBE].append(places[cut:b].tobytes())
+    return pa.table({"__row": pa.array(rows[heads]), "__index": pa.array(found[INDEX], pa.binary()), "__probe": pa.array(found[PROBE], pa.binary())})
+
+
+def places_of(column: pa.Array, first: np.ndarray) -> np.ndarray:
+    """The places of all rows of a batch, counted from where each row begins."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(p, "<u4").astype(np.int64) + first[i] for i, p in enumerate(column.to_pylist()) if p)])

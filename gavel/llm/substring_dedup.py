@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gavel.llm.batches import BLANK, Words, text_pieces, word_runs, word_windows
-from gavel.llm.packed import INDEX, PROBE, SHIPPED, Gatherer, buckets_for, by_row, match_earlier, places_of, shipped
+from gavel.llm.packed import INDEX, PROBE, SHIPPED, Gatherer, buckets_for, match_earlier, places_of, shipped
 
 
 def _spread(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
@@ -48,7 +48,7 @@ def _emit(gatherers: dict[int, Gatherer], values: Iterator) -> Iterator[pa.Recor
 
 
 def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> DataFrame:
-    """(__row, __found): for rows of ``docs`` (__row, __id, __text) the first words of all windows
+    """(__row, __probe): for rows of ``docs`` (__row, __id, __text) the first words of all windows
     that also start in a document with a smaller id."""
     block = (window + 1) // 2
     reach = window - block
@@ -70,9 +70,8 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
                 row, ident, _ = _ids(rows)
                 words = Words(data, offsets)
                 total = len(words.start)
-                found = rows.column(rows.schema.get_field_index("__found")).to_pylist()
-                for kind in (INDEX, PROBE):
-                    hit = np.concatenate([places_of(f, kind) + words.first[i] for i, f in enumerate(found)])
+                for kind, name in ((INDEX, "__index"), (PROBE, "__probe")):
+                    hit = places_of(rows.column(rows.schema.get_field_index(name)), words.first)
                     # windows that contain the run of words at a hit start up to ``reach`` words before it
                     start = np.flatnonzero(_spread(hit, reach, 0, total))
                     start = start[start + window <= words.first[words.doc[start] + 1]]
@@ -80,9 +79,9 @@ def repeated_windows(docs: DataFrame, window: int, buckets: int, bits: int) -> D
 
         yield from _emit({k: Gatherer(k, buckets) for k in (INDEX, PROBE)}, values())
 
-    hits = by_row(match_earlier(docs.mapInArrow(anchors, SHIPPED), index_too=True, index_step=block))
-    around = docs.join(hits, "__row").select("__row", "__id", "__text", "__found")
-    return by_row(match_earlier(around.mapInArrow(extensions, SHIPPED), index_too=False))
+    hits = match_earlier(docs.mapInArrow(anchors, SHIPPED), buckets, index_too=True, index_step=block)
+    around = docs.join(hits, "__row").select("__row", "__id", "__text", "__index", "__probe")
+    return match_earlier(around.mapInArrow(extensions, SHIPPED), buckets, index_too=False)
 
 
 def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -110,8 +109,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
         for part, data, offsets in text_pieces(batches, "__text"):
             words = Words(data, offsets)
             total, n = len(words.start), part.num_rows
-            lists = part.column(part.schema.get_field_index("__found")).to_pylist()
-            hit = np.concatenate([places_of(f, PROBE) + words.first[i] for i, f in enumerate(lists)])
+            hit = places_of(part.column(part.schema.get_field_index("__probe")), words.first)
             gone = _spread(hit, 0, window - 1, total)
             stay = np.flatnonzero(~gone)
             doc = words.doc[stay]
@@ -126,7 +124,7 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
             counts = np.diff(words.first)
             yield pa.RecordBatch.from_arrays([part.column(1), pa.array(counts), pa.array(np.bincount(words.doc[gone], minlength=n)), kept], schema.names)
 
-    joined = rows.join(found, "__row", "left").select("__row", "__id", "__text", "__found")
+    joined = rows.join(found, "__row", "left").select("__row", "__id", "__text", "__probe")
     return joined.mapInArrow(apply, schema).select(F.col("__id").alias(id_col), "n_words", "n_removed", "kept_text")
 
 
