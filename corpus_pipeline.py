@@ -32,10 +32,24 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles."""
-    verdict = near_dup.near_duplicates(docs, words=5, per_cent=80, chunks=16)
-    kept = verdict.filter("kept").select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    """One document of each group linked by a Jaccard similarity of 0.8 on five-word shingles.
+
+    Where ids are repeated or missing, rows are told apart by a number of their own, so that rows of one id are
+    compared with each other as well and one row of a group stays.
+    """
+    shared = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).filter("__rows > 1 OR doc_id IS NULL")
+    if shared.isEmpty():
+        return _one_per_component(docs, "doc_id")
+    # written once: the numbers would differ if they were computed again
+    number = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("text"), F.monotonically_increasing_id().alias("row"))
+    numbered = keep(docs.withColumn("__row", number), "numbered")
+    return _one_per_component(numbered, "__row").drop("__row")
+
+
+def _one_per_component(docs: DataFrame, id_col: str) -> DataFrame:
+    verdict = near_dup.near_duplicates(docs, words=5, per_cent=80, chunks=16, id_col=id_col)
+    kept = verdict.filter("kept").select(F.col(id_col).alias("__kept"))
+    return docs.join(kept, F.col(id_col) == F.col("__kept"), "left_semi")
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,15 +9,16 @@ Each level is spread over (run, digest): no task sees a whole run.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The characters that do not count when texts are compared.
 BLANKS = " \t\n\x0b\x0c\r"
 
 
-def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``__id``, ``__digest`` (SHA-256 of the text without blanks), ``__check`` and ``__points``.
+def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *others: str) -> DataFrame:
+    """``others``, ``__id``, ``__digest`` (SHA-256 of the text without blanks), ``__check`` and ``__points``.
 
     ``__check`` is a second, independent hash with the length: equal digests are merged only if it
     agrees, which verifies them without shipping texts.
@@ -25,6 +26,7 @@ def text_digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     bare = F.translate(text, BLANKS, "")
     return docs.select(
+        *others,
         F.col(id_col).alias("__id"),
         F.unhex(F.sha2(bare, 256)).alias("__digest"),
         F.xxhash64(bare, F.octet_length(bare)).alias("__check"),
@@ -74,9 +76,21 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` does not keep; one row per kept id."""
-    verdict = exact_dedup(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__kept"))
-    return docs.join(verdict.distinct(), F.col(id_col).eqNullSafe(F.col("__kept")), "left_semi")
+    """Exactly one row of ``docs`` for each group of equal texts: a row of the id that :func:`exact_dedup` keeps.
+
+    Of rows that repeat an id and a text, the longest writing stays, then the smallest text and the smallest
+    hash of the other columns. Rows are cut to one per (text, id) before and after the only shuffle of
+    texts, so a row that was ingested very often is no hot key.
+    """
+    digests = text_digests(docs, id_col, text_col, "*")
+    key = ["__digest", "__check", "__number", "__none"]
+    # a null id as two values, so that windows and join share one partitioning
+    number = (F.coalesce(F.col("__id").cast("long"), F.lit(0)).alias("__number"), F.col("__id").isNull().alias("__none"))
+    rest = [F.col(f.name) for f in docs.schema.fields if isinstance(f.dataType, T.AtomicType) and f.name != text_col]
+    order = Window.partitionBy(*key).orderBy(F.col("__points").desc(), text_col, F.xxhash64(F.lit(0), *rest))
+    rows = digests.select("*", *number).withColumn("__rank", F.row_number().over(order)).filter("__rank = 1")
+    best = merge_runs(text_digests(docs, id_col, text_col)).select("__digest", "__check", F.bitwise_not(F.col("__best.inverse")).alias("__id"))
+    return rows.join(best.select("__digest", "__check", *number), key, "left_semi").select(*docs.columns)
 
 
 ORACLE_SQL = r"""

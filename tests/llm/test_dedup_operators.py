@@ -69,6 +69,14 @@ def test_exact_dedup_edges(spark, docs):
     assert [(r.keep_id, r.kept) for r in exact_dedup.exact_dedup(longer).orderBy("doc_id").collect()] == [(None, True), (None, False)]
 
 
+def test_one_row_of_repeated_rows_stays(spark):
+    rows = [(1, PASSAGE, "a"), (1, PASSAGE, "a"), (1, PASSAGE, "b"), (2, PASSAGE, "a"), (2, LONG, "a"), (2, LONG, "a"), (3, "x y", "a"), (3, "xy", "a"), (3, "x\ty", "a")]
+    rows += [(None, "q", "a"), (None, "q", "a"), (None, None, "a"), (None, "", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = [(r.doc_id, r.text or "") for r in exact_dedup.drop_copies(df).collect()]
+    assert sorted(got, key=repr) == sorted([(1, PASSAGE), (2, LONG), (3, "x\ty"), (None, "q"), (None, "")], key=repr)
+
+
 def _shingles(text, n):
     words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
     if len(words) < n:

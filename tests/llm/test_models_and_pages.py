@@ -178,3 +178,26 @@ def test_stages_on_an_empty_table(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
     for _, stage in pipeline.STAGES:
         assert stage(spark, docs, sf).count() == 0
+
+
+def test_repeated_rows_through_the_pipeline(spark, sf, tmp_path):
+    """A table that was ingested twice loses the second copy of a row, not its text."""
+    import corpus_pipeline as pipeline
+
+    gen = np.random.default_rng(8)
+    words = [[f"v{j}" for j in gen.integers(0, 5000, 150)] for i in range(4)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)]
+    edited = " ".join(["changed", *words[0][1:]])
+    # ingested twice; an id with another text; an id with a near copy of its text; a near copy without an id
+    given = rows * 2 + [(1, rows[3][1]), (0, edited), (None, edited + " tail")]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").schema
+    spark.createDataFrame(given, schema).selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "CAST(length(text) AS BIGINT) AS n_chars").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    copies = pipeline.drop_copies(spark, docs, str(tmp_path))
+    assert copies.count() == 6 and copies.columns == docs.columns
+    near = pipeline.drop_near_copies(spark, docs, str(tmp_path))
+    assert sorted(r.doc_id for r in near.collect()) == [0, 1, 1, 2] and near.columns == docs.columns
+    packed = pipeline.run(spark, str(tmp_path))
+    whole = pipeline.pack(spark, near, str(tmp_path)).agg(F.sum("length")).first()[0]
+    assert packed.agg(F.sum("length")).first()[0] == whole > 4 * 150
