@@ -41,6 +41,10 @@ ASIDE_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comment\w*|consent|cookies?|disqus|footer|hidden|login|masthead|menu|modal|nav|navbar|navigation|"
     r"newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[^a-z])"
 )
+#: Names that tell how a page is laid out, not what an element holds: has-sidebar, no-sidebar, overflow-hidden, md:hidden, share-enabled.
+LAYOUT_NAME = re.compile(r"(?:has|no|not|non|with|without|overflow|backface)[-_].*|.*[-_](?:enabled|disabled)|.*:.*")
+#: Readers' talk may be longer than what it is about.
+TALK_WORDS = re.compile(r"(?:^|[^a-z])(?:comment\w*|disqus|replies|respond)(?:$|[^a-z])")
 #: An end tag may be missing: the element ends where one of these begins.
 CLOSED_BY = {"p": BLOCK - {"html", "body"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -57,11 +61,46 @@ def _path(tag: str, classes: str) -> str:
     return ".".join([tag, *names])
 
 
+def _aside_name(attributes: dict[str, str]) -> str:
+    """The words of an element's class, id and role by which it would be no main text; empty if there are none."""
+    named = " ".join(attributes.get(a, "") for a in ("class", "id", "role")).lower().split()
+    return " ".join(n for n in named if not LAYOUT_NAME.fullmatch(n) and ASIDE_WORDS.search(n))
+
+
+def _without_asides(found: list[tuple[Block, tuple[int, ...]]], talk: list[bool], holders: set[int], beside: set[int]) -> list[Block]:
+    """The blocks that stand in none of the elements that are asides by their name.
+
+    A name alone does not discard the page: an element that holds its only article or main, or most of its
+    unlinked text, is no aside. Elements beside an article or main with text (``beside``) are asides in any case,
+    and so is talk, unless nothing else is left.
+    """
+    worth = [len(text) - linked for (text, linked, _), _ in found]
+    quiet = [w for w, (_, names) in zip(worth, found) if not any(talk[n] for n in names)]
+    inside = [0] * len(talk)
+    for w, (_, names) in zip(worth, found):
+        for n in names:
+            inside[n] += w
+    total = sum(quiet)
+    if any(w and not names and re.search(r">(?:article|main)\b", block[2][-1] if block[2] else "") for w, (block, names) in zip(worth, found)):
+        holders = set()
+    else:
+        beside = set()
+    gone = {n for n, w in enumerate(inside) if talk[n] or (n not in holders and (n in beside or 2 * w <= total))}
+    for again in (gone, {n for n in gone if talk[n]}, set()):
+        left = [block for block, names in found if not again.intersection(names)]
+        if any(len(text) > linked for text, linked, _ in left):
+            return left
+    return [block for block, names in found if not gone.intersection(names)]
+
+
 def page_blocks(page: str) -> list[Block]:
     """The text blocks of a page in order, without those in parts that are never main text."""
-    blocks: list[Block] = []
-    # open elements: (tag, aside?, path of the container or None)
-    stack: list[tuple[str, bool, str | None]] = []
+    found: list[tuple[Block, tuple[int, ...]]] = []  # with the named asides around it
+    # open elements: (tag, aside?, path of the container or None, number of the named aside or None)
+    stack: list[tuple[str, bool, str | None, int | None]] = []
+    talk: list[bool] = []
+    holders: set[int] = set()
+    beside: set[int] = set()  # named asides outside of article and main
     asides = links = linked = 0
     text: list[str] = []
 
@@ -70,14 +109,15 @@ def page_blocks(page: str) -> list[Block]:
         if text:
             said = " ".join(html.unescape("".join(text)).split())
             if said:
-                blocks.append((said, min(linked, len(said)), tuple(p for _, _, p in stack if p)))
+                block = (said, min(linked, len(said)), tuple(p for _, _, p, _ in stack if p))
+                found.append((block, tuple(n for *_, n in stack if n is not None)))
             text.clear()
         linked = 0
 
     def close(depth: int) -> None:
         nonlocal asides, links
         while len(stack) > depth:
-            tag, aside, _ = stack[-1]
+            tag, aside, *_ = stack[-1]
             if tag in BLOCK:
                 flush()
             stack.pop()
@@ -130,20 +170,29 @@ def page_blocks(page: str) -> list[Block]:
         if tag in BLOCK and not asides:
             flush()
         attributes = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(token[3])} if "=" in token[3] else {}
-        named = f"{attributes.get('class', '')} {attributes.get('id', '')} {attributes.get('role', '')}".lower()
-        within = any(t == "article" for t, _, _ in stack)
-        aside = tag in ASIDE or (tag == "header" and not within) or "hidden" in attributes or (tag not in ("html", "body", "article", "main") and bool(named.strip()) and bool(ASIDE_WORDS.search(named)))
+        named = _aside_name(attributes) if tag not in ("html", "body") else ""
+        within = any(t == "article" for t, *_ in stack)
+        aside = tag in ASIDE or (tag == "header" and not within) or "hidden" in attributes
+        number = None
+        if tag in ("article", "main"):
+            if not named and not asides:
+                holders.update(n for *_, n in stack if n is not None)
+        elif named and not aside:
+            number = len(talk)
+            talk.append(bool(TALK_WORDS.search(named)))
+            if not any(t in ("article", "main") for t, *_ in stack):
+                beside.add(number)
         path = None
         if tag in CONTAINER:
-            outer = next((p for _, _, p in reversed(stack) if p), "")
+            outer = next((p for _, _, p, _ in reversed(stack) if p), "")
             path = f"{outer}>{_path(tag, attributes.get('class', ''))}"
         if token[3].endswith("/>") and tag not in BLOCK and tag != "a":
             continue
-        stack.append((tag, aside, path))
+        stack.append((tag, aside, path, number))
         asides += aside
         links += tag == "a"
     flush()
-    return blocks
+    return _without_asides(found, talk, holders, beside)
 
 
 def container_scores(blocks: list[Block]) -> dict[str, float]:

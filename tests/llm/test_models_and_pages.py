@@ -132,6 +132,27 @@ def test_the_host_decides(spark):
     assert html_text.host_paths(df).collect()[0].winner == ">body>div.story"
 
 
+ARTICLE = "<h1>Head of it</h1><p>" + "words of the article " * 20 + "</p>"
+JUNK = '<div class="cookie-notice"><p>We use cookies here.</p></div><div class="site-nav"><a href="/">Home</a></div>'
+
+
+@pytest.mark.parametrize("name", ["overflow-hidden", "has-sidebar", "no-sidebar", "content-sidebar-wrap", "share-enabled", "lg:hidden", "widget"])
+@pytest.mark.parametrize("inner", ["{}", "<article>{}</article>", "<main><div class='body'>{}</div></main>"])
+def test_names_of_wrappers_do_not_discard_the_page(name, inner):
+    page = f"<body>{JUNK}<div class='{name}'>{inner.format(ARTICLE)}<div class='sidebar'><p>Side words.</p></div></div></body>"
+    assert [b[0] for b in html_text.page_blocks(page)] == ["Head of it", ("words of the article " * 20).strip()]
+
+
+def test_named_asides_still_go():
+    talk = "<div id='comments'><article class='comment-body'><p>" + "a reader writes " * 90 + "</p></article></div>"
+    cards = "<div class='related-posts'><article class='card'><p>Another page.</p></article></div>"
+    page = f"<body>{JUNK}<article>{ARTICLE}</article>{cards}{talk}</body>"
+    assert [b[0] for b in html_text.page_blocks(page)][0] == "Head of it" and len(html_text.page_blocks(page)) == 2
+    short = "<body><div class='ad'><p>Much longer than the article.</p></div><article><p>Short.</p></article></body>"
+    assert [b[0] for b in html_text.page_blocks(short)] == ["Short."]
+    assert html_text.page_blocks("<body><div class='nav'><a href='/'>Home</a></div></body>") == []
+
+
 def test_odd_markup():
     for page in ("<", "<a", "<p class='x", "</p></div>", "<!-- open", "<script>no end", "<p>a<!--x-->b</p>", "<b><i></b></i>t", "a<br/>b<hr>c", "<P>A<P>B"):
         html_text.page_blocks(page)
