@@ -3,8 +3,8 @@
 1. Every page is scored on its own: the containers of its text blocks get the length of their unlinked text.
 2. The paths of the best containers (tags with classes, digits generalised) are votes; Spark adds them up
    per host, with partial sums before the shuffle, so a host with a third of all pages is no hot group.
-3. Every page is read again with its host's winning path. A page on which that path does not hold
-   a good part of what its own best container holds keeps its own.
+3. Every page is read again with its host's winning path, and the text around it that belongs to the same article. A page
+   on which that path does not hold a good part of what its own best container holds keeps its own as well.
 
 The parser is a tokenizer with a stack of open elements: it does not build a document tree, and unclosed or
 crossed tags and cut-off pages are read as far as they go.
@@ -50,7 +50,7 @@ CLOSED_BY = {"p": BLOCK - {"html", "body"}, "li": frozenset({"li"}), "dt": froze
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Parts into which the pages of one host are split.
 SALTS = 64
-#: What a page's own best container must not exceed the winning path's text by.
+#: Part of the page's own best container that a winning path beside it must hold in order to replace it.
 GOOD_PART = 0.5
 
 Block = tuple[str, int, tuple[str, ...]]  # text, characters of it in links, paths of the containers around it
@@ -211,23 +211,49 @@ def best_container(blocks: list[Block]) -> tuple[str, float]:
     return max(scores.items(), key=lambda x: (x[1], x[0])) if scores else ("", 0.0)
 
 
-def container_text(blocks: list[Block], path: str) -> str:
-    """The blocks that stand in a container or in containers inside it."""
-    return "\n\n".join(text for text, _, paths in blocks if path in paths)
+def _mostly_unlinked(blocks: list[Block]) -> bool:
+    return 2 * sum(linked for _, linked, _ in blocks) < sum(len(text) for text, _, _ in blocks)
+
+
+def whole_region(blocks: list[Block], path: str) -> list[int]:
+    """Numbers of the blocks that belong to a container's text.
+
+    The nearest article or main around it is taken whole; without one, the highest container below the body whose
+    further text is mostly unlinked. Text that stands directly in the containers around that one, such as a
+    headline above it, goes along if it is mostly unlinked; other containers beside it do not.
+    """
+    inside = [paths[: paths.index(path) + 1] for _, _, paths in blocks if path in paths]
+    if not inside:
+        return []
+    around = inside[0]
+    top = next((p for p in reversed(around) if re.search(r">(?:article|main)(?:\.[^>]*)?$", p)), None)
+    if top is None:
+        further = ((p, [b for b in blocks if p in b[2] and path not in b[2]]) for p in around[:-1] if not re.search(r">body(?:\.[^>]*)?$", p))
+        top = next((p for p, more in further if _mostly_unlinked(more)), path)
+    above = {"", *around[: around.index(top)]}
+    direct = [b for b in blocks if (b[2][-1] if b[2] else "") in above]
+    if not _mostly_unlinked(direct):
+        above = set()
+    return [i for i, (_, _, paths) in enumerate(blocks) if top in paths or (paths[-1] if paths else "") in above]
 
 
 def main_text(page: str, winner: str | None) -> str:
-    """Main text of one page by its host's winning path, or by its own best container."""
+    """Main text of one page by its host's winning path, or by its own best container.
+
+    A winning path with a good part of what the page's own container holds replaces it where neither holds the other; in all
+    other cases nothing of either is left out.
+    """
     blocks = page_blocks(page)
     own, _ = best_container(blocks)
     if not own:
         return "\n\n".join(text for text, _, _ in blocks)
-    mine = container_text(blocks, own)
+    chosen = set(whole_region(blocks, own))
     if winner and winner != own:
-        voted = container_text(blocks, winner)
-        if len(voted) >= GOOD_PART * len(mine):
-            return voted
-    return mine
+        voted = set(whole_region(blocks, winner))
+        mine, theirs = (sum(len(blocks[i][0]) for i in part) for part in (chosen - voted, voted - chosen))
+        # the vote is about what the two do not share
+        chosen = voted if mine and theirs and theirs >= GOOD_PART * mine else chosen | voted
+    return "\n\n".join(blocks[i][0] for i in sorted(chosen))
 
 
 def host_of(url: Column) -> Column:

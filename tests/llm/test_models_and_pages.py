@@ -153,6 +153,33 @@ def test_named_asides_still_go():
     assert html_text.page_blocks("<body><div class='nav'><a href='/'>Home</a></div></body>") == []
 
 
+LEAD, BODY, END = "the lead of it " * 3, "body words here " * 40, "the end of it " * 3
+
+
+@pytest.mark.parametrize("page", [
+    "<body><article><h1>Head</h1><p>{0}</p><div class='body'><p>{1}</p></div><div class='end'><p>{2}</p></div></article></body>",
+    "<body><main><h1>Head</h1><section><p>{0}</p></section><section class='long'><div><p>{1}</p></div></section><p>{2}</p></main></body>",
+    "<body><div id='page'><div class='story'><h1>Head</h1><div class='intro'>{0}</div><div class='body'>{1}</div><div class='end'>{2}</div></div></div></body>",
+    "<body><main><h1>Head</h1><p>{0}</p><article><p>{1}</p><p>{2}</p></article></main></body>",
+    "<body><h1>Head</h1><p>{0}</p><div class='body'><p>{1}</p></div><p>{2}</p></body>",
+])
+def test_headline_lead_and_end_stay_with_the_body(page):
+    links = "<body><div class='list'>" + "<a href='/x'>Another page of this host</a> " * 9 + "</div>"
+    want = "\n\n".join(["Head", LEAD.strip(), BODY.strip(), END.strip()])
+    html = page.format(LEAD, BODY, END).replace("<body>", links)
+    own, _ = html_text.best_container(html_text.page_blocks(html))
+    assert html_text.main_text(html, None) == html_text.main_text(html, own) == html_text.main_text(html, ">body>div.nowhere") == want
+
+
+def test_a_winner_that_holds_less_does_not_replace():
+    page = "<body><div class='blurb'><p>{}</p></div><article><h1>Head</h1><div class='body'><p>{}</p></div></article></body>".format("short " * 9, BODY)
+    got = html_text.main_text(page, ">body>div.blurb")
+    assert got == "\n\n".join([("short " * 9).strip(), "Head", BODY.strip()])
+    # half of the text inside the same article is no reason to drop the rest
+    two = "<body><article><div class='a'><p>{}</p></div><div class='b'><p>{}</p></div></article></body>".format("one " * 100, "two " * 70)
+    assert html_text.main_text(two, ">body>article>div.b") == html_text.main_text(two, None) == ("one " * 100).strip() + "\n\n" + ("two " * 70).strip()
+
+
 def test_odd_markup():
     for page in ("<", "<a", "<p class='x", "</p></div>", "<!-- open", "<script>no end", "<p>a<!--x-->b</p>", "<b><i></b></i>t", "a<br/>b<hr>c", "<P>A<P>B"):
         html_text.page_blocks(page)
