@@ -192,6 +192,14 @@ def q_sibling_window(spark, d):
     return jn.sibling_window(m.filter(F.length("text") < 200), m, ["chat", "lang"], "ts", "id").select("anchor_id", "sibling_id")
 
 
+# Every message as anchor; the query above has those under 200 characters.
+@query("sibling_window_join_all", f"""WITH {MESSAGES}
+SELECT a.id AS anchor_id, b.id AS sibling_id FROM messages a JOIN messages b ON a.chat = b.chat AND a.lang = b.lang AND abs(epoch(a.ts) - epoch(b.ts)) <= 120""")
+def q_sibling_window_all(spark, d):
+    m = messages(spark, d)
+    return jn.sibling_window(m, m, ["chat", "lang"], "ts", "id").select("anchor_id", "sibling_id")
+
+
 @query("priority_union", """
 WITH u AS (SELECT n_name AS k, 'nation' AS v, 0 AS p FROM nation WHERE n_regionkey < 3 UNION ALL SELECT DISTINCT n_name, 'supplier', 1 FROM supplier JOIN nation ON s_nationkey = n_nationkey
   UNION ALL SELECT DISTINCT n_name, 'customer', 2 FROM customer JOIN nation ON c_nationkey = n_nationkey), r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY p) AS rn FROM u)

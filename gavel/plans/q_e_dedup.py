@@ -73,6 +73,16 @@ def q_fingerprint(spark, d):
     return dd.flag_repeats(pages, ["fingerprint"], "id", "oldest").select("id", "fingerprint", "keep_id", "is_dup")
 
 
+# The whole address, as the fingerprint is meant; the query above has hosts only.
+@query("fingerprint_dedup_address", """
+WITH f AS (SELECT page_id AS id, left(sha1(url), 16) AS fp FROM pages),
+k AS (SELECT fp, min(id) AS keep_id FROM f GROUP BY fp)
+SELECT id, f.fp AS fingerprint, keep_id, id <> keep_id AS is_dup FROM f JOIN k ON f.fp = k.fp""")
+def q_fingerprint_address(spark, d):
+    pages = load_table(spark, d, "pages").select(F.col("page_id").alias("id"), dd.fingerprint(F.col("url")).alias("fingerprint"))
+    return dd.flag_repeats(pages, ["fingerprint"], "id", "oldest").select("id", "fingerprint", "keep_id", "is_dup")
+
+
 @query("content_hash", """
 WITH k AS (SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{M}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS s FROM documents)
 SELECT doc_id, CASE WHEN length(s) >= 30 THEN sha256(s) END AS content_hash FROM k""")

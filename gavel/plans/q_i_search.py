@@ -79,6 +79,17 @@ def q_alias_expand(spark, d):
     return sr.alias_expand(user_queries(spark, d), groups)
 
 
+# Every part as dictionary entry; the query above has those with p_size < 20.
+@query("alias_expand_all", f"""WITH {_QUERIES}, g AS (SELECT DISTINCT p_brand AS group_id, CASE WHEN p_size < 10 THEN p_name ELSE split_part(p_name, ' ', 2) || ' ' || p_brand END AS name FROM part), k AS (SELECT DISTINCT q AS qid, q, lower(trim(q)) AS k FROM qs),
+c AS (SELECT k, group_id, lower(trim(name)) AS n, CASE WHEN k = lower(trim(name)) THEN 0 ELSE 1 END AS stage FROM (SELECT DISTINCT k FROM k), g WHERE contains(k, lower(trim(name))) OR contains(lower(trim(name)), k)),
+p AS (SELECT k, group_id FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY stage, length(n) DESC, n, group_id) = 1)
+SELECT DISTINCT qid, coalesce(name, q) AS variant FROM k LEFT JOIN p ON k.k = p.k LEFT JOIN g ON p.group_id = g.group_id""")
+def q_alias_expand_all(spark, d):
+    name = F.when(F.col("p_size") < 10, F.col("p_name")).otherwise(F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" "), "p_brand"))
+    groups = load_table(spark, d, "part").select(F.col("p_brand").alias("group_id"), name.alias("name")).distinct()
+    return sr.alias_expand(user_queries(spark, d), groups)
+
+
 _VEC = """c AS (SELECT label AS qid, list(m ORDER BY i) AS qvec FROM (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings) GROUP BY label, i) GROUP BY label)"""
 
 
