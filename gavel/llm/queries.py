@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gavel.llm import ann, bpe, chat, exact_dedup, html_text, near_dup, packing, substring_dedup, suffix_dedup, toxicity
+from gavel.llm import ann, bpe, chat, collocations, exact_dedup, filter_audit, html_text, near_dup, packing, substring_dedup, suffix_dedup, topk, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,6 +83,19 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_block_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_inner_products(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+def op12_subtree_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_filter_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.mask_counts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_compression_toxicity": op1_compression_toxicity,
     "op2_prefix_forest": op2_prefix_forest,
@@ -94,6 +107,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_block_anchor_dedup": op8_block_anchor_dedup,
     "op9_multi_length_packing": op9_multi_length_packing,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_block_top_products": op11_block_top_products,
+    "op12_subtree_collocations": op12_subtree_collocations,
+    "op13_filter_orders": op13_filter_orders,
 }
 
 ORACLES: dict[str, str] = {
@@ -102,4 +118,7 @@ ORACLES: dict[str, str] = {
     "op6_difference_cover_dedup": suffix_dedup.ORACLE_SQL,
     "op7_prefix_target_chat": chat.ORACLE_SQL,
     "op8_block_anchor_dedup": substring_dedup.ORACLE_SQL,
+    "op11_block_top_products": topk.ORACLE_SQL,
+    "op12_subtree_collocations": collocations.ORACLE_SQL,
+    "op13_filter_orders": filter_audit.ORACLE_SQL,
 }
