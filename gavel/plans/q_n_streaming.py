@@ -8,7 +8,7 @@ from gavel.plans.registry import query
 from gavel.plans.roles import BOTS, INTERACTIONS, LISTINGS, interactions, listings
 from gavel.sources.tables import ts
 from gavel.streaming import jobs
-from gavel.streaming.sources import drain_append, drain_batches, drain_complete, read_stream
+from gavel.streaming.sources import drain_append, drain_complete, read_stream
 
 
 def event_stream(spark, d):
@@ -61,9 +61,7 @@ SELECT uid, id FROM m WHERE pick <= 3""")
 def q_stream_alerts(spark, d):
     known = listings(spark, d).select("id", "deal_type", "property_type", "area", "bedrooms", "price")
     arrived = read_stream(spark, d, "orders").select(F.col("o_orderkey").alias("id"))
-    matcher = jobs.AlertMatcher(stored_rules(spark, d), "uid", RULE_FIELDS)
-    drain_batches(arrived.join(known, "id"), "alerts", matcher)
-    return matcher.matches().select("uid", "id")
+    return drain_append(jobs.alert_matches(stored_rules(spark, d), arrived.join(known, "id"), "uid", RULE_FIELDS), "alerts").select("uid", "id")
 
 
 _WATCH = """w0 AS (SELECT o_custkey AS user_id, o_custkey % 10 AS listing_id, CAST(epoch(o_orderdate) AS BIGINT) // 86400 AS tick, max(o_totalprice) AS price FROM orders GROUP BY ALL),
@@ -106,10 +104,9 @@ def q_stream_profile(spark, d):
     rows = e.select(
         "id", "user_id", "ts", F.when(F.col("event_type") == "click", "callback").otherwise("message").alias("action"), F.when(F.col("event_type") != "error", F.col("event_type")).alias("intent"),
         F.col("event_type").alias("context_key"), F.col("bot_name").alias("context_value"))
-    keeper = jobs.ProfileKeeper(spark)
-    drain_batches(rows, "profiles", keeper)
+    profiles = jobs.profiles(drain_append(jobs.profile_changes(rows), "profiles"))
     entries = F.transform(F.sort_array(F.map_entries("context")), lambda x: F.concat_ws("=", x["key"], x["value"]))
-    return keeper.profiles().select(
+    return profiles.select(
         "user_id", *[F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("first_seen", "last_seen")], "total_messages", "total_callbacks", "last_intent", F.array_join(entries, ",").alias("context"))
 
 

@@ -1,23 +1,19 @@
 """Streaming forms of deduplication, health windows, alert matching and user state.
 
 Every function maps a stream to a stream unless it says otherwise. Keys of the stateful
-handlers are fine-grained (user and listing, user and trigger); handlers read a key's rows in
-chunks and keep one entry per clock tick, so a busy key costs time span, not rows.
+handlers (:mod:`gavel.streaming.state`) are fine-grained (user and listing, user and trigger).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from gavel.operators.aggregates import rate_pct
 from gavel.operators.joins import rule_match
-from gavel.session import run_dir
-
+from gavel.streaming.state import Cooldown, NewestMatches, PriceDrops, ProfileChanges, Silence
 
 
 def event_bus(events: DataFrame, event_types: Sequence[str], event_id: str = "id", ts: str = "ts", horizon: str = "24 hours") -> DataFrame:
@@ -67,159 +63,65 @@ def idempotency_key(bot: Column, user: Column, action: Column, ts: Column, extra
     return F.substring(F.sha1(F.concat_ws("|", bot, user.cast("string"), action, bucket, tail)), 1, 24)
 
 
-class AlertMatcher:
-    """Stream step: match each batch of new listings with stored rules, keep the newest ``top`` per
-    rule, and move the rule's cursor. Cursors live in the shared folder, one version per batch, so
-    a repeated batch starts from the version before it and writes the same result."""
-
-    def __init__(self, rules: DataFrame, rule_id: str, fields: Sequence[str], top: int = 3) -> None:
-        self.rules, self.rule_id, self.fields, self.top = rules.drop("last_listing_id"), rule_id, list(fields), top
-        self.spark = rules.sparkSession
-        self.root = run_dir(self.spark, "alerts")
-        rules.select(rule_id, F.coalesce("last_listing_id", F.lit(0)).cast("bigint").alias("last_listing_id")).write.parquet(f"{self.root}/cursor=-1")
-        self.done: list[int] = []
-
-    def __call__(self, listings: DataFrame, batch_id: int) -> None:
-        before = max([b for b in self.done if b < batch_id], default=-1)
-        cursor = self.spark.read.parquet(f"{self.root}/cursor={before}")
-        hits = rule_match(self.rules.join(cursor, self.rule_id), listings, self.rule_id, self.fields, self.top)
-        hits.select(self.rule_id, "id", "pick").write.mode("overwrite").parquet(f"{self.root}/matches/batch={batch_id}")
-        fresh = self.spark.read.parquet(f"{self.root}/matches/batch={batch_id}").groupBy(self.rule_id).agg(F.max("id").alias("__top"))
-        moved = cursor.join(fresh, self.rule_id, "left").select(self.rule_id, F.greatest("last_listing_id", F.coalesce("__top", F.lit(0))).alias("last_listing_id"))
-        moved.write.mode("overwrite").parquet(f"{self.root}/cursor={batch_id}")
-        self.done.append(batch_id)
-
-    def matches(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/matches").drop("batch")
+def alert_matches(rules: DataFrame, listings: DataFrame, rule_id: str, fields: Sequence[str], top: int = 3) -> DataFrame:
+    """Stored rules met by new listings: of every batch the newest ``top`` per rule above the rule's cursor, as ``rule_id``,
+    ``id``, ``pick``. The cursor starts at the rule's ``last_listing_id`` and is kept per rule in the query's state, so a
+    restarted query reports no listing twice and misses none."""
+    start = F.coalesce("last_listing_id", F.lit(0)).cast("bigint")
+    hits = rule_match(rules, listings, rule_id, fields, None).select(rule_id, "id")
+    cursors = rules.select(rule_id, start.alias("last_listing_id"))
+    keyed = hits.join(cursors, rule_id).groupBy(rule_id)
+    schema = f"{rule_id} {dict(rules.dtypes)[rule_id]}, id bigint, pick int"
+    return keyed.transformWithStateInPandas(NewestMatches(rule_id, top), schema, "Append", "None")
 
 
-class ProfileKeeper:
-    """Stream step: user profiles (first and last seen, counters, last intent, merged context).
+def profile_changes(rows: DataFrame, parts: int = 8) -> DataFrame:
+    """What each batch changed in the users' profiles, to be appended and read by :func:`profiles`.
 
-    A batch is first reduced to one row per user and context key, then joined with the profile
-    table; versions per batch make a repeated batch harmless.
+    Input: id, user_id, ts, action, intent, context_key, context_value. A user's rows are dealt to ``parts`` keys by
+    their id, so a user with very many rows is several keys. A batch writes what it changed, not the table.
     """
+    keyed = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("user_id", "part")
+    schema = "user_id bigint, part int, " + ProfileChanges.TOTALS + ", context_key string, context_value string, context_us bigint, context_id bigint"
+    return keyed.transformWithStateInPandas(ProfileChanges(), schema, "Append", "None")
 
-    SCHEMA = "user_id bigint, first_seen timestamp, last_seen timestamp, total_messages bigint, total_callbacks bigint, last_intent string, context map<string,string>"
-
-    def __init__(self, spark) -> None:
-        self.spark, self.root, self.done = spark, run_dir(spark, "profiles"), []
-        spark.createDataFrame([], self.SCHEMA).write.parquet(f"{self.root}/version=-1")
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        before = max([b for b in self.done if b < batch_id], default=-1)
-        old = self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/version={before}")
-        order = F.struct("ts", "id")
-        totals = batch.groupBy("user_id").agg(
-            F.min("ts").alias("f"), F.max("ts").alias("l"), F.count_if(F.col("action") != "callback").alias("m"), F.count_if(F.col("action") == "callback").alias("c"), F.max_by("intent", F.when(F.col("intent").isNotNull(), order)).alias("i"))
-        newest = batch.filter(F.col("context_key").isNotNull()).groupBy("user_id", "context_key").agg(F.max_by("context_value", order).alias("v"))
-        patch = newest.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("context_key", "v"))).alias("patch"))
-        new = totals.join(patch, "user_id", "left")
-        empty = F.create_map().cast("map<string,string>")
-        kept = F.map_filter(F.coalesce("context", empty), lambda k, _: ~F.coalesce(F.map_contains_key("patch", k), F.lit(False)))
-        merged = old.join(new, "user_id", "full_outer").select(
-            "user_id", F.least("first_seen", "f").alias("first_seen"), F.greatest("last_seen", "l").alias("last_seen"),
-            (F.coalesce("total_messages", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("total_messages"), (F.coalesce("total_callbacks", F.lit(0)) + F.coalesce("c", F.lit(0))).alias("total_callbacks"),
-            F.coalesce("i", "last_intent").alias("last_intent"), F.map_concat(kept, F.coalesce("patch", empty)).alias("context"))
-        merged.write.mode("overwrite").parquet(f"{self.root}/version={batch_id}")
-        self.done.append(batch_id)
-
-    def profiles(self) -> DataFrame:
-        return self.spark.read.schema(self.SCHEMA).parquet(f"{self.root}/version={max(self.done, default=-1)}")
 
-
-# ---- keyed state -----------------------------------------------------------------------
+def profiles(changes: DataFrame) -> DataFrame:
+    """User profiles: first and last seen, counters, last intent, and of every context key the newest value (by time, then
+    id). Totals of a part only grow, so its largest are its last."""
+    at = lambda c: F.timestamp_micros(c)
+    part = changes.filter(F.col("context_key").isNull()).groupBy("user_id", "part").agg(
+        F.min("first_us").alias("f"), F.max("last_us").alias("l"), F.max("messages").alias("m"), F.max("callbacks").alias("c"),
+        F.max(F.when(F.col("intent_us").isNotNull(), F.struct("intent_us", "intent_id", "intent"))).alias("i"))
+    totals = part.groupBy("user_id").agg(
+        at(F.min("f")).alias("first_seen"), at(F.max("l")).alias("last_seen"), F.sum("m").alias("total_messages"), F.sum("c").alias("total_callbacks"), F.max("i")["intent"].alias("last_intent"))
+    newest = changes.filter(F.col("context_key").isNotNull()).groupBy("user_id", "context_key").agg(F.max_by("context_value", F.struct("context_us", "context_id")).alias("v"))
+    context = newest.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("context_key", "v"))).alias("context"))
+    return totals.join(context, "user_id", "left").withColumn("context", F.coalesce("context", F.create_map().cast("map<string,string>")))
 
 
 def price_drops(prices: DataFrame, tick_seconds: int = 60, lateness: str = "1 day") -> DataFrame:
     """Alerts when a watched price falls by the target percent; the baseline then becomes the new
     price. Input: user_id, listing_id, ts, price, baseline_price, target_drop_percent. The price of
     a tick is its last one, as a poll would see it."""
-
-    def handle(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ticks: dict[int, tuple] = {}
-        base, target = (state.get if state.exists else (None, None))
-        for pdf in chunks:
-            secs = pdf["ts"].astype("datetime64[s]").astype("int64")
-            for tick, ts, price in zip(secs // tick_seconds, pdf["ts"], pdf["price"]):
-                if tick not in ticks or (ts, price) > ticks[tick]:
-                    ticks[tick] = (ts, price)
-            if base is None:
-                base, target = float(pdf["baseline_price"].iloc[0]), float(pdf["target_drop_percent"].iloc[0])
-        out = []
-        for tick in sorted(ticks):
-            ts, price = ticks[tick]
-            if base > 0 and 0 < price < base and (base - price) / base * 100.0 >= target:
-                out.append((*key, ts, base, float(price), (base - price) / base * 100.0))
-                base = float(price)
-        state.update((base, target))
-        yield pd.DataFrame(out, columns=["user_id", "listing_id", "ts", "old_price", "new_price", "drop_pct"])
-
-    return (
-        prices.withWatermark("ts", lateness).groupBy("user_id", "listing_id")
-        .applyInPandasWithState(handle, "user_id bigint, listing_id bigint, ts timestamp, old_price double, new_price double, drop_pct double", "base double, target double", "append", GroupStateTimeout.NoTimeout))
+    keyed = prices.withWatermark("ts", lateness).groupBy("user_id", "listing_id")
+    schema = "user_id bigint, listing_id bigint, ts timestamp, old_price double, new_price double, drop_pct double"
+    return keyed.transformWithStateInPandas(PriceDrops(tick_seconds), schema, "Append", "None")
 
 
 def cooldown(triggers: DataFrame, cooldown_hours: float, tick_seconds: int = 60, lateness: str = "1 day") -> DataFrame:
     """Fire a (user, trigger) at most once per cooldown. Input: user_id, trigger, ts. Evaluation is
     per tick; the state expires when the cooldown has passed in event time."""
-    wait = int(cooldown_hours * 3600)
-
-    def handle(key: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        ticks: set[int] = set()
-        for pdf in chunks:
-            secs = pdf["ts"].astype("datetime64[s]").astype("int64")
-            ticks.update((secs // tick_seconds * tick_seconds).tolist())
-        out = []
-        for t in sorted(ticks):
-            if last is None or t >= last + wait:
-                out.append((*key, pd.Timestamp(t, unit="s")))
-                last = t
-        state.update((last,))
-        state.setTimeoutTimestamp(max((last + wait) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["user_id", "trigger", "fired_at"])
-
-    return (
-        triggers.withWatermark("ts", lateness).groupBy("user_id", "trigger")
-        .applyInPandasWithState(handle, "user_id bigint, trigger string, fired_at timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout))
+    keyed = triggers.withWatermark("ts", lateness).groupBy("user_id", "trigger")
+    return keyed.transformWithStateInPandas(Cooldown(int(cooldown_hours * 3600), tick_seconds), "user_id bigint, trigger string, fired_at timestamp", "Append", "EventTime")
 
 
 def silence_alerts(rows: DataFrame, key: str, max_silence_hours: float, lateness: str = "1 hour") -> DataFrame:
     """One alert per key and silent period: no row for ``max_silence_hours`` of event time. Serves
     ingest freshness (key = source, 48 h) and re-engagement (key = user, N days). Gaps inside a batch
     are found on ordered hour marks; open silences fire by timer when the watermark passes."""
-    limit = int(max_silence_hours * 3600)
-
-    def handle(key_value: tuple, chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-        last = state.get[0] if state.exists else None
-        if state.hasTimedOut:
-            out.append((*key_value, pd.Timestamp(last, unit="s")))
-            state.remove()
-        else:
-            first_last: dict[int, tuple[int, int]] = {}
-            for pdf in chunks:
-                secs = pdf["ts"].astype("datetime64[s]").astype("int64")
-                for hour, group in secs.groupby(secs // 3600):
-                    lo, hi = int(group.min()), int(group.max())
-                    old = first_last.get(hour, (lo, hi))
-                    first_last[hour] = (min(lo, old[0]), max(hi, old[1]))
-            for hour in sorted(first_last):
-                lo, hi = first_last[hour]
-                if last is not None and lo - last >= limit:
-                    out.append((*key_value, pd.Timestamp(last, unit="s")))
-                last = hi if last is None else max(last, hi)
-            state.update((last,))
-            state.setTimeoutTimestamp(max((last + limit) * 1000, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["key", "last_seen"])
-
-    keyed = rows.select(F.col(key).cast("string").alias("key"), "ts")
-    return keyed.withWatermark("ts", lateness).groupBy("key").applyInPandasWithState(
-        handle, "key string, last_seen timestamp", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    keyed = rows.select(F.col(key).cast("string").alias("key"), "ts").withWatermark("ts", lateness).groupBy("key")
+    return keyed.transformWithStateInPandas(Silence(int(max_silence_hours * 3600)), "key string, last_seen timestamp", "Append", "EventTime")
 
 
 def inactive_users(interactions: DataFrame, as_of: Column, inactive_days: int, keys: Sequence[str] = ("user_id", "bot_name")) -> DataFrame:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gavel.session import run_dir
 from gavel.sources.tables import TABLES
+from gavel.streaming.state import use_durable_state
 
 
 def read_stream(spark: SparkSession, directory: str, name: str, files_per_batch: int | None = None) -> DataFrame:
@@ -22,10 +21,16 @@ def read_stream(spark: SparkSession, directory: str, name: str, files_per_batch:
     return df.select(*zoned)
 
 
-def drain_append(stream: DataFrame, purpose: str) -> DataFrame:
-    """Run all available input through an append-mode file sink and read the result."""
+def drain_append(stream: DataFrame, purpose: str, folder: str | None = None) -> DataFrame:
+    """Run all available input through an append-mode file sink and read the result.
+
+    With a ``folder`` (shared by all executors) the result and the checkpoint stay there: the next call on it goes on
+    where the last committed batch ended, also after the process was killed.
+    """
     spark = stream.sparkSession
-    out, check = run_dir(spark, purpose), run_dir(spark, f"{purpose}-checkpoint")
+    use_durable_state(spark)
+    at = folder or run_dir(spark, purpose)
+    out, check = f"{at}/rows", f"{at}/checkpoint"
     q = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
@@ -45,10 +50,3 @@ def drain_complete(stream: DataFrame, purpose: str) -> DataFrame:
     q = stream.writeStream.outputMode("complete").option("checkpointLocation", check).foreachBatch(write).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{out}/batch={max(last)}")
-
-
-def drain_batches(stream: DataFrame, purpose: str, step: Callable[[DataFrame, int], None]) -> None:
-    """Run all available input through ``step(batch, batch_id)``."""
-    check = run_dir(stream.sparkSession, f"{purpose}-checkpoint")
-    q = stream.writeStream.option("checkpointLocation", check).foreachBatch(step).trigger(availableNow=True).start()
-    q.awaitTermination()
