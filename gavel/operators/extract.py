@@ -15,6 +15,7 @@ from gavel.functions.patterns import compiled, plain_blanks
 from gavel.functions.scale import best_per_key
 from gavel.functions.similarity import fuzzy_pairs
 from gavel.operators.aggregates import mode_value
+from gavel.operators.names import expand_abbreviations, find_names, name_key
 from gavel.session import cut_lineage
 
 WIDE = "(?iuU)"
@@ -353,73 +354,67 @@ def price_amounts(df: DataFrame, text: str) -> DataFrame:
 # ---- names ---------------------------------------------------------------------------
 
 
-def _name_key(col: Column | str) -> Column:
-    return F.trim(F.regexp_replace(F.lower(_c(col)), r"[^\p{L}\p{N}]+", " "))
-
-
-def name_hits(docs: DataFrame, doc_id: str, text: str, names: DataFrame) -> DataFrame:
-    """Known names inside texts (whole words, case-blind): (doc_id, key). ``names`` has ``key``.
-
-    Runs of as many words as some name has are looked up in the dictionary by an equi-join; texts with
-    no hit leave nothing behind and the text itself is not shuffled.
-    """
-    lengths = names.agg(F.array_sort(F.collect_set(F.size(F.split("key", " "))))).scalar()
-    words = docs.select(doc_id, F.split(_name_key(text), " ").alias("w"), lengths.alias("lengths"))
-    n = F.size("w")
-    runs = lambda k: F.transform(F.sequence(F.lit(1), n - k + 1), lambda i: F.array_join(F.slice("w", i, k), " "))
-    every = F.array_distinct(F.flatten(F.transform(F.filter("lengths", lambda k: k <= n), runs)))
-    return words.select(doc_id, F.explode(every).alias("key")).join(names.select("key").distinct(), "key").select(doc_id, "key")
-
-
-def area_match(docs: DataFrame, doc_id: str, text: str, areas: DataFrame, fallback: DataFrame) -> DataFrame:
+def area_match(docs: DataFrame, doc_id: str, text: str, areas: DataFrame, fallback: DataFrame, abbreviations: Mapping[str, str] | None = None, known_region: str | None = None) -> DataFrame:
     """Area per text: the longest known area whose name or alias occurs. Confidence .95 for the
-    name, .85 for an alias, .60 for ambiguous names; .40 for a region name alone.
+    name, .85 for an alias, .60 for ambiguous names, .45 at most if only an expanded abbreviation says so; .40 for a region name alone.
 
     ``areas``: area, emirate, alias, ambiguous (one row per spelling, the name included);
-    ``fallback``: area, alias (regions).
+    ``fallback``: area, alias (regions). ``abbreviations`` are expanded before areas are looked for. ``known_region``: column of
+    ``docs``; areas of another region do not count where it is not null. Repeated or null ids share one result.
     """
-    a = areas.withColumn("key", _name_key("alias")).withColumn("own", _name_key("alias") == _name_key("area"))
-    f = fallback.withColumn("key", _name_key("alias"))
+    a = areas.withColumn("key", name_key("alias")).withColumn("own", name_key("alias") == name_key("area"))
+    f = fallback.withColumn("key", name_key("alias"))
     keys = a.select("key").unionByName(f.select("key")).distinct()
-    hits = name_hits(docs, doc_id, text, keys)
-    conf = F.when(F.col("ambiguous"), 0.60).when(F.col("own"), 0.95).otherwise(0.85)
-    direct = hits.join(a, "key").select(doc_id, "area", F.when(~F.col("ambiguous"), F.col("emirate")).alias("emirate"), conf.alias("confidence"), F.lit(0).alias("stage"))
+    read = docs.select(doc_id, F.col(text).alias("__said"), expand_abbreviations(text, abbreviations or {}).alias("__read"))
+    hits = find_names(read, doc_id, "__read", keys).select(doc_id, "key")
+    written = hits
+    if abbreviations:
+        expanded = read.filter(F.col("__said") != F.col("__read"))
+        # where nothing was expanded, what is read is what is written
+        said = find_names(expanded, doc_id, "__said", keys).select(doc_id, "key")
+        written = hits.join(expanded.select(doc_id).distinct(), doc_id, "left_anti").unionByName(said)
+    spellings = written.join(a, "key").select(doc_id, "area").distinct().withColumn("__written", F.lit(True))
+    conf = F.when(F.col("ambiguous"), 0.60).otherwise(F.least(F.when(F.col("own"), 0.95).otherwise(0.85), F.when(F.col("__written").isNull(), 0.45).otherwise(1.0)))
+    direct = hits.join(a, "key")
+    if known_region:
+        direct = direct.join(docs.groupBy(doc_id).agg(F.first(known_region, ignorenulls=True).alias("__region")), doc_id).filter(F.coalesce(F.col("emirate") == F.col("__region"), F.lit(True)))
+    direct = direct.join(spellings, [doc_id, "area"], "left").select(doc_id, "area", F.when(~F.col("ambiguous"), F.col("emirate")).alias("emirate"), conf.alias("confidence"), F.lit(0).alias("stage"))
     region = hits.join(f, "key").select(doc_id, "area", F.col("area").alias("emirate"), F.lit(0.40).alias("confidence"), F.lit(1).alias("stage"))
     return best_per_key(direct.unionByName(region), [doc_id], [F.col("stage"), F.length("area").desc(), F.col("area"), F.col("confidence").desc()]).drop("stage")
 
 
-def building_match(docs: DataFrame, doc_id: str, text: str, buildings: DataFrame, fuzzy_cutoff: float = 75, line_chars: tuple[int, int] = (4, 80)) -> DataFrame:
-    """Building per text: known name .95, alias .90, fuzzy line .82, wording hint .60.
+def building_match(docs: DataFrame, doc_id: str, text: str, buildings: DataFrame, fuzzy_cutoff: float = 75, line_chars: tuple[int, int] = (4, 80), spellings: DataFrame | None = None) -> DataFrame:
+    """Building per text: known name .95, alias .90, fuzzy line .82 (.75 for a name that is not in ``buildings``), wording hint .60.
 
     A name counts only if it occurs at least once outside a view or near-by reference. Lines outside
     ``line_chars`` characters are not tried for a fuzzy name: that rule belongs to the cascade.
-    ``buildings``: building, area, emirate, alias (one row per spelling, the name included).
+    ``buildings``: building, area, emirate, alias (one row per spelling, the name included). ``spellings``: name, alias of further
+    names that fuzzy lines are compared with.
     """
-    b = buildings.withColumn("key", _name_key("alias")).withColumn("stage", F.when(_name_key("alias") == _name_key("building"), 1).otherwise(2))
-    low = docs.select(doc_id, _name_key(text).alias("__k"), F.lower(text).alias("__low"))
-    hits = name_hits(docs, doc_id, text, b).join(b, "key").join(low, doc_id)
-    word = F.concat(F.lit(r"\b"), F.replace(F.col("key"), F.lit(" "), F.lit(r"[^\p{L}\p{N}]+")), F.lit(r"\b"))
-    guard = F.replace(F.lit(tr.VIEW_REFERENCE), F.lit("«NAME»"), F.replace(F.col("key"), F.lit(" "), F.lit(r"[^\p{L}\p{N}]+")))
-    judged = hits.select(
-        doc_id, "building", "area", "emirate", "stage", F.lit(0.0).alias("score"), (F.regexp_count("__low", word) > F.regexp_count("__low", guard)).alias("is_real"))
+    b = buildings.withColumn("key", name_key("alias")).withColumn("stage", F.when(name_key("alias") == name_key("building"), 1).otherwise(2))
+    hits = find_names(docs, doc_id, text, b, references=True).join(b, "key")
+    judged = hits.select(doc_id, "building", "area", "emirate", "stage", F.lit(0.0).alias("score"), (F.col("mentions") > F.col("refs")).alias("is_real"))
     judged = cut_lineage(judged, "mentions")  # few rows, used three times: the texts are read once for them
     real = judged.filter("is_real").drop("is_real")
     rest = docs.select(doc_id, text).join(real.select(doc_id).distinct(), doc_id, "left_anti")
     pieces = rest.select(doc_id, F.explode(F.array_distinct(F.split(text, r"[|,·\n]|\s-\s"))).alias("line")).withColumn("line", F.trim("line")).filter(F.length("line").between(*line_chars))
     lines = cut_lineage(pieces.select(doc_id, F.lower("line").alias("low")), "lines")
-    spellings = b.select(F.lower(F.trim("alias")).alias("name")).distinct()
-    near = fuzzy_pairs(lines, "low", spellings, "name", fuzzy_cutoff).select(F.col("a").alias("low"), F.col("b").alias("name"), "score")
+    known = b.select(F.lower(F.trim("alias")).alias("name"), "building", "area", "emirate", F.lit(3).alias("stage"))
+    if spellings is not None:
+        own = b.select(F.lower(F.trim("building")).alias("__own"), F.col("building").alias("__building"), F.col("area").alias("__area"), F.col("emirate").alias("__emirate")).dropDuplicates(["__own"])
+        further = spellings.select(F.lower(F.trim("alias")).alias("name"), F.col("name").alias("building")).distinct().join(own, F.lower(F.trim("building")) == F.col("__own"), "left")
+        known = known.unionByName(further.select(
+            "name", F.coalesce("__building", "building").alias("building"), F.col("__area").alias("area"), F.col("__emirate").alias("emirate"), F.when(F.col("__own").isNotNull(), 3).otherwise(4).alias("stage"))).distinct()
+    near = fuzzy_pairs(lines, "low", known.select("name").distinct(), "name", fuzzy_cutoff).select(F.col("a").alias("low"), F.col("b").alias("name"), "score")
     mentioned = judged.select(doc_id, "building").distinct()  # only as a reference, or found above
-    fuzzy = (
-        lines.join(near, "low").join(b.withColumn("name", F.lower(F.trim("alias"))), "name").join(mentioned, [doc_id, "building"], "left_anti")
-        .select(doc_id, "building", "area", "emirate", F.lit(3).alias("stage"), "score")
-    )
+    fuzzy = lines.join(near, "low").join(known, "name").join(mentioned, [doc_id, "building"], "left_anti")
+    fuzzy = fuzzy.filter((F.col("stage") == 3) | (F.lower("building") != F.col("low"))).select(doc_id, "building", "area", "emirate", "stage", "score")
     hint = F.coalesce(*[F.nullif(F.trim(F.regexp_extract(F.col(text), p, 1)), F.lit("")) for p in tr.BUILDING_HINTS])
     hinted = rest.select(doc_id, hint.alias("building")).filter(F.col("building").isNotNull()).select(
-        doc_id, "building", F.lit(None).cast("string").alias("area"), F.lit(None).cast("string").alias("emirate"), F.lit(4).alias("stage"), F.lit(0.0).alias("score"))
+        doc_id, "building", F.lit(None).cast("string").alias("area"), F.lit(None).cast("string").alias("emirate"), F.lit(5).alias("stage"), F.lit(0.0).alias("score"))
     every = real.unionByName(fuzzy).unionByName(hinted)
     best = best_per_key(every, [doc_id], [F.col("stage"), F.col("score").desc(), F.length("building").desc(), F.col("building")])
-    conf = F.element_at(F.array(*[F.lit(x) for x in (0.95, 0.90, 0.82, 0.60)]), F.col("stage"))
+    conf = F.element_at(F.array(*[F.lit(x) for x in (0.95, 0.90, 0.82, 0.75, 0.60)]), F.col("stage"))
     return best.select(doc_id, "building", "area", "emirate", conf.alias("confidence"))
 
 
