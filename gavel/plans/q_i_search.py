@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 
 from gavel.operators import search as sr
+from gavel.operators import vector_index as vi
 from gavel.plans.registry import query
 from gavel.plans.roles import TX, transactions
 from gavel.sources.tables import load_table
@@ -113,6 +114,23 @@ def q_vec_l2(spark, d):
     return sr.vector_topk(label_means(spark, d), items, 10, "l2").withColumn("score", F.round("score", 6))
 
 
+# Every 20th vector against all, by learnt cells; the exact search goes on until no cell can hold a nearer one.
+@query("vector_index_cosine", """WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[]) * list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS position FROM s) SELECT qid, id, round(score, 6) AS score, CAST(position AS INT) AS position FROM r WHERE position <= 5""")
+def q_index_cosine(spark, d):
+    items = load_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = items.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    return vi.search(vi.build_index(items), asked, 5, exact=True).withColumn("score", F.round("score", 6))
+
+
+@query("vector_index_l2", """WITH s AS (SELECT q.vec_id AS qid, e.vec_id AS id, sqrt(list_sum(list_transform(list_zip(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) AS score FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, id) AS position FROM s) SELECT qid, id, round(score, 6) AS score, CAST(position AS INT) AS position FROM r WHERE position <= 5""")
+def q_index_l2(spark, d):
+    items = load_table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vec"))
+    asked = items.filter("id % 20 = 0").select(F.col("id").alias("qid"), F.col("vec").alias("qvec"))
+    return vi.search(vi.build_index(items, "l2"), asked, 5, exact=True).withColumn("score", F.round("score", 6))
+
+
 @query("hash_embedding", """WITH g AS (SELECT item_id, lower(text) AS t, unnest(range(1, length(text) - 1)) AS i FROM benchmark), h AS (SELECT item_id, ('0x' || left(md5(substr(t, i, 3)), 8))::BIGINT % 256 AS dim FROM g),
 c AS (SELECT item_id, dim, count(*) AS c FROM h GROUP BY ALL) SELECT item_id, CAST(dim AS INT) AS dim, round(c / sqrt(sum(c * c) OVER (PARTITION BY item_id)), 6) AS weight FROM c""")
 def q_hash_embedding(spark, d):

@@ -4,6 +4,8 @@ knows from the source columns what each extractor must find."""
 from pyspark.sql import functions as F
 
 from gavel.operators import extract as ex
+from gavel.operators import messages as ms
+from gavel.operators.names import find_names, name_key
 from gavel.plans.registry import query
 from gavel.plans.roles import ADVERTS, LISTINGS, TX, adverts, listings, transactions
 from gavel.sources.tables import load_table
@@ -174,3 +176,48 @@ SELECT k AS key, area, CAST(deals AS BIGINT) AS deals, 'registry' AS source FROM
 def q_rebuild(spark, d):
     l = listings(spark, d).filter(F.col("deal_quality").isNotNull()).select(F.when(F.col("bedrooms") == 0, "small ring").otherwise(F.col("building")).alias("building"), "area")
     return ex.rebuild_dictionary(transactions(spark, d), l).select("key", "area", "deals", "source")
+
+
+@query("messages_to_listings", f"""{AD}, p AS (SELECT *, CASE deal_quality WHEN 'good' THEN rent WHEN 'interesting' THEN CAST(trunc(CAST(printf('%.2f', sale / 1000000.0::DOUBLE) AS DOUBLE) * 1000000) AS BIGINT) ELSE sale END AS p FROM ads)
+SELECT id, CASE WHEN deal_quality = 'good' THEN 'rent' ELSE 'sale' END AS deal_type, CASE deal_quality WHEN 'very_good' THEN CASE WHEN bedrooms = 0 THEN 'studio' ELSE 'apartment' END WHEN 'good' THEN 'studio' WHEN 'interesting' THEN 'villa' ELSE 'apartment' END AS property_type,
+  CASE deal_quality WHEN 'very_good' THEN bedrooms WHEN 'good' THEN 0 WHEN 'interesting' THEN bedrooms + 2 WHEN 'normal' THEN NULL ELSE 2 END AS bedrooms, CASE WHEN deal_quality = 'good' OR p >= 200000 THEN p END::DOUBLE AS price, 'AED' AS currency,
+  CASE deal_quality WHEN 'very_good' THEN 'offplan' WHEN 'interesting' THEN 'rented' END AS status, CASE deal_quality WHEN 'good' THEN lower(replace(area, 'NATION', 'Quarter')) WHEN 'interesting' THEN area WHEN 'normal' THEN NULL ELSE building END AS building,
+  CASE deal_quality WHEN 'good' THEN 0.6 WHEN 'interesting' THEN 0.7 WHEN 'normal' THEN 0.0 ELSE 0.95 END::DOUBLE AS building_confidence, p.area, CASE WHEN n_nationkey % 7 = 0 THEN 0.6 WHEN deal_quality = 'good' THEN 0.85 ELSE 0.95 END::DOUBLE AS area_confidence,
+  CASE WHEN n_nationkey % 7 <> 0 THEN r_name END AS emirate FROM p JOIN nation ON n_name = p.area JOIN region ON n_regionkey = r_regionkey""")
+def q_messages(spark, d):
+    n, r = load_table(spark, d, "nation"), load_table(spark, d, "region")
+    spell = F.explode(F.array("n_name", F.lower(F.replace("n_name", F.lit("NATION"), F.lit("Quarter")))))
+    areas = n.join(r, n.n_regionkey == r.r_regionkey).select(F.col("n_name").alias("area"), F.col("r_name").alias("emirate"), spell.alias("alias"), (F.col("n_nationkey") % 7 == 0).alias("ambiguous"))
+    regions = r.select(F.col("r_name").alias("region"), F.col("r_name").alias("alias"), F.col("r_regionkey").alias("priority"))
+    none = F.lit(None).cast("string")
+    buildings = listings(spark, d).select("building").distinct().select("building", none.alias("area"), none.alias("emirate"), F.col("building").alias("alias"))
+    out = ms.parse_messages(adverts(spark, d).select("id", "text"), "id", "text", ms.Places(regions, areas, buildings))
+    return out.select("id", "deal_type", "property_type", "bedrooms", "price", "currency", "status", "building", "building_confidence", "area", "area_confidence", "emirate")
+
+
+_FIELDS = """coalesce(CASE WHEN regexp_matches(t, '(?i)\\bUSD\\b') THEN 'USD' END, CASE WHEN regexp_matches(t, '(?i)\\bEUR\\b') THEN 'EUR' END, CASE WHEN regexp_matches(t, '(?i)\\bGBP\\b') THEN 'GBP' END, CASE WHEN regexp_matches(t, '(?i)\\bRUB\\b') THEN 'RUB' END,
+  CASE WHEN contains(t, '$') THEN 'USD' END, CASE WHEN contains(t, '€') THEN 'EUR' END, CASE WHEN contains(t, '£') THEN 'GBP' END, CASE WHEN contains(t, '₽') THEN 'RUB' END, 'AED') AS currency,
+  CASE WHEN regexp_matches(lower(t), '\\boff[\\s-]?plan\\b|\\bunder\\s+construction\\b|\\bhandover\\s+(?:q[1-4]|in\\s+\\d{4}|\\d{4}|date)') THEN 'offplan' WHEN regexp_matches(lower(t), '\\b(?:rented|tenanted|with\\s+tenant|leased)\\b') THEN 'rented'
+  WHEN regexp_matches(lower(t), '\\bvacant\\b|\\bunoccupied\\b') THEN 'vacant' WHEN regexp_matches(lower(t), '\\bready\\s+to\\s+(?:move\\s+in|occupy)\\b|\\bcompleted\\b|\\bhanded\\s+over\\b') THEN 'ready' END AS status,
+  CASE WHEN length(regexp_extract(t, '(?i)(?:unit|apt|flat|#|no\\.)[:\\s#]*([A-Z0-9\\-]+)', 1)) BETWEEN 2 AND 10 THEN regexp_extract(t, '(?i)(?:unit|apt|flat|#|no\\.)[:\\s#]*([A-Z0-9\\-]+)', 1) END AS unit_number"""
+
+
+@query("document_fields", f"""SELECT doc_id, {_FIELDS} FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)""")
+def q_document_fields(spark, d):
+    return load_table(spark, d, "documents").select("doc_id", ms.currency("text").alias("currency"), ms.status("text").alias("status"), ms.unit_number("text").alias("unit_number"))
+
+
+@query("conversation_fields", f"""SELECT conv_id, turn, {_FIELDS} FROM (SELECT conv_id, turn, coalesce(text, '') AS t FROM conversations)""")
+def q_conversation_fields(spark, d):
+    return load_table(spark, d, "conversations").select("conv_id", "turn", ms.currency("text").alias("currency"), ms.status("text").alias("status"), ms.unit_number("text").alias("unit_number"))
+
+
+# Names are the first three words of the benchmark's passages, and all first words of conversations' texts.
+@query("names_in_documents", r"""WITH b AS (SELECT string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM benchmark UNION ALL SELECT string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ')[1:1] FROM conversations),
+n AS (SELECT DISTINCT array_to_string(w[1:3], ' ') AS key, least(len(w), 3) AS k FROM b WHERE w[1] <> ''), d AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' ') AS w FROM documents),
+g AS (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM n)), r AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS key FROM g)
+SELECT doc_id, key, CAST(count(*) AS BIGINT) AS mentions FROM r WHERE key IN (SELECT key FROM n) GROUP BY ALL""")
+def q_names_in_documents(spark, d):
+    words = lambda t: F.split(name_key("text"), " ")
+    keys = load_table(spark, d, "benchmark").select(F.array_join(F.slice(words("text"), 1, 3), " ").alias("key")).unionByName(load_table(spark, d, "conversations").select(words("text")[0].alias("key")))
+    return find_names(load_table(spark, d, "documents"), "doc_id", "text", keys).select("doc_id", "key", "mentions")
