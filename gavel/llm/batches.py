@@ -6,6 +6,7 @@ one single longer text), never the partition.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,26 @@ PIECE_BYTES = 1 << 20
 
 def text_pieces(batches: Iterator[pa.RecordBatch], text_col: str, piece_bytes: int = PIECE_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of the batches with their texts: (rows, bytes, offsets); null texts are empty."""
+    try:
+        yield from _text_pieces(batches, text_col, piece_bytes)
+    finally:
+        release_memory()  # a worker that is reused starts its next task with what it needs only
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (OSError, AttributeError):  # a C library without it
+    _TRIM = None
+
+
+def _text_pieces(batches: Iterator[pa.RecordBatch], text_col: str, piece_bytes: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text_col))
         if not pa.types.is_large_string(column.type):
@@ -35,8 +56,9 @@ def text_pieces(batches: Iterator[pa.RecordBatch], text_col: str, piece_bytes: i
             first = last
 
 
-# --- 64-bit hashes of byte ranges -------------------------------------------------------------
-# H(s, e) = sum of T[byte i] * R^(i - s): a polynomial hash, read off prefix sums modulo 2^64.
+# --- hashes of byte ranges ----------------------------------------------------------------------
+# H(s, e) = sum of (symbol i + 1) * R^(i - s) modulo the prime 2^61 - 1, read off prefix sums. Two unlike ranges of n symbols
+# share a hash for at most n of the 2^61 radices R, whatever the symbols are.
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -54,34 +76,92 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
+PRIME = (1 << 61) - 1
+_P, _LOW = np.uint64(PRIME), np.uint64(0xFFFFFFFF)
+_S61, _S32, _S29, _S3, _LOW29 = np.uint64(61), np.uint64(32), np.uint64(29), np.uint64(3), np.uint64((1 << 29) - 1)
+#: Symbols whose products are summed before they are reduced.
+_SUMMED = 1 << 14
+
+
+#: Values worked on at once, so that intermediate results stay in the cache.
+_NEAR = 1 << 14
+
+
+def reduce61(x: np.ndarray) -> np.ndarray:
+    """Below 2^61 - 1."""
+    x = (x & _P) + (x >> _S61)
+    x -= _P * (x >= _P)
+    return x
+
+
+def _times61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    a0, a1, b0, b1 = a & _LOW, a >> _S32, b & _LOW, b >> _S32
+    middle, high = a0 * b1, a1 * b1
+    a1 *= b0
+    middle += a1
+    a0 *= b0
+    out = a0 & _P
+    a0 >>= _S61
+    out += a0
+    out += middle >> _S29
+    middle &= _LOW29
+    middle <<= _S32
+    out += middle
+    high <<= _S3
+    out += high
+    return reduce61(out)
+
+
+def times61(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of values below the prime, modulo the prime; ``b`` may be one value."""
+    if len(a) <= _NEAR:
+        return _times61(a, b)
+    out = np.empty(len(a), np.uint64)
+    for at in range(0, len(a), _NEAR):
+        part = slice(at, at + _NEAR)
+        out[part] = _times61(a[part], b[part] if np.ndim(b) else b)
+    return out
+
+
 class RangeHash:
     """Hashes of ranges of an array of small symbols (bytes) or of 64-bit symbols (word hashes)."""
 
     def __init__(self, seed: int):
-        base = mix64(np.arange(256, dtype=np.uint64) + np.uint64(seed * 1000003))
-        self.table = mix64(base ^ _GOLDEN)
-        self.radix = int(mix64(np.array([seed], dtype=np.uint64))[0]) | 1
-        self.inverse = pow(self.radix, -1, 1 << 64)
+        self.radix = int(mix64(np.array([seed * 1000003], dtype=np.uint64))[0]) % (PRIME - 2) + 2
+        self.inverse = pow(self.radix, -1, PRIME)
         self._powers = self._negative = np.ones(1, np.uint64)
 
     def _grow(self, n: int) -> None:
-        if len(self._powers) < n:
-            size = max(n, 2 * len(self._powers))
-            with np.errstate(over="ignore"):
-                self._powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, self.radix, np.uint64)]))
-                self._negative = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(size - 1, self.inverse, np.uint64)]))
+        while len(self._powers) < n:
+            size = len(self._powers)
+            step, back = (np.uint64(pow(r, size, PRIME)) for r in (self.radix, self.inverse))
+            self._powers = np.concatenate([self._powers, times61(self._powers, step)])
+            self._negative = np.concatenate([self._negative, times61(self._negative, back)])
 
     def prefixes(self, symbols: np.ndarray) -> np.ndarray:
         self._grow(len(symbols) + 1)
-        values = self.table[symbols] if symbols.dtype == np.uint8 else symbols
         out = np.zeros(len(symbols) + 1, np.uint64)
-        with np.errstate(over="ignore"):
-            np.cumsum(values * self._powers[: len(symbols)], out=out[1:])
+        for a in range(0, len(symbols), _SUMMED):
+            part = symbols[a : a + _SUMMED]
+            powers = self._powers[a : a + len(part)]
+            if part.dtype == np.uint8:
+                value = part.astype(np.uint64) + np.uint64(1)
+                low, high = np.cumsum((powers & _LOW) * value), np.cumsum((powers >> _S32) * value)
+            else:
+                value = times61(reduce61(part), powers)
+                low, high = np.cumsum(value & _LOW), np.cumsum(value >> _S32)
+            # low and high sums stay below 2^63; 2^32 * high is split like a middle product
+            whole = reduce61((low & _P) + (low >> _S61) + (high >> _S29) + ((high & _LOW29) << _S32))
+            out[a + 1 : a + 1 + len(part)] = reduce61(whole + out[a])
         return out
 
     def ranges(self, prefixes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return mix64((prefixes[ends] - prefixes[starts]) * self._negative[starts])
+        self._grow(len(prefixes))
+        out = np.empty(len(starts), np.uint64)
+        for at in range(0, len(starts), _NEAR):
+            a, b = starts[at : at + _NEAR], ends[at : at + _NEAR]
+            out[at : at + _NEAR] = mix64(_times61(reduce61(prefixes[b] + (_P - prefixes[a])), self._negative[a]))
+        return out
 
 
 BLANK = np.zeros(256, bool)

@@ -110,22 +110,34 @@ class ByteBpe:
         self.bytes = np.frombuffer(b"".join(spelled.get(i, b"") for i in range(len(self.length))), np.uint8)
 
     def _forget(self) -> None:
-        self.known, self.entry = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted piece hashes, their entries
+        self.known: dict[bytes, int] = {}  # entries of pieces
         self.said, self.upto = np.zeros(0, "<u4"), np.zeros(1, np.int64)  # ids of entry e: said[upto[e]:upto[e + 1]]
 
     def _library(self, pieces: list[str]) -> list[list[int]]:
         encode = getattr(self.library, "encode_batch_fast", self.library.encode_batch)
         return [x.ids for at in range(0, len(pieces), 4096) for x in encode(pieces[at : at + 4096], add_special_tokens=False)]
 
-    def _learn(self, hashes: np.ndarray, pieces: list[str]) -> None:
-        """Add pieces (hashes ascending) to what is remembered."""
-        said = self._library(pieces)
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Add pieces to what is remembered."""
+        said = self._library([p.decode("utf-8") for p in pieces])
         sizes = np.fromiter(map(len, said), np.int64, len(said))
-        entries = len(self.upto) - 1 + np.arange(len(pieces))
+        self.known.update(zip(pieces, range(len(self.upto) - 1, len(self.upto) - 1 + len(pieces))))
         self.said = np.concatenate([self.said, np.fromiter((i for x in said for i in x), "<u4", int(sizes.sum()))])
         self.upto = np.concatenate([self.upto, self.upto[-1] + np.cumsum(sizes)])
-        at = np.searchsorted(self.known, hashes)
-        self.known, self.entry = np.insert(self.known, at, hashes), np.insert(self.entry, at, entries)
+
+    def _alike(self, data: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+        """The different pieces, and which of them each piece is. Hashes find them, bytes decide."""
+        raw = bytes(data)
+        _, shown, which = np.unique(_PIECE.ranges(_PIECE.prefixes(data), starts[:-1], starts[1:]), return_index=True, return_inverse=True)
+        sizes, same = np.diff(starts), shown[which]
+        alike = (sizes == sizes[same]).all()
+        if alike:
+            alike = (data[np.arange(len(data)) + np.repeat(starts[same] - starts[:-1], sizes)] == data).all()
+        if not alike:  # unlike pieces under one hash
+            number: dict[bytes, int] = {}
+            which = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(starts[:-1], starts[1:])])
+            return list(number), which
+        return [raw[starts[i] : starts[i + 1]] for i in shown.tolist()], which
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts of a piece one after another, and where each text's ids begin."""
@@ -136,18 +148,14 @@ class ByteBpe:
         before = np.searchsorted(opens, offsets)
         first = piece_starts(points, before[:-1][np.diff(before) > 0])
         starts = np.append(opens[first], len(data))
-        hashes = _PIECE.ranges(_PIECE.prefixes(data), starts[:-1], starts[1:])
-        unlike, shown, which = np.unique(hashes, return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, unlike)
-        missing = np.flatnonzero((at == len(self.known)) | (np.append(self.known, np.uint64(0))[at] != unlike))
-        if len(missing):
+        pieces, which = self._alike(data, starts)
+        missing = [p for p in pieces if p not in self.known]
+        if missing:
             if len(self.known) + len(missing) > MEMORY_PIECES:
                 self._forget()
-                missing = np.arange(len(unlike))
-            raw = bytes(data)
-            self._learn(unlike[missing], [raw[starts[i] : starts[i + 1]].decode("utf-8") for i in shown[missing].tolist()])
-            at = np.searchsorted(self.known, unlike)
-        entries = self.entry[at][which]
+                missing = pieces
+            self._learn(missing)
+        entries = np.array([self.known[p] for p in pieces], np.int64)[which]
         sizes = self.upto[entries + 1] - self.upto[entries]
         ends = np.cumsum(sizes)
         ids = self.said[np.arange(int(ends[-1])) + np.repeat(self.upto[entries] - (ends - sizes), sizes)]

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -256,6 +256,16 @@ def _hot(shipped: DataFrame, length: int) -> DataFrame:
     return starts.mapInArrow(marks, MARKS)
 
 
+def text_number(docs: DataFrame, text: Column) -> Column:
+    """A number of each text that no unlike text of the table shares: hashes with one salt after another, compared by SHA-256."""
+    for salt in range(64):
+        number = F.xxhash64(F.lit(salt), text, F.octet_length(text))
+        texts = docs.select(number.alias("number"), F.sha2(text, 256).alias("digest")).groupBy("number").agg(F.min("digest").alias("least"), F.max("digest").alias("most"))
+        if texts.filter("least <> most").isEmpty():
+            return number
+    raise RuntimeError("no salt gives every text a number of its own")
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", text_col: str = "text", hot_runs: int = 6000, whole_characters: bool = False) -> DataFrame:
     """All columns of ``docs`` and ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs) and
     ``kept`` (the remaining bytes, in order). One row per input row.
@@ -269,7 +279,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, id_col: str = "doc_id", t
     if length < 2 * GRAM:
         raise ValueError(f"length must be at least {2 * GRAM}")
     text = F.coalesce(docs[text_col], F.lit(""))
-    row = F.xxhash64(text, F.octet_length(text))
+    row = text_number(docs, text)
     rows = docs.select(row.alias("__row"), docs[id_col].alias("__id"), text.alias("__text")).filter(F.octet_length("__text") >= length)
     copies = rows.groupBy(F.col("__row").alias("row")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     everything = copies.select("row", F.unhex(F.lit("00000000ffffff7f")).alias("marks"))
