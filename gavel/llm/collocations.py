@@ -38,6 +38,8 @@ DEPTH = 4
 SCAN_BYTES, GATHERED = 4 << 20, 1_000_000
 #: Records of an average bucket of pairs.
 BUCKET_RECORDS = 2_000_000
+#: Shares of a lang whose best phrases are picked first.
+SHARES = 16
 #: Most bits of a filter: 16 MB.
 FILTER_BITS = 1 << 27
 
@@ -356,8 +358,11 @@ def best_phrases(phrases: DataFrame, words: DataFrame, least: int, top: int, cov
     spelt = spelt.groupBy("key").agg(F.first("lang").alias("lang"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]), " ").alias("phrase"))
     sizes = words.groupBy("lang").agg(F.sum("n").alias("n"))
     rows = kept.join(spelt, "key").join(sizes, "lang").select("lang", "phrase", "a", F.col("cut.l").alias("l"), F.col("cut.r").alias("r"), "n", F.col("cut.score").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.col("score").desc(), F.col("a").desc(), "phrase")
-    ranked = rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
+    # first the best of each share of a lang, then the best of these
+    share = F.pmod(F.xxhash64("phrase"), F.lit(SHARES)).cast("int")
+    shared = rows.withColumn("share", share).withColumn("place", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).filter(F.col("place") <= top)
+    ranked = shared.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("rank") <= top)
     return ranked.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
