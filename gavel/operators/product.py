@@ -212,12 +212,14 @@ def issue_clusters(interactions: DataFrame, feedback: DataFrame, since: Column,
     ).withColumn("fingerprint", F.sha1(F.concat_ws("|", "issue_type", "cluster_key")))
 
 
-def empty_query_mining(interactions: DataFrame, known: DataFrame, since: Column, min_count: int = 5, limit: int = 100) -> DataFrame:
-    """Repeated queries without answer that no known alias covers, most frequent first."""
+def empty_query_mining(interactions: DataFrame, known: DataFrame, since: Column, limit: int | None, min_count: int = 5, chars: tuple[int, int] = (3, 80)) -> DataFrame:
+    """Repeated queries without answer that no known alias covers, most frequent first. Messages outside ``chars`` characters are no
+    queries: that rule belongs to the report, as does its ``limit`` (None: all)."""
     q = F.lower(F.trim("user_message"))
-    rows = interactions.filter((F.col("outcome") == "empty") & (F.col("ts") >= since) & F.length("user_message").between(3, 80)).withColumn("q", q)
+    rows = interactions.filter((F.col("outcome") == "empty") & (F.col("ts") >= since) & F.length("user_message").between(*chars)).withColumn("q", q)
     counts = rows.groupBy("q").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count).join(known.select(F.col("key").alias("q")).distinct(), "q", "left_anti")
-    return counts.join(small_set(rows, ["q"], "bot_name", "bots"), "q").orderBy(F.col("n").desc(), "q").limit(limit)
+    found = counts.join(small_set(rows, ["q"], "bot_name", "bots"), "q").orderBy(F.col("n").desc(), "q")
+    return found if limit is None else found.limit(limit)
 
 
 def quota_usage(calls: DataFrame, limits: DataFrame, as_of: Column, window_minutes: int) -> DataFrame:

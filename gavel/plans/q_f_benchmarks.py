@@ -59,7 +59,7 @@ def q_tier_median_gate(spark, d):
     return bm.tier_median_gate(l, l.filter(F.col("status") != "P")).select("id", "tier_reason")
 
 
-@query("profile_gate", f"""WITH {TX}, p AS (SELECT area, property_type, count(*) AS n FROM tx WHERE deal_type = 'sale' AND (property_type <> 'small' OR price > 95000) GROUP BY ALL), t AS (SELECT area, sum(n) AS total FROM p GROUP BY 1),
+@query("profile_gate", f"""WITH {TX}, p AS (SELECT area, property_type, count(*) AS n FROM tx WHERE deal_type = 'sale' GROUP BY ALL), t AS (SELECT area, sum(n) AS total FROM p GROUP BY 1),
 s AS (SELECT p.area, property_type, round_even(n / total * 100.0::DOUBLE, 2) AS share, total FROM p JOIN t ON p.area = t.area WHERE total >= 20), {LISTINGS},
 l AS (SELECT id, area, CASE WHEN bedrooms < 3 THEN 'small' ELSE property_type END AS property_type FROM listings), k AS (SELECT area, max(total) AS total FROM s GROUP BY 1)
 SELECT id, CASE WHEN k.total >= 20 AND l.property_type IN ('small', 'machinery') THEN CASE WHEN share IS NULL THEN 'property_type_rare_for_area_0pct' WHEN share < 5
@@ -67,7 +67,7 @@ SELECT id, CASE WHEN k.total >= 20 AND l.property_type IN ('small', 'machinery')
 def q_profile_gate(spark, d):
     from gavel.operators.aggregates import share_of_total
 
-    tx = transactions(spark, d).filter((F.col("deal_type") == "sale") & ((F.col("property_type") != "small") | (F.col("price") > 95000)))
+    tx = transactions(spark, d).filter(F.col("deal_type") == "sale")
     l = listings(spark, d).select("id", "area", F.when(F.col("bedrooms") < 3, "small").otherwise(F.col("property_type")).alias("property_type"))
     return bm.profile_gate(l, share_of_total(tx, "area", "property_type"), ["small", "machinery"]).select("id", "profile_reason")
 

@@ -70,22 +70,11 @@ def q_area_search(spark, d):
     return sr.area_search(q, zones, areas)
 
 
-@query("alias_expand", f"""WITH {_QUERIES}, g AS (SELECT DISTINCT p_brand AS group_id, CASE WHEN p_size < 10 THEN p_name ELSE split_part(p_name, ' ', 2) || ' ' || p_brand END AS name FROM part WHERE p_size < 20), k AS (SELECT DISTINCT q AS qid, q, lower(trim(q)) AS k FROM qs),
+@query("alias_expand", f"""WITH {_QUERIES}, g AS (SELECT DISTINCT p_brand AS group_id, CASE WHEN p_size < 10 THEN p_name ELSE split_part(p_name, ' ', 2) || ' ' || p_brand END AS name FROM part), k AS (SELECT DISTINCT q AS qid, q, lower(trim(q)) AS k FROM qs),
 c AS (SELECT k, group_id, lower(trim(name)) AS n, CASE WHEN k = lower(trim(name)) THEN 0 ELSE 1 END AS stage FROM (SELECT DISTINCT k FROM k), g WHERE contains(k, lower(trim(name))) OR contains(lower(trim(name)), k)),
 p AS (SELECT k, group_id FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY stage, length(n) DESC, n, group_id) = 1)
 SELECT DISTINCT qid, coalesce(name, q) AS variant FROM k LEFT JOIN p ON k.k = p.k LEFT JOIN g ON p.group_id = g.group_id""")
 def q_alias_expand(spark, d):
-    name = F.when(F.col("p_size") < 10, F.col("p_name")).otherwise(F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" "), "p_brand"))
-    groups = load_table(spark, d, "part").filter(F.col("p_size") < 20).select(F.col("p_brand").alias("group_id"), name.alias("name")).distinct()
-    return sr.alias_expand(user_queries(spark, d), groups)
-
-
-# Every part as dictionary entry; the query above has those with p_size < 20.
-@query("alias_expand_all", f"""WITH {_QUERIES}, g AS (SELECT DISTINCT p_brand AS group_id, CASE WHEN p_size < 10 THEN p_name ELSE split_part(p_name, ' ', 2) || ' ' || p_brand END AS name FROM part), k AS (SELECT DISTINCT q AS qid, q, lower(trim(q)) AS k FROM qs),
-c AS (SELECT k, group_id, lower(trim(name)) AS n, CASE WHEN k = lower(trim(name)) THEN 0 ELSE 1 END AS stage FROM (SELECT DISTINCT k FROM k), g WHERE contains(k, lower(trim(name))) OR contains(lower(trim(name)), k)),
-p AS (SELECT k, group_id FROM c QUALIFY row_number() OVER (PARTITION BY k ORDER BY stage, length(n) DESC, n, group_id) = 1)
-SELECT DISTINCT qid, coalesce(name, q) AS variant FROM k LEFT JOIN p ON k.k = p.k LEFT JOIN g ON p.group_id = g.group_id""")
-def q_alias_expand_all(spark, d):
     name = F.when(F.col("p_size") < 10, F.col("p_name")).otherwise(F.concat(F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" "), "p_brand"))
     groups = load_table(spark, d, "part").select(F.col("p_brand").alias("group_id"), name.alias("name")).distinct()
     return sr.alias_expand(user_queries(spark, d), groups)
@@ -159,15 +148,13 @@ def q_ranked_facts(spark, d):
     return sr.ranked_facts(f, 10).select("user_id", "id", "position")
 
 
-@query("uncovered_names", f"""WITH {TX}, b AS (SELECT building, count(*) AS deals FROM tx GROUP BY 1 HAVING count(*) >= 20), a AS (SELECT DISTINCT lower(p_name) AS k FROM part WHERE p_size > 49 AND p_type = 'SMALL' UNION SELECT DISTINCT lower(p_name) || ' tower' FROM part WHERE p_size < 2 AND p_type = 'LARGE' UNION SELECT lower(split_part(p_name, ' ', 1)) FROM part WHERE p_partkey = (SELECT min(p_partkey) FROM part))
-SELECT building, deals FROM b WHERE NOT EXISTS (SELECT 1 FROM a WHERE contains(lower(building), k) OR contains(k, lower(building)))""")
+# The dictionary: all nations, and all words of five letters and more of the benchmark's passages.
+@query("uncovered_names", f"""WITH {TX}, b AS (SELECT building, count(*) AS deals FROM tx GROUP BY 1 HAVING count(*) >= 20), a AS (SELECT lower(n_name) AS k FROM nation UNION SELECT unnest(string_split_regex(lower(text), '[^\\p{{L}}]+')) FROM benchmark), l AS (SELECT k FROM a WHERE length(k) >= 5)
+SELECT building, deals FROM b WHERE NOT EXISTS (SELECT 1 FROM l WHERE contains(lower(building), k) OR contains(k, lower(building)))""")
 def q_uncovered(spark, d):
-    p = load_table(spark, d, "part")
-    first = p.filter(F.col("p_partkey") == p.agg(F.min("p_partkey")).scalar()).select(F.split_part("p_name", F.lit(" "), F.lit(1)).alias("k"))
-    a = (
-        p.filter((F.col("p_size") > 49) & (F.col("p_type") == "SMALL")).select(F.col("p_name").alias("k")).unionByName(first)
-        .unionByName(p.filter((F.col("p_size") < 2) & (F.col("p_type") == "LARGE")).select(F.concat("p_name", F.lit(" tower")).alias("k"))))
-    return sr.uncovered_names(transactions(spark, d), "building", a, "k", 20)
+    words = load_table(spark, d, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("k"))
+    names = load_table(spark, d, "nation").select(F.lower("n_name").alias("k")).unionByName(words).filter(F.length("k") >= 5).distinct()
+    return sr.uncovered_names(transactions(spark, d), "building", names, "k", 20)
 
 
 @query("fuzzy_canonical_name")

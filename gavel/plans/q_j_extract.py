@@ -136,10 +136,10 @@ def q_relevance(spark, d):
     return adverts(spark, d).select("id", F.round(s, 6).alias("score"), (s >= 0.349999).alias("relevant"))
 
 
-@query("news_dedup", """WITH i AS (SELECT page_id, sha1(split_part(url, '/', 3) || '|' || regexp_extract(html, '<html lang="([a-z]+)"', 1)) AS k FROM pages) SELECT min(page_id) AS page_id, k AS item_key FROM i GROUP BY k""")
+@query("news_dedup", """WITH i AS (SELECT page_id, sha1(url || '|' || regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS k FROM pages) SELECT min(page_id) AS page_id, k AS item_key FROM i GROUP BY k""")
 def q_news_dedup(spark, d):
-    p = load_table(spark, d, "pages").select("page_id", F.split_part("url", F.lit("/"), F.lit(3)).alias("host"), F.regexp_extract("html", '<html lang="([a-z]+)"', 1).alias("lang"))
-    return ex.dedup_items(p, "host", "lang", "page_id").select("page_id", "item_key")
+    p = load_table(spark, d, "pages").select("page_id", "url", F.regexp_extract("html", "(?s)<h1[^>]*>(.*?)</h1>", 1).alias("title"))
+    return ex.dedup_items(p, "url", "title", "page_id").select("page_id", "item_key")
 
 
 RULES = [

@@ -189,7 +189,7 @@ def q_issues(spark, d):
 SELECT q, n, bots FROM c WHERE q NOT IN (SELECT DISTINCT 'find ' || event_type || ' 5' FROM events WHERE event_type IN ('view', 'click')) ORDER BY n DESC, q LIMIT 100""")
 def q_empty_mining(spark, d):
     known = load_table(spark, d, "events").filter(F.col("event_type").isin("view", "click")).select(F.concat(F.lit("find "), "event_type", F.lit(" 5")).alias("key"))
-    return pr.empty_query_mining(interactions(spark, d), known, ts("2024-01-02 00:00:00"))
+    return pr.empty_query_mining(interactions(spark, d), known, ts("2024-01-02 00:00:00"), limit=100)
 
 
 @query("quota_usage", f"""WITH {INTERACTIONS}, u AS (SELECT bot_name AS provider, count(*) AS requests, CAST(sum(latency_ms) AS BIGINT) AS tokens_total, count(*) FILTER (WHERE outcome = 'success') AS ok FROM interactions WHERE ts >= TIMESTAMP '2024-01-30' - INTERVAL 1440 MINUTES AND ts <= TIMESTAMP '2024-01-30' GROUP BY 1),

@@ -82,10 +82,10 @@ def test_flagship_has_rows(spark):
 def test_queries_over_whole_tables(spark, sf):
     """Pages of one host are no copies of each other, and long messages have siblings as well."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
-    kept = QUERIES["fingerprint_dedup_address"](spark, sf).filter("NOT is_dup").count()
+    kept = QUERIES["fingerprint_dedup"](spark, sf).filter("NOT is_dup").count()
     assert kept == pages.select("url").distinct().count() > QUERIES["fingerprint_dedup"](spark, sf).filter("NOT is_dup").count()
     from gavel.plans.roles import messages
 
-    anchors = QUERIES["sibling_window_join_all"](spark, sf).select("anchor_id").distinct().count()
+    anchors = QUERIES["sibling_window_join"](spark, sf).select("anchor_id").distinct().count()
     assert anchors == messages(spark, sf).filter("chat IS NOT NULL AND lang IS NOT NULL AND ts IS NOT NULL").count()
     assert anchors > QUERIES["sibling_window_join"](spark, sf).select("anchor_id").distinct().count()
