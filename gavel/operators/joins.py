@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.scale import best_per_key, null_safe_join, top_n
 from gavel.functions.similarity import containment_pairs
+from gavel.operators import sweep
 
 
 def anti_join_nullable(df: DataFrame, banned: DataFrame, key: str) -> DataFrame:
@@ -108,19 +109,9 @@ def nearest_asof(df: DataFrame, keys: Sequence[str], ts: str, target: Column, to
 
 
 def nearest_asof_join(left: DataFrame, right: DataFrame, key: str, ts: str, tolerance_s: int, values: Sequence[str], row_id: str) -> DataFrame:
-    """Every left row with the right row of the same key nearest in time within a tolerance.
-
-    Both sides are cut into buckets as wide as the tolerance; a left row probes its own and
-    the two neighbouring buckets, so the join stays an equi-join.
-    """
-    bucket = lambda: F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / tolerance_s)
-    probes = left.withColumn("__b", F.explode(F.sequence(bucket() - 1, bucket() + 1)))
-    side = right.select(F.col(key), F.col(ts).alias("__rts"), bucket().alias("__b"), *[F.col(v).alias(f"near_{v}") for v in values])
-    gap = F.abs(F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("__rts").cast("timestamp")))
-    hits = probes.join(side, [key, "__b"]).withColumn("__gap", gap).filter(F.col("__gap") <= tolerance_s * 1_000_000)
-    packed = F.struct("__gap", "__rts", *[f"near_{v}" for v in values])
-    return hits.groupBy(row_id, key).agg(F.min(packed).alias("__p")).select(
-        row_id, key, F.col("__p.__rts").alias("near_ts"), *[F.col(f"__p.near_{v}").alias(f"near_{v}") for v in values])
+    """Every left row with the right row of the same key nearest in time within a tolerance: a sorted sweep
+    (:mod:`gavel.operators.sweep`), which splits a busy key by time."""
+    return sweep.nearest(left, right, key, ts, tolerance_s, values, row_id)
 
 
 def latest_asof(df: DataFrame, keys: Sequence[str], period: str, values: Sequence[str], as_of: Column | None = None) -> DataFrame:
@@ -166,12 +157,8 @@ def substring_lookup(df: DataFrame, names: DataFrame, col: str, name: str, min_l
 
 
 def sibling_window(anchors: DataFrame, rows: DataFrame, keys: Sequence[str], ts: str, row_id: str, window_s: int = 120) -> DataFrame:
-    """Rows of the same keys within ± ``window_s`` of each anchor (time-bucketed equi-join)."""
-    bucket = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / window_s)
-    a = anchors.select(F.col(row_id).alias("anchor_id"), *keys, F.col(ts).alias("__ats"), F.explode(F.sequence(bucket - 1, bucket + 1)).alias("__b"))
-    r = rows.select(F.col(row_id).alias("sibling_id"), *keys, F.col(ts).alias("__rts"), bucket.alias("__b"))
-    gap = F.abs(F.unix_micros(F.col("__ats").cast("timestamp")) - F.unix_micros(F.col("__rts").cast("timestamp")))
-    return a.join(r, [*keys, "__b"]).filter(gap <= window_s * 1_000_000).select("anchor_id", "sibling_id", *keys)
+    """Rows of the same keys within ± ``window_s`` of each anchor, by a sorted sweep."""
+    return sweep.siblings(anchors, rows, keys, ts, row_id, window_s)
 
 
 def priority_union(sources: Mapping[int, DataFrame], key: str) -> DataFrame:
