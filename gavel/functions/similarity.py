@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -81,44 +83,48 @@ def containment_pairs(needles: DataFrame, needle: str, hay: DataFrame, text: str
     return probes.join(index, "gram").filter(F.contains("text", "needle")).select("needle", "text")
 
 
-def overlap_candidates(left: DataFrame, a: str, ga: str, right: DataFrame, b: str, gb: str, share: float) -> DataFrame:
-    """Distinct (a, b) pairs whose token sets may overlap in ``share`` of each set; complete.
+def overlap_candidates(
+    left: DataFrame, a: str, ga: str, right: DataFrame, b: str, gb: str, share: float, common: float, block: Sequence[str] = ()
+) -> DataFrame:
+    """Distinct (block, a, b) whose token sets may have ``share`` of each set, and ``common`` of both sizes together, in common; complete.
 
-    Prefix filtering: with tokens in rare-first order, two sets can only reach the overlap when
-    their first ``|x| − ⌈share·|x|⌉ + 1`` tokens meet, so frequent tokens are never joined on.
-    Set sizes must also agree within ``share``.
+    Prefix filter: with tokens in rare-first order, two sets can only reach the overlap when
+    their first ``|x| − ⌈share·|x|⌉ + 1`` tokens meet, so frequent tokens are never joined on. Length bands: sizes must agree within
+    ``share``. Position filter: what two sets have in common is at most one token more than stands behind their first meeting in
+    either, and at most the meetings plus what stands behind the last. Only rows of one ``block`` (columns of both sides) meet.
     """
+    block = list(block)
     freq = (
         left.select(F.explode(ga).alias("g")).unionByName(right.select(F.explode(gb).alias("g")))
         .groupBy("g").agg(F.count(F.lit(1)).alias("__df"))
     )
 
     def prefixes(df: DataFrame, key: str, grams: str) -> DataFrame:
-        ordered = (
-            df.select(key, F.size(grams).alias("__n"), F.explode(grams).alias("g"))
-            .join(freq, "g")
-            .groupBy(key, "__n")
-            .agg(F.sort_array(F.collect_list(F.struct("__df", "g"))).alias("__o"))
-        )
+        sets = df.select(*block, key, F.size(grams).alias("__n"), F.explode(grams).alias("g")).join(freq, "g")
+        ordered = sets.groupBy(*block, key, "__n").agg(F.sort_array(F.collect_list(F.struct("__df", "g"))).alias("__o"))
         keep = (F.col("__n") - F.ceil(F.col("__n") * F.lit(share) - 1e-9) + 1).cast("int")
         first = F.slice("__o", F.lit(1), F.greatest(keep, F.lit(1)))
-        return ordered.select(key, F.col("__n").alias(f"__n_{key}"), F.explode(first).alias("p")).select(key, f"__n_{key}", F.col("p.g").alias("g"))
-
-    pa, pb = prefixes(left, a, ga), prefixes(right, b, gb)
-    fits = F.least(f"__n_{a}", f"__n_{b}") >= F.greatest(f"__n_{a}", f"__n_{b}") * F.lit(share) - 1e-9
-    return pa.join(pb, "g").filter(fits).select(a, b).distinct()
-
-
-def trigram_pairs(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float) -> DataFrame:
-    """Distinct (a, b) text pairs with trigram Jaccard ≥ ``threshold``; exact."""
-    la = left.select(F.col(a).alias("a")).distinct().withColumn("ga", word_trigrams("a")).filter(F.size("ga") > 0)
-    rb = right.select(F.col(b).alias("b")).distinct().withColumn("gb", word_trigrams("b")).filter(F.size("gb") > 0)
-    return (
-        overlap_candidates(la, "a", "ga", rb, "b", "gb", threshold)
-        .withColumn("similarity", trigram_similarity("a", "b"))
-        .filter(F.col("similarity") >= threshold)
-        .select("a", "b", "similarity")
-    )
+        placed = ordered.select(*block, key, F.col("__n").alias(f"__n_{key}"), F.posexplode(first).alias("__i", "p"))
+        return placed.select(*block, key, f"__n_{key}", F.col("p.g").alias("g"), (F.col("__i") + 1).alias(f"__i_{key}"))
+
+    na, nb, ia, ib = (F.col(c) for c in (f"__n_{a}", f"__n_{b}", f"__i_{a}", f"__i_{b}"))
+    need = F.greatest(F.greatest(na, nb) * F.lit(share), (na + nb) * F.lit(common)) - 1e-9
+    fits = F.least(na, nb) >= F.greatest(na, nb) * F.lit(share) - 1e-9
+    met = prefixes(left, a, ga).join(prefixes(right, b, gb), [*block, "g"]).filter(fits & (1 + F.least(na - ia, nb - ib) >= need))
+    pairs = met.groupBy(*block, a, b, f"__n_{a}", f"__n_{b}").agg(F.count(F.lit(1)).alias("__c"), F.max(ia).alias(f"__i_{a}"), F.max(ib).alias(f"__i_{b}"))
+    return pairs.filter(F.col("__c") + F.least(na - ia, nb - ib) >= need).select(*block, a, b)
+
+
+def trigram_candidates(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float, block: Sequence[str] = ()) -> DataFrame:
+    la = left.select(*block, F.col(a).alias("a")).distinct().withColumn("ga", word_trigrams("a")).filter(F.size("ga") > 0)
+    rb = right.select(*block, F.col(b).alias("b")).distinct().withColumn("gb", word_trigrams("b")).filter(F.size("gb") > 0)
+    return overlap_candidates(la, "a", "ga", rb, "b", "gb", threshold, threshold / (1 + threshold), block)
+
+
+def trigram_pairs(left: DataFrame, a: str, right: DataFrame, b: str, threshold: float, block: Sequence[str] = ()) -> DataFrame:
+    """Distinct (block, a, b) text pairs with trigram Jaccard ≥ ``threshold``; exact. Rows without a ``block`` value meet no other."""
+    pairs = trigram_candidates(left, a, right, b, threshold, block).withColumn("similarity", trigram_similarity("a", "b"))
+    return pairs.filter(F.col("similarity") >= threshold).select(*block, "a", "b", "similarity")
 
 
 def char_bag(col: Column | str) -> Column:
@@ -154,7 +160,7 @@ def fuzzy_pairs(left: DataFrame, a: str, right: DataFrame, b: str, cutoff: float
     t = cutoff / 100.0
     la = left.select(F.col(a).alias("a")).distinct().withColumn("sa", token_sort("a")).filter(F.length("sa") > 0).withColumn("ga", char_bag("sa"))
     rb = right.select(F.col(b).alias("b")).distinct().withColumn("sb", token_sort("b")).filter(F.length("sb") > 0).withColumn("gb", char_bag("sb"))
-    pairs = overlap_candidates(la, "a", "ga", rb, "b", "gb", t / (2 - t))
+    pairs = overlap_candidates(la, "a", "ga", rb, "b", "gb", t / (2 - t), t / 2)
     # The bags bound the kept characters from above: most candidates end here, before Python.
     sorted_texts = pairs.withColumn("sa", token_sort("a")).withColumn("sb", token_sort("b"))
     common = F.size(F.array_intersect(char_bag("sa"), char_bag("sb")))

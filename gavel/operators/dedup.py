@@ -375,10 +375,10 @@ def near_dup_merge(facts: DataFrame, threshold: float = 0.60) -> tuple[DataFrame
     """
     keys = ["user_id", "fact_type"]
     firsts = facts.groupBy(*keys, "fact_text").agg(F.min("id").alias("first_id"))
-    pairs = trigram_pairs(firsts.select("fact_text"), "fact_text", firsts.select("fact_text"), "fact_text", threshold).filter(F.col("a") != F.col("b"))
+    pairs = trigram_pairs(firsts, "fact_text", firsts, "fact_text", threshold, keys).filter(F.col("a") != F.col("b"))  # within a user and type
     left = firsts.select(*keys, F.col("fact_text").alias("a"), F.col("first_id").alias("x"))
     right = firsts.select(*keys, F.col("fact_text").alias("b"), F.col("first_id").alias("y"))
-    edges = cut_lineage(pairs.join(left, "a").join(right, [*keys, "b"]).filter(F.col("x") < F.col("y")).select("x", "y").distinct(), "edges")
+    edges = cut_lineage(pairs.join(left, [*keys, "a"]).join(right, [*keys, "b"]).filter(F.col("x") < F.col("y")).select("x", "y").distinct(), "edges")
     nodes = edges.select(F.col("y").alias("id")).distinct()
     settled = edges.select(F.col("x").alias("id")).distinct().join(nodes, "id", "left_anti").withColumn("kept", F.lit(True))
     settled = cut_lineage(settled, "settled")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -91,9 +90,16 @@ def naive_forecast(series: DataFrame, keys: Sequence[str], day: str, value: str,
     return out.withColumn("ds", F.date_add("last_day", F.col("step") * 30)).withColumn("yhat", yhat).withColumn("yhat_lower", F.col("yhat") * 0.9).withColumn("yhat_upper", F.col("yhat") * 1.1).drop("slope", "at0")
 
 
-def _positions(series: DataFrame, keys: list[str], day: str) -> DataFrame:
-    w = Window.partitionBy(*keys)
-    return series.withColumn("__i", F.row_number().over(w.orderBy(day)) - 1).withColumn("__n", F.count("*").over(w))
+def _positions(series: DataFrame, keys: list[str], day: str, bucket: str = "month") -> DataFrame:
+    """Position ``__i`` (from 0) and number ``__n`` of a key's rows in time order: rows are numbered inside their time bucket, and buckets
+    are summed up. No window holds a whole key's rows, only one row per bucket."""
+    cut = series.withColumn("__tb", F.date_trunc(bucket, F.col(day)))
+    over = Window.partitionBy(*keys)
+    before = over.orderBy("__tb").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = cut.groupBy(*keys, "__tb").agg(F.count(F.lit(1)).alias("__bn"))
+    sizes = sizes.withColumn("__before", F.coalesce(F.sum("__bn").over(before), F.lit(0))).withColumn("__n", F.sum("__bn").over(over)).drop("__bn")
+    placed = cut.withColumn("__in", F.row_number().over(Window.partitionBy(*keys, "__tb").orderBy(day)))
+    return null_safe_join(placed, sizes, [*keys, "__tb"]).withColumn("__i", (F.col("__before") + F.col("__in") - 1).cast("int")).drop("__tb", "__in", "__before")
 
 
 def price_forecast(series: DataFrame, keys: Sequence[str], day: str, value: str, months_ahead: int) -> DataFrame:
@@ -123,7 +129,7 @@ def price_forecast(series: DataFrame, keys: Sequence[str], day: str, value: str,
 def mape_backtest(series: DataFrame, keys: Sequence[str], ts: str, value: str, min_points: int = 40) -> DataFrame:
     """Fit on the first 70 % of a metric's history, mean absolute percentage error on the rest."""
     keys = list(keys)
-    pos = _positions(series, keys, ts).filter(F.col("__n") >= min_points)
+    pos = _positions(series, keys, ts, "hour").filter(F.col("__n") >= min_points)
     start = null_safe_join(pos, pos.groupBy(*keys).agg(F.min(ts).alias("__t0")), keys)
     x = (F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(F.col("__t0").cast("timestamp"))) / 1e6
     xy = start.withColumn("__x", x).withColumn("__train", F.col("__i") < F.floor(F.col("__n") * 0.7))
@@ -237,33 +243,35 @@ def _coefficients(m: np.ndarray) -> np.ndarray:
     return np.linalg.lstsq(m[:-1, :-1], m[:-1, -1], rcond=None)[0]
 
 
-# Cumulative Poisson(1) probabilities: how often a row is drawn in one replicate.
-_POISSON_STEPS = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)])
+#: Cumulative Poisson(1) probabilities: how often a row is drawn in one replicate.
+POISSON_STEPS = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 5040, 40320)]).tolist()
+#: Replicates that one MD5 gives weights for, 8 hex digits each.
+DIGEST_SHARES = 4
 
 
-def _bootstrap_products(cols: Sequence[str], row_id: str, replicates: int, seed: int):
-    """Per partition: sums of weighted cross products for every replicate.
+def poisson_weight(digest: Column, share: int) -> Column:
+    """Poisson(1) draw from the 8 hex digits of a share of an MD5, so every engine draws the same."""
+    u = F.conv(F.substring(digest, 8 * share + 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
+    return sum((F.when(u > step, 1.0).otherwise(0.0) for step in POISSON_STEPS), F.lit(0.0))
 
-    Weights come from a hash of (row id, replicate), so a task that is run again after an
-    executor loss draws the same sample.
-    """
-
-    def work(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        k = len(cols) + 1
-        total = np.zeros((replicates, k, k))
-        for pdf in frames:
-            x = np.column_stack([np.ones(len(pdf)), pdf[list(cols)].to_numpy(dtype=float)])
-            ids = pdf[row_id].to_numpy().astype(np.uint64)
-            for r in range(replicates):
-                h = ids * np.uint64(0x9E3779B97F4A7C15) + np.uint64((r + 1) * 0x632BE59BD9B4E019 + seed & 0xFFFFFFFFFFFFFFFF)
-                h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-                h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-                u = ((h ^ (h >> np.uint64(31))) >> np.uint64(11)).astype(float) / float(1 << 53)
-                wt = np.searchsorted(_POISSON_STEPS, u).astype(float)
-                total[r] += (x * wt[:, None]).T @ x
-        yield pd.DataFrame({"rep": np.repeat(np.arange(replicates), k * k), "cell": np.tile(np.arange(k * k), replicates), "v": total.ravel()})
 
-    return work
+def _bootstrap_products(rows: DataFrame, cols: Sequence[str], replicates: int, seed: int) -> np.ndarray:
+    """(replicate, columns + 1, columns + 1): weighted sums of cross products, as one grouped aggregate. The digest is that of
+    'id:block:seed', a block being ``DIGEST_SHARES`` replicates."""
+    k = len(cols) + 1
+    c = [F.lit(1.0), *[F.col(x) for x in cols]]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    blocks = -(-replicates // DIGEST_SHARES)
+    drawn = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    drawn = drawn.withColumn("__digest", F.md5(F.concat_ws(":", "__id", "__block", F.lit(seed))))
+    drawn = drawn.select("__block", *cols, *[poisson_weight(F.col("__digest"), s).alias(f"__w{s}") for s in range(DIGEST_SHARES)])
+    sums = drawn.groupBy("__block").agg(*[F.sum(F.col(f"__w{s}") * c[i] * c[j]).alias(f"s{s}_{i}_{j}") for s in range(DIGEST_SHARES) for i, j in pairs]).collect()  # one row per block
+    out = np.zeros((blocks * DIGEST_SHARES, k, k))
+    for r in sums:
+        for s in range(DIGEST_SHARES):
+            for i, j in pairs:
+                out[r["__block"] * DIGEST_SHARES + s, i, j] = out[r["__block"] * DIGEST_SHARES + s, j, i] = r[f"s{s}_{i}_{j}"]
+    return out[:replicates]
 
 
 def ate_linear(df: DataFrame, treatment: str, outcome: str, confounders: Sequence[str], row_id: str, replicates: int = 200, seed: int = 42) -> DataFrame:
@@ -274,17 +282,12 @@ def ate_linear(df: DataFrame, treatment: str, outcome: str, confounders: Sequenc
     estimate, one for all Poisson-bootstrap replicates, one for the check.
     """
     cols = [treatment, *confounders, outcome]
-    rows = df.select(F.col(row_id).cast("bigint").alias("__id"), *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
+    rows = df.select(F.col(row_id).cast("string").alias("__id"), *[F.col(c).cast("double").alias(c) for c in cols]).dropna()
     n, m = _cross_products(rows, cols)
     ate = float(_coefficients(m)[1])
     low = high = None
     if replicates:
-        parts = rows.mapInPandas(_bootstrap_products(cols, "__id", replicates, seed), "rep int, cell int, v double")
-        sums = parts.groupBy("rep", "cell").agg(F.sum("v").alias("v")).toPandas()
-        k = len(cols) + 1
-        cells = np.zeros((replicates, k * k))
-        cells[sums["rep"], sums["cell"]] = sums["v"]
-        slopes = [_coefficients(c.reshape(k, k))[1] for c in cells]
+        slopes = [_coefficients(c)[1] for c in _bootstrap_products(rows, cols, replicates, seed)]
         low, high = (float(v) for v in np.percentile(slopes, [2.5, 97.5]))
     noise = F.pmod(F.xxhash64("__id", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
     _, mr = _cross_products(rows.withColumn("__noise", noise), [treatment, *confounders, "__noise", outcome])

@@ -290,7 +290,14 @@ def _facts(spark, d):
         F.timestamp_seconds(F.lit(1699067200) + F.col("page_id") * 3600).cast("timestamp_ntz").alias("created_at"))
 
 
-@query("near_dup_merge")
+# Facts in id order; each looks for kept ones among its earlier neighbours. The recursion goes through all facts with one list of those kept.
+@query("near_dup_merge", """WITH RECURSIVE f AS (SELECT page_id AS id, split_part(url, '/', 4) || '|' || split_part(url, ':', 1) AS k, split_part(url, '/', 3) AS t FROM pages),
+g AS (SELECT id, k, t, list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(t), '[^\\p{L}\\p{N}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3))))) AS g FROM f),
+u AS (SELECT k, t, any_value(g) AS g, min(id) AS id FROM g GROUP BY k, t), e AS (SELECT y.id AS y, list(x.id) AS before FROM u x JOIN u y ON x.k = y.k AND x.id < y.id AND len(list_intersect(x.g, y.g)) >= 0.6 * (len(x.g) + len(y.g) - len(list_intersect(x.g, y.g))) GROUP BY y.id),
+o AS (SELECT u.id, coalesce(before, []) AS before, row_number() OVER (ORDER BY u.id) AS i FROM u LEFT JOIN e ON e.y = u.id),
+r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept UNION ALL SELECT o.i, CASE WHEN len(list_intersect(r.kept, o.before)) > 0 THEN r.kept ELSE list_append(r.kept, o.id) END FROM r JOIN o ON o.i = r.i + 1),
+z AS (SELECT kept FROM r ORDER BY i DESC LIMIT 1), s AS (SELECT o.id, list_min(list_intersect(o.before, z.kept)) AS into_id FROM o, z)
+SELECT f.id, CASE WHEN s.into_id IS NOT NULL THEN s.into_id WHEN f.id <> u.id THEN u.id END AS superseded_by FROM f JOIN u ON u.k = f.k AND u.t = f.t JOIN s ON s.id = u.id WHERE s.into_id IS NOT NULL OR f.id <> u.id""")
 def q_near_dup_merge(spark, d):
     return dd.near_dup_merge(_facts(spark, d))[1].select("id", "superseded_by")
 

@@ -181,9 +181,26 @@ def q_ate(spark, d):
     return se.ate_linear(units(spark, d), "t", "y", ["c"], "id", replicates=0).select("n", F.round("ate", 3).alias("ate"))
 
 
-@query("ate_bootstrap")
+_WEIGHT = " + ".join(f"CASE WHEN u > {step!r}::DOUBLE THEN 1.0::DOUBLE ELSE 0 END" for step in se.POISSON_STEPS)
+_DET = lambda a: f"({a[0]} * ({a[4]} * {a[8]} - {a[5]} * {a[7]}) - {a[1]} * ({a[3]} * {a[8]} - {a[5]} * {a[6]}) + {a[2]} * ({a[3]} * {a[7]} - {a[4]} * {a[6]}))"
+_ATE3 = _DET(["ty", "tc", "tb", "cy", "cc", "cb", "yb", "cb", "bb"]) + " / " + _DET(["tt", "tc", "tb", "tc", "cc", "cb", "tb", "cb", "bb"])
+_COVARIANCES = ", ".join(f"sum(w * {p[0]} * {p[1]}) / sum(w) - sum(w * {p[0]}) / sum(w) * (sum(w * {p[1]}) / sum(w)) AS {p}" for p in ("tt", "tc", "tb", "ty", "cc", "cb", "cy", "bb", "yb"))
+
+
+# 200 replicates; the weights come from MD5 digits, so SQL draws the same samples.
+@query("ate_bootstrap", f"""WITH {TX}, m AS (SELECT avg(size_sqft) AS mc, avg(bedrooms) AS mb, avg(price) AS my FROM tx WHERE deal_type = 'sale'),
+u AS (SELECT order_id || '-' || line_no AS id, CASE WHEN property_type IN ('large', 'promo') THEN 1.0 ELSE 0.0 END::DOUBLE AS t, price::DOUBLE - my AS y, size_sqft::DOUBLE - mc AS c, bedrooms::DOUBLE - mb AS b FROM tx, m WHERE deal_type = 'sale' AND price IS NOT NULL AND size_sqft IS NOT NULL AND bedrooms IS NOT NULL),
+d AS (SELECT t, y, c, b, block, md5(id || ':' || block || ':42') AS h FROM (SELECT *, unnest(range(0, 50)) AS block FROM u)),
+g AS (SELECT block * 4 + s AS rep, t, y, c, b, ('0x' || substr(h, CAST(8 * s + 1 AS BIGINT), 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM (SELECT *, unnest(range(0, 4)) AS s FROM d)),
+w AS (SELECT rep, t, y, c, b, {_WEIGHT} AS w FROM g), v AS (SELECT rep, {_COVARIANCES} FROM w GROUP BY rep), r AS (SELECT {_ATE3} AS ate FROM v),
+o AS (SELECT count(*) AS n, {_COVARIANCES} FROM (SELECT *, 1.0::DOUBLE AS w FROM u))
+SELECT n, round({_ATE3}, 2) AS ate, (SELECT round(quantile_cont(ate, 0.025), 2) FROM r) AS ate_lower, (SELECT round(quantile_cont(ate, 0.975), 2) FROM r) AS ate_upper FROM o""")
 def q_ate_bootstrap(spark, d):
-    return se.ate_linear(units(spark, d), "t", "y", ["c", "b"], "id").select("n", "ate", "ate_lower", "ate_upper", "refutation_passed")
+    tx = transactions(spark, d).filter(F.col("deal_type") == "sale")
+    rows = tx.select(
+        F.concat_ws("-", "order_id", "line_no").alias("id"), F.when(F.col("property_type").isin("large", "promo"), 1.0).otherwise(0.0).alias("t"), F.col("price").alias("y"),
+        F.col("size_sqft").alias("c"), F.col("bedrooms").cast("double").alias("b"))
+    return se.ate_linear(rows, "t", "y", ["c", "b"], "id").select("n", *[F.round(x, 2).alias(x) for x in ("ate", "ate_lower", "ate_upper")])
 
 
 @query("counterfactual", f"""WITH {TX}, {_UNITS}, s AS (SELECT area, avg(size_sqft) AS c, count(*) FILTER (WHERE property_type IN ('large', 'promo')) / count(*) AS t FROM tx GROUP BY area)

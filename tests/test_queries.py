@@ -35,7 +35,7 @@ def test_matches_sql(spark, sf, duck, name):
 
 
 def test_every_query_has_an_oracle_or_a_test_here():
-    assert set(QUERIES) - set(ORACLE) == {"near_dup_merge", "ate_bootstrap", "text_cluster", "fuzzy_canonical_name"}
+    assert set(QUERIES) - set(ORACLE) == {"text_cluster", "fuzzy_canonical_name"}
 
 
 def test_merged_facts_point_to_survivors(spark, sf):
