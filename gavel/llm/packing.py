@@ -1,10 +1,10 @@
 """Hierarchical multi-length packing of token sequences.
 
 A document's ids (with an end id) are cut into full windows; what is left over, and every shorter
-document, is routed to the smallest of several context-size tiers that holds it. Windows are opened
-with the longest pieces; the gaps of long windows are filled with the longest pieces of the shorter tiers
-that fit, and closed with a cut piece, so windows have no padding. What a task has left when its
-input ends makes sequences of power-of-two lengths. Finished windows are dealt to step groups whose
+document, is routed to the smallest of several context-size tiers that holds it. Each tier, from the longest down, is packed into
+sequences of its own length: opened with its longest piece, their gaps filled with the longest pieces of this and
+the shorter tiers that fit, and closed with a cut piece, so no sequence has padding. What a task has left when its
+input ends makes sequences of power-of-two lengths. Finished sequences are dealt to step groups whose
 attention cost (the sum of squared piece lengths) is alike.
 
 Everything happens while a partition streams by: ids are never shuffled, and a worker holds a
@@ -35,8 +35,11 @@ class TierPacker:
     def __init__(self, window: int, tiers: tuple[int, ...], step_windows: int):
         self.window, self.step = window, step_windows
         self.tiers = sorted({t for t in tiers if t < window} | {window})
+        if any(t & (t - 1) for t in self.tiers):
+            raise ValueError("tiers must be powers of two")
         self.waiting: dict[int, list] = {t: [] for t in self.tiers}  # each sorted by length
-        self.tokens = self.serial = 0
+        self.held = dict.fromkeys(self.tiers, 0)  # ids waiting in each
+        self.serial = 0
         self.ready: list[tuple[int, list]] = []  # (length of the sequence, its pieces)
 
     def add(self, doc: object, start: int, length: int) -> None:
@@ -49,45 +52,53 @@ class TierPacker:
 
     def _wait(self, doc: object, start: int, length: int) -> None:
         self.serial += 1
-        self.tokens += length
-        insort(self.waiting[next(t for t in self.tiers if t >= length)], (length, self.serial, doc, start))
+        tier = next(t for t in self.tiers if t >= length)
+        self.held[tier] += length
+        insort(self.waiting[tier], (length, self.serial, doc, start))
 
-    def _take(self, gap: int) -> tuple | None:
-        """The longest waiting piece that fits; else a piece cut to fit."""
+    def _pop(self, tier: int, at: int) -> tuple:
+        piece = self.waiting[tier].pop(at)
+        self.held[tier] -= piece[0]
+        return piece
+
+    def _take(self, gap: int, top: int) -> tuple:
+        """The longest piece of the tiers up to ``top`` that fits; else a piece cut to fit."""
         cut = None
         for tier in reversed(self.tiers):
             pieces = self.waiting[tier]
-            if not pieces:
+            if tier > top or not pieces:
                 continue
             at = bisect_right(pieces, (gap, float("inf")))
             if at:
-                piece = pieces.pop(at - 1)
-                self.tokens -= piece[0]
-                return piece
+                return self._pop(tier, at - 1)
             cut = tier
-        if cut is None:
-            return None
-        length, serial, doc, start = self.waiting[cut].pop(0)
-        self.tokens -= length
+        length, serial, doc, start = self._pop(cut, 0)
         self._wait(doc, start + gap, length - gap)
         return gap, serial, doc, start
 
-    def _fill(self, size: int) -> None:
-        gap, pieces = size, []
+    def _fill(self, size: int, top: int) -> None:
+        """A sequence of ``size`` ids from the tiers up to ``top``, which hold as many."""
+        gap, pieces, own = size, [], self.waiting[top]
+        if own and own[-1][0] <= size:
+            pieces.append(self._pop(top, len(own) - 1))
+            gap -= pieces[0][0]
         while gap:
-            piece = self._take(gap)
-            pieces.append(piece)
-            gap -= piece[0]
+            pieces.append(self._take(gap, top))
+            gap -= pieces[-1][0]
         self.ready.append((size, pieces))
 
+    def _upto(self, top: int) -> int:
+        return sum(n for tier, n in self.held.items() if tier <= top)
+
     def pack(self, end: bool) -> list[tuple[int, int, list]]:
         """(step group, length, pieces) of the sequences that can be closed now."""
-        while self.tokens >= self.window:
-            self._fill(self.window)
+        for tier in reversed(self.tiers):
+            while self.waiting[tier] and self._upto(tier) >= tier:
+                self._fill(tier, tier)
         size = self.window
-        while end and self.tokens:
-            if self.tokens >= size:
-                self._fill(size)
+        while end and (left := self._upto(self.window)):
+            if left >= size:
+                self._fill(size, self.window)
             else:
                 size //= 2
         done, self.ready = self.ready, []
@@ -115,8 +126,8 @@ def pack_documents(
     (binary, little-endian unsigned 32-bit), ``doc_tokens`` (with the end id), ``sequence_id``,
     ``offset`` in the sequence, ``sequence_length``, ``step_group``.
 
-    Every id of every row lies in exactly one piece. Sequences have ``window`` ids or a smaller power
-    of two. A null or empty text is its end id alone; null and repeated ids are packed row by row;
+    Every id of every row lies in exactly one piece. Sequences have ``window`` ids, the size of a smaller tier or, at the end of a
+    task's input, another power of two. A null or empty text is its end id alone; null and repeated ids are packed row by row;
     no rows give no pieces; other columns are not read.
     """
     if window & (window - 1):

@@ -129,3 +129,20 @@ def test_step_groups_are_balanced():
         cost[group] += sum(p[0] ** 2 for p in pieces)
     full = sorted(cost.values())
     assert full[-1] <= 1.5 * full[0]
+
+
+def test_each_tier_is_packed_by_itself():
+    def run(tiers):
+        rng, packer = random.Random(2), packing.TierPacker(2048, tiers, 8)
+        for i in range(600):
+            packer.add(i, 0, rng.choice((20, 90, 200, 240, 300, 480, 700, 1000, 1500, 2000)))
+        done = packer.pack(False)
+        assert all(sum(p[0] for p in pieces) == size for _, size, pieces in done)
+        return [(size, [p[0] for p in pieces]) for _, size, pieces in done]
+
+    all_tiers, fewer = run((256, 512, 1024, 2048)), run((256, 1024, 2048))
+    assert {size for size, _ in all_tiers} == {256, 512, 1024, 2048} and {size for size, _ in fewer} == {256, 1024, 2048}
+    assert all(max(pieces) > size // 2 for size, pieces in all_tiers if size > 256)  # opened with a piece of its own tier
+    assert any(size == 2048 and min(pieces) <= 256 for size, pieces in all_tiers)  # gaps are filled from shorter tiers
+    with pytest.raises(ValueError):
+        packing.TierPacker(2048, (300, 2048), 8)
