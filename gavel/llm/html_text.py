@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOKEN = re.compile(r"<!--(?:.*?--!?>|.*\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+>|[^>]*(?:>|\Z))", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+ATTRIBUTE = re.compile(r"([^\s=\"'>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: Styles of elements that are not shown.
+NOT_SHOWN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
 
 #: Elements whose content is not markup, and elements that never have content.
 RAW = frozenset("script style textarea title iframe xmp noembed noframes template noscript".split())
@@ -36,7 +38,7 @@ BLOCK = frozenset(
 #: Elements that may be the container of a page's main text.
 CONTAINER = frozenset("article body div main section td".split())
 #: Parts of a page that are never main text.
-ASIDE = frozenset("aside button dialog fieldset footer form head iframe input label menu nav noscript object option script select style svg template textarea".split())
+ASIDE = frozenset("aside button dialog fieldset footer head iframe input label menu nav noscript object option script select style svg template textarea".split())
 ASIDE_WORDS = re.compile(
     r"(?:^|[^a-z])(?:ad|ads|advert\w*|adsense|banner|breadcrumbs?|comment\w*|consent|cookies?|disqus|footer|hidden|login|masthead|menu|modal|nav|navbar|navigation|"
     r"newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[^a-z])"
@@ -48,6 +50,8 @@ TALK_WORDS = re.compile(r"(?:^|[^a-z])(?:comment\w*|disqus|replies|respond)(?:$|
 #: An end tag may be missing: the element ends where one of these begins.
 CLOSED_BY = {"p": BLOCK - {"html", "body"}, "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr"}), "td": frozenset({"td", "th", "tr"}), "th": frozenset({"td", "th", "tr"}), "option": frozenset({"option"})}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose names do not make them an aside: the page itself and its headings.
+UNNAMED = HEADINGS | {"html", "body"}
 #: Parts into which the pages of one host are split.
 SALTS = 64
 #: Part of the page's own best container that a winning path beside it must hold in order to replace it.
@@ -61,18 +65,19 @@ def _path(tag: str, classes: str) -> str:
     return ".".join([tag, *names])
 
 
-def _aside_name(attributes: dict[str, str]) -> str:
+def _aside_name(attributes: dict[str, str], by: tuple[str, ...] = ("class", "id", "role")) -> str:
     """The words of an element's class, id and role by which it would be no main text; empty if there are none."""
-    named = " ".join(attributes.get(a, "") for a in ("class", "id", "role")).lower().split()
+    named = " ".join(attributes.get(a, "") for a in by).lower().split()
     return " ".join(n for n in named if not LAYOUT_NAME.fullmatch(n) and ASIDE_WORDS.search(n))
 
 
-def _without_asides(found: list[tuple[Block, tuple[int, ...]]], talk: list[bool], holders: set[int], beside: set[int]) -> list[Block]:
+def _without_asides(found: list[tuple[Block, tuple[int, ...]]], talk: list[bool], holders: set[int], beside: set[int], anchors: set[int]) -> list[Block]:
     """The blocks that stand in none of the elements that are asides by their name.
 
     A name alone does not discard the page: an element that holds its only article or main, or most of its
     unlinked text, is no aside. Elements beside an article or main with text (``beside``) are asides in any case,
-    and so is talk, unless nothing else is left.
+    and so is talk, unless nothing else is left. Inside an article an id is mostly the target of a link: what only its id
+    names (``anchors``) is an aside if it is mostly linked itself.
     """
     worth = [len(text) - linked for (text, linked, _), _ in found]
     quiet = [w for w, (_, names) in zip(worth, found) if not any(talk[n] for n in names)]
@@ -85,7 +90,11 @@ def _without_asides(found: list[tuple[Block, tuple[int, ...]]], talk: list[bool]
         holders = set()
     else:
         beside = set()
-    gone = {n for n, w in enumerate(inside) if talk[n] or (n not in holders and (n in beside or 2 * w <= total))}
+    gone = {n for n, w in enumerate(inside) if n not in anchors and (talk[n] or (n not in holders and (n in beside or 2 * w <= total)))}
+    for n in anchors:
+        mine = [block for block, names in found if n in names]
+        if 2 * sum(linked for _, linked, _ in mine) > sum(len(text) for text, _, _ in mine):
+            gone.add(n)
     for again in (gone, {n for n in gone if talk[n]}, set()):
         left = [block for block, names in found if not again.intersection(names)]
         if any(len(text) > linked for text, linked, _ in left):
@@ -101,6 +110,7 @@ def page_blocks(page: str) -> list[Block]:
     talk: list[bool] = []
     holders: set[int] = set()
     beside: set[int] = set()  # named asides outside of article and main
+    anchors: set[int] = set()  # elements inside of them that only their id names
     asides = links = linked = 0
     text: list[str] = []
 
@@ -169,18 +179,22 @@ def page_blocks(page: str) -> list[Block]:
                 break
         if tag in BLOCK and not asides:
             flush()
-        attributes = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(token[3])} if "=" in token[3] else {}
-        named = _aside_name(attributes) if tag not in ("html", "body") else ""
-        within = any(t == "article" for t, *_ in stack)
-        aside = tag in ASIDE or (tag == "header" and not within) or "hidden" in attributes
+        attributes = {a.lower(): x or y or z for a, x, y, z in ATTRIBUTE.findall(token[3])} if token[3].strip("/ ") else {}
+        within = any(t in ("article", "main") for t, *_ in stack)
+        named = _aside_name(attributes) if tag not in UNNAMED else ""
+        aside = tag in ASIDE or (tag == "header" and not within) or "hidden" in attributes or bool(NOT_SHOWN.search(attributes.get("style", "")))
         number = None
         if tag in ("article", "main"):
             if not named and not asides:
                 holders.update(n for *_, n in stack if n is not None)
-        elif named and not aside:
+        elif (named or tag == "form") and not aside:
+            # a form may wrap the whole page, so it counts like a name
             number = len(talk)
-            talk.append(bool(TALK_WORDS.search(named)))
-            if not any(t in ("article", "main") for t, *_ in stack):
+            only_id = within and tag != "form" and not _aside_name(attributes, ("class", "role"))
+            talk.append(bool(TALK_WORDS.search(named)) and not only_id)
+            if only_id:
+                anchors.add(number)
+            elif not within:
                 beside.add(number)
         path = None
         if tag in CONTAINER:
@@ -192,7 +206,7 @@ def page_blocks(page: str) -> list[Block]:
         asides += aside
         links += tag == "a"
     flush()
-    return _without_asides(found, talk, holders, beside)
+    return _without_asides(found, talk, holders, beside, anchors)
 
 
 def container_scores(blocks: list[Block]) -> dict[str, float]:

@@ -180,6 +180,25 @@ def test_a_winner_that_holds_less_does_not_replace():
     assert html_text.main_text(two, ">body>article>div.b") == html_text.main_text(two, None) == ("one " * 100).strip() + "\n\n" + ("two " * 70).strip()
 
 
+@pytest.mark.parametrize("hidden", ["<div hidden><p>Not shown.</p></div>", "<div style='color:red; display : none'><p>Not shown.</p></div>", "<p hidden=''>Not shown.</p>", '<section style="visibility:hidden">Not shown.</section>'])
+def test_hidden_parts_go(hidden):
+    page = f"<body><article><h1>Head</h1>{hidden}<p>{BODY}</p><p style='display:block'>Shown.</p></article></body>"
+    assert html_text.main_text(page, None) == "\n\n".join(["Head", BODY.strip(), "Shown."])
+
+
+def test_a_form_around_the_page_is_no_aside():
+    for inner in ("<article>{}</article>", "<div class='text'>{}</div>"):
+        page = "<body><form id='aspnetForm' action='/'><input>" + inner.format(f"<h1>Head</h1><p>{BODY}</p><form><p>Your mail</p><input></form>") + "</form></body>"
+        assert html_text.main_text(page, None) == "Head\n\n" + BODY.strip()
+
+
+def test_ids_inside_the_article_are_places():
+    parts = "<section id='social'><p>Of social life.</p></section><section id='related-work'><h2 id='navigation'>Navigation</h2><p>At sea.</p></section><h2 id='login' class='share'>Login</h2>"
+    links = "<div id='related'><a href='/a'>Another page</a> <a href='/b'>And one more</a></div><div class='share'><p>Share it.</p></div>"
+    page = f"<body><main><header><h1>Head</h1></header><p>{BODY}</p>{parts}{links}</main><div id='related'><p>Something else.</p></div></body>"
+    assert html_text.main_text(page, None) == "\n\n".join(["Head", BODY.strip(), "Of social life.", "Navigation", "At sea.", "Login"])
+
+
 def test_odd_markup():
     for page in ("<", "<a", "<p class='x", "</p></div>", "<!-- open", "<script>no end", "<p>a<!--x-->b</p>", "<b><i></b></i>t", "a<br/>b<hr>c", "<P>A<P>B"):
         html_text.page_blocks(page)
