@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from gavel.functions.exprs import half_even
 from gavel.functions.scale import best_per_key, group_percentiles, null_safe_join
+from gavel.operators.hitters import largest_sums
 
 
 
@@ -269,9 +270,11 @@ def source_quality_score(df: DataFrame, source: str, since: Column) -> DataFrame
 
 
 def heavy_hitters(df: DataFrame, key: str, cost: str, limit: int, min_mean: float) -> DataFrame:
-    """Keys with the highest total cost, flagged when the mean is above the threshold."""
+    """Keys with the highest total cost, flagged when the mean is above the threshold. A summary of bounded size names the keys
+    that can be among them; only their rows are counted. Where it cannot tell, all are."""
+    some = largest_sums(df, key, cost, limit)
     return (
-        df.groupBy(key).agg(_n().alias("calls"), F.sum(cost).alias("total_cost"), F.avg(cost).alias("mean_cost"))
+        (df if some is None else some).groupBy(key).agg(_n().alias("calls"), F.sum(cost).alias("total_cost"), F.avg(cost).alias("mean_cost"))
         .orderBy(F.col("total_cost").desc(), key).limit(limit).withColumn("is_slow", F.col("mean_cost") >= min_mean)
     )
 

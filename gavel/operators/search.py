@@ -182,3 +182,16 @@ def fuzzy_canonical(values: DataFrame, col: str, names: DataFrame, name: str, cu
     return best.withColumn("score", F.least(F.col("score"), F.lit(100.0)))
 
 
+def fuzzy_area(values: DataFrame, col: str, areas: DataFrame, name: str, aliases: DataFrame, cutoff: float = 80) -> DataFrame:
+    """Area per distinct value: by alias (``alias``, ``name``), by equal name (case-blind), else the name with the best token-sorted
+    similarity at or above ``cutoff``; ties to the alphabetically first. Only names, not aliases, are tried for similarity."""
+    v = values.select(F.lower(F.trim(F.col(col))).alias("value")).filter(F.col("value") != "").distinct()
+    known = aliases.select(F.lower(F.trim("alias")).alias("value"), F.col("name").alias("hit")).groupBy("value").agg(F.min("hit").alias("hit"))
+    own = areas.select(F.lower(F.col(name)).alias("value"), F.col(name).alias("hit")).groupBy("value").agg(F.min("hit").alias("hit"))
+    by_alias = v.join(known, "value").select("value", "hit", F.lit(0).alias("stage"), F.lit(100.0).alias("score"))
+    by_name = v.join(own, "value").select("value", "hit", F.lit(1).alias("stage"), F.lit(100.0).alias("score"))
+    rest = v.join(by_alias.select("value").unionByName(by_name.select("value")), "value", "left_anti")
+    near = fuzzy_pairs(rest, "value", own.select(F.col("value").alias("low")), "low", cutoff).join(own.withColumnRenamed("value", "b"), "b")
+    near = near.select(F.col("a").alias("value"), "hit", F.lit(2).alias("stage"), "score")
+    best = best_per_key(by_alias.unionByName(by_name).unionByName(near), ["value"], [F.col("stage"), F.col("score").desc(), F.col("hit")])
+    return best.select("value", "hit", "score")
