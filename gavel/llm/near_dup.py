@@ -28,6 +28,10 @@ from gavel.llm.batches import Words, mix64, text_pieces, word_runs, word_windows
 from gavel.llm.links import components, keep
 
 
+#: Centres of clouds that a text is compared with at once.
+CENTRES = 4
+
+
 def shingles(data: np.ndarray, offsets: np.ndarray, length: int, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, one text after another, and where each
     text's begin. A text with fewer words has its whole sequence; without words, nothing."""
@@ -118,15 +122,18 @@ def shingle_rows(texts: DataFrame, words: int) -> DataFrame:
 def rare_shingle_pairs(rare: DataFrame, placed: DataFrame, per_cent: int) -> DataFrame:
     """Pairs (a, b) of different components that share one of their rarest shingles.
 
-    ``rare`` (rep, n, hash): of a text with n shingles the n - ceil(per_cent % of n) + 1 rarest. Texts that are similar
-    enough share at least one of these, in any fixed order of all shingles.
+    ``rare`` (rep, n, hash, pos): of a text with n shingles the n - ceil(per_cent % of n) + 1 rarest, and their position, from 1. Texts
+    that are similar enough share at least one of these, in any fixed order of all shingles; and with the first they share no more
+    is left behind it in either text than their intersection needs, so later meetings of frequent shingles make no pair.
     """
     rows = rare.join(placed, "rep")
     open_ = rows.groupBy("hash").agg(F.min("component").alias("__lo"), F.max("component").alias("__hi")).filter("__lo < __hi").select("hash")
     rows = keep(rows.join(open_, "hash"), "rare")
-    left = rows.select("hash", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-    right = rows.select(F.col("hash").alias("hb"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-    possible = F.expr(f"ca < cb AND 100 * na >= {per_cent} * nb AND 100 * nb >= {per_cent} * na")
+    left = rows.select("hash", F.col("rep").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("pos").alias("pa"))
+    right = rows.select(F.col("hash").alias("hb"), F.col("rep").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("pos").alias("pb"))
+    sizes = f"100 * na >= {per_cent} * nb AND 100 * nb >= {per_cent} * na"
+    enough = f"{100 + per_cent} * (1 + least(na - pa, nb - pb)) >= {per_cent} * (na + nb)"
+    possible = F.expr(f"ca < cb AND {sizes} AND {enough}")
     return left.join(right, (F.col("hash") == F.col("hb")) & possible).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -222,21 +229,24 @@ def near_duplicates(
     each = shingle_rows(texts.join(sized.select(F.col("rep").alias("id")), "id", "left_semi"), words)
     counted = each.join(each.groupBy("hash").agg(F.count(F.lit(1)).alias("texts")), "hash").join(sized, "rep")
     rank = F.row_number().over(Window.partitionBy("rep").orderBy("texts", "hash"))
-    rare = counted.withColumn("__rank", rank).filter(F.expr(f"__rank <= n - ({per_cent} * n + 99) DIV 100 + 1")).select("rep", "n", "hash", "texts")
+    rare = counted.withColumn("__rank", rank).filter(F.expr(f"__rank <= n - ({per_cent} * n + 99) DIV 100 + 1")).select("rep", "n", "hash", "texts", F.col("__rank").alias("pos"))
     rare = keep(rare, "rare")
 
     # a second star per bucket, around the member with the fewest shingles of its own: the centre of a cloud
     own = rare.groupBy("rep").agg(F.count_if(F.col("texts") == 1).alias("own"))
     centred = apart.join(own, "rep")
     centres = centred.groupBy("key").agg(F.min(F.struct("own", "rep", "component")).alias("c"))
-    pairs = centred.join(centres, "key").filter("component <> c.component").select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
+    # of a text's buckets the best few centres: the last step finds what they do not
+    met = centred.join(centres, "key").filter("component <> c.component").groupBy("rep").agg(F.slice(F.array_sort(F.collect_set(F.struct("c.own", "c.rep"))), 1, CENTRES).alias("c"))
+    met = met.select("rep", F.explode("c.rep").alias("c"))
+    pairs = met.select(F.least("rep", "c").alias("a"), F.greatest("rep", "c").alias("b")).distinct()
     second = keep(within_distance(pairs.join(stars, ["a", "b"], "left_anti"), classes, distance), "stars")
     links = keep(links.unionByName(confirm(second, texts, words, per_cent)), "links")
     found = keep(components(links), "components")
 
     # what is still apart and similar shares a rare shingle
     placed = apart.select("rep").distinct().join(found.withColumnRenamed("id", "rep"), "rep", "left").select("rep", F.coalesce("component", "rep").alias("component"))
-    cross = rare_shingle_pairs(rare.filter("texts > 1").select("rep", "n", "hash"), placed, per_cent)
+    cross = rare_shingle_pairs(rare.filter("texts > 1").select("rep", "n", "hash", "pos"), placed, per_cent)
     cross = keep(cross.join(stars.unionByName(second), ["a", "b"], "left_anti"), "cross")
     found = components(links.unionByName(confirm(cross, texts, words, per_cent)))
 
