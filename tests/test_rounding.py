@@ -32,3 +32,11 @@ def test_millions_between_two_cents(spark, sf, tmp_path, name):
     """A price of 1.005 million is written as C does: by its binary value, ties to even."""
     got, want = compare(spark, sf, tmp_path, name, orders=HALF_CENTS)
     assert got == want
+
+
+def test_median_between_two_values(spark):
+    """The median of two prices is their exact middle; rounded to whole numbers, a middle of .5 goes up."""
+    pairs = [(i, float(a), float(b)) for i, (a, b) in enumerate([(61087.27, 61087.73), (50000.01, 90000.99), (1024.37, 104999.63), (3333.33, 99999.67), (12345.67, 88888.33), (900.68, 55001.32)])]
+    rows = spark.createDataFrame([(k, v) for k, *pair in pairs for v in pair], "k int, v double")
+    got = {r["k"]: r["m"] for r in group_percentiles(rows, ["k"], "v", {"m": 0.5}).collect()}
+    assert got == {k: a * 0.5 + b * 0.5 for k, a, b in pairs}
