@@ -40,3 +40,15 @@ def test_median_between_two_values(spark):
     rows = spark.createDataFrame([(k, v) for k, *pair in pairs for v in pair], "k int, v double")
     got = {r["k"]: r["m"] for r in group_percentiles(rows, ["k"], "v", {"m": 0.5}).collect()}
     assert got == {k: a * 0.5 + b * 0.5 for k, a, b in pairs}
+
+
+def test_scores_between_two_steps(spark, sf, tmp_path):
+    """A confidence of .12345 is rounded on its binary value, and the best row of a group follows from it."""
+    from gavel.plans.roles import listings
+
+    con = duckdb.connect()
+    cents = f"SELECT c_custkey, c_name, c_nationkey, (c_custkey * 37 % 1000) + 0.5::DOUBLE AS c_acctbal, c_mktsegment FROM '{sf}/customer.parquet'"
+    got, want = compare(spark, sf, tmp_path, "cross_source_winners", customer=cents)
+    assert got == want
+    rounded = {r["c"] for r in listings(spark, str(tmp_path)).select(F.col("confidence_score").alias("c")).collect()}
+    assert rounded == {r[0] for r in con.execute(f"SELECT DISTINCT round(c_acctbal / 10000, 4) FROM '{tmp_path}/customer.parquet' JOIN '{tmp_path}/orders.parquet' ON c_custkey = o_custkey").fetchall()}
