@@ -50,7 +50,7 @@ def curated(spark, d):
     """Customer statistics per nation stand in for the curated 0–10 lifestyle scores."""
     c, n = load_table(spark, d, "customer"), load_table(spark, d, "nation")
     m = lambda e: F.pmod(e.cast("bigint"), F.lit(11))
-    whole = lambda c: F.round(c).cast("bigint")
+    whole = lambda c: F.rint(c).cast("bigint")  # noqa: E731  (SQL casts to the even neighbour)
     return c.join(n, c.c_nationkey == n.n_nationkey).groupBy(F.col("n_name").alias("area")).agg(
         m(F.count(F.lit(1))).alias("schools"), m(whole(F.max("c_acctbal"))).alias("safety"), m(whole(F.min("c_acctbal") + 1000)).alias("amenities"), m(F.sum("c_custkey")).alias("family"), m(F.max("c_custkey")).alias("walk"))
 

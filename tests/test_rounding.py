@@ -52,3 +52,9 @@ def test_scores_between_two_steps(spark, sf, tmp_path):
     assert got == want
     rounded = {r["c"] for r in listings(spark, str(tmp_path)).select(F.col("confidence_score").alias("c")).collect()}
     assert rounded == {r[0] for r in con.execute(f"SELECT DISTINCT round(c_acctbal / 10000, 4) FROM '{tmp_path}/customer.parquet' JOIN '{tmp_path}/orders.parquet' ON c_custkey = o_custkey").fetchall()}
+
+
+def test_living_scores_between_two_whole_numbers(spark, sf, tmp_path):
+    half = "SELECT c_custkey, c_name, c_nationkey, floor(c_acctbal) + 0.5::DOUBLE AS c_acctbal, c_mktsegment FROM '{sf}/customer.parquet'"
+    got, want = compare(spark, sf, tmp_path, "rank_areas_living", customer=half)
+    assert got == want
