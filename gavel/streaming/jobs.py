@@ -68,7 +68,7 @@ def alert_matches(rules: DataFrame, listings: DataFrame, rule_id: str, fields: S
     ``id``, ``pick``. The cursor starts at the rule's ``last_listing_id`` and is kept per rule in the query's state, so a
     restarted query reports no listing twice and misses none."""
     start = F.coalesce("last_listing_id", F.lit(0)).cast("bigint")
-    hits = rule_match(rules, listings, rule_id, fields, None).select(rule_id, "id")
+    hits = rule_match(rules, listings, rule_id, fields, top, ranked=False).select(rule_id, "id")
     cursors = rules.select(rule_id, start.alias("last_listing_id"))
     keyed = hits.join(cursors, rule_id).groupBy(rule_id)
     schema = f"{rule_id} {dict(rules.dtypes)[rule_id]}, id bigint, pick int"
