@@ -1,7 +1,9 @@
 """Streaming forms of deduplication, health windows, alert matching and user state.
 
 Every function maps a stream to a stream unless it says otherwise. Keys of the stateful
-handlers (:mod:`gavel.streaming.state`) are fine-grained (user and listing, user and trigger).
+handlers (:mod:`gavel.streaming.state`) are fine-grained (user and listing, user and trigger) and dealt to ``slots``
+by hash. A batch rewrites the entries of every slot it touches: take more slots where keys are millions and batches
+small. Their number is part of a checkpoint; a query that is started again must keep it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,17 @@ from gavel.operators.aggregates import rate_pct
 from gavel.operators.joins import rule_match
 from gavel.streaming.state import Cooldown, NewestMatches, PriceDrops, ProfileChanges, Silence
 
+SLOTS = 512
+
+
+def _in_slots(rows: DataFrame, keys: Sequence[str], processor, schema: str, time_mode: str, slots: int) -> DataFrame:
+    """``processor`` over slots of keys; its ``schema`` follows the keys in the result."""
+    whole = F.to_json(F.struct(*keys))  # one text per key, nulls included
+    dealt = rows.withColumn("key_text", whole).withColumn("key_slot", F.pmod(F.xxhash64("key_text"), F.lit(slots)).cast("int")).drop(*keys)
+    out = dealt.groupBy("key_slot").transformWithStateInPandas(processor, f"key_text string, {schema}", "Append", time_mode)
+    key = F.from_json("key_text", rows.select(*keys).schema)
+    return out.withColumn("key_text", key).select("key_text.*", *[c for c in out.columns if c != "key_text"])
+
 
 def event_bus(events: DataFrame, event_types: Sequence[str], event_id: str = "id", ts: str = "ts", horizon: str = "24 hours") -> DataFrame:
     """Subscribed events once each within the horizon, although delivery is at least once."""
@@ -63,27 +76,24 @@ def idempotency_key(bot: Column, user: Column, action: Column, ts: Column, extra
     return F.substring(F.sha1(F.concat_ws("|", bot, user.cast("string"), action, bucket, tail)), 1, 24)
 
 
-def alert_matches(rules: DataFrame, listings: DataFrame, rule_id: str, fields: Sequence[str], top: int = 3) -> DataFrame:
+def alert_matches(rules: DataFrame, listings: DataFrame, rule_id: str, fields: Sequence[str], top: int = 3, slots: int = SLOTS) -> DataFrame:
     """Stored rules met by new listings: of every batch the newest ``top`` per rule above the rule's cursor, as ``rule_id``,
     ``id``, ``pick``. The cursor starts at the rule's ``last_listing_id`` and is kept per rule in the query's state, so a
     restarted query reports no listing twice and misses none."""
     start = F.coalesce("last_listing_id", F.lit(0)).cast("bigint")
-    hits = rule_match(rules, listings, rule_id, fields, top, ranked=False).select(rule_id, "id")
+    hits = rule_match(rules, listings, rule_id, fields, top, ranked=False).select(rule_id, F.col("id").cast("bigint").alias("id"))
     cursors = rules.select(rule_id, start.alias("last_listing_id"))
-    keyed = hits.join(cursors, rule_id).groupBy(rule_id)
-    schema = f"{rule_id} {dict(rules.dtypes)[rule_id]}, id bigint, pick int"
-    return keyed.transformWithStateInPandas(NewestMatches(rule_id, top), schema, "Append", "None")
+    return _in_slots(hits.join(cursors, rule_id), [rule_id], NewestMatches(top), "id bigint, pick int", "None", slots)
 
 
-def profile_changes(rows: DataFrame, parts: int = 8) -> DataFrame:
+def profile_changes(rows: DataFrame, parts: int = 8, slots: int = SLOTS) -> DataFrame:
     """What each batch changed in the users' profiles, to be appended and read by :func:`profiles`.
 
     Input: id, user_id, ts, action, intent, context_key, context_value. A user's rows are dealt to ``parts`` keys by
     their id, so a user with very many rows is several keys. A batch writes what it changed, not the table.
     """
-    keyed = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int")).groupBy("user_id", "part")
-    schema = "user_id bigint, part int, " + ProfileChanges.TOTALS + ", context_key string, context_value string, context_us bigint, context_id bigint"
-    return keyed.transformWithStateInPandas(ProfileChanges(), schema, "Append", "None")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
+    return _in_slots(dealt, ["user_id", "part"], ProfileChanges(), f"{ProfileChanges.TOTALS}, {ProfileChanges.CONTEXT}", "None", slots)
 
 
 def profiles(changes: DataFrame) -> DataFrame:
@@ -100,20 +110,21 @@ def profiles(changes: DataFrame) -> DataFrame:
     return totals.join(context, "user_id", "left").withColumn("context", F.coalesce("context", F.create_map().cast("map<string,string>")))
 
 
-def price_drops(prices: DataFrame, tick_seconds: int = 60, lateness: str = "1 day") -> DataFrame:
+def price_drops(prices: DataFrame, tick_seconds: int = 60, lateness: str = "1 day", slots: int = SLOTS) -> DataFrame:
     """Alerts when a watched price falls by the target percent; the baseline then becomes the new
     price. Input: user_id, listing_id, ts, price, baseline_price, target_drop_percent. The price of
     a tick is its last one, as a poll would see it."""
-    keyed = prices.withWatermark("ts", lateness).groupBy("user_id", "listing_id")
-    schema = "user_id bigint, listing_id bigint, ts timestamp, old_price double, new_price double, drop_pct double"
-    return keyed.transformWithStateInPandas(PriceDrops(tick_seconds), schema, "Append", "None")
+    doubles = {c: F.col(c).cast("double") for c in ("price", "baseline_price", "target_drop_percent")}
+    rows = prices.withWatermark("ts", lateness).withColumns(doubles)
+    schema = "ts timestamp, old_price double, new_price double, drop_pct double"
+    return _in_slots(rows, ["user_id", "listing_id"], PriceDrops(tick_seconds), schema, "None", slots)
 
 
-def cooldown(triggers: DataFrame, cooldown_hours: float, tick_seconds: int = 60, lateness: str = "1 day") -> DataFrame:
+def cooldown(triggers: DataFrame, cooldown_hours: float, tick_seconds: int = 60, lateness: str = "1 day", slots: int = SLOTS) -> DataFrame:
     """Fire a (user, trigger) at most once per cooldown. Input: user_id, trigger, ts. Evaluation is
     per tick; the state expires when the cooldown has passed in event time."""
-    keyed = triggers.withWatermark("ts", lateness).groupBy("user_id", "trigger")
-    return keyed.transformWithStateInPandas(Cooldown(int(cooldown_hours * 3600), tick_seconds), "user_id bigint, trigger string, fired_at timestamp", "Append", "EventTime")
+    rows = triggers.withWatermark("ts", lateness)
+    return _in_slots(rows, ["user_id", "trigger"], Cooldown(int(cooldown_hours * 3600), tick_seconds), "fired_at timestamp", "EventTime", slots)
 
 
 def silence_alerts(rows: DataFrame, key: str, max_silence_hours: float, lateness: str = "1 hour") -> DataFrame:

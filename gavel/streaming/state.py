@@ -3,14 +3,15 @@
 State is in the query's checkpoint (RocksDB), as values, maps and event-time timers, and advances with the batch: a query
 that is killed and started again on its checkpoint goes on where the last committed batch ended. A handler
 keeps one entry per tick, hour or context key of a batch, never its rows, and reads them in chunks by pandas operations.
+A call of a handler costs some 10 ms whatever it holds, so where keys are many a call serves a slot of them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -56,56 +57,98 @@ class _Keyed(StatefulProcessor):
         pass
 
 
-class PriceDrops(_Keyed):
-    state = "base double, target double"
-    columns = ["user_id", "listing_id", "ts", "old_price", "new_price", "drop_pct"]
+class _Slots(StatefulProcessor):
+    """A processor whose groups are slots of keys (column ``key_text``). What a slot holds about its keys are the ``tables``
+    of its state, each one value in Arrow's format: a batch reads and writes it once, however many keys it has."""
+
+    tables: dict[str, dict[str, str]]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.values = {name: handle.getValueState(name, "entries binary") for name in self.tables}
+
+    def held(self, name: str = "keys") -> pd.DataFrame:
+        value = self.values[name]
+        if value.exists():
+            return pa.ipc.open_stream(bytes(value.get()[0])).read_pandas()
+        return pd.DataFrame({c: pd.Series(dtype=t) for c, t in self.tables[name].items()})
+
+    def hold(self, entries: pd.DataFrame, name: str = "keys") -> None:
+        table = pa.Table.from_pandas(entries[list(self.tables[name])].astype(self.tables[name]), preserve_index=False)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.values[name].update((sink.getvalue().to_pybytes(),))
+
+    def close(self) -> None:
+        pass
+
+
+def _last(frames: list[pd.DataFrame], keys: list[str], order: list[str]) -> pd.DataFrame:
+    """The last row of each key by ``order``; of equal ones that of the earliest frame."""
+    rows = pd.concat(frames[::-1], ignore_index=True) if len(frames) > 1 else frames[0]
+    return rows.sort_values(order, kind="stable").drop_duplicates(keys, keep="last")
+
+
+class PriceDrops(_Slots):
+    tables = {"keys": {"key_text": "object", "base": "float64", "target": "float64"}}
+    columns = ["key_text", "ts", "old_price", "new_price", "drop_pct"]
 
     def __init__(self, tick_seconds: int) -> None:
         self.tick_seconds = tick_seconds
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        base, target = self.held() or (None, None)
-        ticks: dict[int, tuple] = {}
+        known = self.held()
+        watched = dict(zip(known["key_text"], zip(known["base"].tolist(), known["target"].tolist())))
+        ticks = []
         for pdf in rows:
-            if base is None:
-                base, target = float(pdf["baseline_price"].iloc[0]), float(pdf["target_drop_percent"].iloc[0])
-            last = pdf.assign(tick=_seconds(pdf["ts"]) // self.tick_seconds).sort_values(["ts", "price"]).drop_duplicates("tick", keep="last")
-            for tick, seen in zip(last["tick"], zip(last["ts"], last["price"])):
-                ticks[tick] = max(seen, ticks.get(tick, seen))
+            first = pdf.drop_duplicates("key_text")
+            for k, base, target in zip(first["key_text"], first["baseline_price"].tolist(), first["target_drop_percent"].tolist()):
+                watched.setdefault(k, (base, target))
+            pdf = pdf.assign(tick=_seconds(pdf["ts"]) // self.tick_seconds)[["key_text", "tick", "ts", "price"]]
+            ticks.append(_last([pdf], ["key_text", "tick"], ["ts", "price"]))
+        last = _last(ticks, ["key_text", "tick"], ["ts", "price"]).sort_values(["key_text", "tick"])
         out = []
-        for ts, price in (ticks[t] for t in sorted(ticks)):
+        for k, ts, price in zip(last["key_text"], last["ts"], last["price"].tolist()):
+            base, target = watched[k]
             if base > 0 and 0 < price < base and (base - price) / base * 100.0 >= target:
-                out.append((*key, ts, base, float(price), (base - price) / base * 100.0))
-                base = float(price)
-        self.value.update((base, target))
-        yield self.frame(out)
+                out.append((k, ts, base, price, (base - price) / base * 100.0))
+                watched[k] = (price, target)
+        self.hold(pd.DataFrame([(k, *v) for k, v in watched.items()], columns=list(self.tables["keys"])))
+        yield pd.DataFrame(out, columns=self.columns)
 
 
-class Cooldown(_Keyed):
-    state = "last bigint"
-    columns = ["user_id", "trigger", "fired_at"]
+class Cooldown(_Slots):
+    """Keys whose cooldown is over are dropped when their slot is next read, and by the slot's timer at the latest."""
+
+    tables = {"keys": {"key_text": "object", "last": "int64"}}
 
     def __init__(self, wait: int, tick_seconds: int) -> None:
         self.wait, self.tick_seconds = wait, tick_seconds
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.held()
-        last = held[0] if held else None
-        ticks: set[int] = set()
+        known = self.held()
+        fired = dict(zip(known["key_text"], known["last"].tolist()))
+        ticks = []
         for pdf in rows:
-            ticks.update((_seconds(pdf["ts"]) // self.tick_seconds * self.tick_seconds).unique().tolist())
+            seen = pd.DataFrame({"key_text": pdf["key_text"], "t": _seconds(pdf["ts"]) // self.tick_seconds * self.tick_seconds})
+            ticks.append(seen.drop_duplicates())
+        order = pd.concat(ticks).drop_duplicates().sort_values(["key_text", "t"])
         out = []
-        for t in sorted(ticks):
+        for k, t in zip(order["key_text"], order["t"].tolist()):
+            last = fired.get(k)
             if last is None or t >= last + self.wait:
-                out.append((*key, pd.Timestamp(t, unit="s")))
-                last = t
-        self.value.update((last,))
-        self.only_timer((last + self.wait) * 1000)
-        yield self.frame(out)
+                out.append((k, t))
+                fired[k] = t
+        self.hold(pd.DataFrame(list(fired.items()), columns=["key_text", "last"]))
+        self.handle.registerTimer((max(fired.values()) + self.wait) * 1000)
+        at = pd.to_datetime(pd.Series([t for _, t in out], dtype="int64"), unit="s")
+        yield pd.DataFrame({"key_text": [k for k, _ in out], "fired_at": at})
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.value.clear()
-        yield self.frame([])
+        known = self.held()
+        self.hold(known[(known["last"] + self.wait) * 1000 > expiredTimerInfo.getExpiryTimeInMs()])
+        yield pd.DataFrame({"key_text": pd.Series(dtype="object"), "fired_at": pd.Series(dtype="datetime64[ns]")})
 
 
 class Silence(_Keyed):
@@ -140,63 +183,58 @@ class Silence(_Keyed):
         yield self.frame([(*key, pd.Timestamp(held[0], unit="s"))] if held else [])
 
 
-class NewestMatches(_Keyed):
+class NewestMatches(_Slots):
     """The newest ``top`` ids of each batch above a rule's cursor, which then moves to the newest."""
 
-    state = "cursor bigint"
+    tables = {"keys": {"key_text": "object", "cursor": "int64"}}
 
-    def __init__(self, rule_id: str, top: int) -> None:
-        self.columns, self.top = [rule_id, "id", "pick"], top
+    def __init__(self, top: int) -> None:
+        self.top = top
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.held()
-        best = np.zeros(0, np.int64)
-        cursor = held[0] if held else None
+        known = self.held()
+        best = pd.DataFrame({"key_text": pd.Series(dtype="object"), "id": pd.Series(dtype="int64")})
         for pdf in rows:
-            if cursor is None:
-                cursor = int(pdf["last_listing_id"].iloc[0])
-            ids = pdf["id"].to_numpy(np.int64)
-            best = np.sort(np.concatenate([best, ids[ids > cursor]]))[::-1][: self.top]
-        self.value.update((int(best[0]) if len(best) else cursor,))
-        yield self.frame([(*key, int(i), pick) for pick, i in enumerate(best, 1)])
-
-
-class ProfileChanges(StatefulProcessor):
-    """What a batch changed in the part of a user's profile under one key: a row with the totals, and one per context key
+            new = pdf[["key_text", "last_listing_id"]].drop_duplicates("key_text").rename(columns={"last_listing_id": "cursor"})
+            known = pd.concat([known, new], ignore_index=True).drop_duplicates("key_text")
+            ids = pdf[["key_text", "id"]].merge(known, "left", on="key_text")
+            ids = pd.concat([best, ids.loc[ids["id"] > ids["cursor"], ["key_text", "id"]]], ignore_index=True)
+            ids = ids.sort_values(["key_text", "id"], ascending=[True, False])
+            best = ids[ids.groupby("key_text").cumcount() < self.top]
+        moved = known["key_text"].map(best.drop_duplicates("key_text").set_index("key_text")["id"])
+        self.hold(known.assign(cursor=known["cursor"].astype("Int64").mask(moved.notna(), moved.astype("Int64"))))
+        yield best.assign(pick=best.groupby("key_text").cumcount() + 1)
+
+
+class ProfileChanges(_Slots):
+    """What a batch changed in the parts of users' profiles: a row with the totals of a key, and one per context key
     with a newer value. Every figure only grows in its order, so changes merge in any order and twice."""
 
-    COLUMNS = ["user_id", "part", "first_us", "last_us", "messages", "callbacks", "intent", "intent_us", "intent_id", "context_key", "context_value", "context_us", "context_id"]
     TOTALS = "first_us bigint, last_us bigint, messages bigint, callbacks bigint, intent string, intent_us bigint, intent_id bigint"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", self.TOTALS)
-        self.context = handle.getMapState("context", "context_key string", "context_us bigint, context_id bigint")
+    CONTEXT = "context_key string, context_value string, context_us bigint, context_id bigint"
+    tables = {
+        "totals": {"key_text": "object", "first_us": "int64", "last_us": "int64", "messages": "int64", "callbacks": "int64"},
+        "intents": {"key_text": "object", "intent": "object", "us": "int64", "id": "Int64"}, "context": {"key_text": "object", "context_key": "object", "us": "int64", "id": "Int64"},
+    }
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first, last, messages, callbacks, intent, intent_us, intent_id = self.totals.get() if self.totals.exists() else (None, None, 0, 0, None, None, None)
-        newest: dict[str, tuple] = {}
+        totals, intents, context = [self.held("totals")], [self.held("intents")], [self.held("context").assign(context_value=None, new=False)]
+        touched: list[pd.Series] = []
         for pdf in rows:
-            pdf = pdf.assign(us=_micros(pdf["ts"])).sort_values(["us", "id"])
-            lo, hi = int(pdf["us"].iloc[0]), int(pdf["us"].iloc[-1])
-            first, last = (lo, hi) if first is None else (min(first, lo), max(last, hi))
-            called = int((pdf["action"] == "callback").sum())
-            messages, callbacks = messages + len(pdf) - called - int(pdf["action"].isna().sum()), callbacks + called
-            meant = pdf[pdf["intent"].notna()].tail(1)
-            for us, i, what in zip(meant["us"].tolist(), meant["id"].tolist(), meant["intent"]):
-                if intent_us is None or (us, i) > (intent_us, intent_id):
-                    intent, intent_us, intent_id = what, us, i
-            tail = pdf[pdf["context_key"].notna()].drop_duplicates("context_key", keep="last")
-            for k, us, i, v in zip(tail["context_key"], tail["us"].tolist(), tail["id"].tolist(), tail["context_value"]):
-                if k not in newest or (us, i) > newest[k][:2]:
-                    newest[k] = (us, i, v)
-        self.totals.update((first, last, messages, callbacks, intent, intent_us, intent_id))
-        out = [(*key, first, last, messages, callbacks, intent, intent_us, intent_id, None, None, None, None)]
-        for k, (us, i, v) in newest.items():
-            held = tuple(self.context.getValue((k,))) if self.context.containsKey((k,)) else None
-            if held is None or (us, i) > held:
-                self.context.updateValue((k,), (us, i))
-                out.append((*key, *[None] * 7, k, v, us, i))
-        yield pd.DataFrame(out, columns=self.COLUMNS).astype({c: "Int64" for c in self.COLUMNS if c.endswith(("_us", "_id")) or c in ("messages", "callbacks")})
-
-    def close(self) -> None:
-        pass
+            pdf = pdf.assign(us=_micros(pdf["ts"]), id=pdf["id"].astype("Int64"), callbacks=pdf["action"] == "callback", new=True)
+            pdf["messages"] = ~pdf["callbacks"] & pdf["action"].notna()
+            totals.append(pdf.groupby("key_text").agg(first_us=("us", "min"), last_us=("us", "max"), messages=("messages", "sum"), callbacks=("callbacks", "sum")).reset_index())
+            touched.append(totals[-1]["key_text"])
+            intents.append(_last([pdf.loc[pdf["intent"].notna(), ["key_text", "intent", "us", "id"]]], ["key_text"], ["us", "id"]))
+            context.append(_last([pdf.loc[pdf["context_key"].notna(), ["key_text", "context_key", "us", "id", "context_value", "new"]]], ["key_text", "context_key"], ["us", "id"]))
+        total = pd.concat(totals).groupby("key_text").agg({"first_us": "min", "last_us": "max", "messages": "sum", "callbacks": "sum"}).reset_index()
+        intent, newest = _last(intents, ["key_text"], ["us", "id"]), _last(context, ["key_text", "context_key"], ["us", "id"])
+        self.hold(total, "totals")
+        self.hold(intent, "intents")
+        self.hold(newest, "context")
+        intent = intent.rename(columns={"us": "intent_us", "id": "intent_id"}).astype({"intent_us": "Int64"})
+        changed = newest[newest["new"].astype(bool)].rename(columns={"us": "context_us", "id": "context_id"})
+        out = pd.concat([total[total["key_text"].isin(pd.concat(touched))].merge(intent, "left", on="key_text"), changed.drop(columns="new")], ignore_index=True)
+        whole = [c for c in out if c.endswith(("_us", "_id")) or c in ("messages", "callbacks")]
+        words = out[["intent", "context_key", "context_value"]].astype(object)
+        yield out.astype({c: "Int64" for c in whole}).assign(**{c: words[c].where(words[c].notna(), None) for c in words})

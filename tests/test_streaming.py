@@ -6,6 +6,7 @@ import pytest
 
 from gavel.streaming import jobs
 from gavel.streaming.sources import drain_append
+from gavel.streaming.state import use_durable_state
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -139,3 +140,16 @@ def test_bus_delivers_once(spark, tmp_path):
     s = _stream(spark, tmp_path, [rows[:10], rows[10:]], "id bigint, event_type string, ts timestamp")
     out = drain_append(jobs.event_bus(s, ["x"]), "bus")
     assert sorted(r.id for r in out.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_many_keys_are_few_state_entries(spark, tmp_path):
+    """Keys share slots of the state: its entries and handler calls do not grow with the keys, which stay exact."""
+    users = [None, 2**60 + 1, *range(300)]
+    batches = [[(u, "t", T0 + dt.timedelta(hours=h)) for u in users] for h in (0, 30)]
+    fired = jobs.cooldown(_stream(spark, tmp_path, batches, "user_id bigint, trigger string, ts timestamp"), 24, slots=4)
+    use_durable_state(spark)
+    q = fired.writeStream.format("parquet").option("path", f"{tmp_path}/rows").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert 0 < max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 4 * 3  # an entry and two of its timer
+    got = sorted(str(r.user_id) for r in spark.read.parquet(f"{tmp_path}/rows").collect())
+    assert got == sorted(map(str, users * 2))
