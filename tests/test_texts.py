@@ -102,3 +102,17 @@ def test_names_of_any_length_and_late_blocks(spark):
     docs = spark.createDataFrame([(1, f"2BR in {long}, high floor"), (2, "2BR in Short Tower"), (3, "x")], "id int, text string")
     got = {r.id: r.building for r in ex.building_match(docs, "id", "text", names).collect()}
     assert got[1] == long and got[2] == "Short Tower"
+
+
+def test_patterns_run_only_where_a_word_of_theirs_occurs(spark):
+    """The words of a pattern never hide a match, whatever letters stand for them, and they are found at all."""
+    from gavel.functions.patterns import needed_words, pull, says, with_fold
+
+    assert needed_words(r"(?iuU)\bsea\s*view\b|\bocean") == ("ocean", "view") and needed_words(r"\d+(?:view)?") == () and needed_words(r"(?iu)[ab]\QX\E") == ()
+    assert needed_words(r"(?i)\bBUA\s*(?:size)?\s*[:\-]?\s*([\d,]+)") == ("bua",)
+    patterns = [r"(?iuU)\bsea\s*view\b|\bocean", r"(?iuU)вид\s+на\s+море", r"(?iu)kitchen\s+(\d+)", r"(?iu)build(?:ing)?\s(\d+)", r"бассейн (\d)", r"(?s)plot(?!\s+9).*sale"]
+    texts = ["SEA VIEW", "ſea view", "ВИД на МОРЕ", "Kitchen 7", "buİldİng 4", "BUİLD 5", "бассейн 3", "Plot 1 sale", "plot 1\nsale", "plot 9 sale", "ocean", "", "straße", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", with_fold(F.col("t")).alias("x"))
+    for p in patterns:
+        rows = df.select(says(F.col("x"), p).alias("a"), F.col("t").rlike(p).alias("b"), pull(F.col("x"), p, 0).alias("c"), F.regexp_extract("t", p, 0).alias("d")).collect()
+        assert all(r.a == r.b and (r.c or "") == (r.d or "") for r in rows) and any(r.b for r in rows), p
