@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from hashlib import md5
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.functions.exprs import half_even
-from gavel.functions.scale import group_percentiles, null_safe_join
+from gavel.functions.scale import group_percentiles, null_safe_join, spread
 from gavel.operators.joins import next_quarter
 from gavel.operators.scores import supply_tier
 
@@ -249,28 +251,40 @@ POISSON_STEPS = np.cumsum([np.exp(-1) / f for f in (1, 1, 2, 6, 24, 120, 720, 50
 DIGEST_SHARES = 4
 
 
-def poisson_weight(digest: Column, share: int) -> Column:
-    """Poisson(1) draw from the 8 hex digits of a share of an MD5, so every engine draws the same."""
-    u = F.conv(F.substring(digest, 8 * share + 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    return sum((F.when(u > step, 1.0).otherwise(0.0) for step in POISSON_STEPS), F.lit(0.0))
+def poisson_weights(digests: bytes) -> np.ndarray:
+    """Poisson(1) draws, a row of ``DIGEST_SHARES`` per MD5, from 8 hex digits each, so every engine draws the same."""
+    u = np.frombuffer(digests, ">u4").reshape(-1, DIGEST_SHARES) / float(1 << 32)
+    return np.searchsorted(POISSON_STEPS, u, side="left").astype(float)  # how many steps are below
 
 
 def _bootstrap_products(rows: DataFrame, cols: Sequence[str], replicates: int, seed: int) -> np.ndarray:
-    """(replicate, columns + 1, columns + 1): weighted sums of cross products, as one grouped aggregate. The digest is that of
-    'id:block:seed', a block being ``DIGEST_SHARES`` replicates."""
+    """(replicate, columns + 1, columns + 1): weighted sums of cross products. The digest is that of 'id:block:seed', a block being
+    ``DIGEST_SHARES`` replicates. A task adds up its rows, block by block, and hands on one row per sum."""
     k = len(cols) + 1
-    c = [F.lit(1.0), *[F.col(x) for x in cols]]
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    first, second = np.triu_indices(k)
     blocks = -(-replicates // DIGEST_SHARES)
-    drawn = rows.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    drawn = drawn.withColumn("__digest", F.md5(F.concat_ws(":", "__id", "__block", F.lit(seed))))
-    drawn = drawn.select("__block", *cols, *[poisson_weight(F.col("__digest"), s).alias(f"__w{s}") for s in range(DIGEST_SHARES)])
-    sums = drawn.groupBy("__block").agg(*[F.sum(F.col(f"__w{s}") * c[i] * c[j]).alias(f"s{s}_{i}_{j}") for s in range(DIGEST_SHARES) for i, j in pairs]).collect()  # one row per block
-    out = np.zeros((blocks * DIGEST_SHARES, k, k))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((blocks, DIGEST_SHARES, len(first)))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.column_stack([np.ones(batch.num_rows), *[batch.column(c).to_numpy(zero_copy_only=False) for c in cols]])
+            products = x[:, first] * x[:, second]
+            heads = [f"{i}:".encode() for i in batch.column("__id").to_pylist()]
+            for block in range(blocks):
+                tail = f"{block}:{seed}".encode()
+                digests = b"".join([md5(head + tail, usedforsecurity=False).digest() for head in heads])
+                total[block] += poisson_weights(digests).T @ products
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], ["place", "s"])
+
+    dealt = spread(rows.select("__id", *cols), "__id")
+    sums = dealt.mapInArrow(add_up, "place bigint, s double").groupBy("place").agg(F.sum("s").alias("s")).collect()  # a few thousand
+    flat = np.zeros(blocks * DIGEST_SHARES * len(first))
     for r in sums:
-        for s in range(DIGEST_SHARES):
-            for i, j in pairs:
-                out[r["__block"] * DIGEST_SHARES + s, i, j] = out[r["__block"] * DIGEST_SHARES + s, j, i] = r[f"s{s}_{i}_{j}"]
+        flat[r["place"]] = r["s"]
+    out = np.zeros((blocks * DIGEST_SHARES, k, k))
+    out[:, first, second] = out[:, second, first] = flat.reshape(-1, len(first))
     return out[:replicates]
 
 
