@@ -30,3 +30,14 @@ def test_no_row_is_multiplied_in_front_of_a_shuffle(spark, monkeypatch):
     rows = spark.range(50).select(F.col("id").cast("string").alias("__id"), F.lit(1.0).alias("t"), F.col("id").cast("double").alias("y"))
     se._bootstrap_products(rows, ["t", "y"], 200, 42)
     assert seen == [50]
+
+
+def test_lookups_read_their_tables_once(spark):
+    """The stages of a lookup read values and names where they were written, not what they are made of."""
+    from gavel.operators.joins import substring_lookup
+
+    rows = spark.range(30).select(F.concat(F.lit("tower "), (F.col("id") % 5).cast("string")).alias("v"))
+    names = spark.range(20).select(F.concat(F.lit("TOWER "), (F.col("id") % 4).cast("string")).alias("n"))
+    found = substring_lookup(rows, names, "v", "n")
+    assert "Range (" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r["value"], r["hit"], r["stage"]) for r in found.collect()} == {(f"tower {i}", f"TOWER {i}", 2) for i in range(4)}
