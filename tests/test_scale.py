@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -35,6 +36,40 @@ def test_group_percentiles(skewed, buckets):
         assert np.allclose([row.a, row.b, row.c, row.d, row.e], want)
 
 
+@pytest.mark.parametrize("keys", [["k"], []])
+@pytest.mark.parametrize("buckets", [7, 64])
+def test_percentiles_of_large_keys_in_buckets(skewed, keys, buckets):
+    """Keys of more than ``one_task`` values are cut into buckets, the others beside them are not."""
+    pdf, df = skewed
+    got = sc.group_percentiles(df, keys, "v", {"a": 0.0, "b": 0.1, "c": 0.5, "d": 0.99, "e": 1.0}, buckets=buckets, one_task=100).toPandas()
+    assert got["n"].sum() == len(pdf)
+    for row in got.itertuples():
+        vals = pdf.v if not keys else pdf[pdf.k.isna()].v if row.k is None else pdf[pdf.k == row.k].v
+        assert np.allclose([row.a, row.b, row.c, row.d, row.e], np.percentile(vals, [0, 10, 50, 99, 100]))
+
+
+def test_percentiles_do_not_depend_on_the_order_of_rows(spark):
+    """Sketches come out differently when their parts arrive in another order, as on several executors; every use must see the same."""
+
+    def dealt(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.random.default_rng().integers(0, 64, b.num_rows))], names=["k", "__v", "__c", "r"])
+
+    rows = spark.range(0, 240_000, 1, 4).select((F.col("id") % 2).alias("k"), F.floor("id").cast("double").alias("__v"), F.lit(1).cast("bigint").alias("__c"))
+    rows = rows.mapInArrow(dealt, "k bigint, __v double, __c bigint, r bigint").repartition(8, "r").drop("r")
+    before = {c: spark.conf.get(c) for c in ("spark.sql.exchange.reuse", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.exchange.reuse", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        probs = {f"p{i}": i / 16 for i in range(1, 16)}
+        got = sc.counted_percentiles(rows, ["k"], probs).toPandas().set_index("k")
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    for k in (0, 1):
+        assert np.allclose([got.loc[k, p] for p in probs], np.percentile(np.arange(k, 240_000, 2), [100 * q for q in probs.values()]))
+
+
 def test_whole_table_percentile(skewed):
     pdf, df = skewed
     row = sc.group_percentiles(df, [], "v", {"m": 0.5}).first()
