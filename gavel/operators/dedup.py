@@ -197,6 +197,7 @@ def compatible_components(df: DataFrame, group: str = "group_key") -> DataFrame:
     No pair is ever formed: rows are keyed by which fields are filled (16 masks × text), each
     row looks up the counts and value ranges of the rows that agree with it mask by mask, and a
     set is valid when every member sees the same merged record and exactly the set's size.
+    Only masks that its group has are looked up; a row alone in its group makes no set.
     """
     filled = {
         "price": F.col("price").isNotNull() & (F.col("price") != 0),
@@ -209,9 +210,12 @@ def compatible_components(df: DataFrame, group: str = "group_key") -> DataFrame:
         "building": F.lower(F.trim("building")), "bedrooms": F.col("bedrooms").cast("string"),
     }
     mask = reduce(lambda a, b: a + b, [F.when(F.coalesce(filled[k], F.lit(False)), 1 << i).otherwise(0) for i, k in enumerate(MERGE_KEYS)])
-    base = df.withColumn("__mask", mask).withColumn("__text", F.length(F.trim(F.coalesce("text", F.lit("")))) > 0)
-    for i, k in enumerate(MERGE_KEYS):
-        base = base.withColumn(f"__v{i}", F.when(F.coalesce(filled[k], F.lit(False)), value[k]))
+    values = [F.when(F.coalesce(filled[k], F.lit(False)), value[k]).alias(f"__v{i}") for i, k in enumerate(MERGE_KEYS)]
+    has_text = F.length(F.trim(F.coalesce("text", F.lit("")))) > 0
+    base = df.select("id", group, mask.alias("__mask"), has_text.alias("__text"), *values)
+    shape = F.struct(F.col("__mask").alias("m"), F.col("__text").alias("t"))
+    present = base.groupBy(group).agg(F.count(F.lit(1)).alias("__rows"), F.collect_set(shape).alias("__shapes")).filter(F.col("__rows") > 1)
+    base = base.join(present.drop("__rows"), group)
 
     def sub_key(bits: Column) -> Column:
         pieces = [F.when(bits.bitwiseAND(F.lit(1 << i)) != 0, F.col(f"__v{i}")).otherwise("*") for i in range(4)]
@@ -224,9 +228,8 @@ def compatible_components(df: DataFrame, group: str = "group_key") -> DataFrame:
         .groupBy(group, "__om", "__ot", "__s", "__k")
         .agg(F.count(F.lit(1)).alias("__n"), *[f(f"__v{i}").alias(f"__{n}{i}") for i in range(4) for n, f in (("lo", F.min), ("hi", F.max))])
     )
-    shapes = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(t).alias("t")) for m in range(16) for t in (True, False)])
     probes = (
-        base.select("id", group, "__mask", "__text", "__v0", "__v1", "__v2", "__v3", F.explode(shapes).alias("o"))
+        base.select("id", group, "__mask", "__text", "__v0", "__v1", "__v2", "__v3", F.explode("__shapes").alias("o"))
         .withColumn("__s", F.col("__mask").bitwiseAND(F.col("o.m")))
         .filter((F.col("__s") != 0) | F.col("__text") | F.col("o.t"))
         .select(
@@ -249,12 +252,15 @@ def message_merge(df: DataFrame, fill: Sequence[str], window_s: int = 120) -> tu
 
     Input columns: id, chat, author, message_id, ts, text, blocks_in_message, price, area,
     building, bedrooms, size_sqft, floor, unit, has_images. Returns (merged records, one row
-    per primary; text parts in order, one row per distinct text).
+    per primary; text parts in order, one row per distinct text). Steps before the last see the lengths of a text and
+    whether it is null, empty or blank; only members of merged sets get theirs back.
     """
-    comp = compatible_components(message_groups(df, window_s))
-    t = _types(comp)
-    text = F.trim(F.coalesce("text", F.lit("")))
-    length = F.length(F.coalesce("text", F.lit("")))
+    t = _types(df)
+    trimmed = F.trim(F.coalesce("text", F.lit("")))
+    stand_in = F.when(F.length(trimmed) > 0, "x").otherwise(F.substring("text", 1, 1))
+    slim = df.withColumn("__length", F.length(F.coalesce("text", F.lit("")))).withColumn("__trimmed", F.length(trimmed)).withColumn("text", stand_in)
+    groups = cut_lineage(message_groups(cut_lineage(slim, "parts"), window_s), "groups")
+    comp = cut_lineage(compatible_components(groups), "components")
     complete = (F.coalesce(F.col("area"), F.lit("")) != "") & F.col("price").isNotNull() & F.col("bedrooms").isNotNull() & (F.coalesce(F.col("building"), F.lit("")) != "")
     order = F.struct("ts", "id")
     real = lambda f: F.when(~missing(F.col(f), t[f]), F.col(f))
@@ -262,7 +268,7 @@ def message_merge(df: DataFrame, fill: Sequence[str], window_s: int = 120) -> tu
     has_price = F.coalesce(F.col("price") != 0, F.lit(False))
     header = (F.col("area") != "") & (F.coalesce(F.col("building"), F.lit("")) == "") & ~has_price
     detail = (F.coalesce(F.col("building"), F.lit("")) != "") & has_price
-    rank = F.struct(length, F.when(F.col("price").isNotNull(), 1).otherwise(0), -F.col("id"))
+    rank = F.struct("__length", F.when(F.col("price").isNotNull(), 1).otherwise(0), -F.col("id"))
     n = F.count(F.lit(1))
     mixed = lambda f: (F.count(real(f)) > 0) & (F.count(real(f)) < n)
     useful = reduce(lambda a, b: a | b, [mixed(f) for f in ("area", "price", "building", "bedrooms", "size_sqft", "text")])
@@ -274,7 +280,7 @@ def message_merge(df: DataFrame, fill: Sequence[str], window_s: int = 120) -> tu
         F.bool_and(complete).alias("__all_complete"),
         (F.bool_or(complete) | useful).alias("__useful"),
         (F.coalesce(F.count_distinct(real("size_sqft")) <= 1, F.lit(True)) & (F.count_distinct(real("floor")) <= 1) & (F.count_distinct(real("unit")) <= 1)).alias("__same_unit"),
-        (F.bool_or(F.length(text) >= 50) & F.bool_or(F.length(text) < 20)).alias("__rich_poor"),
+        (F.bool_or(F.col("__trimmed") >= 50) & F.bool_or(F.col("__trimmed") < 20)).alias("__rich_poor"),
         ((F.count_distinct("message_id") == 1) & (n == 2) & F.bool_and(F.col("blocks_in_message") == 2) & F.bool_or(header) & F.bool_or(detail)).alias("__header_detail"),
         F.bool_or("has_images").alias("has_images"),
         *firsts, *primaries,
@@ -284,9 +290,10 @@ def message_merge(df: DataFrame, fill: Sequence[str], window_s: int = 120) -> tu
     ok = top_n(ok, ["primary_id"], [F.col("component")], 1)
     merged = ok.select(
         "component", "primary_id", "parts", "has_images", *[F.coalesce(f"__own_{f}", f"__fill_{f}").alias(f) for f in fill])
+    members = comp.filter(F.col("__trimmed") > 0).select("component", "id", "ts").join(ok.select("component", "primary_id"), "component").drop("component")
     texts = (
-        comp.join(ok.select("component", "primary_id"), "component").withColumn("__t", text).filter(F.col("__t") != "")
-        .groupBy("primary_id", F.col("__t").alias("text")).agg(F.min(order).alias("__o")).select("primary_id", F.col("__o.ts").alias("ts"), F.col("__o.id").alias("first_id"), "text")
+        df.select("id", trimmed.alias("text")).join(members, "id")
+        .groupBy("primary_id", "text").agg(F.min(order).alias("__o")).select("primary_id", F.col("__o.ts").alias("ts"), F.col("__o.id").alias("first_id"), "text")
     )
     return merged, texts
 

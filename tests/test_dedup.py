@@ -1,5 +1,6 @@
 """Merging and duplicate rules on small hand-made rows, against brute force."""
 
+import datetime as dt
 import itertools
 import random
 
@@ -122,3 +123,19 @@ def test_vector_queries_in_blocks(spark):
     asked = spark.range(500).selectExpr("id AS qid", "array(cos(id / 3), sin(id / 3)) AS qvec")
     key = lambda df: sorted((r.qid, r.id, r.position) for r in df.collect())
     assert key(vector_topk(asked, items, 2, block=60)) == key(vector_topk(asked, items, 2)) and len(key(vector_topk(asked, items, 2))) == 1000
+
+
+def test_message_merge_moves_texts_once(spark):
+    """Texts stay out of the steps that find the sets; members get them back whole, and blank ones count as none."""
+    schema = "id bigint, chat string, author string, message_id bigint, ts timestamp, text string, blocks_in_message int, price int, area string, building string, bedrooms int, size_sqft double, floor int, unit string, has_images boolean"
+    at = [dt.datetime(2024, 1, 1, 0, 0, s) for s in range(8)]
+    long = "  " + "long text " * 9
+    rows = [
+        (1, "c", "a", 1, at[0], long, 1, None, "North", None, None, None, None, None, False), (2, "c", "a", 2, at[1], "5", 1, 900, None, None, None, None, None, None, True),
+        (3, "c", "b", 3, at[0], long, 1, None, "North", None, None, None, None, None, False), (4, "c", "b", 4, at[1], "  ", 1, 900, "north", None, None, None, None, None, True),
+        (5, "c", "z", 5, at[0], "alone", 1, 900, None, None, None, None, None, None, False)]
+    merged, texts = dd.message_merge(spark.createDataFrame(rows, schema), ["price", "area"])
+    assert [(r.primary_id, r.parts, r.price, r.area) for r in merged.orderBy("primary_id").collect()] == [(1, 2, 900, "North"), (3, 2, 900, "North")]
+    assert [(r.primary_id, r.first_id, r.text) for r in texts.orderBy("first_id").collect()] == [(1, 1, long.strip(" ")), (1, 2, "5"), (3, 3, long.strip(" "))]
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") == 1
