@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gavel.functions.exprs import bind
-from gavel.functions.scale import best_per_key, top_n
+from gavel.functions.scale import best_per_key, spread, top_n
 from gavel.functions.similarity import containment_pairs, fuzzy_pairs, trigram_pairs
+from gavel.session import cut_lineage
 
 
 
@@ -133,13 +134,14 @@ def hash_embedding(docs: DataFrame, text: str, doc_id: str, dim: int = 256, n: i
 
 
 def text_cluster(docs: DataFrame, text: str, doc_id: str, k: int = 10, features: int = 512, seed: int = 42) -> DataFrame:
-    """Cluster id per text: TF-IDF of words and word pairs, k-means|| with ``k`` clusters; fewer texts than that are an error."""
+    """Cluster id per text: TF-IDF of words and word pairs, k-means|| with ``k`` clusters; fewer texts than that are an error.
+    Texts are cut into words once: fitting and the result read their term counts from the shared folder."""
     words = F.filter(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: F.length(w) > 1)
     pairs = F.transform(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))), lambda x, i: F.concat_ws(" ", x, F.try_element_at("w", i + 2)))
-    rows = docs.select(doc_id, words.alias("w")).withColumn("terms", F.concat("w", pairs))
-    tf = HashingTF(inputCol="terms", outputCol="tf", numFeatures=features).transform(rows)
+    rows = spread(docs.select(doc_id, text), doc_id).select(doc_id, words.alias("w")).withColumn("terms", F.concat("w", pairs))
+    tf = cut_lineage(HashingTF(inputCol="terms", outputCol="tf", numFeatures=features).transform(rows).select(doc_id, "tf"), "terms")
     weighted = IDF(inputCol="tf", outputCol="features").fit(tf).transform(tf)
-    if docs.limit(k).count() < k:
+    if tf.limit(k).count() < k:
         raise ValueError(f"fewer than {k} texts cannot make {k} clusters")
     model = KMeans(k=k, seed=seed, maxIter=25, featuresCol="features", predictionCol="cluster_id").fit(weighted)
     return model.transform(weighted).select(doc_id, "cluster_id")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gavel.operators import extract as ex
 from gavel.operators import names as nm
 from gavel.operators import vector_index as vi
-from gavel.operators.search import vector_topk
+from gavel.operators.search import text_cluster, vector_topk
 
 rng = random.Random(5)
 
@@ -166,3 +166,15 @@ def test_vector_edges(spark):
     assert vi.search(None, asked, 5).count() == 0
     with pytest.raises(ValueError):
         vi.build_index(items.filter("id in (1, 7)"), cells=2, sample_rows=2, metric="dot")
+
+
+def test_texts_are_cut_into_words_once(spark):
+    """Fitting and the result of ``text_cluster`` read term counts, so neither reads the texts again."""
+    docs = spark.createDataFrame([(i, f"{w} house {w} garden {w}") for i, w in enumerate(["red", "blue", "green"] * 10)], "id bigint, t string")
+    out = text_cluster(docs, "t", "id", k=3)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "LogicalRDD" not in plan
+    labels = {}
+    for r in out.collect():
+        labels.setdefault(r.id % 3, set()).add(r.cluster_id)
+    assert all(len(v) == 1 for v in labels.values()) and len(set.union(*labels.values())) == 3
