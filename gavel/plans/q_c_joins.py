@@ -2,10 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from gavel.functions.scale import group_percentiles
+from gavel.functions.scale import counted_percentiles, value_counts
 from gavel.operators import joins as jn
 from gavel.plans.registry import query
 from gavel.plans.roles import INTERACTIONS, LISTINGS, MESSAGES, TX, interactions, listings, messages, transactions
+from gavel.session import cut_lineage
 from gavel.sources.tables import load_table, ts
 
 
@@ -69,8 +70,11 @@ _BENCH = """bench AS (SELECT area, property_type, bedrooms, deal_type, quantile_
 def nullable_bench(tx):
     """Benchmarks per bedroom class plus the NULL class over all bedrooms."""
     keys = ["area", "property_type", "bedrooms", "deal_type"]
-    exact = group_percentiles(tx, keys, "price", {"median": 0.5})
-    every = group_percentiles(tx, [k for k in keys if k != "bedrooms"], "price", {"median": 0.5}).withColumn("bedrooms", F.lit(None).cast("int"))
+    whole = [k for k in keys if k != "bedrooms"]
+    prices = cut_lineage(value_counts(tx, keys, "price"), "prices")
+    merged = cut_lineage(prices.groupBy(*whole, "__v").agg(F.sum("__c").alias("__c")), "prices")  # the NULL class from the same counts
+    exact = counted_percentiles(prices, keys, {"median": 0.5})
+    every = counted_percentiles(merged, whole, {"median": 0.5}).withColumn("bedrooms", F.lit(None).cast("int"))
     return exact.unionByName(every).filter(F.col("n") >= 5)
 
 

@@ -11,6 +11,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(os.path.dirname(os.path.abspath(
 from plans import BAD  # noqa: E402
 
 from gavel.plans import load_all
+from gavel.plans.q_c_joins import nullable_bench
 from gavel.sources.tables import load_table, ts
 
 
@@ -37,3 +38,17 @@ def test_filters_and_columns_reach_parquet(spark, sf):
 
 def test_top_n_limits_before_the_shuffle(spark, sf):
     assert _plan(load_all()["latest_per_key"].plan(spark, sf)).count("WindowGroupLimit") == 2
+
+
+def test_both_benchmark_classes_read_the_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    cols = "area string, property_type string, bedrooms int, deal_type string, price double"
+    tx = spark.createDataFrame([("a", "t", i % 2, "sale", float(i)) for i in range(20)], cols).mapInArrow(counted, cols)
+    rows = {r.bedrooms: (r["median"], r.n) for r in nullable_bench(tx).collect()}
+    assert rows == {0: (9.0, 10), 1: (10.0, 10), None: (9.5, 20)} and seen.value == 20
