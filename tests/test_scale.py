@@ -36,6 +36,11 @@ def test_group_percentiles(skewed, buckets):
         assert np.allclose([row.a, row.b, row.c, row.d, row.e], want)
 
 
+def test_percentiles_of_small_keys_need_no_sketch(skewed):
+    plan = sc.group_percentiles(skewed[1], ["k"], "v", {"m": 0.5})._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile_approx" not in plan and plan.count("Relation") == 1
+
+
 @pytest.mark.parametrize("keys", [["k"], []])
 @pytest.mark.parametrize("buckets", [7, 64])
 def test_percentiles_of_large_keys_in_buckets(skewed, keys, buckets):
