@@ -54,3 +54,41 @@ def test_names_are_handed_on_in_bounded_batches(spark, monkeypatch):
     keys = spark.createDataFrame([("ab",), ("cd",), ("ab cd",)], "key string")
     got = names.find_names(docs, "id", "text", keys).collect()
     assert len(got) == 30 and {r["mentions"] for r in got} == {1}
+
+
+def _texts(spark):
+    said = [
+        "Selling price: AED 1,250,000\nRented at 75k, call +971 50 123 4567", "Цена: 3 755 409\nвид на море", "prıce 12.5M and SELLING PRİCE 3M", "final price 2M\r\nREF: 12345678", "éprice: 5M price: 6M",
+        "Price 120 m² 900k", "op 2.1M, sp 1.95M", "1.234.56 AED rent 85,000 yearly", "new price 1.8M selling price 2M", "СР: 9м", "", " ", None, "x" * 70_000 + " price: 4M"]
+    return spark.createDataFrame(list(enumerate(said)), "id int, text string").coalesce(1)
+
+
+def test_texts_are_looked_through_in_batches_without_a_miss(spark):
+    """Where a batch says that a pattern cannot be found, Spark's own expression finds nothing either."""
+    tr = ex.tr
+    rules = [*tr.PRICE_NOISE, *[p for p, _ in tr.PRICE_LABELS], *[p for p, _ in tr.GENERIC_PRICES], tr.ORIGINAL_PRICE, r"(?iu)[^a]b", r"(?U)\S\W", r"(?i)a{2,3}+b", r"\bprice\b(?!:)"]
+    assert patterns.loose(r"(?i)a{2,3}+b") is None and patterns.loose(r"(?iu)\bprice[\s:]+(\d+)\s*[mk]?") is not None
+    seen = patterns.Seen(F.col("x"), {p: i for i, p in enumerate(rules)})
+    df = _texts(spark).select("id", patterns.look(F.col("text"), rules).alias("x"))
+    missed = df.select("id", *[(seen.text.rlike(p) & ~seen.may(p)).alias(f"m{i}") for i, p in enumerate(rules)]).collect()
+    assert [r["id"] for r in missed if any(r[f"m{i}"] for i in range(len(rules)))] == []
+    tried = df.select("id", sum(F.coalesce(seen.may(p), F.lit(False)).cast("int") for p in tr.PRICE_NOISE).alias("n")).collect()
+    assert {r["id"] for r in tried if r["n"] > 20} == {2, 4}  # letters whose cases leave their script
+
+
+def test_prices_of_texts_in_batches_equal_prices_by_columns(spark, monkeypatch):
+    df = _texts(spark)
+    got = ex.price_amounts(df, "text").select("id", "price", "original_price").collect()
+    plans = df.select(patterns.rewritten(F.col("text"), ex.PRICE_REPAIRS).alias("a"), ex._price_text(F.col("text")).alias("b"))
+    both = plans.collect()
+    assert sum(r["a"] is not None for r in both) >= 8 and all(r["a"] in (None, r["b"]) for r in both)
+    monkeypatch.setattr(patterns, "loose", lambda p: None)  # every pattern is tried
+    monkeypatch.setattr(ex, "rewritten", lambda text, steps: F.lit(None).cast("string"))
+    assert sorted(got) == sorted(ex.price_amounts(df, "text").select("id", "price", "original_price").collect())
+
+
+def test_price_patterns_are_not_evaluated_row_by_row(spark):
+    """A price needs a look through the batch; the patterns of noise run there."""
+    plan = ex.price_amounts(_texts(spark), "text")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") >= 2
+    assert ex.price_amounts(spark.createDataFrame([("prıce: 8M",)], "text string"), "text").first()["price"] == 8_000_000
