@@ -92,3 +92,34 @@ def test_price_patterns_are_not_evaluated_row_by_row(spark):
     plan = ex.price_amounts(_texts(spark), "text")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") >= 2
     assert ex.price_amounts(spark.createDataFrame([("prıce: 8M",)], "text string"), "text").first()["price"] == 8_000_000
+
+
+def test_fields_of_texts_in_batches_equal_patterns_tried_everywhere(spark, monkeypatch):
+    said = [
+        "🔥 FOR SALE 🔥\n3BR villa view flat, BUA: 3,683 sqft, office tower\nParking 2 parking, balcony\nOff-plan, Q3 2027, agent: John Smith 050 123 4567", "furnıshed studıo, daıly", "Сдаётся студия, высокий этаж",
+        "Area: Marina\nTower: Palm – Beach\nUnit: 12", "MARINA – PALM\r\nplot for sale G+2, usage: mixed use", "**5**,000 AED!!!  call  now ----", "tenanted, 7th floor, sea view, 2,5 bedroom, 3 baths", "", None]
+    df = spark.createDataFrame(list(enumerate(said)), "id int, text string")
+    fields = lambda: df.select(
+        "id", ex.clean_text("text"), ex.is_spam("text"), ex.header_fields("text"), ex.deal_type("text"), ex.deal_type("text", F.lit(9e5)), ex.rent_period("text"), ex.bedrooms("text"), ex.bathrooms("text"), ex.furnishing("text"), ex.view("text"),
+        ex.floor("text"), ex.handover("text"), ex.off_plan("text"), ex.contacts("text"), ex.sizes("text"), ex.property_type("text"), ms._terms(F.col("text")), *[F.map_entries(ms.extra_info("text", F.lit(k))) for k in ("villa", "plot", "office")])
+    got = sorted(fields().collect())
+    assert (got[1][9], got[1][6], got[1][7]) == ("furnished", "daily", 0)  # the patterns take ı for i, as a word test in front of them did not
+    one_by_one = df.select("id", ms.currency("text"), ms.status("text"), ms.unit_number("text")).collect()
+    assert [tuple(r[17]) for r in got[:-1]] == [tuple(r)[1:] for r in sorted(one_by_one)[:-1]]
+    monkeypatch.setattr(patterns, "loose", lambda p: None)
+    monkeypatch.setattr(ex, "rewritten", lambda text, steps: F.lit(None).cast("string"))
+    assert got == sorted(fields().collect())
+
+
+def test_lines_are_sorted_by_token_once_each(spark, monkeypatch):
+    """Of equal lines one is compared with names: what is worked out for it does not move in front of the distinct."""
+    from gavel.functions import similarity
+
+    written = []
+    monkeypatch.setattr(similarity, "cut_lineage", lambda df, purpose="cut": written.append(df) or df)
+    left = spark.range(100).select(F.concat(F.lit("tower "), (F.col("id") % 2).cast("string")).alias("l"))
+    got = similarity.fuzzy_pairs(left, "l", spark.createDataFrame([("0 tower",)], "r string"), "r", 90)
+    plan = written[0]._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    below = plan[next(i for i, line in enumerate(plan) if "Aggregate" in line) + 1:]
+    assert below and not any("split(" in line or "Filter" in line for line in below)
+    assert got.collect() == [("tower 0", "0 tower", 100.0)]
